@@ -1,0 +1,121 @@
+"""Encoding with a model too large for one worker.
+
+A layer is multiplied in feature blocks: the cells of a chunk of rows meet the kernel
+rows of one block in one group, and the partial products are summed per row. Both
+sides of a group are bounded, whatever the model size and the row count.
+"""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from broadloom.operators.network import NORM_EPSILON
+from broadloom.session import materialize
+
+CHUNK_ROWS = 4096
+
+
+def _multiply(rows: pd.DataFrame, kernel: pd.DataFrame) -> pd.DataFrame:
+    ordered = kernel.sort_values("row_idx")
+    x = np.stack(rows["x"].to_numpy())
+    partial = x @ np.stack(ordered["w"].to_numpy())
+    return pd.DataFrame({"_key": rows["_key"], "z": list(partial)})
+
+
+def _dense(data: DataFrame, kernel: DataFrame, width: int, units: int, chunks: int, block_params: int) -> DataFrame:
+    """``_key, features`` times the kernel: ``_key, z``."""
+    size = max(1, min(width, block_params // max(units, 1)))
+    blocks = math.ceil(width / size)
+    cut = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
+    pieces = data.select("_key", "features", cut).select(
+        "_key",
+        F.pmod(F.xxhash64("_key"), F.lit(chunks)).alias("chunk"),
+        "block",
+        F.slice("features", F.col("block") * size + 1, F.lit(size)).alias("x"),
+    )
+    spread = kernel.select(
+        (F.floor(F.col("row_idx") / size)).cast("int").alias("block"),
+        "row_idx",
+        "w",
+        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("chunk"),
+    )
+    key_type = dict(data.dtypes)["_key"]
+    partial = (
+        pieces.groupBy("chunk", "block")
+        .cogroup(spread.groupBy("chunk", "block"))
+        .applyInPandas(_guarded, f"_key {key_type}, z array<double>")
+    )
+    summed = partial.groupBy("_key").agg(Summarizer.sum(array_to_vector("z")).alias("z"))
+    return summed.select("_key", vector_to_array("z").alias("z"))
+
+
+def _guarded(rows: pd.DataFrame, kernel: pd.DataFrame) -> pd.DataFrame:
+    # A chunk may have no rows: hashing leaves some empty on small tables.
+    if rows.empty:
+        return pd.DataFrame({"_key": rows["_key"], "z": pd.Series([], dtype=object)})
+    return _multiply(rows, kernel)
+
+
+def encode_blocked(
+    matrix: DataFrame,
+    layers: DataFrame,
+    weights: DataFrame,
+    model: str,
+    through: int,
+    *,
+    key: str = "row_id",
+    block_params: int,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """Append ``encoded``, with the kernels read block by block from their table.
+
+    ``key`` must identify a row. Vectors of a layer (bias, normalisation) are one row
+    each and travel as scalar subqueries.
+    """
+    mine = weights.filter(F.col("model") == model)
+    dense = (
+        layers.filter((F.col("model") == model) & (F.col("kind") == "dense") & (F.col("layer_idx") <= through))
+        .orderBy("layer_idx")
+        .collect()
+    )
+    rows = matrix.count()
+    chunks = max(1, math.ceil(rows / chunk_rows))
+    data = matrix.select(F.col(key).alias("_key"), "features")
+    width = int(mine.filter((F.col("layer_idx") == dense[0]["layer_idx"]) & (F.col("part") == "kernel")).count())
+    for step, layer in enumerate(dense):
+        parts = mine.filter(F.col("layer_idx") == layer["layer_idx"])
+        kernel = parts.filter("part = 'kernel'").select("row_idx", "w")
+        z = _dense(data, kernel, width, layer["units"], chunks, block_params)
+        last = step == len(dense) - 1
+        names = ("bias",) if last else ("bias", "gamma", "beta", "moving_mean", "moving_var")
+        for name in names:
+            z = z.withColumn(name, parts.filter(F.col("part") == name).select("w").scalar())
+        data = z.select("_key", F.transform("z", _activation(layer["activation"], last)).alias("features"))
+        if not last:
+            data = materialize(data, "layer")
+        width = layer["units"]
+    encoded = data.select(
+        F.col("_key").alias(key), F.col("features").alias("encoded"),
+        F.lit(None).cast("string").alias("encode_error"),
+    )
+    return matrix.drop("features").join(encoded, key, "left")
+
+
+def _activation(activation: str | None, last: bool):
+    def finish(z, i):
+        h = z + F.get("bias", i)
+        if activation == "relu":
+            h = F.greatest(h, F.lit(0.0))
+        if last:
+            return h
+        spread = F.sqrt(F.get("moving_var", i) + NORM_EPSILON)
+        return F.get("gamma", i) * (h - F.get("moving_mean", i)) / spread + F.get("beta", i)
+
+    return finish
