@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Fixed value: a scale below ten machine epsilons counts as zero.
@@ -68,30 +70,57 @@ def bin_index(value: Column, lo: Column, hi: Column, bins: int) -> Column:
 _NEAR = 1e-5
 
 
-def _box(log_u: Column, mu: Column, order: int) -> Column:
-    """``order``-th derivative in mu of (u**mu - 1) / mu, given ln(u) >= 0."""
-    near = F.abs(mu) < _NEAR
-    g0 = F.expm1(mu * log_u) / mu
-    s0 = log_u + mu * log_u**2 / 2
-    if order == 0:
-        return F.when(near, s0).otherwise(g0)
-    power = F.exp(mu * log_u)
-    g1 = (power * log_u - g0) / mu
-    s1 = log_u**2 / 2 + mu * log_u**3 / 3
-    if order == 1:
-        return F.when(near, s1).otherwise(g1)
-    g2 = (power * log_u**2 - 2 * g1) / mu
-    s2 = log_u**3 / 3 + mu * log_u**4 / 4
-    return F.when(near, s2).otherwise(g2)
-
-
-def yeo_johnson(x: Column, lam: Column, order: int = 0) -> Column:
-    """Yeo-Johnson transform of ``x`` or its derivative of ``order`` in lambda."""
+def yeo_johnson(x: Column, lam: Column) -> Column:
+    """Yeo-Johnson transform of ``x`` with exponent ``lam``."""
     log_u = F.log1p(F.abs(x))
-    lower_sign = -1.0 if order % 2 == 0 else 1.0
-    return F.when(x >= 0, _box(log_u, lam, order)).when(
-        x < 0, F.lit(lower_sign) * _box(log_u, F.lit(2.0) - lam, order)
+    mu = F.when(x < 0, F.lit(2.0) - lam).otherwise(lam)
+    bent = F.when(F.abs(mu) < _NEAR, log_u + mu * log_u * log_u / 2).otherwise(
+        F.expm1(mu * log_u) / mu
+    )
+    return F.when(x < 0, -bent).otherwise(bent)
+
+
+def with_yeo_johnson(
+    df: DataFrame, x: Column, lam: Column, names: Sequence[str]
+) -> DataFrame:
+    """Append the transform and its first two derivatives in the exponent.
+
+    Written as a chain of small projections: each power is computed once per row and
+    the generated code stays short enough to be compiled. ``names`` are the columns
+    for the orders 0, 1, 2.
+    """
+    y0, y1, y2 = names
+    log_u, mu, near = F.col("_l"), F.col("_m"), F.abs("_m") < _NEAR
+    chain = (
+        df.withColumns(
+            {
+                "_l": F.log1p(F.abs(x)),
+                "_m": F.when(x < 0, F.lit(2.0) - lam).otherwise(lam),
+                "_s": F.when(x < 0, -1.0).otherwise(1.0),
+            }
+        )
+        .withColumn("_e", F.expm1(mu * log_u))
+        .withColumn(
+            "_g0", F.when(near, log_u + mu * log_u * log_u / 2).otherwise(F.col("_e") / mu)
+        )
+        .withColumn(
+            "_g1",
+            F.when(near, log_u * log_u / 2 + mu * log_u * log_u * log_u / 3).otherwise(
+                ((F.col("_e") + 1) * log_u - F.col("_g0")) / mu
+            ),
+        )
+        .withColumn(
+            "_g2",
+            F.when(
+                near, log_u * log_u * log_u / 3 + mu * log_u * log_u * log_u * log_u / 4
+            ).otherwise(((F.col("_e") + 1) * log_u * log_u - 2 * F.col("_g1")) / mu),
+        )
     )
+    # For negative x the exponent enters as 2 - lam: odd derivatives change sign twice.
+    sign = F.col("_s")
+    return chain.withColumns(
+        {y0: sign * F.col("_g0"), y1: F.col("_g1"), y2: sign * F.col("_g2")}
+    ).drop("_l", "_m", "_s", "_e", "_g0", "_g1", "_g2")
 
 
 def log_jacobian(x: Column) -> Column:

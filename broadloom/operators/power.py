@@ -7,13 +7,13 @@ still open; its output is one row per feature. Newton needs a handful of rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from broadloom.functions.numeric import log_jacobian, yeo_johnson
+from broadloom.functions.numeric import log_jacobian, with_yeo_johnson
 from broadloom.session import materialize
 
-TOLERANCE = 1e-9
+TOLERANCE = 1e-8
 MAX_ROUNDS = 80
 EPS = 2.220446049250313e-16
 
@@ -51,8 +51,10 @@ def fit_exponents(cells: DataFrame) -> DataFrame:
     )
     state = materialize(start, "power-state")
     for _ in range(MAX_ROUNDS):
-        state = materialize(_round(cells, state), "power-state")
-        if state.filter(~F.col("done")).isEmpty():
+        seen = Observation()
+        stepped = _round(cells, state).observe(seen, F.count_if(~F.col("done")).alias("open"))
+        state = materialize(stepped, "power-state")
+        if not seen.get["open"]:
             break
     else:
         raise ArithmeticError("the exponent search did not converge")
@@ -68,32 +70,33 @@ def _round(cells: DataFrame, state: DataFrame) -> DataFrame:
     """Evaluate the open features at their next exponent and choose the one after."""
     at = F.coalesce("next_lam", "lam")
     opened = state.filter(~F.col("done")).withColumn("lam", at)
-    x, w, lam, origin = (F.col(c) for c in ("value", "w", "lam", "origin"))
+    opened = with_yeo_johnson(opened, F.col("origin"), F.col("lam"), ("o0", "o1", "o2"))
     # Values are taken relative to the transformed mean: the sums keep their digits.
-    terms = [
-        (yeo_johnson(x, lam, k) - yeo_johnson(origin, lam, k)).alias(name)
-        for k, name in enumerate(("a", "b", "c"))
-    ]
-    a, b, c = F.col("a"), F.col("b"), F.col("c")
-    sums = (
-        cells.join(opened.select("feature_idx", "origin", "lam"), "feature_idx")
-        .select("feature_idx", "w", *terms)
-        .groupBy("feature_idx")
-        .agg(
-            F.sum(w * a).alias("sa"),
-            F.sum(w * b).alias("sb"),
-            F.sum(w * c).alias("sc"),
-            F.sum(w * a * a).alias("saa"),
-            F.sum(w * a * b).alias("sab"),
-            F.sum(w * b * b).alias("sbb"),
-            F.sum(w * a * c).alias("sac"),
-        )
+    bent = with_yeo_johnson(
+        cells.join(opened.select("feature_idx", "lam", "o0", "o1", "o2"), "feature_idx"),
+        F.col("value"),
+        F.col("lam"),
+        ("y0", "y1", "y2"),
+    ).select(
+        "feature_idx",
+        "w",
+        *[(F.col(f"y{k}") - F.col(f"o{k}")).alias(name) for k, name in enumerate("abc")],
+    )
+    w, a, b, c = (F.col(name) for name in "wabc")
+    sums = bent.groupBy("feature_idx").agg(
+        F.sum(w * a).alias("sa"),
+        F.sum(w * b).alias("sb"),
+        F.sum(w * c).alias("sc"),
+        F.sum(w * a * a).alias("saa"),
+        F.sum(w * a * b).alias("sab"),
+        F.sum(w * b * b).alias("sbb"),
+        F.sum(w * a * c).alias("sac"),
     )
     n = F.col("n").cast("double")
     ma, mb, mc = F.col("sa") / n, F.col("sb") / n, F.col("sc") / n
     joined = opened.drop("center", "variance").join(sums, "feature_idx").select(
         "*",
-        (yeo_johnson(origin, lam) + ma).alias("center"),
+        (F.col("o0") + ma).alias("center"),
         (F.col("saa") / n - ma * ma).alias("variance"),
         (F.col("sab") / n - ma * mb).alias("cov_ab"),
         (F.col("sbb") / n - mb * mb).alias("var_b"),
