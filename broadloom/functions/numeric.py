@@ -1,9 +1,10 @@
-"""Column expressions on doubles. Everything here stays inside the JVM."""
+"""Arithmetic on doubles, as column expressions that stay inside the JVM."""
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -167,31 +168,46 @@ _TAIL_DEN = (
 PROBIT_MARGIN = 1e-7 - 2.220446049250313e-16
 
 
-def _horner(coefficients: tuple[float, ...], x: Column) -> Column:
-    result = F.lit(coefficients[-1])
-    for coefficient in reversed(coefficients[:-1]):
-        result = result * x + F.lit(coefficient)
+def _horner(coefficients: tuple[float, ...], x):
+    result = coefficients[-1] * x + coefficients[-2]
+    for coefficient in reversed(coefficients[:-2]):
+        result = result * x + coefficient
     return result
 
 
-def probit(u: Column) -> Column:
-    """Inverse of the standard normal CDF for 0 < u < 1."""
-    q = u - 0.5
-    central_r = F.lit(0.180625) - q * q
-    tail = F.sqrt(-F.ln(F.least(u, F.lit(1.0) - u)))
-    middle_r = tail - 1.6
-    far_r = tail - 5.0
-    outer = F.when(
-        tail <= 5.0, _horner(_MIDDLE_NUM, middle_r) / _horner(_MIDDLE_DEN, middle_r)
-    ).otherwise(_horner(_TAIL_NUM, far_r) / _horner(_TAIL_DEN, far_r))
-    return F.when(
-        F.abs(q) <= 0.425,
-        q * _horner(_CENTRAL_NUM, central_r) / _horner(_CENTRAL_DEN, central_r),
-    ).otherwise(F.signum(q) * outer)
-
-
-def to_normal(u: Column) -> Column:
-    """Uniform score to normal score, with the two ends held finite."""
-    low = F.lit(PROBIT_MARGIN)
-    high = F.lit(1.0 - PROBIT_MARGIN)
-    return probit(F.greatest(low, F.least(u, high)))
+def with_normal_score(df: DataFrame, u: str, name: str) -> DataFrame:
+    """Append the normal score of the uniform score ``u``; the two ends stay finite.
+
+    Staged like ``with_yeo_johnson``: every polynomial sees one plain column.
+    """
+    held = F.greatest(F.lit(PROBIT_MARGIN), F.least(F.col(u), F.lit(1.0 - PROBIT_MARGIN)))
+    q, t, r = F.col("_q"), F.col("_t"), F.col("_r")
+    central = F.abs(q) <= 0.425
+    staged = (
+        df.withColumn("_q", F.when(F.col(u).isNotNull(), held) - 0.5)
+        .withColumn("_t", F.sqrt(-F.ln(F.lit(0.5) - F.abs(q))))
+        .withColumn("_r", F.when(central, 0.180625 - q * q).when(t <= 5.0, t - 1.6).otherwise(t - 5.0))
+    )
+    score = (
+        F.when(central, q * _horner(_CENTRAL_NUM, r) / _horner(_CENTRAL_DEN, r))
+        .when(t <= 5.0, F.signum(q) * _horner(_MIDDLE_NUM, r) / _horner(_MIDDLE_DEN, r))
+        .otherwise(F.signum(q) * _horner(_TAIL_NUM, r) / _horner(_TAIL_DEN, r))
+    )
+    return staged.withColumn(name, score).drop("_q", "_t", "_r")
+
+
+def normal_scores(u: np.ndarray) -> np.ndarray:
+    """The same on a block; NaN stays NaN."""
+    q = np.clip(u, PROBIT_MARGIN, 1.0 - PROBIT_MARGIN) - 0.5
+    t = np.sqrt(-np.log(0.5 - np.abs(q)))
+    centre, middle, tail = 0.180625 - q * q, t - 1.6, t - 5.0
+    return np.where(
+        np.abs(q) <= 0.425,
+        q * _horner(_CENTRAL_NUM, centre) / _horner(_CENTRAL_DEN, centre),
+        np.sign(q)
+        * np.where(
+            t <= 5.0,
+            _horner(_MIDDLE_NUM, middle) / _horner(_MIDDLE_DEN, middle),
+            _horner(_TAIL_NUM, tail) / _horner(_TAIL_DEN, tail),
+        ),
+    )

@@ -31,46 +31,66 @@ def list_of(block: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(block.reshape(-1).astype(np.float64)))
 
 
+def _message(found: int, width: int) -> str | None:
+    if found == width:
+        return None
+    return "features are null" if found < 0 else f"expected {width} features, found {found}"
+
+
+def _apply_to_fitting(
+    column: pa.Array, kernel: Callable[[np.ndarray], np.ndarray], width: int
+) -> tuple[pa.Array, list[str | None]]:
+    """Results of the rows of the right width; the others get null and a message."""
+    lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+    fits = lengths == width
+    messages = [_message(int(n), width) for n in lengths]
+    if not fits.any():
+        return pa.nulls(len(column), pa.list_(pa.float64())), messages
+    result = list_of(kernel(cells_of(column.filter(pa.array(fits)))))
+    if not fits.all():
+        result = result.take(pa.array(np.cumsum(fits) - 1, mask=~fits))
+    return result, messages
+
+
 def map_features(
     df: DataFrame,
     kernel: Callable[[np.ndarray], np.ndarray],
     output: str,
     *,
     source: str = "features",
+    width: int | None = None,
     error: str | None = None,
     drop: tuple[str, ...] = (),
 ) -> DataFrame:
     """Append ``output array<double>`` computed by ``kernel`` on blocks of rows.
 
     All other columns pass through unchanged, so a result always stays with its row.
-    With ``error`` a failing block gets a message in that column and a null result;
-    without it the job fails.
+    With ``error`` a row that is not ``width`` cells wide gets a message in that column
+    and a null result, and so do the rows of a block whose kernel fails; without it
+    the job fails.
     """
-    kept = [f for f in df.schema.fields if f.name != output and f.name not in drop]
+    kept = [f for f in df.schema.fields if f.name not in (output, error, *drop)]
     fields = [*kept, T.StructField(output, T.ArrayType(T.DoubleType()))]
     if error:
-        fields = [f for f in fields if f.name != error] + [T.StructField(error, T.StringType())]
-    names = [f.name for f in kept if f.name != error]
+        fields.append(T.StructField(error, T.StringType()))
+    names = [f.name for f in kept]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for start in range(0, whole.num_rows, BATCH_ROWS):
                 batch = whole.slice(start, BATCH_ROWS)
                 columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
-                message = None
+                cells = batch.column(batch.schema.get_field_index(source))
+                if error is None:
+                    columns.append(list_of(kernel(cells_of(cells))))
+                    yield pa.RecordBatch.from_arrays(columns, names=[*names, output])
+                    continue
                 try:
-                    block = cells_of(batch.column(batch.schema.get_field_index(source)))
-                    result = list_of(kernel(block))
-                except Exception as failure:
-                    if error is None:
-                        raise
-                    message = f"{type(failure).__name__}: {failure}"
+                    result, messages = _apply_to_fitting(cells, kernel, width)
+                except Exception as failure:  # noqa: BLE001 - reported with the rows
                     result = pa.nulls(batch.num_rows, pa.list_(pa.float64()))
-                columns.append(result)
-                out = [*names, output]
-                if error:
-                    columns.append(pa.array([message] * batch.num_rows, pa.string()))
-                    out.append(error)
-                yield pa.RecordBatch.from_arrays(columns, names=out)
+                    messages = [f"{type(failure).__name__}: {failure}"] * batch.num_rows
+                columns += [result, pa.array(messages, pa.string())]
+                yield pa.RecordBatch.from_arrays(columns, names=[*names, output, error])
 
     return df.mapInArrow(run, T.StructType(fields))

@@ -40,7 +40,7 @@ def per_feature(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     total = F.col("baseline") * F.col("n")
     perfect = F.when(F.col("sse") == 0, 1.0).otherwise(0.0)
     return (
-        grouped.withColumn("mse", F.col("sse") / F.col("n"))
+        grouped.withColumn("mse", F.try_divide("sse", "n"))
         .withColumn(
             "range_mse", F.col("mse") / (F.col("range") * F.col("range") + RANGE_EPSILON)
         )
@@ -58,12 +58,12 @@ def summary(
     """
     cells = F.sum("n")
     totals = features.groupBy(*by).agg(
-        (F.sum("sse") / cells).alias("mse"),
-        (F.sum("sae") / cells).alias("mae"),
+        F.try_divide(F.sum("sse"), cells).alias("mse"),
+        F.try_divide(F.sum("sae"), cells).alias("mae"),
         F.avg("r2").alias("r2_score"),
-        (F.sum(F.col("range_mse") * F.col("n")) / cells).alias("range_mse"),
+        F.try_divide(F.sum(F.col("range_mse") * F.col("n")), cells).alias("range_mse"),
         F.avg("range_mse").alias("mean_per_feature_range_mse"),
-        (F.sum(F.col("baseline") * F.col("n")) / cells).alias("baseline_mse"),
+        F.try_divide(F.sum(F.col("baseline") * F.col("n")), cells).alias("baseline_mse"),
     )
     middle = quantiles(features, "range_mse", [0.5], by, max_group=max_features).select(
         *by, F.get("q", F.lit(0)).alias("median_per_feature_range_mse")
@@ -82,5 +82,5 @@ def summary(
         "mean_per_feature_range_mse",
         "median_per_feature_range_mse",
         "baseline_mse",
-        (1 - F.col("mse") / F.col("baseline_mse")).alias("improvement_ratio"),
+        (1 - F.try_divide("mse", "baseline_mse")).alias("improvement_ratio"),
     )

@@ -154,8 +154,8 @@ def encode(
 ) -> DataFrame:
     """Append the bottleneck activations of each row.
 
-    Row-local, so the plan has no exchange and the metadata stays with its row. A
-    batch that fails is flagged in ``error`` instead of being written as zeros.
+    Row-local, so the plan has no exchange and the metadata stays with its row. Rows
+    that cannot be encoded are flagged in ``error`` instead of being written as zeros.
     """
     shared = matrix.sparkSession.sparkContext.broadcast(list(stages))
     dropped = ("features",) if drop_features else ()
@@ -163,6 +163,7 @@ def encode(
         matrix,
         lambda x: run_stages(x, shared.value, encode=True),
         output,
+        width=stages[0]["kernel"].shape[0],
         error=error,
         drop=dropped,
     )

@@ -102,8 +102,8 @@ def _round(cells: DataFrame, state: DataFrame) -> DataFrame:
         (F.col("sbb") / n - mb * mb).alias("var_b"),
         (F.col("sac") / n - ma * mc).alias("cov_ac"),
     )
-    ratio = 2 * F.col("cov_ab") / F.col("variance")
-    curve = 2 * (F.col("var_b") + F.col("cov_ac")) / F.col("variance") - ratio * ratio
+    ratio = F.try_divide(2 * F.col("cov_ab"), F.col("variance"))
+    curve = F.try_divide(2 * (F.col("var_b") + F.col("cov_ac")), F.col("variance")) - ratio * ratio
     moved = (
         joined.withColumn("slope", F.col("jacobian") - n / 2 * ratio)
         .withColumn("bend", -n / 2 * curve)

@@ -15,8 +15,9 @@ from pyspark.sql import functions as F
 
 from broadloom.functions.numeric import (
     finite_or_null,
+    normal_scores,
     safe_scale,
-    to_normal,
+    with_normal_score,
     yeo_johnson,
 )
 from broadloom.operators.blocks import map_features
@@ -238,12 +239,13 @@ def transform_long(long: DataFrame, params: DataFrame, kind: str, *, normal: boo
         params.select("feature_idx", "center", "scale", "lambda", "quantiles"), "feature_idx"
     )
     if kind == "quantile":
-        scaled = quantile_score(F.col("value"), F.col("quantiles"), normal)
+        joined = with_quantile_score(joined, "value", "quantiles", normal)
     else:
         scaled = apply_value(
             kind, F.col("value"), F.col("center"), F.col("scale"), F.col("lambda")
         )
-    return joined.withColumn("value", scaled).drop("center", "scale", "lambda", "quantiles")
+        joined = joined.withColumn("value", scaled)
+    return joined.drop("center", "scale", "lambda", "quantiles")
 
 
 def _transform_by_join(
@@ -271,31 +273,41 @@ def _count_until(q: Column, inside) -> Column:
     return F.aggregate(steps, start, halve, lambda span: span["a"])
 
 
-def quantile_score(x: Column, q: Column, normal: bool = True) -> Column:
-    """Rank of ``x`` in [0, 1] among the quantiles ``q``, ties at their midpoint.
+def with_quantile_score(df: DataFrame, value: str, quantiles: str, normal: bool = True) -> DataFrame:
+    """Replace ``value`` by its rank in [0, 1] among the sorted array ``quantiles``.
 
-    With ``normal`` the rank is mapped through the inverse normal CDF.
+    A value equal to several quantiles gets the middle of their ranks. With ``normal``
+    the rank is mapped through the inverse normal CDF.
     """
-    n = F.size(q)
-    last = F.greatest(n - 1, F.lit(1)).cast("double")
-    below = _count_until(q, lambda e: e < x)
-    through = _count_until(q, lambda e: e <= x)
-    left, right = F.get(q, below - 1), F.get(q, below)
-    between = (below - 1 + (x - left) / (right - left)) / last
-    # A value equal to quantiles below .. through-1 sits in the middle of that run.
-    tied = (below + through - 1) / 2.0 / last
-    rank = F.when(through > below, tied).otherwise(between)
-    first, final = F.get(q, F.lit(0)), F.get(q, n - 1)
+    x, q = F.col(value), F.col(quantiles)
+    below, through = F.col("_below"), F.col("_through")
+    staged = df.withColumns(
+        {
+            "_below": _count_until(q, lambda e: e < x),
+            "_first": F.get(q, F.lit(0)),
+            "_final": F.get(q, F.size(q) - 1),
+        }
+    ).withColumns(
+        {
+            # Only a value that hits a quantile needs the end of its run.
+            "_through": F.when(F.get(q, below) == x, _count_until(q, lambda e: e <= x)).otherwise(below),
+            "_left": F.get(q, below - 1),
+            "_right": F.get(q, below),
+            "_last": F.greatest(F.size(q) - 1, F.lit(1)).cast("double"),
+        }
+    )
+    share = (x - F.col("_left")) / (F.col("_right") - F.col("_left"))
+    rank = F.when(through > below, (below + through - 1) / 2.0).otherwise(below - 1 + share)
     margin = EDGE if normal else 0.0
-    u = (
-        F.when(F.isnan(x) | x.isNull(), F.lit(None))
-        .when(x - margin < first, 0.0)
-        .when(x <= first, 0.0)
-        .when(x + margin > final, 1.0)
-        .when(x >= final, 1.0)
-        .otherwise(rank)
+    low = (x - margin < F.col("_first")) | (x <= F.col("_first"))
+    high = (x + margin > F.col("_final")) | (x >= F.col("_final"))
+    u = F.when(F.isnan(x) | x.isNull(), F.lit(None)).when(low, 0.0).when(high, 1.0)
+    scored = staged.withColumn("_u", u.otherwise(rank / F.col("_last")))
+    if normal:
+        scored = with_normal_score(scored, "_u", "_u")
+    return scored.withColumn(value, F.col("_u")).drop(
+        "_below", "_first", "_final", "_through", "_left", "_right", "_last", "_u"
     )
-    return to_normal(u) if normal else u
 
 
 def _transform_quantile(matrix: DataFrame, params: DataFrame, normal: bool) -> DataFrame:
@@ -325,15 +337,10 @@ def _transform_quantile(matrix: DataFrame, params: DataFrame, normal: bool) -> D
             u = np.where((x + margin > q[-1]) | (x >= q[-1]), 1.0, u)
             u = np.where((x - margin < q[0]) | (x <= q[0]), 0.0, u)
             out[:, j] = np.where(np.isnan(x), np.nan, u)
-        return out
+        return normal_scores(out) if normal else out
 
-    scored = map_features(matrix, ranks, "_u").withColumn("features", F.col("_u")).drop("_u")
-    if not normal:
-        return scored
-    return scored.withColumn(
-        "features",
-        F.transform("features", lambda u: F.when(F.isnan(u), u).otherwise(to_normal(u))),
-    )
+    scored = map_features(matrix, ranks, "_u", drop=("features",))
+    return scored.withColumnRenamed("_u", "features").select(*matrix.columns)
 
 
 # --- comparison -----------------------------------------------------------

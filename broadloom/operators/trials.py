@@ -314,7 +314,7 @@ def compare_runs(combined: DataFrame) -> DataFrame:
         F.min(F.when(F.col("source") == "original", mse)).alias("original_mse"),
         F.min(F.when(F.col("source") == "refined", mse)).alias("refined_mse"),
     ).filter("original_mse is not null")
-    gain = (F.col("original_mse") - F.col("refined_mse")) / F.col("original_mse") * 100
+    gain = F.try_divide(F.col("original_mse") - F.col("refined_mse"), F.col("original_mse")) * 100
     return pair.withColumn("improvement_pct", gain).withColumn(
-        "improved", F.col("improvement_pct") > 0
+        "improved", F.coalesce(F.col("improvement_pct") > 0, F.lit(False))
     )

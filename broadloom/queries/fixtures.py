@@ -206,9 +206,17 @@ CONVERGENCE = (
   FROM history GROUP BY trial_id)"""
 )
 
+# Metrics and the places they are rounded to: errors go down to 1e-11.
 _METRICS = (
-    "mse", "rmse", "mae", "r2_score", "range_mse", "mean_per_feature_range_mse",
-    "median_per_feature_range_mse", "baseline_mse", "improvement_ratio",
+    ("mse", 14),
+    ("rmse", 14),
+    ("mae", 14),
+    ("r2_score", 10),
+    ("range_mse", 14),
+    ("mean_per_feature_range_mse", 14),
+    ("median_per_feature_range_mse", 14),
+    ("baseline_mse", 14),
+    ("improvement_ratio", 10),
 )
 
 TRIALS = (
@@ -236,11 +244,11 @@ trials AS (
          CAST(list_sum(list_transform(range(1, len(chain)),
               lambda i: chain[i] * chain[i + 1] + chain[i + 1])) + 4 * list_sum(hidden)
               AS BIGINT) AS total_params,
-         round(mse, 10) AS mse, round(sqrt(mse), 10) AS rmse, round(mae, 10) AS mae,
-         round(r2_score, 10) AS r2_score, round(range_mse, 10) AS range_mse,
-         round(mean_per_feature_range_mse, 10) AS mean_per_feature_range_mse,
-         round(median_per_feature_range_mse, 10) AS median_per_feature_range_mse,
-         round(baseline_mse, 10) AS baseline_mse,
+         round(mse, 14) AS mse, round(sqrt(mse), 14) AS rmse, round(mae, 14) AS mae,
+         round(r2_score, 10) AS r2_score, round(range_mse, 14) AS range_mse,
+         round(mean_per_feature_range_mse, 14) AS mean_per_feature_range_mse,
+         round(median_per_feature_range_mse, 14) AS median_per_feature_range_mse,
+         round(baseline_mse, 14) AS baseline_mse,
          round(1 - mse / baseline_mse, 10) AS improvement_ratio,
          final_train_loss, final_val_loss, best_epoch, best_val_loss, total_epochs,
          avg_epoch_time, best_epoch / total_epochs AS convergence_speed
@@ -268,7 +276,7 @@ def _make_trials(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l").alias("num_layers"),
         "layer_config",
         "total_params",
-        *[F.round(c, 10).alias(c) for c in _METRICS],
+        *[F.round(c, places).alias(c) for c, places in _METRICS],
         "final_train_loss",
         "final_val_loss",
         "best_epoch",
@@ -288,7 +296,7 @@ def trial_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 REFINED = (
     TRIALS
     + """, refined AS (
-  SELECT * REPLACE (round(mse * 0.95, 10) AS mse),
+  SELECT * REPLACE (round(mse * 0.95, 14) AS mse),
          [0.001, 0.0005, 0.0001][trial_id % 3 + 1]::DOUBLE AS learning_rate,
          [16, 32][trial_id % 2 + 1]::INTEGER AS batch_size,
          [0.1, 0.2, 0.3][trial_id % 3 + 1]::DOUBLE AS dropout_rate
@@ -310,7 +318,7 @@ def refined_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = F.col("trial_id")
     return (
         trial_table(spark, sf_dir)
-        .withColumn("mse", F.round(F.col("mse") * 0.95, 10))
+        .withColumn("mse", F.round(F.col("mse") * 0.95, 14))
         .withColumn("learning_rate", _pick(REFINED_RATES, key))
         .withColumn("batch_size", _pick(REFINED_BATCHES, key))
         .withColumn("dropout_rate", _pick(REFINED_DROPOUTS, key))

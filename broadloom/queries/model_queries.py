@@ -1 +1,238 @@
-"""."""
+"""Stored models: catalog, bottleneck, inference, training."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from broadloom.operators import layers, network, scalers, training
+from broadloom.operators import matrix as m
+from broadloom.plans import encoding
+from broadloom.plans.tuning import grid_configs, tune
+from broadloom.queries import fixtures as fx
+from broadloom.queries.registry import query
+from broadloom.session import materialize, scratch_path
+from broadloom.sources import artifacts, tables
+
+_EXCLUDED = """excluded AS (SELECT DISTINCT 'model_' || s_suppkey AS model FROM supplier)"""
+
+
+def _excluded(spark, sf_dir):
+    """Models that bear the number of a supplier are left out."""
+    key = F.col("s_suppkey").cast("string")
+    return fx.table(spark, sf_dir, "supplier").select(F.concat(F.lit("model_"), key).alias("model"))
+
+
+@query(
+    "a08_model_catalog",
+    f"""WITH {fx.PART_LAYERS}, {_EXCLUDED}
+SELECT model, model IN (SELECT model FROM excluded) AS excluded FROM (SELECT DISTINCT model FROM layers)""",
+)
+def a08(spark, sf_dir):
+    return layers.catalog(fx.part_layers(spark, sf_dir), _excluded(spark, sf_dir))
+
+
+@query(
+    "a08_catalog_counts",
+    f"""WITH {fx.PART_LAYERS}, {_EXCLUDED}, c AS (
+  SELECT DISTINCT model, model IN (SELECT model FROM excluded) AS x FROM layers)
+SELECT count(*) AS models, count(*) FILTER (WHERE x) AS excluded, count(*) FILTER (WHERE NOT x) AS to_process FROM c""",
+)
+def a08_counts(spark, sf_dir):
+    return layers.catalog_counts(fx.part_layers(spark, sf_dir), _excluded(spark, sf_dir))
+
+
+# --- training -------------------------------------------------------------
+
+
+def _scaled(spark, sf_dir):
+    matrix = fx.matrix(spark, sf_dir)
+    params = materialize(scalers.fit(matrix, "standard"), "params")
+    return materialize(scalers.transform(matrix, params, "standard"), "scaled")
+
+
+@query("g01_autoencoder_fit")
+def g01(spark, sf_dir):
+    """Loss history of one small network."""
+    config = training.Config(1, 8, (32,), learning_rate=0.005)
+    fitted = training.fit_grid(_scaled(spark, sf_dir), [config], epochs=3)
+    return fitted.history(spark)
+
+
+@query("g02_grid_run")
+def g02(spark, sf_dir):
+    """Four configurations trained together; one trial row each."""
+    path = scratch_path(spark, "trials")
+    configs = grid_configs((4, 8), ((24,), (24, 12)), learning_rate=0.005)
+    tune(fx.matrix(spark, sf_dir), "robust", configs, path, epochs=2)
+    stored = tables.read_trials(spark, path)
+    return stored.withColumn("layer_config", F.to_json("layer_config"))
+
+
+# --- inference ------------------------------------------------------------
+
+_CODED = f"""WITH {fx.CLASS_WEIGHTS}
+SELECT row_id, CAST(j AS INTEGER) AS unit, round(e, 6) AS value FROM coded"""
+
+
+def _stages(spark, sf_dir):
+    return network.load_stages(*fx.class_model(spark, sf_dir), fx.CLASS_MODEL)
+
+
+def _units(df, column):
+    return df.select("row_id", F.posexplode(column).alias("unit", "value")).withColumn(
+        "value", F.round("value", 6)
+    )
+
+
+@query("g04_reconstruct", _CODED)
+def g04(spark, sf_dir):
+    """The whole stored network, here ending at its four units."""
+    return _units(network.reconstruct(fx.matrix(spark, sf_dir), _stages(spark, sf_dir)), "pred")
+
+
+@query("g05_encode", _CODED)
+def g05(spark, sf_dir):
+    return _units(network.encode(fx.matrix(spark, sf_dir), _stages(spark, sf_dir)), "encoded")
+
+
+@query("g05_encode_blocked", _CODED)
+def g05_blocked(spark, sf_dir):
+    """The same with the kernels multiplied block by block, as for very large models."""
+    model_layers, weights = fx.class_model(spark, sf_dir)
+    encoded = encoding.encode_matrix(
+        m.as_float64(fx.matrix(spark, sf_dir)), scalers.empty_params(spark), None,
+        model_layers, weights, fx.CLASS_MODEL, max_params=100,
+    )
+    return _units(encoded, "encoded")
+
+
+@query(
+    "g05_scale_and_encode",
+    f"""WITH {fx.CLASS_WEIGHTS}, filled AS (
+  SELECT row_id, feature_idx, CASE WHEN (row_id * 64 + feature_idx) % 17 = 0 THEN 0.0 ELSE x END AS x FROM cells),
+peaks AS (SELECT feature_idx, max(abs(x)) AS s FROM filled GROUP BY feature_idx),
+hidden2 AS (
+  SELECT row_id, j, greatest(sum(x / s * w) + any_value(b), 0.0) AS a
+  FROM filled JOIN peaks USING (feature_idx) JOIN w1 ON w1.i = feature_idx JOIN b1 USING (j) GROUP BY row_id, j),
+normed2 AS (
+  SELECT row_id, j, (a - 0.05) / sqrt(0.5 + 0.001) * (1 + j / 10.0) + 0.01 AS h FROM hidden2)
+SELECT row_id, CAST(w2.j AS INTEGER) AS unit,
+       round(greatest(sum(h * w) + any_value((w2.j % 3) / 10.0), 0.0), 6) AS value
+FROM normed2 JOIN w2 ON w2.i = normed2.j GROUP BY row_id, w2.j""",
+)
+def g05_scaled(spark, sf_dir):
+    """Fill, round to single precision, scale with a stored scaler, encode."""
+    from broadloom.queries.matrix_queries import scale_and_encode
+
+    return _units(scale_and_encode(spark, sf_dir), "encoded")
+
+
+@query(
+    "g06_encode_errors",
+    f"""WITH {fx.CLASS_WEIGHTS}
+SELECT c.row_id, CAST(j AS INTEGER) AS unit, round(e, 6) AS value, NULL::VARCHAR AS encode_error
+FROM coded c JOIN embeddings v ON v.vec_id = c.row_id WHERE label <> 3
+UNION ALL SELECT vec_id, NULL, NULL, 'expected 64 features, found 63' FROM embeddings WHERE label = 3""",
+)
+def g06(spark, sf_dir):
+    """Rows of one label lack a feature: they are flagged, the others are encoded."""
+    short = F.when(F.col("Label") == "3", F.slice("features", 1, 63)).otherwise(F.col("features"))
+    ragged = fx.matrix(spark, sf_dir).withColumn("features", short)
+    encoded = network.encode(ragged, _stages(spark, sf_dir))
+    return encoded.select(
+        "row_id", "encode_error", F.posexplode_outer("encoded").alias("unit", "value")
+    ).withColumn("value", F.round("value", 6))
+
+
+@query(
+    "g07_encode_all_models",
+    """SELECT 'class_means' AS model, 'class_means_tuned' AS scaler, count(*) AS rows,
+       0::BIGINT AS failed_rows, false AS failed FROM embeddings
+UNION ALL SELECT 'unreadable', 'robustscaler_tuned', NULL, NULL, true""",
+)
+def g07(spark, sf_dir):
+    """Three stored models: one encodes, one is excluded, one has lost its weights."""
+    model_layers, weights = fx.class_model(spark, sf_dir)
+    others = model_layers.withColumn("model", F.explode(F.array(F.lit("unreadable"), F.lit("skipped"))))
+    matrix = fx.matrix(spark, sf_dir)
+    path = scratch_path(spark, "params")
+    for name in ("class_means_tuned", "robustscaler_tuned"):
+        artifacts.save_params(scalers.named(scalers.fit(matrix, "standard"), name), path)
+    status = encoding.encode_all(
+        matrix, artifacts.load_params(spark, path), model_layers.unionByName(others), weights,
+        scratch_path(spark, "encoded-all"), excluded=["skipped"],
+    )
+    return status.select(
+        "model", "scaler", "rows", "failed_rows", F.col("error").isNotNull().alias("failed")
+    )
+
+
+# --- layer tables ---------------------------------------------------------
+
+_BOTTLENECK = """dense AS (SELECT * FROM layers WHERE lower(name) LIKE '%dense%'),
+narrow AS (SELECT model, arg_min({'i': layer_idx, 'u': units}, {'u': units, 'i': layer_idx}) AS b
+           FROM dense GROUP BY model),
+counts AS (SELECT model, count(*) AS n FROM layers GROUP BY model)"""
+
+
+@query(
+    "g08_bottleneck",
+    f"""WITH {fx.PART_LAYERS}, {_BOTTLENECK}
+SELECT c.model, b.i AS layer_idx, b.u AS units FROM counts c LEFT JOIN narrow USING (model)""",
+)
+def g08(spark, sf_dir):
+    return layers.detect_bottleneck(fx.part_layers(spark, sf_dir))
+
+
+@query(
+    "g09_bottleneck_or_middle",
+    f"""WITH {fx.PART_LAYERS}, {_BOTTLENECK}, picked AS (
+  SELECT c.model, coalesce(b.i, CAST(n // 2 AS INTEGER)) AS layer_idx, b IS NULL AS fallback
+  FROM counts c LEFT JOIN narrow USING (model))
+SELECT model, layer_idx, fallback, units FROM picked JOIN layers USING (model, layer_idx)""",
+)
+def g09(spark, sf_dir):
+    return layers.bottleneck_or_middle(fx.part_layers(spark, sf_dir))
+
+
+@query(
+    "g10_model_widths",
+    f"""WITH {fx.PART_LAYERS} SELECT model, arg_min(units, layer_idx) AS input_width,
+       arg_max(units, layer_idx) AS output_width, count(*) FILTER (WHERE kind = 'dense') AS dense_layers
+FROM layers GROUP BY model""",
+)
+def g10(spark, sf_dir):
+    return layers.widths(fx.part_layers(spark, sf_dir))
+
+
+@query(
+    "g10_dense_layers",
+    f"WITH {fx.PART_LAYERS} SELECT model, layer_idx, name, units FROM layers WHERE kind = 'dense'",
+)
+def g10_dense(spark, sf_dir):
+    return layers.dense_layers(fx.part_layers(spark, sf_dir))
+
+
+@query(
+    "g10_layer_with_units",
+    f"""WITH {fx.PART_LAYERS} SELECT model, max(layer_idx) FILTER (WHERE kind = 'dense' AND units = 25) AS layer_idx,
+       arg_max(name, layer_idx) FILTER (WHERE kind = 'dense' AND units = 25) AS name
+FROM layers GROUP BY model""",
+)
+def g10_units(spark, sf_dir):
+    return layers.layer_with_units(fx.part_layers(spark, sf_dir), 25)
+
+
+@query(
+    "g11_validation_split",
+    """SELECT vec_id AS row_id, vec_id >= (SELECT vec_id FROM embeddings ORDER BY vec_id
+  OFFSET (SELECT CAST(floor(count(*) * 0.8) AS BIGINT) FROM embeddings) LIMIT 1) AS is_validation
+FROM embeddings""",
+)
+def g11(spark, sf_dir):
+    return training.split_by_order(fx.matrix(spark, sf_dir), "row_id").select("row_id", "is_validation")
+
+
+@query("g11_hash_split")
+def g11_hash(spark, sf_dir):
+    return training.split(fx.matrix(spark, sf_dir)).groupBy("is_validation").agg(F.count("*").alias("rows"))
