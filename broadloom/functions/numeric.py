@@ -175,29 +175,8 @@ def _horner(coefficients: tuple[float, ...], x):
     return result
 
 
-def with_normal_score(df: DataFrame, u: str, name: str) -> DataFrame:
-    """Append the normal score of the uniform score ``u``; the two ends stay finite.
-
-    Staged like ``with_yeo_johnson``: every polynomial sees one plain column.
-    """
-    held = F.greatest(F.lit(PROBIT_MARGIN), F.least(F.col(u), F.lit(1.0 - PROBIT_MARGIN)))
-    q, t, r = F.col("_q"), F.col("_t"), F.col("_r")
-    central = F.abs(q) <= 0.425
-    staged = (
-        df.withColumn("_q", F.when(F.col(u).isNotNull(), held) - 0.5)
-        .withColumn("_t", F.sqrt(-F.ln(F.lit(0.5) - F.abs(q))))
-        .withColumn("_r", F.when(central, 0.180625 - q * q).when(t <= 5.0, t - 1.6).otherwise(t - 5.0))
-    )
-    score = (
-        F.when(central, q * _horner(_CENTRAL_NUM, r) / _horner(_CENTRAL_DEN, r))
-        .when(t <= 5.0, F.signum(q) * _horner(_MIDDLE_NUM, r) / _horner(_MIDDLE_DEN, r))
-        .otherwise(F.signum(q) * _horner(_TAIL_NUM, r) / _horner(_TAIL_DEN, r))
-    )
-    return staged.withColumn(name, score).drop("_q", "_t", "_r")
-
-
 def normal_scores(u: np.ndarray) -> np.ndarray:
-    """The same on a block; NaN stays NaN."""
+    """Uniform scores to normal scores, with the two ends held finite; NaN stays NaN."""
     q = np.clip(u, PROBIT_MARGIN, 1.0 - PROBIT_MARGIN) - 0.5
     t = np.sqrt(-np.log(0.5 - np.abs(q)))
     centre, middle, tail = 0.180625 - q * q, t - 1.6, t - 5.0
@@ -211,3 +190,33 @@ def normal_scores(u: np.ndarray) -> np.ndarray:
             _horner(_TAIL_NUM, tail) / _horner(_TAIL_DEN, tail),
         ),
     )
+
+
+# --- ranks among quantiles ------------------------------------------------
+
+# Fixed value: distance from the extremes that still maps to the extreme score.
+EDGE = 1e-7
+
+
+def rank_scores(block: np.ndarray, levels: np.ndarray, normal: bool) -> np.ndarray:
+    """Rank in [0, 1] of every cell among the sorted quantiles of its feature.
+
+    ``block`` is ``[rows, features]`` and ``levels`` is ``[features, quantiles]``. A value
+    equal to several quantiles gets the middle of their ranks. With ``normal`` the
+    ranks become normal scores.
+    """
+    scores = np.empty_like(block)
+    last = max(levels.shape[1] - 1, 1)
+    margin = EDGE if normal else 0.0
+    for j, q in enumerate(levels):
+        x = block[:, j]
+        below, through = np.searchsorted(q, x, "left"), np.searchsorted(q, x, "right")
+        lower = q[np.clip(below - 1, 0, len(q) - 1)]
+        upper = q[np.clip(below, 0, len(q) - 1)]
+        gap = np.where(upper > lower, upper - lower, 1.0)
+        tied, between = (below + through - 1) / 2.0, below - 1 + (x - lower) / gap
+        u = np.where(through > below, tied, between) / last
+        u = np.where((x + margin > q[-1]) | (x >= q[-1]), 1.0, u)
+        u = np.where((x - margin < q[0]) | (x <= q[0]), 0.0, u)
+        scores[:, j] = np.where(np.isnan(x), np.nan, u)
+    return normal_scores(scores) if normal else scores

@@ -1,13 +1,14 @@
-"""Encoding with a model too large for one worker.
+"""Row-local work whose parameters are too large for one worker.
 
-A layer is multiplied in feature blocks: the cells of a chunk of rows meet the kernel
-rows of one block in one group, and the partial products are summed per row. Both
-sides of a group are bounded, whatever the model size and the row count.
+The feature array is cut into blocks and the rows into chunks. The cells of one chunk
+and block meet the parameters of that block in one group, so both sides of a group are
+bounded, whatever the number of rows, features or weights.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
@@ -16,53 +17,122 @@ from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from broadloom.functions.numeric import rank_scores
+from broadloom.operators.matrix import width_of
 from broadloom.operators.network import NORM_EPSILON
 from broadloom.session import materialize
 
-CHUNK_ROWS = 4096
+# Rows and features of one group of cells: 64 MB of doubles.
+CHUNK_ROWS = 65_536
+BLOCK_FEATURES = 128
 
 
-def _multiply(rows: pd.DataFrame, kernel: pd.DataFrame) -> pd.DataFrame:
-    ordered = kernel.sort_values("row_idx")
-    x = np.stack(rows["x"].to_numpy())
-    partial = x @ np.stack(ordered["w"].to_numpy())
-    return pd.DataFrame({"_key": rows["_key"], "z": list(partial)})
-
-
-def _dense(data: DataFrame, kernel: DataFrame, width: int, units: int, chunks: int, block_params: int) -> DataFrame:
-    """``_key, features`` times the kernel: ``_key, z``."""
-    size = max(1, min(width, block_params // max(units, 1)))
+def _cut(matrix: DataFrame, keys: Sequence[str], width: int, size: int, chunks: int) -> DataFrame:
+    """``keys..., chunk, block, x``: one row per row and feature block."""
     blocks = math.ceil(width / size)
     cut = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block")
-    pieces = data.select("_key", "features", cut).select(
-        "_key",
-        F.pmod(F.xxhash64("_key"), F.lit(chunks)).alias("chunk"),
+    return matrix.select(*keys, "features", cut).select(
+        *keys,
+        F.pmod(F.xxhash64(*keys), F.lit(chunks)).alias("chunk"),
         "block",
         F.slice("features", F.col("block") * size + 1, F.lit(size)).alias("x"),
     )
-    spread = kernel.select(
-        (F.floor(F.col("row_idx") / size)).cast("int").alias("block"),
-        "row_idx",
+
+
+def _spread(params: DataFrame, idx: str, size: int, chunks: int) -> DataFrame:
+    """``chunk, block, idx, w``: every chunk gets its copy of a block's parameters."""
+    last = F.lit(chunks - 1).cast("bigint")
+    return params.select(
+        F.explode(F.sequence(F.lit(0).cast("bigint"), last)).alias("chunk"),
+        F.floor(F.col(idx) / size).cast("int").alias("block"),
+        F.col(idx).alias("idx"),
         "w",
-        F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(chunks - 1).cast("bigint"))).alias("chunk"),
     )
-    key_type = dict(data.dtypes)["_key"]
+
+
+def _chunks(matrix: DataFrame, chunk_rows: int) -> int:
+    return max(1, math.ceil(matrix.count() / chunk_rows))
+
+
+def _key_fields(matrix: DataFrame, keys: Sequence[str]) -> str:
+    types = dict(matrix.dtypes)
+    return ", ".join(f"`{k}` {types[k]}" for k in keys)
+
+
+# --- quantile scores ------------------------------------------------------
+
+
+def quantile_blocks(
+    matrix: DataFrame,
+    params: DataFrame,
+    keys: Sequence[str],
+    normal: bool = True,
+    *,
+    size: int = BLOCK_FEATURES,
+    chunk_rows: int = CHUNK_ROWS,
+) -> DataFrame:
+    """``keys..., block, first, x``: scores of each block, ``first`` its first feature."""
+    chunks, names = _chunks(matrix, chunk_rows), list(keys)
+
+    def score(rows: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
+        result = rows[[*names, "block"]].copy()
+        table = levels.sort_values("idx")
+        result["first"] = int(table["idx"].min()) if len(table) else 0
+        scores = []
+        if len(rows):
+            block = np.stack(rows["x"].to_numpy()).astype(float)
+            scores = list(rank_scores(block, np.stack(table["w"].to_numpy()), normal))
+        result["x"] = pd.Series(scores, index=result.index, dtype=object)
+        return result
+
+    pieces = _cut(matrix, keys, width_of(matrix), size, chunks)
+    levels = params.select("feature_idx", F.col("quantiles").alias("w"))
+    spread = _spread(levels, "feature_idx", size, chunks)
+    grouped = pieces.groupBy("chunk", "block").cogroup(spread.groupBy("chunk", "block"))
+    return grouped.applyInPandas(
+        score, f"{_key_fields(matrix, keys)}, block int, first int, x array<double>"
+    )
+
+
+def join_blocks(blocks: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Back to one array per row."""
+    ordered = F.array_sort(F.collect_list(F.struct("block", "x")))
+    return blocks.groupBy(*keys).agg(F.flatten(F.transform(ordered, lambda b: b["x"])).alias("features"))
+
+
+def long_blocks(blocks: DataFrame) -> DataFrame:
+    """``feature_idx, value`` of every cell."""
+    exploded = blocks.select("first", F.posexplode("x").alias("at", "value"))
+    return exploded.select((F.col("first") + F.col("at")).alias("feature_idx"), "value")
+
+
+# --- large networks -------------------------------------------------------
+
+
+def _dense(
+    data: DataFrame, kernel: DataFrame, width: int, units: int, chunks: int, block_params: int
+) -> DataFrame:
+    """``_key, features`` times the kernel: ``_key, z``."""
+
+    def multiply(rows: pd.DataFrame, weights: pd.DataFrame) -> pd.DataFrame:
+        partial = []
+        if len(rows):
+            table = weights.sort_values("idx")
+            partial = list(np.stack(rows["x"].to_numpy()) @ np.stack(table["w"].to_numpy()))
+        return pd.DataFrame({"_key": rows["_key"], "z": pd.Series(partial, index=rows.index, dtype=object)})
+
+    size = max(1, min(width, block_params // max(units, 1)))
+    pieces = _cut(data, ["_key"], width, size, chunks)
+    spread = _spread(kernel, "row_idx", size, chunks)
     partial = (
         pieces.groupBy("chunk", "block")
         .cogroup(spread.groupBy("chunk", "block"))
-        .applyInPandas(_guarded, f"_key {key_type}, z array<double>")
+        .applyInPandas(multiply, f"{_key_fields(data, ['_key'])}, z array<double>")
     )
     summed = partial.groupBy("_key").agg(Summarizer.sum(array_to_vector("z")).alias("z"))
     return summed.select("_key", vector_to_array("z").alias("z"))
 
 
-def _guarded(rows: pd.DataFrame, kernel: pd.DataFrame) -> pd.DataFrame:
-    # A chunk may have no rows: hashing leaves some empty on small tables.
-    if rows.empty:
-        return pd.DataFrame({"_key": rows["_key"], "z": pd.Series([], dtype=object)})
-    return _multiply(rows, kernel)
-
-
 def encode_blocked(
     matrix: DataFrame,
     layers: DataFrame,
@@ -72,23 +142,24 @@ def encode_blocked(
     *,
     key: str = "row_id",
     block_params: int,
-    chunk_rows: int = CHUNK_ROWS,
+    chunk_rows: int = 4096,
 ) -> DataFrame:
     """Append ``encoded``, with the kernels read block by block from their table.
 
-    ``key`` must identify a row. Vectors of a layer (bias, normalisation) are one row
-    each and travel as scalar subqueries.
+    ``key`` must identify a row. The vectors of a layer (bias, normalisation) are one
+    row each and travel as scalar subqueries.
     """
     mine = weights.filter(F.col("model") == model)
     dense = (
-        layers.filter((F.col("model") == model) & (F.col("kind") == "dense") & (F.col("layer_idx") <= through))
+        layers.filter(
+            (F.col("model") == model) & (F.col("kind") == "dense") & (F.col("layer_idx") <= through)
+        )
         .orderBy("layer_idx")
         .collect()
     )
-    rows = matrix.count()
-    chunks = max(1, math.ceil(rows / chunk_rows))
+    chunks = _chunks(matrix, chunk_rows)
     data = matrix.select(F.col(key).alias("_key"), "features")
-    width = int(mine.filter((F.col("layer_idx") == dense[0]["layer_idx"]) & (F.col("part") == "kernel")).count())
+    width = width_of(matrix)
     for step, layer in enumerate(dense):
         parts = mine.filter(F.col("layer_idx") == layer["layer_idx"])
         kernel = parts.filter("part = 'kernel'").select("row_idx", "w")
@@ -97,12 +168,14 @@ def encode_blocked(
         names = ("bias",) if last else ("bias", "gamma", "beta", "moving_mean", "moving_var")
         for name in names:
             z = z.withColumn(name, parts.filter(F.col("part") == name).select("w").scalar())
-        data = z.select("_key", F.transform("z", _activation(layer["activation"], last)).alias("features"))
+        finished = F.transform("z", _activation(layer["activation"], last))
+        data = z.select("_key", finished.alias("features"))
         if not last:
             data = materialize(data, "layer")
         width = layer["units"]
     encoded = data.select(
-        F.col("_key").alias(key), F.col("features").alias("encoded"),
+        F.col("_key").alias(key),
+        F.col("features").alias("encoded"),
         F.lit(None).cast("string").alias("encode_error"),
     )
     return matrix.drop("features").join(encoded, key, "left")

@@ -11,7 +11,8 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadloom.functions.numeric import bin_index, finite_or_null
@@ -19,6 +20,8 @@ from broadloom.session import materialize
 
 GROUP_LIMIT = 1_000_000
 BINS = 1024
+# Up to this many probabilities ``percentile`` is the faster aggregate.
+FEW = 16
 
 
 def largest_group(df: DataFrame, value: str, by: Sequence[str] = ()) -> int:
@@ -47,11 +50,30 @@ def quantiles(
         max_group = largest_group(df, value, by)
     cleaned = df.withColumn(value, finite_or_null(F.col(value)))
     if max_group <= group_limit:
-        exact = F.percentile(value, F.array(*[F.lit(float(p)) for p in probabilities]))
-        return cleaned.groupBy(*by).agg(exact.alias(name))
+        return _of_bounded_groups(cleaned, value, probabilities, by, name)
     return _by_narrowing(cleaned, value, probabilities, by, bins, name)
 
 
+def _of_bounded_groups(
+    df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str], name: str
+) -> DataFrame:
+    """Quantiles of groups that are known to fit a task."""
+    levels = F.lit(np.array(probabilities, dtype=float))
+    if len(probabilities) <= FEW:
+        # Keeps each distinct value once, but searches anew for every probability.
+        return df.groupBy(*by).agg(F.percentile(value, levels).alias(name))
+    ordered = df.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_ordered"))
+
+    def between(p: Column) -> Column:
+        position = p * (F.size("_ordered") - 1)
+        lower = F.get("_ordered", F.floor(position).cast("int"))
+        upper = F.get("_ordered", F.ceil(position).cast("int"))
+        return lower + (upper - lower) * (position - F.floor(position))
+
+    found = F.when(F.size("_ordered") > 0, F.transform(levels, between))
+    return ordered.select(*by, found.alias(name))
+
+
 def _by_narrowing(
     df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str], bins: int, name: str
 ) -> DataFrame:
@@ -78,7 +100,7 @@ def _order_statistics(
 ) -> DataFrame:
     """Rows ``by..., slot, position, rank, lo`` with ``lo`` the value at 0-based ``rank``."""
     v = F.col(value)
-    probs = F.array(*[F.lit(float(p)) for p in probabilities])
+    probs = F.lit(np.array(probabilities, dtype=float))
     position = F.col("p") * (F.col("n") - 1)
     # A constant key lets the grouped and the global case share one plan.
     keys = [f"_k{i}" for i in range(len(by))] or ["_k0"]

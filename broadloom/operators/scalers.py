@@ -15,11 +15,11 @@ from pyspark.sql import functions as F
 
 from broadloom.functions.numeric import (
     finite_or_null,
-    normal_scores,
+    rank_scores,
     safe_scale,
-    with_normal_score,
     yeo_johnson,
 )
+from broadloom.operators import blocked
 from broadloom.operators.blocks import map_features
 from broadloom.operators.matrix import from_long, to_long
 from broadloom.operators.power import EPS, fit_exponents
@@ -38,9 +38,6 @@ PARAMS_SCHEMA = (
 
 # Fixed value: most quantiles kept per feature.
 MAX_QUANTILES = 1000
-# Fixed value: distance from the extremes that still maps to the extreme score.
-EDGE = 1e-7
-
 # Parameters above this many doubles are joined instead of being held per task.
 INLINE_LIMIT = 8_000_000
 
@@ -187,6 +184,12 @@ def kind_of(params: DataFrame, scaler: str) -> str | None:
     return None if found is None else found["kind"]
 
 
+def params_size(params: DataFrame) -> int:
+    """Doubles held by the parameters of a scaler."""
+    per_feature = F.lit(3) + F.coalesce(F.size("quantiles"), F.lit(0))
+    return int(params.agg(F.coalesce(F.sum(per_feature), F.lit(0))).first()[0])
+
+
 def transform(
     matrix: DataFrame,
     params: DataFrame,
@@ -201,8 +204,8 @@ def transform(
 
     ``params`` should be a stored table (it is read once for its size). Up to
     ``inline_limit`` doubles the parameters travel as one row of arrays and the
-    transform is a projection; above it the cells are joined to them by feature,
-    and ``keys`` must identify a row. A scaler that is not stored raises, or leaves
+    transform is a projection; above it the cells meet them by feature, and
+    ``keys`` must identify a row. A scaler that is not stored raises, or leaves
     the data unscaled with ``on_missing="identity"``.
     """
     if on_missing not in ("raise", "identity"):
@@ -213,8 +216,7 @@ def transform(
             return matrix
         raise LookupError(f"no stored scaler named {scaler!r}")
     mine = params.filter(F.col("scaler") == scaler)
-    size = mine.agg(F.sum(F.lit(3) + F.coalesce(F.size("quantiles"), F.lit(0)))).first()[0]
-    if size > inline_limit:
+    if params_size(mine) > inline_limit:
         return _transform_by_join(matrix, mine, kind, normal, keys)
     if kind == "quantile":
         return _transform_quantile(matrix, mine, normal)
@@ -233,113 +235,34 @@ def transform(
     return held.withColumn("features", scaled).drop("_p")
 
 
-def transform_long(long: DataFrame, params: DataFrame, kind: str, *, normal: bool = True) -> DataFrame:
-    """Scale ``value`` of the long form by a join on the feature; for any width."""
-    joined = long.join(
-        params.select("feature_idx", "center", "scale", "lambda", "quantiles"), "feature_idx"
-    )
-    if kind == "quantile":
-        joined = with_quantile_score(joined, "value", "quantiles", normal)
-    else:
-        scaled = apply_value(
-            kind, F.col("value"), F.col("center"), F.col("scale"), F.col("lambda")
-        )
-        joined = joined.withColumn("value", scaled)
-    return joined.drop("center", "scale", "lambda", "quantiles")
+def transform_long(long: DataFrame, params: DataFrame, kind: str) -> DataFrame:
+    """Scale ``value`` of the long form by a join on the feature; not for ``quantile``."""
+    joined = long.join(params.select("feature_idx", "center", "scale", "lambda"), "feature_idx")
+    scaled = apply_value(kind, F.col("value"), F.col("center"), F.col("scale"), F.col("lambda"))
+    return joined.withColumn("value", scaled).drop("center", "scale", "lambda")
 
 
 def _transform_by_join(
     matrix: DataFrame, params: DataFrame, kind: str, normal: bool, keys: Sequence[str]
 ) -> DataFrame:
     others = [c for c in matrix.columns if c != "features"]
-    scaled = transform_long(to_long(matrix, keys), params, kind, normal=normal)
-    rebuilt = from_long(scaled, keys)
+    if kind == "quantile":
+        scored = blocked.quantile_blocks(matrix, params, keys, normal)
+        rebuilt = blocked.join_blocks(scored, keys)
+    else:
+        rebuilt = from_long(transform_long(to_long(matrix, keys), params, kind), keys)
     return matrix.drop("features").join(rebuilt, list(keys)).select(*others, "features")
 
 
-def _count_until(q: Column, inside) -> Column:
-    """How many leading entries of the sorted array satisfy ``inside``: binary search."""
-    steps = F.sequence(F.lit(1), F.ceil(F.log2(F.size(q) + 1.0)).cast("int"))
-    start = F.struct(F.lit(0).alias("a"), F.size(q).alias("b"))
-
-    def halve(span: Column, _: Column) -> Column:
-        middle = F.floor((span["a"] + span["b"]) / 2).cast("int")
-        right = (span["a"] < span["b"]) & inside(F.get(q, middle))
-        return F.struct(
-            F.when(right, middle + 1).otherwise(span["a"]).alias("a"),
-            F.when((span["a"] < span["b"]) & ~right, middle).otherwise(span["b"]).alias("b"),
-        )
-
-    return F.aggregate(steps, start, halve, lambda span: span["a"])
-
-
-def with_quantile_score(df: DataFrame, value: str, quantiles: str, normal: bool = True) -> DataFrame:
-    """Replace ``value`` by its rank in [0, 1] among the sorted array ``quantiles``.
-
-    A value equal to several quantiles gets the middle of their ranks. With ``normal``
-    the rank is mapped through the inverse normal CDF.
-    """
-    x, q = F.col(value), F.col(quantiles)
-    below, through = F.col("_below"), F.col("_through")
-    staged = df.withColumns(
-        {
-            "_below": _count_until(q, lambda e: e < x),
-            "_first": F.get(q, F.lit(0)),
-            "_final": F.get(q, F.size(q) - 1),
-        }
-    ).withColumns(
-        {
-            # Only a value that hits a quantile needs the end of its run.
-            "_through": F.when(F.get(q, below) == x, _count_until(q, lambda e: e <= x)).otherwise(below),
-            "_left": F.get(q, below - 1),
-            "_right": F.get(q, below),
-            "_last": F.greatest(F.size(q) - 1, F.lit(1)).cast("double"),
-        }
-    )
-    share = (x - F.col("_left")) / (F.col("_right") - F.col("_left"))
-    rank = F.when(through > below, (below + through - 1) / 2.0).otherwise(below - 1 + share)
-    margin = EDGE if normal else 0.0
-    low = (x - margin < F.col("_first")) | (x <= F.col("_first"))
-    high = (x + margin > F.col("_final")) | (x >= F.col("_final"))
-    u = F.when(F.isnan(x) | x.isNull(), F.lit(None)).when(low, 0.0).when(high, 1.0)
-    scored = staged.withColumn("_u", u.otherwise(rank / F.col("_last")))
-    if normal:
-        scored = with_normal_score(scored, "_u", "_u")
-    return scored.withColumn(value, F.col("_u")).drop(
-        "_below", "_first", "_final", "_through", "_left", "_right", "_last", "_u"
-    )
-
-
 def _transform_quantile(matrix: DataFrame, params: DataFrame, normal: bool) -> DataFrame:
-    """The same score computed per batch of rows; the table size has been checked."""
+    """Row-local ranks; the size of the table has been checked."""
     table = np.array(
         [r["quantiles"] for r in params.orderBy("feature_idx").select("quantiles").collect()]
     )
     shared = matrix.sparkSession.sparkContext.broadcast(table)
-    margin = EDGE if normal else 0.0
-
-    def ranks(block: np.ndarray) -> np.ndarray:
-        levels = shared.value
-        out = np.empty_like(block)
-        last = max(levels.shape[1] - 1, 1)
-        for j in range(block.shape[1]):
-            x, q = block[:, j], levels[j]
-            below = np.searchsorted(q, x, "left")
-            through = np.searchsorted(q, x, "right")
-            lower = q[np.clip(below - 1, 0, len(q) - 1)]
-            upper = q[np.clip(below, 0, len(q) - 1)]
-            gap = np.where(upper > lower, upper - lower, 1.0)
-            u = np.where(
-                through > below,
-                (below + through - 1) / 2.0 / last,
-                (below - 1 + (x - lower) / gap) / last,
-            )
-            u = np.where((x + margin > q[-1]) | (x >= q[-1]), 1.0, u)
-            u = np.where((x - margin < q[0]) | (x <= q[0]), 0.0, u)
-            out[:, j] = np.where(np.isnan(x), np.nan, u)
-        return normal_scores(out) if normal else out
-
-    scored = map_features(matrix, ranks, "_u", drop=("features",))
+    scored = map_features(
+        matrix, lambda block: rank_scores(block, shared.value, normal), "_u", drop=("features",)
+    )
     return scored.withColumnRenamed("_u", "features").select(*matrix.columns)
 
 
@@ -355,6 +278,8 @@ def scaled_stats(
     rows: int | None = None,
     group_limit: int = GROUP_LIMIT,
     compress: bool = False,
+    keys: Sequence[str] = ("row_id",),
+    inline_limit: int = INLINE_LIMIT,
 ) -> DataFrame:
     """Range, mean and deviation of every feature after each scaling, tidy.
 
@@ -400,17 +325,19 @@ def scaled_stats(
         )
     if "quantile" in kinds:
         params = materialize(_fit_quantile(matrix, rows, group_limit, MAX_QUANTILES), "quantiles")
-        cells = value_counts(to_long(matrix))
-        scored = transform_long(cells, params, "quantile")
-        v, w = F.col("value"), F.col("w")
-        average = F.sum(v * w) / F.sum(w)
-        spread = F.sum(v * v * w) / F.sum(w) - average * average
+        if params_size(params) > inline_limit:
+            blocks = blocked.quantile_blocks(matrix, params, keys)
+            scored = moments(blocked.long_blocks(blocks))
+        else:
+            scored = moments(to_long(transform(matrix, params, "quantile")))
         parts.append(
-            scored.groupBy("feature_idx").agg(
-                (F.max(v) - F.min(v)).alias("range"),
-                average.alias("mean"),
-                F.sqrt(F.greatest(spread, F.lit(0.0))).alias("std"),
-            ).select(F.lit("quantile").alias("scaler"), "feature_idx", *STATS)
+            scored.select(
+                F.lit("quantile").alias("scaler"),
+                "feature_idx",
+                (hi - lo).alias("range"),
+                "mean",
+                F.sqrt(var).alias("std"),
+            )
         )
     result = parts[0]
     for part in parts[1:]:
