@@ -81,9 +81,7 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
     return F.when(x < 0, -bent).otherwise(bent)
 
 
-def with_yeo_johnson(
-    df: DataFrame, x: Column, lam: Column, names: Sequence[str]
-) -> DataFrame:
+def with_yeo_johnson(df: DataFrame, x: str, lam: str, names: Sequence[str]) -> DataFrame:
     """Append the transform and its first two derivatives in the exponent.
 
     Written as a chain of small projections: each power is computed once per row and
@@ -91,37 +89,26 @@ def with_yeo_johnson(
     for the orders 0, 1, 2.
     """
     y0, y1, y2 = names
-    log_u, mu, near = F.col("_l"), F.col("_m"), F.abs("_m") < _NEAR
-    chain = (
-        df.withColumns(
-            {
-                "_l": F.log1p(F.abs(x)),
-                "_m": F.when(x < 0, F.lit(2.0) - lam).otherwise(lam),
-                "_s": F.when(x < 0, -1.0).otherwise(1.0),
-            }
-        )
-        .withColumn("_e", F.expm1(mu * log_u))
-        .withColumn(
-            "_g0", F.when(near, log_u + mu * log_u * log_u / 2).otherwise(F.col("_e") / mu)
-        )
-        .withColumn(
-            "_g1",
-            F.when(near, log_u * log_u / 2 + mu * log_u * log_u * log_u / 3).otherwise(
-                ((F.col("_e") + 1) * log_u - F.col("_g0")) / mu
-            ),
+    near = f"abs(_m) < {_NEAR}"
+    # For negative x the exponent enters as 2 - lam: odd derivatives change sign twice.
+    return (
+        df.selectExpr(
+            "*",
+            f"log1p(abs({x})) AS _l",
+            f"if({x} < 0, 2 - {lam}, {lam}) AS _m",
+            f"if({x} < 0, -1D, 1D) AS _s",
         )
-        .withColumn(
-            "_g2",
-            F.when(
-                near, log_u * log_u * log_u / 3 + mu * log_u * log_u * log_u * log_u / 4
-            ).otherwise(((F.col("_e") + 1) * log_u * log_u - 2 * F.col("_g1")) / mu),
+        .selectExpr("*", "expm1(_m * _l) AS _e")
+        .selectExpr("*", f"if({near}, _l + _m * _l * _l / 2, _e / _m) AS _g0")
+        .selectExpr("*", f"if({near}, _l * _l / 2 + _m * _l * _l * _l / 3, ((_e + 1) * _l - _g0) / _m) AS _g1")
+        .selectExpr(
+            *[f"`{c}`" for c in df.columns],
+            f"_s * _g0 AS {y0}",
+            f"_g1 AS {y1}",
+            f"_s * if({near}, _l * _l * _l / 3 + _m * _l * _l * _l * _l / 4,"
+            f" ((_e + 1) * _l * _l - 2 * _g1) / _m) AS {y2}",
         )
     )
-    # For negative x the exponent enters as 2 - lam: odd derivatives change sign twice.
-    sign = F.col("_s")
-    return chain.withColumns(
-        {y0: sign * F.col("_g0"), y1: F.col("_g1"), y2: sign * F.col("_g2")}
-    ).drop("_l", "_m", "_s", "_e", "_g0", "_g1", "_g2")
 
 
 def log_jacobian(x: Column) -> Column:

@@ -7,7 +7,7 @@ still open; its output is one row per feature. Newton needs a handful of rounds.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from broadloom.functions.numeric import log_jacobian, with_yeo_johnson
@@ -17,6 +17,11 @@ TOLERANCE = 1e-8
 MAX_ROUNDS = 80
 EPS = 2.220446049250313e-16
 
+STATE = (
+    "feature_idx", "n", "origin", "jacobian", "flat", "lam", "lo", "hi", "center", "variance",
+    "next_lam", "done",
+)
+
 
 def fit_exponents(cells: DataFrame) -> DataFrame:
     """``feature_idx, lambda, center, scale`` from weighted cells.
@@ -34,19 +39,10 @@ def fit_exponents(cells: DataFrame) -> DataFrame:
             F.sum(log_jacobian(x) * w).alias("jacobian"),
             (F.min(x) == F.max(x)).alias("flat"),
         )
-        .select(
-            "feature_idx",
-            "n",
-            "origin",
-            "jacobian",
-            "flat",
-            F.lit(1.0).alias("lam"),
-            F.lit(None).cast("double").alias("lo"),
-            F.lit(None).cast("double").alias("hi"),
-            F.lit(None).cast("double").alias("center"),
-            F.lit(None).cast("double").alias("variance"),
-            F.lit(None).cast("double").alias("next_lam"),
-            F.lit(False).alias("done"),
+        .selectExpr(
+            "feature_idx", "n", "origin", "jacobian", "flat", "1D AS lam",
+            *[f"CAST(NULL AS DOUBLE) AS {c}" for c in STATE[6:-1]],
+            "false AS done",
         )
     )
     state = materialize(start, "power-state")
@@ -68,70 +64,55 @@ def fit_exponents(cells: DataFrame) -> DataFrame:
 
 def _round(cells: DataFrame, state: DataFrame) -> DataFrame:
     """Evaluate the open features at their next exponent and choose the one after."""
-    at = F.coalesce("next_lam", "lam")
-    opened = state.filter(~F.col("done")).withColumn("lam", at)
-    opened = with_yeo_johnson(opened, F.col("origin"), F.col("lam"), ("o0", "o1", "o2"))
+    opened = with_yeo_johnson(
+        state.filter("NOT done").selectExpr(
+            "feature_idx", "n", "origin", "jacobian", "flat", "lo", "hi",
+            "coalesce(next_lam, lam) AS lam",
+        ),
+        "origin", "lam", ("o0", "o1", "o2"),
+    )
     # Values are taken relative to the transformed mean: the sums keep their digits.
     bent = with_yeo_johnson(
         cells.join(opened.select("feature_idx", "lam", "o0", "o1", "o2"), "feature_idx"),
-        F.col("value"),
-        F.col("lam"),
-        ("y0", "y1", "y2"),
-    ).select(
-        "feature_idx",
-        "w",
-        *[(F.col(f"y{k}") - F.col(f"o{k}")).alias(name) for k, name in enumerate("abc")],
-    )
-    w, a, b, c = (F.col(name) for name in "wabc")
+        "value", "lam", ("y0", "y1", "y2"),
+    ).selectExpr("feature_idx", "CAST(w AS DOUBLE) AS w", "y0 - o0 AS a", "y1 - o1 AS b", "y2 - o2 AS c")
+    products = ("a", "b", "c", "a * a", "a * b", "b * b", "a * c")
     sums = bent.groupBy("feature_idx").agg(
-        F.sum(w * a).alias("sa"),
-        F.sum(w * b).alias("sb"),
-        F.sum(w * c).alias("sc"),
-        F.sum(w * a * a).alias("saa"),
-        F.sum(w * a * b).alias("sab"),
-        F.sum(w * b * b).alias("sbb"),
-        F.sum(w * a * c).alias("sac"),
-    )
-    n = F.col("n").cast("double")
-    ma, mb, mc = F.col("sa") / n, F.col("sb") / n, F.col("sc") / n
-    joined = opened.drop("center", "variance").join(sums, "feature_idx").select(
-        "*",
-        (F.col("o0") + ma).alias("center"),
-        (F.col("saa") / n - ma * ma).alias("variance"),
-        (F.col("sab") / n - ma * mb).alias("cov_ab"),
-        (F.col("sbb") / n - mb * mb).alias("var_b"),
-        (F.col("sac") / n - ma * mc).alias("cov_ac"),
+        *[F.expr(f"sum(w * {p}) AS s{p.replace(' * ', '')}") for p in products]
     )
-    ratio = F.try_divide(2 * F.col("cov_ab"), F.col("variance"))
-    curve = F.try_divide(2 * (F.col("var_b") + F.col("cov_ac")), F.col("variance")) - ratio * ratio
     moved = (
-        joined.withColumn("slope", F.col("jacobian") - n / 2 * ratio)
-        .withColumn("bend", -n / 2 * curve)
-        .withColumn("lo", F.when(F.col("slope") > 0, F.col("lam")).otherwise(F.col("lo")))
-        .withColumn("hi", F.when(F.col("slope") <= 0, F.col("lam")).otherwise(F.col("hi")))
-        .withColumn("proposal", _proposal())
+        opened.join(sums, "feature_idx")
+        .selectExpr(
+            "feature_idx", "n", "origin", "jacobian", "flat", "lam", "lo", "hi",
+            "o0 + sa / n AS center",
+            "saa / n - (sa / n) * (sa / n) AS variance",
+            "sab / n - (sa / n) * (sb / n) AS cov_ab",
+            "sbb / n - (sb / n) * (sb / n) AS var_b",
+            "sac / n - (sa / n) * (sc / n) AS cov_ac",
+        )
+        .selectExpr("*", "try_divide(2 * cov_ab, variance) AS ratio")
+        .selectExpr(
+            "*",
+            "jacobian - n / 2 * ratio AS slope",
+            "-n / 2 * (try_divide(2 * (var_b + cov_ac), variance) - ratio * ratio) AS bend",
+        )
+        .selectExpr(
+            "* EXCEPT (lo, hi)",
+            "if(slope > 0, lam, lo) AS lo",
+            "if(slope <= 0, lam, hi) AS hi",
+            "2 + 2 * abs(lam) AS longest",
+        )
+        # A Newton step of bounded length; outside the bracket its middle instead.
+        .selectExpr(
+            "*",
+            "lam + greatest(-longest, least(longest,"
+            " if(bend < 0, -slope / bend, signum(slope) * longest))) AS target",
+        )
+        .selectExpr("*", "if(target < lo OR target > hi, coalesce((lo + hi) / 2, target), target) AS next_lam")
     )
     settled = (
-        F.col("flat")
-        | (F.col("variance") <= n * EPS * EPS * F.col("center") ** 2)
-        | (F.abs(F.col("proposal") - F.col("lam")) <= TOLERANCE * (1 + F.abs("lam")))
-    )
-    advanced = moved.select(
-        "feature_idx", "n", "origin", "jacobian", "flat", "lam", "lo", "hi", "center",
-        "variance", F.col("proposal").alias("next_lam"),
-        F.coalesce(settled, F.lit(False)).alias("done"),
+        f"flat OR variance <= n * {EPS * EPS} * center * center"
+        f" OR abs(next_lam - lam) <= {TOLERANCE} * (1 + abs(lam))"
     )
+    advanced = moved.selectExpr(*STATE[:-1], f"coalesce({settled}, false) AS done")
     return advanced.unionByName(state.filter("done"))
-
-
-def _proposal() -> Column:
-    """Newton step, kept inside the bracket; outside it bisect or widen."""
-    lam, lo, hi = F.col("lam"), F.col("lo"), F.col("hi")
-    slope, bend = F.col("slope"), F.col("bend")
-    longest = 2 + 2 * F.abs(lam)
-    newton = F.when(bend < 0, -slope / bend).otherwise(F.signum(slope) * longest)
-    step = F.greatest(-longest, F.least(longest, newton))
-    target = lam + step
-    outside = (lo.isNotNull() & (target < lo)) | (hi.isNotNull() & (target > hi))
-    both = lo.isNotNull() & hi.isNotNull()
-    return F.when(both & outside, (lo + hi) / 2).otherwise(target)
