@@ -291,15 +291,22 @@ def pivot(
 
 def time_correlations(trials: DataFrame, threshold: float = 0.5) -> DataFrame:
     """Does the training time follow the depth or the encoding dimension?"""
-    time = F.col("total_training_time")
+    def with_time(parameter: str) -> Column:
+        # A parameter with a single level has no correlation rather than an error.
+        time, level = F.col("total_training_time"), F.col(parameter).cast("double")
+        both = time.isNotNull() & level.isNotNull()
+        time, level = F.when(both, time), F.when(both, level)
+        return F.try_divide(
+            F.covar_pop(time, level), F.stddev_pop(time) * F.stddev_pop(level)
+        )
+
     return trials.agg(
-        F.corr(time, F.col("num_layers").cast("double")).alias("corr_layers"),
-        F.corr(time, F.col("encoding_dim").cast("double")).alias("corr_dim"),
+        with_time("num_layers").alias("corr_layers"), with_time("encoding_dim").alias("corr_dim")
     ).select(
         "corr_layers",
         "corr_dim",
-        (F.col("corr_layers") > threshold).alias("grows_with_layers"),
-        (F.col("corr_dim") > threshold).alias("grows_with_dim"),
+        F.coalesce(F.col("corr_layers") > threshold, F.lit(False)).alias("grows_with_layers"),
+        F.coalesce(F.col("corr_dim") > threshold, F.lit(False)).alias("grows_with_dim"),
     )
 
 
