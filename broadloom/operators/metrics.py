@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadloom.operators.quantiles import quantiles
+from broadloom.session import materialize
 
 # Fixed value: keeps the range-normalised error finite on constant features.
 RANGE_EPSILON = 1e-8
@@ -51,11 +52,13 @@ def per_feature(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 def summary(
     features: DataFrame, by: Sequence[str] = (), *, max_features: int | None = None
 ) -> DataFrame:
-    """Metrics over all cells, from the table of ``per_feature``.
+    """Metrics over all cells, from the table of ``per_feature``, which is stored first
+    so that the cells are read once.
 
     The mean range error is the same number as the range error over all cells,
     because every feature has the same number of rows; both names are kept.
     """
+    features = materialize(features, "per-feature")
     cells = F.sum("n")
     totals = features.groupBy(*by).agg(
         F.try_divide(F.sum("sse"), cells).alias("mse"),

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from broadloom.functions.numeric import log_jacobian, with_yeo_johnson
-from broadloom.session import materialize
+from broadloom.session import materialize, small_side
 
 TOLERANCE = 1e-8
 MAX_ROUNDS = 80
@@ -46,9 +46,10 @@ def fit_exponents(cells: DataFrame) -> DataFrame:
         )
     )
     state = materialize(start, "power-state")
+    features = state.count()
     for _ in range(MAX_ROUNDS):
         seen = Observation()
-        stepped = _round(cells, state).observe(seen, F.count_if(~F.col("done")).alias("open"))
+        stepped = _round(cells, state, features).observe(seen, F.count_if(~F.col("done")).alias("open"))
         state = materialize(stepped, "power-state")
         if not seen.get["open"]:
             break
@@ -62,7 +63,7 @@ def fit_exponents(cells: DataFrame) -> DataFrame:
     )
 
 
-def _round(cells: DataFrame, state: DataFrame) -> DataFrame:
+def _round(cells: DataFrame, state: DataFrame, features: int) -> DataFrame:
     """Evaluate the open features at their next exponent and choose the one after."""
     opened = with_yeo_johnson(
         state.filter("NOT done").selectExpr(
@@ -72,9 +73,9 @@ def _round(cells: DataFrame, state: DataFrame) -> DataFrame:
         "origin", "lam", ("o0", "o1", "o2"),
     )
     # Values are taken relative to the transformed mean: the sums keep their digits.
+    exponents = small_side(opened.select("feature_idx", "lam", "o0", "o1", "o2"), features)
     bent = with_yeo_johnson(
-        cells.join(opened.select("feature_idx", "lam", "o0", "o1", "o2"), "feature_idx"),
-        "value", "lam", ("y0", "y1", "y2"),
+        cells.join(exponents, "feature_idx"), "value", "lam", ("y0", "y1", "y2")
     ).selectExpr("feature_idx", "CAST(w AS DOUBLE) AS w", "y0 - o0 AS a", "y1 - o1 AS b", "y2 - o2 AS c")
     products = ("a", "b", "c", "a * a", "a * b", "b * b", "a * c")
     sums = bent.groupBy("feature_idx").agg(

@@ -16,7 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadloom.functions.numeric import bin_index, finite_or_null
-from broadloom.session import materialize
+from broadloom.session import materialize, small_side
 
 GROUP_LIMIT = 1_000_000
 BINS = 1024
@@ -119,9 +119,10 @@ def _order_statistics(
     )
     state = materialize(state, "quantile-state")
     round_no = 0
-    while not state.filter("lo < hi").isEmpty():
+    while still_open := state.filter("lo < hi").count():
+        logarithmic = round_no % 2 == 1
         state = materialize(
-            _narrow(data, state, keys, bins, logarithmic=round_no % 2 == 1), "quantile-state"
+            _narrow(data, state, still_open, keys, bins, logarithmic), "quantile-state"
         )
         round_no += 1
     back = [F.col(k).alias(b) for b, k in zip(by, keys)]
@@ -134,7 +135,7 @@ def _scale_key(x, logarithmic: bool):
 
 
 def _narrow(
-    data: DataFrame, state: DataFrame, keys: list[str], bins: int, logarithmic: bool
+    data: DataFrame, state: DataFrame, still_open: int, keys: list[str], bins: int, logarithmic: bool
 ) -> DataFrame:
     interval = [*keys, "lo", "hi"]
     opened = state.filter("lo < hi")
@@ -143,7 +144,7 @@ def _narrow(
     # Where the map flattens an interval, everything stays in bin 0 for this round.
     bin_of = F.when(lo < hi, bin_index(x, lo, hi, bins)).otherwise(F.lit(0))
     counted = (
-        data.join(wanted, keys)
+        data.join(small_side(wanted, still_open), keys)
         .filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
         .withColumn("bin", bin_of)
         .groupBy(*interval, "bin")

@@ -25,7 +25,7 @@ from broadloom.operators.matrix import from_long, to_long
 from broadloom.operators.power import EPS, fit_exponents
 from broadloom.operators.quantiles import GROUP_LIMIT, quantiles, references
 from broadloom.operators.stats import moments, value_counts
-from broadloom.session import materialize
+from broadloom.session import materialize, small_side
 
 # Scaler kinds in the order they are compared.
 KINDS = ("standard", "robust", "power", "maxabs", "minmax", "quantile", "minmax_scale")
@@ -39,7 +39,7 @@ PARAMS_SCHEMA = (
 # Fixed value: most quantiles kept per feature.
 MAX_QUANTILES = 1000
 # Parameters above this many doubles are joined instead of being held per task.
-INLINE_LIMIT = 8_000_000
+INLINE_LIMIT = 4_000_000
 
 
 def _check(kinds: Sequence[str]) -> None:
@@ -237,7 +237,8 @@ def transform(
 
 def transform_long(long: DataFrame, params: DataFrame, kind: str) -> DataFrame:
     """Scale ``value`` of the long form by a join on the feature; not for ``quantile``."""
-    joined = long.join(params.select("feature_idx", "center", "scale", "lambda"), "feature_idx")
+    narrow = params.select("feature_idx", "center", "scale", "lambda")
+    joined = long.join(small_side(narrow, narrow.count()), "feature_idx")
     scaled = apply_value(kind, F.col("value"), F.col("center"), F.col("scale"), F.col("lambda"))
     return joined.withColumn("value", scaled).drop("center", "scale", "lambda")
 

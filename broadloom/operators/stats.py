@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from broadloom.functions.numeric import bin_edge, bin_index, bin_range, finite_or_null
 from broadloom.operators.matrix import to_long
 from broadloom.operators.quantiles import quantiles
+from broadloom.session import materialize, small_side
 
 
 def moments(
@@ -61,6 +62,7 @@ def histogram(
 
     Bins cover the smallest to the largest value, the last bin is closed, empty
     bins are kept, and a single-valued group is widened by half a unit per side.
+    ``df`` is read twice: once for the ranges, which are stored, and once to count.
     """
     v = F.col("_v")
     keys = list(by) or ["_all"]
@@ -68,9 +70,10 @@ def histogram(
         *keys, finite_or_null(F.col(value)).alias("_v")
     ).filter(v.isNotNull())
     lo, hi = bin_range(F.min(v), F.max(v))
-    edges = data.groupBy(*keys).agg(lo.alias("lo"), hi.alias("hi"))
+    edges = materialize(data.groupBy(*keys).agg(lo.alias("lo"), hi.alias("hi")), "bin-ranges")
+    groups = edges.count()
     counted = (
-        data.join(edges, keys)
+        data.join(small_side(edges, groups), keys)
         .groupBy(*keys, bin_index(v, F.col("lo"), F.col("hi"), bins).alias("bin"))
         .agg(F.count("*").alias("count"))
     )
@@ -89,18 +92,22 @@ def box_stats(
 ) -> DataFrame:
     """Quartiles, whiskers at the furthest datum within 1.5 IQR, and outlier count."""
     data = df.select(*by, finite_or_null(F.col(value)).alias("_v")).filter("_v is not null")
-    quartiles = quantiles(data, "_v", [0.25, 0.5, 0.75], by, **options).select(
-        *by,
-        F.get("q", F.lit(0)).alias("q1"),
-        F.get("q", F.lit(1)).alias("median"),
-        F.get("q", F.lit(2)).alias("q3"),
+    found = quantiles(data, "_v", [0.25, 0.5, 0.75], by, **options)
+    quartiles = materialize(
+        found.select(
+            *by,
+            F.get("q", F.lit(0)).alias("q1"),
+            F.get("q", F.lit(1)).alias("median"),
+            F.get("q", F.lit(2)).alias("q3"),
+        ),
+        "quartiles",
     )
     reach = whisker * (F.col("q3") - F.col("q1"))
     inside = F.col("_v").between(F.col("q1") - reach, F.col("q3") + reach)
     # The quartiles ride along as aggregates: they are equal within a group.
     first = [F.first(c).alias(c) for c in ("q1", "median", "q3")]
     return (
-        data.join(quartiles, list(by))
+        data.join(small_side(quartiles, quartiles.count()), list(by))
         .groupBy(*by)
         .agg(
             F.count("*").alias("n"),

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 
 from broadloom.operators.scalers import KINDS, compare, scaled_stats
 from broadloom.operators.stats import histogram
+from broadloom.session import materialize
 from broadloom.sources.sinks import write_histograms
 
 # Fixed value: bins of the per-feature statistics.
@@ -22,8 +23,13 @@ def stat_histograms(stats: DataFrame, bins: int = BINS) -> DataFrame:
 def scaling_histograms(
     matrix: DataFrame, kinds: Sequence[str] = KINDS, bins: int = BINS, **options
 ) -> DataFrame:
-    """Histograms over the features of range, mean and deviation after each scaling."""
-    return stat_histograms(scaled_stats(matrix, kinds, **options), bins)
+    """Histograms over the features of range, mean and deviation after each scaling.
+
+    The statistics, a few rows per feature, are stored before they are binned: the
+    matrix is read for them only.
+    """
+    stats = materialize(scaled_stats(matrix, kinds, **options), "scaled-stats")
+    return stat_histograms(stats, bins)
 
 
 def analyse_scaling(

@@ -71,4 +71,5 @@ def error_histograms_of(per_feature: DataFrame, bins: int = ERROR_BINS) -> DataF
             ]
         )
     )
-    return histogram(per_feature.select("trial_id", tidy), "value", bins, ["trial_id", "stat"])
+    stored = materialize(per_feature.select("trial_id", tidy), "errors")
+    return histogram(stored, "value", bins, ["trial_id", "stat"])

@@ -11,7 +11,7 @@ from broadloom.plans.scaling import analyse_scaling, scaling_histograms, stat_hi
 from broadloom.plans.tuning import error_histograms_of
 from broadloom.queries import fixtures as fx
 from broadloom.queries.registry import query
-from broadloom.session import scratch_path
+from broadloom.session import materialize, scratch_path
 
 
 def _rounded(df, places, *columns):
@@ -288,7 +288,8 @@ def _linear_stats(spark, sf_dir):
 )
 def d22(spark, sf_dir):
     """Histograms of every feature statistic after each linear scaling."""
-    return _rounded(stat_histograms(_linear_stats(spark, sf_dir)), 10, "bin_start", "bin_end")
+    stats_table = materialize(_linear_stats(spark, sf_dir), "scaled-stats")
+    return _rounded(stat_histograms(stats_table), 10, "bin_start", "bin_end")
 
 
 @query("d22_scaling_histograms_all")

@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Kept as plain settings so that a cluster profile can override each of them.
 RECOMMENDED = {
@@ -60,3 +61,16 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     path = scratch_path(spark, name)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+# Rows of parameters or interval bounds (about 100 MB) that may go to every executor.
+BROADCAST_ROWS = 2_000_000
+
+
+def small_side(df: DataFrame, rows: int, limit: int = BROADCAST_ROWS) -> DataFrame:
+    """A join side of ``rows`` counted rows: broadcast up to ``limit``, else shuffled.
+
+    The row width must be bounded. The hint spares the large side a shuffle that the
+    optimizer would plan for a side whose size it can only guess.
+    """
+    return F.broadcast(df) if rows <= limit else df

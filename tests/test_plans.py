@@ -5,6 +5,10 @@ import re
 import pytest
 
 import __spark_entry__ as entry
+from broadloom.operators import matrix as m
+from broadloom.operators import scalers, stats
+from broadloom.queries import fixtures as fx
+from broadloom.session import small_side
 
 QUERIES = entry.queries()
 NATIVE = [n for n in QUERIES if not re.match(r"g0[1-7]|a11|b09|b10|b19|c06|d22_scaling_histograms_all", n)]
@@ -39,11 +43,25 @@ def test_scaling_shuffles_parameters_only(spark, sf_dir):
     assert "hashpartitioning" not in outside
 
 
-def test_flagship_scans_twice_and_reuses_its_shuffles(spark, sf_dir):
-    """One scan for the moments and one for the quartiles, whatever the scalers and bins."""
-    plan = plan_of(QUERIES["d22_scaling_histograms"](spark, sf_dir))
-    assert len(re.findall("FileScan", plan)) == 2
-    assert "ReusedExchange" in plan
+def test_all_linear_scalers_share_two_scans(spark, sf_dir):
+    """One scan for the moments and one for the quartiles, whatever the scalers."""
+    stats = scalers.scaled_stats(fx.matrix(spark, sf_dir), scalers.LINEAR)
+    assert len(re.findall("FileScan", plan_of(stats))) == 2
+
+
+def test_small_sides_spare_the_large_side_a_shuffle(spark, sf_dir):
+    """Counting into bins moves bin counts, never cells."""
+    cells = m.to_long(fx.line_matrix(spark, sf_dir))
+    plan = plan_of(stats.histogram(cells, "value", 10, ["feature_idx"]))
+    assert "SortMergeJoin" not in plan and "BroadcastHashJoin" in plan
+    before_scan = plan[: plan.index("lineitem")]
+    assert before_scan.rindex("HashAggregate") > before_scan.rindex("Exchange hashpartitioning")
+
+
+def test_counted_sides_above_the_limit_are_shuffled(spark):
+    df = spark.range(10)
+    assert small_side(df, 10, limit=9) is df
+    assert "broadcast" in small_side(df, 9, limit=9)._jdf.queryExecution().toString().lower()
 
 
 def test_projection_reaches_the_scan(spark, sf_dir):
