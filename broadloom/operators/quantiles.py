@@ -40,25 +40,34 @@ def quantiles(
     group_limit: int = GROUP_LIMIT,
     bins: int = BINS,
     name: str = "q",
+    weight: str | None = None,
 ) -> DataFrame:
     """``by..., <name> array<double>``: one entry per probability.
 
-    ``max_group`` is an upper bound on the values of any group, where the caller
-    knows one; otherwise it is counted. Nulls and NaN are skipped.
+    ``max_group`` is an upper bound on the rows of any group, where the caller knows
+    one; otherwise it is counted. Nulls and NaN are skipped. ``weight`` names a column
+    of counts: how often each row's value occurs.
     """
     if max_group is None:
         max_group = largest_group(df, value, by)
     cleaned = df.withColumn(value, finite_or_null(F.col(value)))
     if max_group <= group_limit:
-        return _of_bounded_groups(cleaned, value, probabilities, by, name)
-    return _by_narrowing(cleaned, value, probabilities, by, bins, name)
+        return _of_bounded_groups(cleaned, value, probabilities, by, name, weight)
+    return _by_narrowing(cleaned, value, probabilities, by, bins, name, weight)
 
 
 def _of_bounded_groups(
-    df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str], name: str
+    df: DataFrame,
+    value: str,
+    probabilities: Sequence[float],
+    by: Sequence[str],
+    name: str,
+    weight: str | None,
 ) -> DataFrame:
     """Quantiles of groups that are known to fit a task."""
     levels = F.lit(np.array(probabilities, dtype=float))
+    if weight is not None:
+        return df.groupBy(*by).agg(F.percentile(value, levels, F.col(weight)).alias(name))
     if len(probabilities) <= FEW:
         # Keeps each distinct value once, but searches anew for every probability.
         return df.groupBy(*by).agg(F.percentile(value, levels).alias(name))
@@ -75,9 +84,16 @@ def _of_bounded_groups(
 
 
 def _by_narrowing(
-    df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str], bins: int, name: str
+    df: DataFrame,
+    value: str,
+    probabilities: Sequence[float],
+    by: Sequence[str],
+    bins: int,
+    name: str,
+    weight: str | None,
 ) -> DataFrame:
-    found = _order_statistics(df, value, probabilities, by, bins)
+    counts = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    found = _order_statistics(df.withColumn("_w", counts), value, probabilities, by, bins)
     # Position p * (n - 1) lies between two neighbouring order statistics.
     lower, upper = F.col("at_lower"), F.col("at_upper")
     weight = F.col("position") - F.floor("position")
@@ -98,17 +114,20 @@ def _by_narrowing(
 def _order_statistics(
     df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str], bins: int
 ) -> DataFrame:
-    """Rows ``by..., slot, position, rank, lo`` with ``lo`` the value at 0-based ``rank``."""
+    """Rows ``by..., slot, position, rank, lo`` with ``lo`` the value at 0-based ``rank``.
+
+    Column ``_w`` of the input says how often each value occurs.
+    """
     v = F.col(value)
     probs = F.lit(np.array(probabilities, dtype=float))
     position = F.col("p") * (F.col("n") - 1)
     # A constant key lets the grouped and the global case share one plan.
     keys = [f"_k{i}" for i in range(len(by))] or ["_k0"]
     renamed = [F.col(b).alias(k) for b, k in zip(by, keys)] or [F.lit(0).alias("_k0")]
-    data = df.filter(v.isNotNull()).select(*renamed, v.alias("v"))
+    data = df.filter(v.isNotNull()).select(*renamed, v.alias("v"), F.col("_w").alias("w"))
     state = (
         data.groupBy(*keys)
-        .agg(F.count("*").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
+        .agg(F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
         .select(*keys, "n", "lo", "hi", F.posexplode(probs).alias("slot", "p"))
         .withColumn("position", position)
         .withColumn(
@@ -148,7 +167,7 @@ def _narrow(
         .filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
         .withColumn("bin", bin_of)
         .groupBy(*interval, "bin")
-        .agg(F.count("*").alias("c"), F.min("v").alias("new_lo"), F.max("v").alias("new_hi"))
+        .agg(F.sum("w").alias("c"), F.min("v").alias("new_lo"), F.max("v").alias("new_hi"))
     )
     # At most ``bins`` rows per interval.
     running = Window.partitionBy(*interval).orderBy("bin")

@@ -24,7 +24,7 @@ from broadloom.operators.blocks import map_features
 from broadloom.operators.matrix import from_long, to_long
 from broadloom.operators.power import EPS, fit_exponents
 from broadloom.operators.quantiles import GROUP_LIMIT, quantiles, references
-from broadloom.operators.stats import moments, value_counts
+from broadloom.operators.stats import moments, value_counts, weighted_moments
 from broadloom.session import materialize, small_side
 
 # Scaler kinds in the order they are compared.
@@ -75,18 +75,34 @@ def _linear_rows(kinds: Sequence[str]) -> list[Column]:
 
 
 def linear_stats(
-    matrix: DataFrame, kinds: Sequence[str], *, rows: int | None = None, group_limit: int = GROUP_LIMIT
+    cells: DataFrame, kinds: Sequence[str], rows: int | None, group_limit: int
 ) -> DataFrame:
-    """Moments per feature, with the quartiles ``q`` where a scaler needs them."""
-    long = to_long(matrix)
-    stats = moments(long)
+    """Moments per feature, with the quartiles ``q`` where a scaler needs them.
+
+    ``cells`` is the long form, or value counts with a column ``w``.
+    """
+    weighted = "w" in cells.columns
+    stats = weighted_moments(cells) if weighted else moments(cells)
     if "robust" not in kinds:
         return stats
-    rows = matrix.count() if rows is None else rows
-    quartiles = quantiles(
-        long, "value", [0.25, 0.5, 0.75], ["feature_idx"], max_group=rows, group_limit=group_limit
+    return stats.join(_quantiles(cells, [0.25, 0.5, 0.75], rows, group_limit), "feature_idx")
+
+
+def _quantiles(
+    cells: DataFrame, levels: Sequence[float], rows: int | None, group_limit: int
+) -> DataFrame:
+    weight = "w" if "w" in cells.columns else None
+    return quantiles(
+        cells, "value", levels, ["feature_idx"],
+        # Of value counts the distinct values matter, which the function counts itself.
+        max_group=None if weight else rows, group_limit=group_limit, weight=weight,
     )
-    return stats.join(quartiles, "feature_idx")
+
+
+def _cells(matrix: DataFrame, compress: bool) -> DataFrame:
+    """The long form, or with ``compress`` its stored value counts."""
+    long = to_long(matrix)
+    return materialize(value_counts(long), "value-counts") if compress else long
 
 
 def fit(
@@ -100,25 +116,25 @@ def fit(
 ) -> DataFrame:
     """Fit one or several scalers; missing cells are skipped.
 
-    ``rows`` is the row count where known. ``compress`` first collapses repeated
-    values per feature, which pays off for count data. The linear kinds share one
-    scan; ``power`` runs a few rounds and cuts its lineage between them.
+    ``rows`` is the row count where known. ``compress`` first stores how often each
+    feature has each value and fits from that: one scan in all, and little else to read
+    where values repeat, as in counts. The linear kinds share a scan; ``power`` runs a
+    few rounds and cuts its lineage between them.
     """
     kinds = [kinds] if isinstance(kinds, str) else list(kinds)
     _check(kinds)
     if rows is None and ("robust" in kinds or "quantile" in kinds):
         rows = matrix.count()
+    cells = _cells(matrix, compress)
     parts = []
     linear = [k for k in kinds if k in LINEAR]
     if linear:
-        stats = linear_stats(matrix, linear, rows=rows, group_limit=group_limit)
-        parts.append(
-            stats.select("feature_idx", F.inline(F.array(*_linear_rows(linear))))
-        )
+        stats = linear_stats(cells, linear, rows, group_limit)
+        parts.append(stats.select("feature_idx", F.inline(F.array(*_linear_rows(linear)))))
     if "power" in kinds:
-        parts.append(_fit_power(matrix, compress))
+        parts.append(_fit_power(cells))
     if "quantile" in kinds:
-        parts.append(_fit_quantile(matrix, rows, group_limit, max_quantiles))
+        parts.append(_fit_quantile(cells, rows, group_limit, max_quantiles))
     columns = [c.split()[0] for c in PARAMS_SCHEMA.split(", ")]
     result = parts[0].select(*columns)
     for part in parts[1:]:
@@ -126,19 +142,19 @@ def fit(
     return result
 
 
-def _weighted_cells(matrix: DataFrame, compress: bool) -> DataFrame:
-    long = to_long(matrix)
-    if compress:
-        return materialize(value_counts(long), "value-counts")
+def _weighted(cells: DataFrame) -> DataFrame:
+    """Cells without nulls and with a weight of one where they are not counted yet."""
+    if "w" in cells.columns:
+        return cells
     return (
-        long.select("feature_idx", finite_or_null(F.col("value")).alias("value"))
+        cells.select("feature_idx", finite_or_null(F.col("value")).alias("value"))
         .filter("value is not null")
         .withColumn("w", F.lit(1).cast("long"))
     )
 
 
-def _fit_power(matrix: DataFrame, compress: bool) -> DataFrame:
-    fitted = fit_exponents(_weighted_cells(matrix, compress))
+def _fit_power(cells: DataFrame) -> DataFrame:
+    fitted = fit_exponents(_weighted(cells))
     return fitted.select(
         F.lit("power").alias("scaler"),
         F.lit("power").alias("kind"),
@@ -151,12 +167,10 @@ def _fit_power(matrix: DataFrame, compress: bool) -> DataFrame:
 
 
 def _fit_quantile(
-    matrix: DataFrame, rows: int, group_limit: int, max_quantiles: int
+    cells: DataFrame, rows: int, group_limit: int, max_quantiles: int = MAX_QUANTILES
 ) -> DataFrame:
     levels = references(max(1, min(max_quantiles, rows)))
-    found = quantiles(
-        to_long(matrix), "value", levels, ["feature_idx"], max_group=rows, group_limit=group_limit
-    )
+    found = _quantiles(cells, levels, rows, group_limit)
     return found.select(
         F.lit("quantile").alias("scaler"),
         F.lit("quantile").alias("kind"),
@@ -292,11 +306,12 @@ def scaled_stats(
     _check(kinds)
     if rows is None and ("robust" in kinds or "quantile" in kinds):
         rows = matrix.count()
+    cells = _cells(matrix, compress)
     parts = []
     linear = [k for k in kinds if k in LINEAR]
     lo, hi, mean, var = (F.col(c) for c in ("vmin", "vmax", "mean", "var"))
     if linear:
-        stats = linear_stats(matrix, linear, rows=rows, group_limit=group_limit)
+        stats = linear_stats(cells, linear, rows, group_limit)
         parts.append(
             stats.select(
                 "feature_idx", "vmin", "vmax", "mean", "var",
@@ -310,9 +325,11 @@ def scaled_stats(
             )
         )
     if "power" in kinds:
-        cells = _weighted_cells(matrix, compress)
-        fitted = fit_exponents(cells)
-        ends = cells.groupBy("feature_idx").agg(F.min("value").alias("vmin"), F.max("value").alias("vmax"))
+        weighted = _weighted(cells)
+        fitted = fit_exponents(weighted)
+        ends = weighted.groupBy("feature_idx").agg(
+            F.min("value").alias("vmin"), F.max("value").alias("vmax")
+        )
         scale = safe_scale(F.col("scale"))
         spread = yeo_johnson(hi, F.col("lambda")) - yeo_johnson(lo, F.col("lambda"))
         parts.append(
@@ -325,7 +342,7 @@ def scaled_stats(
             )
         )
     if "quantile" in kinds:
-        params = materialize(_fit_quantile(matrix, rows, group_limit, MAX_QUANTILES), "quantiles")
+        params = materialize(_fit_quantile(cells, rows, group_limit), "quantiles")
         if params_size(params) > inline_limit:
             blocks = blocked.quantile_blocks(matrix, params, keys)
             scored = moments(blocked.long_blocks(blocks))

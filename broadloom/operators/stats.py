@@ -35,6 +35,32 @@ def moments(
     )
 
 
+def weighted_moments(cells: DataFrame) -> DataFrame:
+    """The same from ``feature_idx, value, w`` rows without nulls.
+
+    The variance is taken around the stored means: no digits are lost to large means.
+    """
+    v, w = F.col("value"), F.col("w")
+    means = materialize(
+        cells.groupBy("feature_idx").agg(
+            F.sum(w).alias("n"),
+            (F.sum(v * w) / F.sum(w)).alias("mean"),
+            F.min(v).alias("vmin"),
+            F.max(v).alias("vmax"),
+            F.max(F.abs(v)).alias("max_abs"),
+        ),
+        "means",
+    )
+    gap = v - F.col("mean")
+    kept = ("n", "mean", "vmin", "vmax", "max_abs")
+    return (
+        cells.join(small_side(means, means.count()), "feature_idx")
+        .groupBy("feature_idx", *kept)
+        .agg((F.sum(w * gap * gap) / F.col("n")).alias("var"))
+        .select("feature_idx", "n", "mean", "var", "vmin", "vmax", "max_abs")
+    )
+
+
 def feature_stats(matrix: DataFrame) -> DataFrame:
     """``feature_idx, range, mean, std`` over the rows of a matrix."""
     return moments(to_long(matrix)).select(

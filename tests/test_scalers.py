@@ -84,6 +84,25 @@ def test_zero_stays_zero(matrix_of):
     assert scaled(matrix_of([[0, 0], [4, -2], [2, 0]]), "maxabs") == [[0, 0], [1, -1], [0.5, 0]]
 
 
+@pytest.mark.parametrize("limit", [10**6, 3])
+def test_value_counts_give_the_same_fit(matrix_of, limit):
+    rng = np.random.default_rng(11)
+    data = np.column_stack([rng.poisson(1, 300), rng.poisson(30, 300) * 1e6, np.full(300, 2), rng.normal(size=300)])
+    rows = data.tolist()
+    rows[5][0], rows[6][1] = None, float("nan")
+    matrix = matrix_of(rows)
+    kinds = ["standard", "robust", "maxabs", "minmax", "quantile"]
+    key = lambda r: (r["scaler"], r["feature_idx"])
+    plain = {key(r): r for r in scalers.fit(matrix, kinds).collect()}
+    counted = {key(r): r for r in scalers.fit(matrix, kinds, compress=True, group_limit=limit).collect()}
+    assert plain.keys() == counted.keys() and len(plain) == 20
+    for at, r in plain.items():
+        assert counted[at]["center"] == pytest.approx(r["center"], rel=1e-12)
+        assert counted[at]["scale"] == pytest.approx(r["scale"], rel=1e-12)
+        if r["quantiles"] is not None:
+            np.testing.assert_allclose(counted[at]["quantiles"], r["quantiles"], rtol=1e-12)
+
+
 # --- power ----------------------------------------------------------------
 
 
