@@ -59,7 +59,11 @@ def a02(spark, sf_dir):
     return counted.select("table_rows", listed)
 
 
-@query("a03_prefix_schema")
+@query(
+    "a03_prefix_schema",
+    f"""WITH {fx.NULL_CELLS} SELECT CAST(feature_idx AS INTEGER) AS feature_idx, 'f' || feature_idx AS feature_name,
+       'double' AS dtype, 'double' AS prefix_dtype FROM nulled GROUP BY feature_idx HAVING count(x) > 0""",
+)
 def a03(spark, sf_dir):
     path = _csv(spark, sf_dir)
     guessed = tables.sample_schema(spark, path)

@@ -54,20 +54,20 @@ def _grid_level(n: int, center: str, width: float) -> str:
   SELECT feature_idx, x, {center} + (s.s - 10) * {width} / 10 AS lam FROM {source}
   CROSS JOIN (SELECT unnest(range(0, 21)) AS s) s),
 lik{n} AS (
-  SELECT feature_idx, lam, -count(*) / 2.0 * ln(var_pop({_yj('x', 'lam')}))
+  SELECT feature_idx, lam, -count(*) / 2.0 * ln(var_pop({yj_sql('x', 'lam')}))
          + (lam - 1) * sum(sign(x) * ln(1 + abs(x))) AS ll
   FROM cand{n} GROUP BY feature_idx, lam),
 best{n} AS (SELECT feature_idx, arg_max(lam, ll) AS lam FROM lik{n} GROUP BY feature_idx)"""
 
 
-def _yj(x: str, lam: str) -> str:
+def yj_sql(x: str, lam: str) -> str:
     return f"""CASE WHEN {x} >= 0 THEN
       CASE WHEN abs({lam}) < 1e-9 THEN ln(1 + {x}) ELSE (pow(1 + {x}, {lam}) - 1) / {lam} END
     ELSE CASE WHEN abs(2 - {lam}) < 1e-9 THEN -ln(1 - {x})
       ELSE -(pow(1 - {x}, 2 - {lam}) - 1) / (2 - {lam}) END END"""
 
 
-def _exponents(points: str, levels: int = 6, width: float = 3.0) -> str:
+def exponents_sql(points: str, levels: int = 9, width: float = 3.0) -> str:
     ctes = [f"points AS ({points})", _grid_level(0, "1.0", width)]
     for n in range(1, levels):
         width /= 8
@@ -77,29 +77,29 @@ def _exponents(points: str, levels: int = 6, width: float = 3.0) -> str:
 
 @query(
     "c03_power_exponents",
-    f"""WITH {fx.LINE_CELLS}, {_exponents('SELECT feature_idx, x FROM line_cells')}
-SELECT CAST(feature_idx AS INTEGER) AS feature_idx, round(lam, 2) AS lam FROM lambdas""",
+    f"""WITH {fx.LINE_CELLS}, {exponents_sql('SELECT feature_idx, x FROM line_cells')}
+SELECT CAST(feature_idx AS INTEGER) AS feature_idx, round(lam, 5) AS lam FROM lambdas""",
 )
 def c03_line(spark, sf_dir):
     """Few distinct values per feature: repeated cells are collapsed first."""
     fitted = scalers.fit(fx.line_matrix(spark, sf_dir), "power", compress=True)
-    return fitted.select("feature_idx", F.round("lambda", 2).alias("lam"))
+    return fitted.select("feature_idx", F.round("lambda", 5).alias("lam"))
 
 
 @query(
     "c03_power_fit",
-    f"""WITH {fx.CELLS}, {_exponents('SELECT feature_idx, x FROM cells')}
-SELECT CAST(feature_idx AS INTEGER) AS feature_idx, round(lam, 2) AS lam FROM lambdas""",
+    f"""WITH {fx.CELLS}, {exponents_sql('SELECT feature_idx, x FROM cells')}
+SELECT CAST(feature_idx AS INTEGER) AS feature_idx, round(lam, 5) AS lam FROM lambdas""",
 )
 def c03_fit(spark, sf_dir):
     fitted = scalers.fit(fx.matrix(spark, sf_dir), "power")
-    return fitted.select("feature_idx", F.round("lambda", 2).alias("lam"))
+    return fitted.select("feature_idx", F.round("lambda", 5).alias("lam"))
 
 
 @query(
     "c03_power_transform",
     f"""WITH {fx.CELLS}, bent AS (
-  SELECT row_id, feature_idx, {_yj('x', 'lam')} AS y
+  SELECT row_id, feature_idx, {yj_sql('x', 'lam')} AS y
   FROM (SELECT *, feature_idx % 9 / 2.0 - 1 AS lam FROM cells)),
 params AS (SELECT feature_idx, avg(y) AS c, stddev_pop(y) AS s FROM bent GROUP BY feature_idx)
 SELECT row_id, CAST(feature_idx AS INTEGER) AS feature_idx, round((y - c) / s, 8) + 0.0 AS value
@@ -135,9 +135,9 @@ def c05(spark, sf_dir):
 
 # The quantiles by linear interpolation of the sorted values, then the rank of each cell:
 # the middle of a run of equal quantiles, else the share of the way to the next one.
-_UNIFORM = f"""WITH {fx.CONST_CELLS}, sorted AS (
+_RANKS = """sorted AS (
   SELECT feature_idx, list_sort(list(x)) AS xs, count(*) AS n, least(count(*), 1000) AS nq
-  FROM with_const GROUP BY feature_idx),
+  FROM {cells} GROUP BY feature_idx),
 quants AS (
   SELECT feature_idx, nq, list_transform(range(0, nq), lambda s:
     xs[CAST(floor(s * (n - 1) / (nq - 1)) AS BIGINT) + 1]
@@ -158,8 +158,9 @@ scored AS (
   SELECT c.row_id, c.feature_idx, c.x, e.lo, e.hi, q.nq,
          CASE WHEN c.x = s.v THEN (s.first_pos + s.last_pos) / 2.0 / (q.nq - 1)
               ELSE (s.last_pos + (c.x - s.v) / (s.next_v - s.v)) / (q.nq - 1) END AS rank
-  FROM with_const c ASOF JOIN steps s ON c.feature_idx = s.feature_idx AND c.x >= s.v
+  FROM {cells} c ASOF JOIN steps s ON c.feature_idx = s.feature_idx AND c.x >= s.v
   JOIN ends e ON e.feature_idx = c.feature_idx JOIN quants q ON q.feature_idx = c.feature_idx)"""
+_UNIFORM = f"WITH {fx.CONST_CELLS}, {_RANKS.format(cells='with_const')}"
 
 
 @query(
@@ -193,7 +194,7 @@ def _poly(coefficients, r: str) -> str:
     return text
 
 
-def _probit(u: str) -> str:
+def probit_sql(u: str) -> str:
     low, high = nm.PROBIT_MARGIN, 1.0 - nm.PROBIT_MARGIN
     u = f"greatest({low!r}::DOUBLE, least({u}, {high!r}::DOUBLE))"
     q, tail = f"({u} - 0.5)", f"sqrt(-ln(least({u}, 1.0::DOUBLE - {u})))"
@@ -205,13 +206,21 @@ def _probit(u: str) -> str:
     ELSE sign({q}) * {_poly(nm._TAIL_NUM, far)} / {_poly(nm._TAIL_DEN, far)} END"""
 
 
+_SCORES = """scores AS (
+  SELECT row_id, feature_idx, CASE WHEN x - 1e-7 < lo THEN 0.0::DOUBLE
+         WHEN x + 1e-7 > hi THEN 1.0::DOUBLE ELSE rank::DOUBLE END AS u FROM scored)"""
+
+
+def scores_sql(cells: str) -> str:
+    """CTEs up to ``scores(row_id, feature_idx, u)`` for the cells of one CTE."""
+    return f"{_RANKS.format(cells=cells)}, {_SCORES}"
+
+
 @query(
     "c06_quantile_normal",
     _UNIFORM
-    + f""", scores AS (
-  SELECT row_id, feature_idx, CASE WHEN x - 1e-7 < lo THEN 0.0::DOUBLE
-         WHEN x + 1e-7 > hi THEN 1.0::DOUBLE ELSE rank::DOUBLE END AS u FROM scored)
-SELECT row_id, CAST(feature_idx AS INTEGER) AS feature_idx, round({_probit('u')}, 6) + 0.0 AS value
+    + f""", {_SCORES}
+SELECT row_id, CAST(feature_idx AS INTEGER) AS feature_idx, round({probit_sql('u')}, 6) + 0.0 AS value
 FROM scores""",
 )
 def c06_normal(spark, sf_dir):

@@ -7,10 +7,11 @@ from pyspark.sql import functions as F
 from broadloom.operators import matrix as m
 from broadloom.operators import metrics, scalers, stats
 from broadloom.operators.quantiles import quantiles
-from broadloom.plans.scaling import analyse_scaling, scaling_histograms, stat_histograms
+from broadloom.plans.scaling import analyse_scaling, stat_histograms
 from broadloom.plans.tuning import error_histograms_of
 from broadloom.queries import fixtures as fx
 from broadloom.queries.registry import query
+from broadloom.queries.scaler_queries import exponents_sql, probit_sql, scores_sql, yj_sql
 from broadloom.session import materialize, scratch_path
 
 
@@ -292,10 +293,34 @@ def d22(spark, sf_dir):
     return _rounded(stat_histograms(stats_table), 10, "bin_start", "bin_end")
 
 
-@query("d22_scaling_histograms_all")
+_ALL_STATS = f"""{_SCALED_STATS},
+{exponents_sql('SELECT feature_idx, x FROM cells')},
+bent AS (SELECT feature_idx, {yj_sql('x', 'lam')} AS y FROM cells JOIN lambdas USING (feature_idx)),
+power_stats AS (
+  SELECT 'power' AS scaler, feature_idx, (max(y) - min(y)) / stddev_pop(y) AS range, 0.0 AS mean, 1.0 AS std
+  FROM bent GROUP BY feature_idx),
+{scores_sql('cells')},
+normal AS (SELECT feature_idx, {probit_sql('u')} AS z FROM scores),
+quantile_stats AS (
+  SELECT 'quantile' AS scaler, feature_idx, max(z) - min(z) AS range, avg(z) AS mean, stddev_pop(z) AS std
+  FROM normal GROUP BY feature_idx),
+every AS (
+  SELECT * FROM stats UNION ALL SELECT * FROM power_stats UNION ALL SELECT * FROM quantile_stats),
+tidy_all AS (
+  SELECT scaler, 'range' AS stat, round(range, 5) + 0.0 AS v FROM every
+  UNION ALL SELECT scaler, 'mean', round(mean, 5) + 0.0 FROM every
+  UNION ALL SELECT scaler, 'std', round(std, 5) + 0.0 FROM every)"""
+
+
+@query(
+    "d22_scaling_histograms_all",
+    f"WITH {_ALL_STATS}, " + histogram_sql("tidy_all", "scaler, stat", 300, 7),
+)
 def d22_all(spark, sf_dir):
     """The same for all seven scalings."""
-    return scaling_histograms(fx.matrix(spark, sf_dir))
+    found = _rounded(scalers.scaled_stats(fx.matrix(spark, sf_dir)), 5, "value")
+    stored = materialize(found, "scaled-stats")
+    return _rounded(stat_histograms(stored), 7, "bin_start", "bin_end")
 
 
 @query(

@@ -365,42 +365,65 @@ def a12_model(spark, sf_dir):
     return spark.read.parquet(path).select("key", "section", "metric", timing.alias("value"))
 
 
-@query(
-    "a12_tuning_summary",
-    f"""WITH {fx.TRIALS}, lv AS ({_group_sql('timed', ('encoding_dim', 'num_layers'))}),
-best AS ({_BEST}), o AS (SELECT count(*) AS n, min(mse) AS a, max(mse) AS b, min(r2_score) AS c, max(r2_score) AS d,
-  min(improvement_ratio) AS e, max(improvement_ratio) AS f FROM timed)
-SELECT section, key, metric, round(value, 8) + 0.0 AS value FROM (
-SELECT 'overall' AS section, 'all' AS key, 'models' AS metric, CAST(n AS DOUBLE) AS value FROM o
-UNION ALL SELECT 'overall', 'all', 'mse_min', a FROM o UNION ALL SELECT 'overall', 'all', 'mse_max', b FROM o
-UNION ALL SELECT 'overall', 'all', 'r2_min', c FROM o UNION ALL SELECT 'overall', 'all', 'r2_max', d FROM o
-UNION ALL SELECT 'overall', 'all', 'improvement_min', e FROM o
-UNION ALL SELECT 'overall', 'all', 'improvement_max', f FROM o
-UNION ALL SELECT criterion, CAST(trial_id AS VARCHAR), 'encoding_dim', encoding_dim FROM best
-UNION ALL SELECT criterion, CAST(trial_id AS VARCHAR), 'layer_config', NULL FROM best
-UNION ALL SELECT criterion, CAST(trial_id AS VARCHAR), 'mse', mse FROM best
-UNION ALL SELECT criterion, CAST(trial_id AS VARCHAR), 'r2', r2_score FROM best WHERE criterion <> 'fastest_convergence'
-UNION ALL SELECT criterion, CAST(trial_id AS VARCHAR), 'improvement', improvement_ratio FROM best
-  WHERE criterion <> 'fastest_convergence'
-UNION ALL SELECT criterion, CAST(trial_id AS VARCHAR), 'best_epoch', best_epoch
-  FROM best JOIN timed USING (trial_id) WHERE criterion = 'fastest_convergence'
-UNION ALL SELECT criterion, CAST(trial_id AS VARCHAR), 'total_epochs', total_epochs
-  FROM best JOIN timed USING (trial_id) WHERE criterion = 'fastest_convergence'
-UNION ALL SELECT criterion, CAST(trial_id AS VARCHAR), 'training_time', round(total_training_time, 9)
-  FROM best JOIN timed USING (trial_id) WHERE criterion = 'fastest_convergence'
-UNION ALL SELECT 'by_' || parameter, CAST(CAST(level AS INTEGER) AS VARCHAR) || '.0', 'count', count FROM lv
-UNION ALL SELECT 'by_' || parameter, CAST(CAST(level AS INTEGER) AS VARCHAR) || '.0', 'avg_mse', avg_mse FROM lv
-UNION ALL SELECT 'by_' || parameter, CAST(CAST(level AS INTEGER) AS VARCHAR) || '.0', 'avg_r2', avg_r2 FROM lv
-UNION ALL SELECT 'by_' || parameter, CAST(CAST(level AS INTEGER) AS VARCHAR) || '.0', 'best_mse', best_mse FROM lv) t""",
-)
+def _summary_sql(table: str, refined: bool) -> str:
+    """The tuning summary as SQL: overall, best trials, levels."""
+    parameters = trials.HYPER_PARAMETERS if refined else ("encoding_dim", "num_layers")
+    criteria = [c for c in trials.CRITERIA if not refined or c[0] != "best_improvement"]
+    settings = ("learning_rate", "batch_size", "dropout_rate") if refined else ()
+    parts = [
+        f"SELECT 'overall' AS section, 'all' AS key, '{name}' AS metric, CAST({value} AS DOUBLE) AS value FROM {table}"
+        for name, value in (
+            ("models", "count(*)"), ("mse_min", "min(mse)"), ("mse_max", "max(mse)"),
+            ("r2_min", "min(r2_score)"), ("r2_max", "max(r2_score)"),
+            ("improvement_min", "min(improvement_ratio)"), ("improvement_max", "max(improvement_ratio)"),
+        )
+    ]
+    quality = (("mse", "mse"), ("r2", "r2_score"), ("improvement", "improvement_ratio"))
+    speed = (
+        ("best_epoch", "best_epoch"), ("total_epochs", "total_epochs"), ("mse", "mse"),
+        ("training_time", "total_training_time"),
+    )
+    for name, metric, largest in criteria:
+        row = f"""(SELECT * FROM {table} WHERE {metric} IS NOT NULL
+          ORDER BY {metric} {'DESC' if largest else ''}, trial_id LIMIT 1)"""
+        columns = [("encoding_dim", "encoding_dim"), ("layer_config", "NULL"), *((c, c) for c in settings)]
+        columns += speed if name == "fastest_convergence" else quality
+        parts += [
+            f"SELECT '{name}', CAST(trial_id AS VARCHAR), '{m}', CAST({c} AS DOUBLE) FROM {row}"
+            for m, c in columns
+        ]
+    for p in parameters:
+        parts += [
+            f"SELECT 'by_{p}', CAST(CAST({p} AS DOUBLE) AS VARCHAR), '{m}', CAST({c} AS DOUBLE) FROM {table} GROUP BY {p}"
+            for m, c in (
+                ("count", "count(*)"), ("avg_mse", "round(avg(mse), 12)"),
+                ("avg_r2", "round(avg(r2_score), 8)"), ("best_mse", "min(mse)"),
+            )
+        ]
+    return " UNION ALL ".join(parts)
+
+
+def _keyed(found):
+    """Level keys as plain numbers, values rounded."""
+    level = F.col("section").startswith("by_")
+    key = F.when(level, F.col("key").cast("double").cast("decimal(18,6)").cast("string")).otherwise(F.col("key"))
+    return found.select("section", key.alias("key"), "metric", (F.round("value", 8) + 0.0).alias("value"))
+
+
+def _keyed_sql(body: str) -> str:
+    return f"""SELECT section, CASE WHEN section LIKE 'by\\_%' ESCAPE '\\'
+       THEN CAST(CAST(key AS DECIMAL(18, 6)) AS VARCHAR) ELSE key END AS key,
+       metric, round(value, 8) + 0.0 AS value FROM ({body}) t"""
+
+
+@query("a12_tuning_summary", f"WITH {fx.TRIALS} {_keyed_sql(_summary_sql('timed', False))}")
 def a12_tuning(spark, sf_dir):
-    found = report.tuning_summary(fx.trial_table(spark, sf_dir))
-    return found.select("section", "key", "metric", (F.round("value", 8) + 0.0).alias("value"))
+    return _keyed(report.tuning_summary(fx.trial_table(spark, sf_dir)))
 
 
-@query("a12_refined_summary")
+@query("a12_refined_summary", f"WITH {fx.REFINED} {_keyed_sql(_summary_sql('refined', True))}")
 def a12_refined(spark, sf_dir):
-    return report.tuning_summary(fx.refined_table(spark, sf_dir), refined=True)
+    return _keyed(report.tuning_summary(fx.refined_table(spark, sf_dir), refined=True))
 
 
 @query(
@@ -452,9 +475,37 @@ def e11(spark, sf_dir):
     return found.select("section", "key", "metric", rounded.alias("value"))
 
 
-@query("e11_recommendations_original")
+@query(
+    "e11_recommendations_original",
+    f"""WITH {fx.TRIALS}, bal AS {_BALANCED.format(t='timed')}, fast AS {_FASTEST.format(t='timed')},
+top AS (SELECT * FROM timed ORDER BY mse, trial_id LIMIT 1),
+good AS (SELECT * FROM timed ORDER BY r2_score DESC, trial_id LIMIT 1),
+g AS ({_group_sql('timed', ('encoding_dim', 'num_layers'))}),
+impact AS (SELECT parameter, arg_min(level, {{'a': avg_mse, 'l': level}}) AS b,
+  arg_max(level, {{'a': avg_mse, 'l': level}}) AS w FROM g GROUP BY parameter),
+c AS (SELECT corr(total_training_time, num_layers) > 0.5 AS l, corr(total_training_time, encoding_dim) > 0.5 AS d FROM timed),
+picked AS (SELECT 'overall' AS section, * FROM top UNION ALL SELECT 'balanced', * FROM bal
+  UNION ALL SELECT 'fastest_usable', * FROM fast)
+SELECT section, CAST(trial_id AS VARCHAR) AS key, 'encoding_dim' AS metric, CAST(encoding_dim AS VARCHAR) AS text FROM picked
+UNION ALL SELECT section, CAST(trial_id AS VARCHAR), 'layer_config',
+  '[' || array_to_string(layer_config, ', ') || ']' FROM picked
+UNION ALL SELECT section, CAST(trial_id AS VARCHAR), 'mse', printf('%.6f', mse) FROM picked
+UNION ALL SELECT 'overall', CAST(trial_id AS VARCHAR), 'r2', printf('%.6f', r2_score) FROM top
+UNION ALL SELECT 'overall', CAST(t.trial_id AS VARCHAR), 'verdict', CASE WHEN t.encoding_dim = s.encoding_dim
+  AND t.num_layers = s.num_layers THEN 'optimal for both mse and r2' ELSE 'lowest mse' END FROM top t, good s
+UNION ALL SELECT section, CAST(trial_id AS VARCHAR), 'training_time', printf('%.2f seconds', total_training_time)
+  FROM picked WHERE section <> 'overall'
+UNION ALL SELECT 'balanced', NULL, 'none', 'no configuration found' WHERE (SELECT count(*) FROM bal) = 0
+UNION ALL SELECT 'fastest_usable', NULL, 'none', 'no configuration found' WHERE (SELECT count(*) FROM fast) = 0
+UNION ALL SELECT 'impact', parameter, 'best_level', CAST(b AS VARCHAR) FROM impact
+UNION ALL SELECT 'impact', parameter, 'worst_level', CAST(w AS VARCHAR) FROM impact
+UNION ALL SELECT 'training_time', 'all', 'grows_with_layers', CAST(l AS VARCHAR) FROM c
+UNION ALL SELECT 'training_time', 'all', 'grows_with_dim', CAST(d AS VARCHAR) FROM c""",
+)
 def e11_original(spark, sf_dir):
-    return report.recommendations(fx.trial_table(spark, sf_dir))
+    """The texts of the report, number formats included."""
+    found = report.recommendations(fx.trial_table(spark, sf_dir))
+    return found.select("section", "key", "metric", "text")
 
 
 @query(
