@@ -1,10 +1,11 @@
-"""Exact linear-interpolated quantiles per group, without holding a group in one task.
+"""Exact linear-interpolated quantiles per group, without an unbounded group in a task.
 
-Small groups use Spark's ``percentile``. When a group may exceed ``group_limit``
-values, the wanted order statistics are found by narrowing: every round counts
-values per bin of the open intervals, keeps the bins that hold a wanted rank and
-shrinks them to the values they really contain. A round is one scan with map-side
-combined counts; the state is one row per group and rank.
+Groups known to be small are sorted as a list. When a group may exceed ``group_limit``
+rows, the wanted order statistics are found by narrowing. A sample of the values gives
+a narrow bracket around each wanted rank; one scan counts what lies between the
+brackets, so it is known, not assumed, which of them hold their rank. Brackets that are
+still too large are cut into bins and counted again. What is left of a bracket is then
+sorted as a list. The state is one row per group and rank; all else that moves is counts.
 """
 
 from __future__ import annotations
@@ -20,8 +21,11 @@ from broadloom.session import materialize, small_side
 
 GROUP_LIMIT = 1_000_000
 BINS = 1024
-# Up to this many probabilities ``percentile`` is the faster aggregate.
+# Up to this many probabilities are bracketed by a sample.
 FEW = 16
+# Fewest sampled values of the largest group, and half a bracket in standard errors.
+SAMPLE = 20_000
+SPREAD = 5.0
 
 
 def largest_group(df: DataFrame, value: str, by: Sequence[str] = ()) -> int:
@@ -53,7 +57,9 @@ def quantiles(
     cleaned = df.withColumn(value, finite_or_null(F.col(value)))
     if max_group <= group_limit:
         return _of_bounded_groups(cleaned, value, probabilities, by, name, weight)
-    return _by_narrowing(cleaned, value, probabilities, by, bins, name, weight)
+    return _by_narrowing(
+        cleaned, value, probabilities, by, bins, name, weight, max_group, group_limit
+    )
 
 
 def _of_bounded_groups(
@@ -68,9 +74,6 @@ def _of_bounded_groups(
     levels = F.lit(np.array(probabilities, dtype=float))
     if weight is not None:
         return df.groupBy(*by).agg(F.percentile(value, levels, F.col(weight)).alias(name))
-    if len(probabilities) <= FEW:
-        # Keeps each distinct value once, but searches anew for every probability.
-        return df.groupBy(*by).agg(F.percentile(value, levels).alias(name))
     ordered = df.groupBy(*by).agg(F.sort_array(F.collect_list(value)).alias("_ordered"))
 
     def between(p: Column) -> Column:
@@ -91,9 +94,13 @@ def _by_narrowing(
     bins: int,
     name: str,
     weight: str | None,
+    max_group: int,
+    group_limit: int,
 ) -> DataFrame:
     counts = F.lit(1).cast("bigint") if weight is None else F.col(weight)
-    found = _order_statistics(df.withColumn("_w", counts), value, probabilities, by, bins)
+    found = _order_statistics(
+        df.withColumn("_w", counts), value, probabilities, by, bins, weight is not None, max_group, group_limit
+    )
     # Position p * (n - 1) lies between two neighbouring order statistics.
     lower, upper = F.col("at_lower"), F.col("at_upper")
     weight = F.col("position") - F.floor("position")
@@ -112,7 +119,14 @@ def _by_narrowing(
 
 
 def _order_statistics(
-    df: DataFrame, value: str, probabilities: Sequence[float], by: Sequence[str], bins: int
+    df: DataFrame,
+    value: str,
+    probabilities: Sequence[float],
+    by: Sequence[str],
+    bins: int,
+    weighted: bool,
+    max_group: int,
+    group_limit: int,
 ) -> DataFrame:
     """Rows ``by..., slot, position, rank, lo`` with ``lo`` the value at 0-based ``rank``.
 
@@ -134,58 +148,118 @@ def _order_statistics(
             "rank", F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position"))))
         )
         .withColumn("below", F.lit(0).cast("long"))
-        .select(*keys, "slot", "position", "rank", "below", "lo", "hi")
+        .select(*keys, "slot", "position", "rank", "below", F.col("n").alias("inside"), "lo", "hi")
     )
     state = materialize(state, "quantile-state")
+    if len(probabilities) <= FEW and not weighted:
+        sampled = _sampled_edges(data, keys, probabilities, max_group, group_limit)
+        edges = materialize(sampled, "quantile-edges")
+        step = _narrow(data, state, _within_edges(edges, keys, 2 * len(probabilities)), keys)
+        state = materialize(step, "quantile-state")
     round_no = 0
-    while still_open := state.filter("lo < hi").count():
-        logarithmic = round_no % 2 == 1
-        state = materialize(
-            _narrow(data, state, still_open, keys, bins, logarithmic), "quantile-state"
-        )
+    while True:
+        left = state.filter("lo < hi").agg(F.count("*").alias("n"), F.max("inside").alias("m")).first()
+        if not left["n"]:
+            break
+        if left["m"] <= group_limit and not weighted:
+            step = _finish(data, state, left["n"], keys)
+        else:
+            step = _narrow(data, state, _within_bins(left["n"], keys, bins, round_no % 2 == 1), keys)
+        state = materialize(step, "quantile-state")
         round_no += 1
     back = [F.col(k).alias(b) for b, k in zip(by, keys)]
     return state.select(*back, "slot", "position", "rank", "lo")
 
 
+def _sampled_edges(
+    data: DataFrame, keys: list[str], probabilities: Sequence[float], max_group: int, group_limit: int
+) -> DataFrame:
+    """``keys..., edges``: sorted values that bracket each probability in a sample.
+
+    They only steer the next scan; a bracket that misses its rank costs a round. The
+    sample is large enough for a bracket to end up below the limit, if it can be.
+    """
+    needed = (SPREAD * max_group / max(group_limit, 1)) ** 2
+    share = min(1.0, max(SAMPLE, min(needed, group_limit)) / max(max_group, 1))
+    values = data.sample(share, 0).groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("s"))
+    size = F.size("s")
+    found = []
+    for p in probabilities:
+        error = F.lit(SPREAD) * F.sqrt(F.lit(p * (1 - p)) / size) + F.lit(1.0) / size
+        for at in (F.lit(p) - error, F.lit(p) + error):
+            # Outside the sample there is no edge: the bracket stays open on that side.
+            found.append(F.when((at >= 0) & (at <= 1), F.get("s", F.round(at * (size - 1)).cast("int"))))
+    return values.select(*keys, F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))).alias("edges"))
+
+
+def _within_edges(edges: DataFrame, keys: list[str], most: int):
+    """Number the cells by how many edges of their group they reach."""
+    columns = [F.get("edges", F.lit(i)).alias(f"e{i}") for i in range(most)]
+    groups = edges.count()
+
+    def place(data: DataFrame, wanted: DataFrame) -> DataFrame:
+        spread = small_side(edges.select(*keys, *columns), groups)
+        bounds = small_side(wanted, groups)
+        number = F.lit(0)
+        for i in range(most):
+            number = number + F.when(F.col("v") >= F.col(f"e{i}"), 1).otherwise(0)
+        return data.join(bounds, keys).join(spread, keys, "left").withColumn("bin", number)
+
+    return place
+
+
+def _within_bins(still_open: int, keys: list[str], bins: int, logarithmic: bool):
+    """Number the cells of the open intervals by equal-width bins."""
+
+    def place(data: DataFrame, wanted: DataFrame) -> DataFrame:
+        x, lo, hi = (_scale_key(F.col(c), logarithmic) for c in ("v", "lo", "hi"))
+        # Where the map flattens an interval, everything stays in bin 0 for this round.
+        bin_of = F.when(lo < hi, bin_index(x, lo, hi, bins)).otherwise(F.lit(0))
+        return _inside(data, wanted, still_open, keys).withColumn("bin", bin_of)
+
+    return place
+
+
+def _inside(data: DataFrame, wanted: DataFrame, still_open: int, keys: list[str]) -> DataFrame:
+    """The cells of the wanted intervals."""
+    joined = data.join(small_side(wanted, still_open), keys)
+    return joined.filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+
+
 def _scale_key(x, logarithmic: bool):
     """A monotone map of the values; the logarithmic one splits long tails."""
     return F.signum(x) * F.log1p(F.abs(x)) if logarithmic else x
 
 
-def _narrow(
-    data: DataFrame, state: DataFrame, still_open: int, keys: list[str], bins: int, logarithmic: bool
-) -> DataFrame:
+def _narrow(data: DataFrame, state: DataFrame, place, keys: list[str]) -> DataFrame:
+    """Replace each open interval by the part of it that holds its rank.
+
+    ``place`` numbers the cells of the intervals in value order. A part is shrunk to
+    the values it really contains.
+    """
     interval = [*keys, "lo", "hi"]
     opened = state.filter("lo < hi")
-    wanted = opened.select(*interval).distinct()
-    x, lo, hi = (_scale_key(F.col(c), logarithmic) for c in ("v", "lo", "hi"))
-    # Where the map flattens an interval, everything stays in bin 0 for this round.
-    bin_of = F.when(lo < hi, bin_index(x, lo, hi, bins)).otherwise(F.lit(0))
     counted = (
-        data.join(small_side(wanted, still_open), keys)
-        .filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
-        .withColumn("bin", bin_of)
+        place(data, opened.select(*interval).distinct())
         .groupBy(*interval, "bin")
         .agg(F.sum("w").alias("c"), F.min("v").alias("new_lo"), F.max("v").alias("new_hi"))
     )
-    # At most ``bins`` rows per interval.
+    # One row per part of an interval.
     running = Window.partitionBy(*interval).orderBy("bin")
     placed = counted.withColumn("through", F.sum("c").over(running)).withColumn(
         "before", F.col("through") - F.col("c")
     )
+    offset = F.col("rank") - F.col("below")
     narrowed = (
         opened.join(placed, interval)
-        .filter(
-            (F.col("rank") - F.col("below") >= F.col("before"))
-            & (F.col("rank") - F.col("below") < F.col("through"))
-        )
+        .filter((offset >= F.col("before")) & (offset < F.col("through")))
         .select(
             *keys,
             "slot",
             "position",
             "rank",
             (F.col("below") + F.col("before")).alias("below"),
+            F.col("c").alias("inside"),
             F.col("new_lo").alias("lo"),
             F.col("new_hi").alias("hi"),
         )
@@ -193,6 +267,17 @@ def _narrow(
     return narrowed.unionByName(state.filter("lo >= hi"))
 
 
+def _finish(data: DataFrame, state: DataFrame, still_open: int, keys: list[str]) -> DataFrame:
+    """Sort what is left of each open interval, which has been counted to fit a task."""
+    interval = [*keys, "lo", "hi"]
+    opened = state.filter("lo < hi")
+    cells = _inside(data, opened.select(*interval).distinct(), still_open, keys)
+    values = cells.groupBy(*interval).agg(F.sort_array(F.collect_list("v")).alias("s"))
+    at = F.get("s", (F.col("rank") - F.col("below")).cast("int"))
+    found = opened.join(values, interval).withColumn("lo", at).withColumn("hi", F.col("lo"))
+    return found.select(*state.columns).unionByName(state.filter("lo >= hi"))
+
+
 def median(df: DataFrame, value: str, by: Sequence[str] = (), **options) -> DataFrame:
     """``by..., median``."""
     return quantiles(df, value, [0.5], by, **options).select(

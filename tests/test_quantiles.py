@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from broadloom.operators import quantiles as module
 from broadloom.operators.quantiles import largest_group, median, quantiles, references
 
 LEVELS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
@@ -30,7 +31,7 @@ def table(spark):
     return spark.createDataFrame(rows, "g int, v double"), data
 
 
-@pytest.mark.parametrize("limit", [10**6, 0])
+@pytest.mark.parametrize("limit", [10**6, 60, 0])
 def test_against_numpy(table, limit):
     df, data = table
     found = {r["g"]: r["q"] for r in quantiles(df, "v", LEVELS, ["g"], group_limit=limit, bins=16).collect()}
@@ -75,6 +76,18 @@ def test_hot_group_is_narrowed_not_collected(spark):
     assert exact == narrowed
 
 
+def test_bad_brackets_cost_a_round_but_nothing_else(spark, monkeypatch):
+    """With a tiny sample and no safety the brackets miss; the counts notice."""
+    monkeypatch.setattr(module, "SAMPLE", 12)
+    monkeypatch.setattr(module, "SPREAD", 0.01)
+    df = spark.range(20_000).select(
+        (F.col("id") % 3).alias("g"), ((F.col("id") * 7919) % 10_007).cast("double").alias("v")
+    )
+    exact = {r["g"]: r["q"] for r in quantiles(df, "v", LEVELS, ["g"]).collect()}
+    narrowed = {r["g"]: r["q"] for r in quantiles(df, "v", LEVELS, ["g"], group_limit=50).collect()}
+    assert exact == narrowed
+
+
 def test_empty_input(spark):
     empty = spark.createDataFrame([], "g int, v double")
     assert quantiles(empty, "v", [0.5], ["g"]).count() == 0
