@@ -77,11 +77,6 @@ def weight_rows(model: str, stages: Sequence[dict[str, np.ndarray]]) -> list[tup
     return rows
 
 
-def stored_size(weights: DataFrame, model: str) -> int:
-    mine = weights.filter(F.col("model") == model)
-    return int(mine.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0])
-
-
 def load_stages(
     layers: DataFrame,
     weights: DataFrame,

@@ -20,6 +20,7 @@ RECOMMENDED = {
     "spark.sql.files.maxPartitionBytes": "512m",
     # Rows of a wide matrix are large; this is also the encode batch.
     "spark.sql.execution.arrow.maxRecordsPerBatch": "1000",
+    "spark.sql.execution.arrow.maxBytesPerBatch": "256m",
 }
 
 

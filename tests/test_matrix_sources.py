@@ -3,10 +3,12 @@
 import pytest
 from pyspark.sql import functions as F
 
+from broadloom.functions.text import base_name, stem
 from broadloom.operators import compat
 from broadloom.operators import matrix as m
-from broadloom.sources import artifacts, sinks, tables
 from broadloom.operators import scalers, trials
+from broadloom.operators.report import REPORT_SCHEMA
+from broadloom.sources import artifacts, sinks, tables
 
 
 @pytest.fixture(scope="module")
@@ -145,6 +147,15 @@ def test_encoded_sink_overwrites(spark, tmp_path):
     assert tables.read_table(spark, str(tmp_path / "wide.csv")).first()["encoded"] == "[0.5,1.0]"
 
 
+def test_report_sink_and_file_names(spark, tmp_path):
+    rows = [("s", "k", "m", 0.5, "0.5")]
+    sinks.write_report(spark.createDataFrame(rows, REPORT_SCHEMA), str(tmp_path / "report"))
+    assert [tuple(r) for r in spark.read.parquet(str(tmp_path / "report")).collect()] == rows
+    paths = spark.createDataFrame([("/models/a.b.h5",), ("plain",), (".hidden",)], "p string")
+    named = paths.select(base_name(F.col("p")).alias("b"), stem(F.col("p")).alias("s")).collect()
+    assert [tuple(r) for r in named] == [("a.b.h5", "a.b"), ("plain", "plain"), (".hidden", ".hidden")]
+
+
 # --- compatibility --------------------------------------------------------
 
 

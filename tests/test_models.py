@@ -227,6 +227,12 @@ def test_scaling_analysis_isolates_failures(spark, sf_dir, tmp_path):
     }
 
 
+def test_histograms_of_every_feature(spark, sf_dir):
+    bins = scaling.scaling_histograms(fx.matrix(spark, sf_dir), ["standard", "maxabs"], bins=7)
+    sums = bins.groupBy("scaler", "stat").agg(F.sum("count").alias("n"), F.count("*").alias("b")).collect()
+    assert len(sums) == 6 and {(r["n"], r["b"]) for r in sums} == {(64, 7)}
+
+
 # --- streaming ------------------------------------------------------------
 
 
