@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from broadloom.functions.numeric import rank_scores
 from broadloom.operators.matrix import width_of
 from broadloom.operators.network import NORM_EPSILON
-from broadloom.session import materialize
+from broadloom.session import materialize, ship_package
 
 # Rows and features of one group of cells: 64 MB of doubles.
 CHUNK_ROWS = 65_536
@@ -72,6 +72,7 @@ def quantile_blocks(
     chunk_rows: int = CHUNK_ROWS,
 ) -> DataFrame:
     """``keys..., block, first, x``: scores of each block, ``first`` its first feature."""
+    ship_package(matrix.sparkSession)
     chunks, names = _chunks(matrix, chunk_rows), list(keys)
 
     def score(rows: pd.DataFrame, levels: pd.DataFrame) -> pd.DataFrame:
@@ -149,6 +150,7 @@ def encode_blocked(
     ``key`` must identify a row. The vectors of a layer (bias, normalisation) are one
     row each and travel as scalar subqueries.
     """
+    ship_package(matrix.sparkSession)
     mine = weights.filter(F.col("model") == model)
     dense = (
         layers.filter(

@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from broadloom.session import ship_package
+
 # Fixed value: rows handed to a kernel at once.
 BATCH_ROWS = 1000
 
@@ -69,6 +71,7 @@ def map_features(
     and a null result, and so do the rows of a block whose kernel fails; without it
     the job fails.
     """
+    ship_package(df.sparkSession)
     kept = [f for f in df.schema.fields if f.name not in (output, error, *drop)]
     fields = [*kept, T.StructField(output, T.ArrayType(T.DoubleType()))]
     if error:

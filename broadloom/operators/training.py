@@ -33,7 +33,7 @@ from broadloom.operators.network import (
     weight_rows,
     WEIGHTS_SCHEMA,
 )
-from broadloom.session import shared_dir
+from broadloom.session import shared_dir, ship_package
 
 # Training settings.
 EPOCHS = 50
@@ -269,6 +269,7 @@ def _epoch(train: DataFrame, active: list[Progress], epoch: int, seed: int) -> d
 
 def predictions(matrix: DataFrame, models: Sequence[tuple[int, list[dict]]], keys: Sequence[str] = ()) -> DataFrame:
     """``trial_id, keys..., features, pred``: every row through every model."""
+    ship_package(matrix.sparkSession)
     shared = matrix.sparkSession.sparkContext.broadcast(list(models))
     carried = matrix.select(*keys, "features")
     fields = ", ".join(f"`{n}` {t}" for n, t in carried.dtypes)
@@ -366,6 +367,7 @@ def fit_grid(
     if total > max_params:
         raise ModelTooLarge(f"{total} weights in the grid, at most {max_params} fit one worker")
     spark = matrix.sparkSession
+    ship_package(spark)
     workers = workers or spark.sparkContext.defaultParallelism
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
