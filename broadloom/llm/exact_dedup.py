@@ -22,6 +22,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from broadloom.llm.rows import only, text_tag, without
 from broadloom.session import materialize, scratch_path
 
 HOT_SHARE = 1024
@@ -29,9 +30,13 @@ BUCKET_ROWS = 2_000_000
 
 
 def digests(docs: DataFrame) -> DataFrame:
-    """doc_id and the SHA-256 of the whole text in UTF-8."""
-    text = F.coalesce(F.col("text").cast("string"), F.lit("")).cast("binary")
-    return docs.select(F.col("doc_id").cast("long"), F.unhex(F.sha2(text, 256)).alias("digest"))
+    """doc_id, the SHA-256 of the whole text in UTF-8, and the tag that names the row."""
+    text = F.coalesce(docs["text"].cast("string"), F.lit("")).cast("binary")
+    return docs.select(
+        docs["doc_id"].cast("long").alias("doc_id"),
+        F.unhex(F.sha2(text, 256)).alias("digest"),
+        text_tag(docs).alias("tag"),
+    )
 
 
 class DigestIndex:
@@ -103,6 +108,7 @@ def _decide(batch: DataFrame, decided: DataFrame, rows: int) -> DataFrame:
         "group_size",
         (F.col("new") & F.col("doc_id").eqNullSafe(F.col("keep_id"))).alias("kept"),
         F.lower(F.hex("digest")).alias("text_sha256"),
+        "tag",
     )
 
 
@@ -112,19 +118,16 @@ def mark_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
-    """The documents that stay, with all their columns; of repeated rows one stays."""
-    marked = mark_copies(docs, index)
-    return keep_rows(docs, marked.filter("kept").select("doc_id"))
-
-
-def keep_rows(docs: DataFrame, kept: DataFrame) -> DataFrame:
-    """One row of ``docs`` for each id in ``kept``; null ids match null.
+    """The documents that stay, with all their columns; of repeated rows one stays.
 
-    Ids that are listed once are joined as they are; only ids listed more than once, that is
-    repeated rows, are reduced to one row each.
+    Only rows that are repeated with id and text are compared as rows, all others are
+    kept or dropped by their decision alone.
     """
-    counted = kept.groupBy(F.col("doc_id").alias("_id")).agg(F.count("*").alias("_rows"))
-    same = docs["doc_id"].eqNullSafe(F.col("_id"))
-    once = docs.join(counted.filter("_rows = 1"), same, "left_semi")
-    more = docs.join(counted.filter("_rows > 1"), same, "left_semi").dropDuplicates(["doc_id"])
-    return once.unionByName(more)
+    marked = materialize(mark_copies(docs, index), "decisions")
+    repeated = marked.filter("kept").groupBy("doc_id", "tag").count().filter("count > 1")
+    repeated = materialize(repeated.select("doc_id", "tag"), "repeated")
+    dropped = marked.filter(~F.col("kept")).select("doc_id", "tag")
+    if repeated.isEmpty():
+        return without(docs, dropped)
+    once = without(docs, dropped.unionByName(repeated))
+    return once.unionByName(only(docs, repeated).dropDuplicates(["doc_id", "text"]))

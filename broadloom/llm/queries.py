@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadloom.llm import exact_dedup, token_counts
+from broadloom.llm import decontamination, exact_dedup, packing, token_counts
 from broadloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -23,10 +23,23 @@ FROM d JOIN g USING (text_sha256)
 @query("op2_exact_dedup", OP2_SQL)
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the decision of the digest index."""
-    return exact_dedup.mark_copies(table(spark, sf_dir, "documents"))
+    return exact_dedup.mark_copies(table(spark, sf_dir, "documents")).drop("tag")
 
 
 @query("op9_token_counts")
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document."""
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), token_counts.default_tokenizer())
+
+
+@query("op10_best_fit_packing")
+def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 2048 tokens."""
+    return packing.pack(table(spark, sf_dir, "documents"), token_counts.default_tokenizer())
+
+
+@query("op6_benchmark_decontamination")
+def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its words inside benchmark windows."""
+    docs, benchmark = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
+    return decontamination.contamination(docs, benchmark).drop("tag")
