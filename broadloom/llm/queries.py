@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadloom.llm import decontamination, exact_dedup, packing, token_counts
+from broadloom.llm import decontamination, exact_dedup, minhash_forest, packing, token_counts
 from broadloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -43,3 +43,10 @@ def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame
     """Every document with its words inside benchmark windows."""
     docs, benchmark = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
     return decontamination.contamination(docs, benchmark).drop("tag")
+
+
+@query("op1_minhash_near_dedup")
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with the near-duplicate component it belongs to."""
+    docs = table(spark, sf_dir, "documents")
+    return minhash_forest.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")

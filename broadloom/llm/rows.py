@@ -30,3 +30,20 @@ def only(docs: DataFrame, listed: DataFrame) -> DataFrame:
 
 def _same(docs: DataFrame) -> Column:
     return docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (text_tag(docs) == F.col("_tag"))
+
+
+#: A key with more than this share of all rows counts as hot; there are fewer such keys.
+HOT_SHARE = 1024
+
+
+def join_counted(rows: DataFrame, of_key: DataFrame, key: str, count: str, total: int) -> DataFrame:
+    """Inner join of ``rows`` with one row per key that holds the number of its rows.
+
+    Keys with more than ``total / HOT_SHARE`` rows are fewer than ``HOT_SHARE`` and are broadcast, so
+    the rows of a hot key stay where they are; all others are joined by key.
+    """
+    frequent = F.col(count) * HOT_SHARE > total
+    hot, cold = of_key.filter(frequent), of_key.filter(~frequent)
+    of_hot = rows.join(F.broadcast(hot), key)
+    of_cold = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    return of_hot.unionByName(of_cold)
