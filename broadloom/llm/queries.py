@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadloom.llm import decontamination, exact_dedup, minhash_forest, packing, token_counts
+from broadloom.llm import decontamination, exact_dedup, language_id, minhash_forest, packing, token_counts
 from broadloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -50,3 +50,10 @@ def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the near-duplicate component it belongs to."""
     docs = table(spark, sf_dir, "documents")
     return minhash_forest.near_duplicates(docs).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+@query("op3_language_id")
+def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The language of every document, learned from the rows that are not held out."""
+    found = language_id.identify(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "held_out", "lang_pred", "score")
