@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadloom.llm import decontamination, exact_dedup, language_id, minhash_forest, packing, token_counts, toxicity
+from broadloom.llm import decontamination, exact_dedup, language_id, minhash_forest, packing, private_data, token_counts, toxicity
 from broadloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -64,3 +64,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The toxicity of every document, learned from the labels that are not held out."""
     docs, labels = (table(spark, sf_dir, name) for name in ("documents", "labels"))
     return toxicity.score(docs, labels).drop("tag")
+
+
+@query("op8_pii")
+def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data of every document, with the terms that reveal it."""
+    return private_data.report(table(spark, sf_dir, "documents"))
