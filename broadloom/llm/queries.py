@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadloom.llm import decontamination, exact_dedup, language_id, minhash_forest, packing, private_data, token_counts, toxicity
+from broadloom.llm import decontamination, exact_dedup, html_text, language_id, minhash_forest, packing, private_data, token_counts, toxicity
 from broadloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -70,3 +70,9 @@ def op7_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Personal data of every document, with the terms that reveal it."""
     return private_data.report(table(spark, sf_dir, "documents"))
+
+
+@query("op5_html_extraction")
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page."""
+    return html_text.extract(table(spark, sf_dir, "pages"))
