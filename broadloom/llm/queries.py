@@ -4,7 +4,18 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from broadloom.llm import decontamination, exact_dedup, html_text, language_id, minhash_forest, packing, private_data, token_counts, toxicity
+from broadloom.llm import (
+    decontamination,
+    exact_dedup,
+    html_text,
+    language_id,
+    license_scan,
+    minhash_forest,
+    packing,
+    private_data,
+    token_counts,
+    toxicity,
+)
 from broadloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
@@ -76,3 +87,9 @@ def op8_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The main text of every page."""
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@query("op4_license_scan")
+def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The licenses that every document states."""
+    return license_scan.scan(table(spark, sf_dir, "documents"))
