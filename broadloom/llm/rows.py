@@ -18,18 +18,19 @@ def without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 
     The list is counted: up to a bounded size it is broadcast and the texts stay where they are.
     """
-    listed = materialize(dropped.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct(), "dropped")
-    return docs.join(small_side(listed, listed.count()), _same(docs), "left_anti")
+    return _by_row(docs, dropped, "left_anti")
 
 
 def only(docs: DataFrame, listed: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``listed`` names by doc_id and tag."""
-    listed = materialize(listed.select(F.col("doc_id").alias("_id"), F.col("tag").alias("_tag")).distinct(), "listed")
-    return docs.join(small_side(listed, listed.count()), _same(docs), "left_semi")
+    return _by_row(docs, listed, "left_semi")
 
 
-def _same(docs: DataFrame) -> Column:
-    return docs["doc_id"].cast("long").eqNullSafe(F.col("_id")) & (text_tag(docs) == F.col("_tag"))
+def _by_row(docs: DataFrame, listed: DataFrame, how: str) -> DataFrame:
+    listed = materialize(listed.select("doc_id", "tag").distinct(), "listed")
+    side = small_side(listed, listed.count())
+    same = docs["doc_id"].cast("long").eqNullSafe(side["doc_id"]) & (text_tag(docs) == side["tag"])
+    return docs.join(side, same, how)
 
 
 #: A key with more than this share of all rows counts as hot; there are fewer such keys.

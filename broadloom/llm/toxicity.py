@@ -177,8 +177,9 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
     share = min(1.0, sample / max(of.count(), 1))
     of = of.filter(F.pmod(F.xxhash64("_id"), F.lit(1_000_003)) / 1_000_003.0 < share)
     # At most about ``sample`` rows of two numbers.
-    return docs.join(F.broadcast(of), docs["doc_id"].cast("long") == of["_id"]).select(
-        docs["text"].cast("string").alias("text"),
+    own = docs.select(docs["doc_id"].cast("long").alias("_id"), docs["text"].cast("string").alias("text"))
+    return own.join(F.broadcast(of), "_id").select(
+        "text",
         "label",
         (F.pmod(F.xxhash64("_id", F.lit(1)), F.lit(4)) == 0).alias("calibrate"),
     )
