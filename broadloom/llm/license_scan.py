@@ -14,8 +14,8 @@ if also at least ``DENSITY`` of its words between the first and the last aligned
 Row-local: one Arrow pass over whole texts, with the templates sent along (a fixed, small list).
 
 Defined results: a null or empty text and one without a match have no licenses, a null ``license``
-and coverage 0. Of equal coverage the longer template wins, then the first name. Repeated rows
-each get a row. Other columns are ignored, whatever their names.
+and coverage 0. Of matches at one place that with the most aligned words wins, then the higher
+coverage, then the first name. Repeated rows each get a row. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -233,7 +233,7 @@ def scan(
 
 def _best(hits: list[tuple]) -> tuple | None:
     kept: list[tuple] = []
-    for hit in sorted(hits, key=lambda h: (-h[0], -h[1], h[2])):
+    for hit in sorted(hits, key=lambda h: (-round(h[0] * h[1]), -h[0], h[2])):
         if not any(hit[3] < other[4] and other[3] < hit[4] for other in kept):
             kept.append(hit)
     if not kept:
