@@ -8,6 +8,7 @@ averaged weights, whose size is checked before the first job.
 
 from __future__ import annotations
 
+import math
 import time
 import zlib
 from collections.abc import Iterator, Sequence
@@ -17,7 +18,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadloom.operators import metrics, trials
@@ -33,7 +34,7 @@ from broadloom.operators.network import (
     weight_rows,
     WEIGHTS_SCHEMA,
 )
-from broadloom.session import shared_dir, ship_package
+from broadloom.session import materialize, shared_dir, ship_package
 
 # Training settings.
 EPOCHS = 50
@@ -89,20 +90,33 @@ def split(matrix: DataFrame, share: float = VALIDATION_SHARE, key: str = "row_id
 def split_by_order(matrix: DataFrame, order: str, share: float = VALIDATION_SHARE) -> DataFrame:
     """Add ``is_validation`` for the last rows in key order.
 
-    The first ``floor(n * (1 - share))`` rows train. The boundary is one order
-    statistic, found without sorting the table into one task.
+    The first ``floor(n * (1 - share))`` rows train, nulls first; equal keys follow a hash of the
+    row, so only identical rows stay together. The boundary is one row of a range-partitioned
+    sort: partitions are counted, and the rank is looked up in one of them. Keys are compared in
+    their own type.
     """
-    from broadloom.operators.quantiles import quantiles
-
     n = matrix.count()
     first = int(n * (1 - share))
     if first >= n:
         return matrix.withColumn("is_validation", F.lit(False))
-    level = first / (n - 1) if n > 1 else 0.0
-    at = quantiles(matrix.select(F.col(order).cast("double").alias("k")), "k", [level], max_group=n)
-    return matrix.withColumn("_k", at.select(F.get("q", F.lit(0))).scalar()).select(
-        *matrix.columns, (F.round("_k") <= F.col(order)).alias("is_validation")
-    )
+    tie = F.xxhash64(*[F.col(f"`{c}`") for c in matrix.columns])
+    keys = matrix.select(F.col(f"`{order}`").alias("k"), tie.alias("h")).repartitionByRange("k", "h")
+    ranged = materialize(keys.withColumn("part", F.spark_partition_id()), "order")
+    before = 0
+    for r in ranged.groupBy("part").count().orderBy("part").collect():
+        if before + r["count"] > first:
+            break
+        before += r["count"]
+    place = F.row_number().over(Window.orderBy("k", "h"))
+    inside = ranged.filter(F.col("part") == r["part"]).withColumn("place", place)
+    at = inside.filter(F.col("place") == first - before + 1).select("k", "h").first()
+    key = F.col(f"`{order}`")
+    if at["k"] is None:
+        later = key.isNotNull() | (tie >= at["h"])
+    else:
+        bound = F.lit(at["k"])
+        later = F.coalesce((key > bound) | ((key == bound) & (tie >= at["h"])), F.lit(False))
+    return matrix.withColumn("is_validation", later)
 
 
 # --- local arithmetic -----------------------------------------------------
@@ -186,11 +200,12 @@ _OUT = pa.schema(
         ("rows", pa.float64()),
         ("steps", pa.int32()),
         ("loss_sum", pa.float64()),
+        ("seconds", pa.float64()),
     ]
 )
 _OUT_DDL = (
     "trial_id int, stage int, part string, row_idx int, w array<double>, rows double, "
-    "steps int, loss_sum double"
+    "steps int, loss_sum double, seconds double"
 )
 
 
@@ -198,14 +213,16 @@ def _copy(stages: list[dict]) -> list[dict]:
     return [{k: v.copy() if isinstance(v, np.ndarray) else v for k, v in s.items()} for s in stages]
 
 
-def _emit(trial: int, stages: list[dict], rows: int, steps: int, loss: float) -> Iterator[pa.RecordBatch]:
+def _emit(
+    trial: int, stages: list[dict], rows: int, steps: int, loss: float, seconds: float
+) -> Iterator[pa.RecordBatch]:
     def batch(stage: int, part: str, block: np.ndarray) -> pa.RecordBatch:
         n = len(block)
         columns = [
             pa.array([trial] * n, pa.int32()), pa.array([stage] * n, pa.int32()),
             pa.array([part] * n), pa.array(range(n), pa.int32()), list_of(block),
             pa.array([float(rows)] * n), pa.array([steps] * n, pa.int32()),
-            pa.array([loss] * n, pa.float64()),
+            pa.array([loss] * n, pa.float64()), pa.array([seconds] * n, pa.float64()),
         ]
         return pa.RecordBatch.from_arrays(columns, schema=_OUT)
 
@@ -216,14 +233,19 @@ def _emit(trial: int, stages: list[dict], rows: int, steps: int, loss: float) ->
                 yield batch(s, part, np.atleast_2d(value))
 
 
-def _epoch(train: DataFrame, active: list[Progress], epoch: int, seed: int) -> dict[int, float]:
-    """Train all active trials for one pass and average; returns the train losses."""
+def _epoch(
+    train: DataFrame, active: list[Progress], epoch: int, seed: int
+) -> dict[int, tuple[float, float]]:
+    """Train all active trials for one pass and average.
+
+    Returns the train loss of each trial and its own seconds, summed over tasks.
+    """
     shared = train.sparkSession.sparkContext.broadcast(
         [(p.config, p.stages, p.steps) for p in active]
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        local = [(c, _copy(s), [steps, 0, 0.0]) for c, s, steps in shared.value]
+        local = [(c, _copy(s), [steps, 0, 0.0, 0.0]) for c, s, steps in shared.value]
         rng = None
         for batch in batches:
             x = cells_of(batch.column(0))
@@ -232,14 +254,16 @@ def _epoch(train: DataFrame, active: list[Progress], epoch: int, seed: int) -> d
                 rng = np.random.default_rng([seed, epoch, zlib.crc32(x[0].tobytes())])
             order = rng.permutation(len(x))
             for config, stages, seen in local:
+                began = time.perf_counter()
                 for start in range(0, len(x), config.batch_size):
                     rows = x[order[start : start + config.batch_size]]
                     seen[0] += 1
                     seen[2] += train_batch(stages, rows, config, seen[0], rng) * len(rows)
                     seen[1] += len(rows)
-        for config, stages, (steps, rows, loss) in local:
+                seen[3] += time.perf_counter() - began
+        for config, stages, (steps, rows, loss, seconds) in local:
             if rows:
-                yield from _emit(config.trial_id, stages, rows, steps, loss)
+                yield from _emit(config.trial_id, stages, rows, steps, loss, seconds)
 
     trained = train.select("features").mapInArrow(run, _OUT_DDL)
     averaged = (
@@ -248,15 +272,18 @@ def _epoch(train: DataFrame, active: list[Progress], epoch: int, seed: int) -> d
             Summarizer.mean(array_to_vector("w"), F.col("rows")).alias("w"),
             F.max("steps").alias("steps"),
             (F.sum("loss_sum") / F.sum("rows")).alias("loss"),
+            F.sum("seconds").alias("seconds"),
+        )
+        .select(
+            "trial_id", "stage", "part", "row_idx", vector_to_array("w").alias("w"), "steps", "loss", "seconds"
         )
-        .select("trial_id", "stage", "part", "row_idx", vector_to_array("w").alias("w"), "steps", "loss")
     )
     by_trial = {p.config.trial_id: p for p in active}
     losses = {}
     for r in averaged.toLocalIterator():
         p = by_trial[r["trial_id"]]
         if r["stage"] < 0:
-            p.steps, losses[r["trial_id"]] = r["steps"], r["loss"]
+            p.steps, losses[r["trial_id"]] = r["steps"], (r["loss"], r["seconds"])
             continue
         value = p.stages[r["stage"]][r["part"]]
         if value.ndim == 2:
@@ -287,30 +314,35 @@ def predictions(matrix: DataFrame, models: Sequence[tuple[int, list[dict]]], key
     return carried.mapInArrow(run, f"trial_id int, {fields}, pred array<double>")
 
 
-def _losses(rows: DataFrame, models: Sequence[tuple[int, list[dict]]]) -> dict[int, float]:
-    """Mean squared error of each model; tasks send one sum per model and batch."""
+def _losses(
+    rows: DataFrame, models: Sequence[tuple[int, list[dict]]]
+) -> dict[int, tuple[float, float]]:
+    """Mean squared error and own seconds of each model; tasks send one sum per model and batch."""
     shared = rows.sparkSession.sparkContext.broadcast(list(models))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             block = cells_of(batch.column(0))
-            ids, sums = [], []
+            ids, sums, seconds = [], [], []
             for trial, stages in shared.value:
+                began = time.perf_counter()
                 ids.append(trial)
                 sums.append(float(((run_stages(block, stages, encode=False) - block) ** 2).sum()))
+                seconds.append(time.perf_counter() - began)
+            cells = pa.array([float(block.size)] * len(ids))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int32()), pa.array(sums), pa.array([float(block.size)] * len(ids))],
-                names=["trial_id", "sse", "cells"],
+                [pa.array(ids, pa.int32()), pa.array(sums), cells, pa.array(seconds)],
+                names=["trial_id", "sse", "cells", "seconds"],
             )
 
     found = (
         rows.select("features")
-        .mapInArrow(run, "trial_id int, sse double, cells double")
+        .mapInArrow(run, "trial_id int, sse double, cells double, seconds double")
         .groupBy("trial_id")
-        .agg((F.sum("sse") / F.sum("cells")).alias("loss"))
+        .agg((F.sum("sse") / F.sum("cells")).alias("loss"), F.sum("seconds").alias("seconds"))
         .collect()
     )
-    return {r["trial_id"]: r["loss"] for r in found}
+    return {r["trial_id"]: (r["loss"], r["seconds"]) for r in found}
 
 
 # --- the grid -------------------------------------------------------------
@@ -360,7 +392,9 @@ def fit_grid(
 
     The rows are spread by a hash of the key and written once to the shared folder;
     each epoch reads them from there. A trial whose validation loss has not improved
-    for ``patience`` epochs drops out with its best weights.
+    for ``patience`` epochs drops out with its best weights; a loss that is not a number never
+    improves. With ``share`` 0 there is no validation loss and no early stop. The seconds of an
+    epoch are those a trial computed itself, summed over tasks.
     """
     n_features = width_of(matrix)
     total = sum(c.params(n_features) for c in configs)
@@ -379,20 +413,24 @@ def fit_grid(
         .checkpoint()
     )
     train, held_out = data.filter(~F.col("is_validation")), data.filter("is_validation")
+    for part, wanted in (("training", True), ("validation", share > 0)):
+        if wanted and (train if part == "training" else held_out).isEmpty():
+            raise ValueError(f"no {part} rows; set share to fit the table")
     progress = [Progress(c, initial_stages(c, n_features, seed)) for c in configs]
     for epoch in range(1, epochs + 1):
         active = [p for p in progress if not p.stopped]
         if not active:
             break
-        started = time.monotonic()
-        losses = _epoch(train, active, epoch, seed)
+        trained = _epoch(train, active, epoch, seed)
         validation = _losses(held_out, [(p.config.trial_id, p.stages) for p in active])
-        seconds = time.monotonic() - started
         for p in active:
             trial = p.config.trial_id
-            loss = validation.get(trial, losses[trial])
-            p.history.append((epoch, losses[trial], loss, seconds))
-            if p.best is None or loss < p.best[0]:
+            train_loss, seconds = trained[trial]
+            loss, more = validation.get(trial, (None, 0.0))
+            p.history.append((epoch, train_loss, loss, seconds + more))
+            if loss is None:  # nothing held out: no early stop, the last weights stay
+                continue
+            if loss < (math.inf if p.best is None else p.best[0]):
                 p.best, p.waited = (loss, _copy(p.stages)), 0
             else:
                 p.waited += 1

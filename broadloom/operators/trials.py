@@ -272,11 +272,14 @@ def group_summary(
 
 
 def level_impact(trials: DataFrame, parameters: Sequence[str] = HYPER_PARAMETERS) -> DataFrame:
-    """Best and worst level of each hyper-parameter by mean error."""
+    """Best and worst level of each hyper-parameter by mean error.
+
+    A level without a finite mean ranks last: never the best while another one has a mean.
+    """
     levels = group_summary(trials, parameters)
+    rank = F.struct(F.col("avg_mse").isNull(), "avg_mse", "level")
     return levels.groupBy("parameter").agg(
-        F.min_by("level", F.struct("avg_mse", "level")).alias("best_level"),
-        F.max_by("level", F.struct("avg_mse", F.col("level"))).alias("worst_level"),
+        F.min_by("level", rank).alias("best_level"), F.max_by("level", rank).alias("worst_level")
     )
 
 

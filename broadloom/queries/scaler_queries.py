@@ -46,18 +46,30 @@ def c02(spark, sf_dir):
     return _scaled_cells(fx.matrix_with_constant(spark, sf_dir), "robust")
 
 
-# One level of the exponent search: keep the best of 21 candidates, then look closer.
-def _grid_level(n: int, center: str, width: float) -> str:
-    prior = f"best{n - 1}" if n else None
-    source = "points" if n == 0 else f"points JOIN {prior} USING (feature_idx)"
+# The likelihood of an exponent is concave, so its slope changes sign once. One level evaluates
+# the slope at 17 points and keeps the interval between the last positive and the first other one.
+def _slope_level(n: int, low: str, step: float) -> str:
+    source = "points" if n == 0 else f"points JOIN low{n - 1} USING (feature_idx)"
     return f"""cand{n} AS (
-  SELECT feature_idx, x, {center} + (s.s - 10) * {width} / 10 AS lam FROM {source}
-  CROSS JOIN (SELECT unnest(range(0, 21)) AS s) s),
-lik{n} AS (
-  SELECT feature_idx, lam, -count(*) / 2.0 * ln(var_pop({yj_sql('x', 'lam')}))
-         + (lam - 1) * sum(sign(x) * ln(1 + abs(x))) AS ll
-  FROM cand{n} GROUP BY feature_idx, lam),
-best{n} AS (SELECT feature_idx, arg_max(lam, ll) AS lam FROM lik{n} GROUP BY feature_idx)"""
+  SELECT feature_idx, x, {low} + s.s * {step!r} AS lam FROM {source}
+  CROSS JOIN (SELECT unnest(range(0, 17)) AS s) s),
+bent{n} AS (
+  SELECT feature_idx, lam, sign(x) * ln(1 + abs(x)) AS j, {yj_sql('x', 'lam')} AS y,
+         {yj_slope_sql('x', 'lam')} AS dy FROM cand{n}),
+slope{n} AS (
+  SELECT feature_idx, lam, sum(j) - count(*) * covar_pop(y, dy) / var_pop(y) AS slope
+  FROM bent{n} GROUP BY feature_idx, lam),
+low{n} AS (
+  SELECT feature_idx, coalesce(max(lam) FILTER (WHERE slope > 0), min(lam)) AS lam
+  FROM slope{n} GROUP BY feature_idx)"""
+
+
+def yj_slope_sql(x: str, lam: str) -> str:
+    """Derivative of the transform by its exponent."""
+    log, power = f"ln(1 + abs({x}))", f"CASE WHEN {x} >= 0 THEN {lam} ELSE 2 - ({lam}) END"
+    return f"""CASE WHEN abs({power}) < 1e-4
+      THEN {log} * {log} * (0.5 + ({power}) * {log} / 3 + ({power}) * ({power}) * {log} * {log} / 8)
+      ELSE (exp(({power}) * {log}) * (({power}) * {log} - 1) + 1) / (({power}) * ({power})) END"""
 
 
 def yj_sql(x: str, lam: str) -> str:
@@ -67,12 +79,16 @@ def yj_sql(x: str, lam: str) -> str:
       ELSE -(pow(1 - {x}, 2 - {lam}) - 1) / (2 - {lam}) END END"""
 
 
-def exponents_sql(points: str, levels: int = 9, width: float = 3.0) -> str:
-    ctes = [f"points AS ({points})", _grid_level(0, "1.0", width)]
+def exponents_sql(points: str, levels: int = 8, width: float = 3.0) -> str:
+    """``lambdas``: the exponents between 1 - width and 1 + width, far beyond five places."""
+    step = 2 * width / 16
+    ctes = [f"points AS ({points})", _slope_level(0, f"1.0 - {width!r}", step)]
     for n in range(1, levels):
-        width /= 8
-        ctes.append(_grid_level(n, "lam", width))
-    return ", ".join(ctes) + f", lambdas AS (SELECT feature_idx, lam FROM best{levels - 1})"
+        step /= 16
+        ctes.append(_slope_level(n, "lam", step))
+    return ", ".join(ctes) + (
+        f", lambdas AS (SELECT feature_idx, lam + {step / 2!r} AS lam FROM low{levels - 1})"
+    )
 
 
 @query(

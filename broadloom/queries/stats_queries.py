@@ -58,11 +58,15 @@ frame AS (
   SELECT e.*, b.bin, CASE WHEN b.bin = {bins} THEN hi ELSE lo + b.bin * ((hi - lo) / {bins}) END AS bin_start,
          CASE WHEN b.bin + 1 = {bins} THEN hi ELSE lo + (b.bin + 1) * ((hi - lo) / {bins}) END AS bin_end
   FROM edges e CROSS JOIN (SELECT unnest(range(0, {bins})) AS bin) b),
+guessed AS (
+  SELECT {', '.join('s.' + c for c in by.split(', '))}, v, lo, (hi - lo) / {bins} AS w,
+         least(greatest(CAST(floor((v - lo) / ((hi - lo) / {bins})) AS BIGINT), 0), {bins - 1}) AS g
+  FROM {source} s JOIN edges e ON {' AND '.join(f's.{c} = e.{c}' for c in by.split(', '))}
+  WHERE v IS NOT NULL),
 counted AS (
-  SELECT {', '.join('f.' + c for c in by.split(', '))}, f.bin, count(*) AS c FROM frame f JOIN {source} s
-    ON {' AND '.join(f's.{c} = f.{c}' for c in by.split(', '))}
-   AND s.v >= f.bin_start AND (s.v < f.bin_end OR (f.bin = {bins - 1} AND s.v <= f.bin_end))
-  GROUP BY ALL)
+  SELECT {by}, CASE WHEN g > 0 AND v < lo + g * w THEN g - 1
+                    WHEN g < {bins - 1} AND v >= lo + (g + 1) * w THEN g + 1 ELSE g END AS bin, count(*) AS c
+  FROM guessed GROUP BY ALL)
 SELECT {by}, CAST(bin AS INTEGER) AS bin, round(bin_start, {places}) + 0.0 AS bin_start,
        round(bin_end, {places}) + 0.0 AS bin_end, coalesce(c, 0) AS count
 FROM frame LEFT JOIN counted USING ({by}, bin)"""
@@ -157,7 +161,7 @@ def d09(spark, sf_dir):
 
 @query(
     "d04_error_histograms",
-    f"""WITH {fx.PER_FEATURE}, tidy AS (
+    f"""WITH {fx.PER_FEATURE.replace("pfm AS (", "pfm AS MATERIALIZED (")}, tidy AS MATERIALIZED (
   SELECT CAST(trial_id AS INTEGER) AS trial_id, 'mse' AS stat, round(f_mse, 10) AS v FROM pfm
   UNION ALL SELECT trial_id, 'range_mse', round(f_range_mse, 10) FROM pfm), """
     + histogram_sql("tidy", "trial_id, stat", 200, 13),
