@@ -81,6 +81,15 @@ def yeo_johnson(x: Column, lam: Column) -> Column:
     return F.when(x < 0, -bent).otherwise(bent)
 
 
+def yeo_johnson_cells(block: np.ndarray, lam: np.ndarray) -> np.ndarray:
+    """The same on ``[rows, features]`` with one exponent per feature."""
+    log_u = np.log1p(np.abs(block))
+    mu = np.where(block < 0, 2.0 - lam, lam)
+    near = np.abs(mu) < _NEAR
+    bent = np.where(near, log_u + mu * log_u * log_u / 2, np.expm1(mu * log_u) / np.where(near, 1.0, mu))
+    return np.where(block < 0, -bent, bent)
+
+
 def with_yeo_johnson(df: DataFrame, x: str, lam: str, names: Sequence[str]) -> DataFrame:
     """Append the transform and its first two derivatives in the exponent.
 

@@ -97,3 +97,52 @@ def map_features(
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, output, error])
 
     return df.mapInArrow(run, T.StructType(fields))
+
+
+def map_cells(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], width: int) -> DataFrame:
+    """Replace ``features`` cell by cell: ``kernel`` gets the first cells of equally long rows.
+
+    Works like a projection of the array: null rows and null cells stay null, shorter rows stay
+    short, and cells beyond ``width`` become null.
+    """
+    ship_package(df.sparkSession)
+    names = df.columns
+
+    def of_length(column: pa.Array, n: int) -> pa.Array:
+        flat = column.flatten().cast(pa.float64())
+        block = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(len(column), n)
+        result = np.full(block.shape, np.nan)
+        known = min(n, width)
+        if known:
+            result[:, :known] = kernel(block[:, :known])
+        hidden = flat.is_null().to_numpy(zero_copy_only=False).reshape(block.shape)
+        hidden = hidden | (np.arange(n) >= width)
+        offsets = np.arange(len(column) + 1, dtype=np.int32) * n
+        return pa.ListArray.from_arrays(offsets, pa.array(result.reshape(-1), mask=hidden.reshape(-1)))
+
+    def replaced(column: pa.Array) -> pa.Array:
+        lengths = column.value_lengths().fill_null(-1).to_numpy(zero_copy_only=False)
+        parts, places = [], []
+        for n in np.unique(lengths).tolist():
+            at = np.flatnonzero(lengths == n)
+            rows = column.take(pa.array(at))
+            parts.append(pa.nulls(len(at), pa.list_(pa.float64())) if n < 0 else of_length(rows, n))
+            places.append(at)
+        if len(parts) == 1:
+            return parts[0]
+        return pa.concat_arrays(parts).take(pa.array(np.argsort(np.concatenate(places))))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(start, BATCH_ROWS)
+                at = batch.schema.get_field_index("features")
+                columns = list(batch.columns)
+                columns[at] = replaced(columns[at])
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    fields = [
+        T.StructField("features", T.ArrayType(T.DoubleType())) if f.name == "features" else f
+        for f in df.schema.fields
+    ]
+    return df.mapInArrow(run, T.StructType(fields))

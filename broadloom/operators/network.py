@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadloom.operators.blocks import map_features
+from broadloom.operators.held import MAX_HELD, hold
 
 LAYERS_SCHEMA = (
     "model string, layer_idx int, name string, kind string, units int, "
@@ -25,14 +26,14 @@ WEIGHTS_SCHEMA = "model string, layer_idx int, part string, row_idx int, w array
 # Fixed value: added to the variance by batch normalisation.
 NORM_EPSILON = 1e-3
 
-# Weights of this many doubles (160 MB) may be held by every Python worker.
-MAX_PARAMS = 20_000_000
+# Weights up to this many doubles are held by every Python worker, larger kernels are mapped.
+MAX_PARAMS = MAX_HELD
 
 PARTS = ("kernel", "bias", "gamma", "beta", "moving_mean", "moving_var")
 
 
 class ModelTooLarge(ValueError):
-    """The weights exceed what one worker may hold."""
+    """The weights exceed what a training worker may hold."""
 
 
 def layer_rows(
@@ -85,28 +86,29 @@ def load_stages(
     through: int | None = None,
     max_params: int = MAX_PARAMS,
 ) -> list[dict]:
-    """Read the stages up to layer ``through``, after checking their size."""
+    """Read the stages up to layer ``through``.
+
+    Kernels are arrays in memory as long as all stages have at most ``max_params`` weights; in
+    larger models they are mapped from files. Both work the same wherever stages are used.
+    """
     mine = weights.filter(F.col("model") == model)
     if through is not None:
         mine = mine.filter(F.col("layer_idx") <= through)
-    size = int(mine.agg(F.coalesce(F.sum(F.size("w")), F.lit(0))).first()[0])
-    if size == 0:
+    sizes = mine.groupBy("layer_idx").agg(F.sum(F.size("w")).alias("n")).orderBy("layer_idx").collect()
+    if not sizes:
         raise LookupError(f"no stored weights for model {model!r}")
-    if size > max_params:
-        raise ModelTooLarge(f"{size} weights; use encode_blocked above {max_params}")
+    limit = max_params if sum(r["n"] for r in sizes) <= max_params else 0
     activation = {
         r["layer_idx"]: r["activation"]
         for r in layers.filter((F.col("model") == model) & (F.col("kind") == "dense")).collect()
     }
-    parts: dict[int, dict[str, list]] = {}
-    for r in mine.orderBy("layer_idx", "part", "row_idx").collect():
-        parts.setdefault(r["layer_idx"], {}).setdefault(r["part"], []).append(r["w"])
     stages = []
-    for idx in sorted(parts):
-        stage = {
-            p: np.array(rows) if p == "kernel" else np.array(rows[0]) for p, rows in parts[idx].items()
-        }
-        stages.append({**stage, "relu": activation.get(idx) == "relu"})
+    for r in sizes:
+        parts = mine.filter(F.col("layer_idx") == r["layer_idx"])
+        vectors = parts.filter("part <> 'kernel'").collect()
+        stage: dict = {v["part"]: np.array(v["w"]) for v in vectors}
+        stage["kernel"] = hold(parts.filter("part = 'kernel'"), "row_idx", "w", limit)
+        stages.append({**stage, "relu": activation.get(r["layer_idx"]) == "relu"})
     return stages
 
 
@@ -115,18 +117,20 @@ def _normalise(h: np.ndarray, stage: dict) -> np.ndarray:
     return stage["gamma"] * (h - stage["moving_mean"]) / spread + stage["beta"]
 
 
-def run_stages(block: np.ndarray, stages: Sequence[dict], *, encode: bool) -> np.ndarray:
+def run_stages(
+    block: np.ndarray, stages: Sequence[dict], *, encode: bool, normalised: bool = False
+) -> np.ndarray:
     """Inference: stored normalisation statistics, no dropout.
 
-    With ``encode`` the result is the activation of the last given dense layer,
-    before its normalisation.
+    With ``encode`` the result is the activation of the last given dense layer, before its
+    normalisation unless ``normalised``.
     """
     h = block
     for s, stage in enumerate(stages):
         h = h @ stage["kernel"] + stage["bias"]
         if stage["relu"]:
             h = np.maximum(h, 0.0)
-        if encode and s == len(stages) - 1:
+        if encode and not normalised and s == len(stages) - 1:
             break
         if "gamma" in stage:
             h = _normalise(h, stage)
@@ -146,6 +150,7 @@ def encode(
     output: str = "encoded",
     error: str | None = "encode_error",
     drop_features: bool = True,
+    normalised: bool = False,
 ) -> DataFrame:
     """Append the bottleneck activations of each row.
 
@@ -156,7 +161,7 @@ def encode(
     dropped = ("features",) if drop_features else ()
     return map_features(
         matrix,
-        lambda x: run_stages(x, shared.value, encode=True),
+        lambda x: run_stages(x, shared.value, encode=True, normalised=normalised),
         output,
         width=stages[0]["kernel"].shape[0],
         error=error,

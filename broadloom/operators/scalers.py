@@ -18,10 +18,11 @@ from broadloom.functions.numeric import (
     rank_scores,
     safe_scale,
     yeo_johnson,
+    yeo_johnson_cells,
 )
-from broadloom.operators import blocked
-from broadloom.operators.blocks import map_features
-from broadloom.operators.matrix import from_long, to_long
+from broadloom.operators.blocks import map_cells
+from broadloom.operators.held import hold, opened
+from broadloom.operators.matrix import to_long
 from broadloom.operators.power import EPS, fit_exponents
 from broadloom.operators.quantiles import GROUP_LIMIT, quantiles, references
 from broadloom.operators.stats import moments, value_counts, weighted_moments
@@ -38,7 +39,7 @@ PARAMS_SCHEMA = (
 
 # Fixed value: most quantiles kept per feature.
 MAX_QUANTILES = 1000
-# Parameters above this many doubles are joined instead of being held per task.
+# Parameters above this many doubles are not copied into every row of a projection.
 INLINE_LIMIT = 4_000_000
 
 
@@ -211,16 +212,15 @@ def transform(
     *,
     on_missing: str = "raise",
     normal: bool = True,
-    keys: Sequence[str] = ("row_id",),
     inline_limit: int = INLINE_LIMIT,
 ) -> DataFrame:
-    """Apply a stored scaler to the feature array.
+    """Apply a stored scaler to the feature array, row by row.
 
-    ``params`` should be a stored table (it is read once for its size). Up to
-    ``inline_limit`` doubles the parameters travel as one row of arrays and the
-    transform is a projection; above it the cells meet them by feature, and
-    ``keys`` must identify a row. A scaler that is not stored raises, or leaves
-    the data unscaled with ``on_missing="identity"``.
+    ``params`` should be a stored table (it is read once for its size). Up to ``inline_limit``
+    doubles the parameters of linear and power scalers travel as one row of arrays and the
+    transform is a projection; above it, and for quantile scalers, blocks of rows meet them
+    as arrays that workers hold or map from a file. The result is the same. A scaler that is
+    not stored raises, or leaves the data unscaled with ``on_missing="identity"``.
     """
     if on_missing not in ("raise", "identity"):
         raise ValueError(f"unknown on_missing {on_missing!r}")
@@ -230,10 +230,8 @@ def transform(
             return matrix
         raise LookupError(f"no stored scaler named {scaler!r}")
     mine = params.filter(F.col("scaler") == scaler)
-    if params_size(mine) > inline_limit:
-        return _transform_by_join(matrix, mine, kind, normal, keys)
-    if kind == "quantile":
-        return _transform_quantile(matrix, mine, normal)
+    if kind == "quantile" or params_size(mine) > inline_limit:
+        return _transform_blocks(matrix, mine, kind, normal, inline_limit)
     per_feature = F.array_sort(
         F.collect_list(F.struct("feature_idx", "center", "scale", "lambda"))
     )
@@ -257,28 +255,23 @@ def transform_long(long: DataFrame, params: DataFrame, kind: str) -> DataFrame:
     return joined.withColumn("value", scaled).drop("center", "scale", "lambda")
 
 
-def _transform_by_join(
-    matrix: DataFrame, params: DataFrame, kind: str, normal: bool, keys: Sequence[str]
+def _transform_blocks(
+    matrix: DataFrame, params: DataFrame, kind: str, normal: bool, limit: int
 ) -> DataFrame:
-    others = [c for c in matrix.columns if c != "features"]
-    if kind == "quantile":
-        scored = blocked.quantile_blocks(matrix, params, keys, normal)
-        rebuilt = blocked.join_blocks(scored, keys)
-    else:
-        rebuilt = from_long(transform_long(to_long(matrix, keys), params, kind), keys)
-    return matrix.drop("features").join(rebuilt, list(keys)).select(*others, "features")
-
-
-def _transform_quantile(matrix: DataFrame, params: DataFrame, normal: bool) -> DataFrame:
-    """Row-local ranks; the size of the table has been checked."""
-    table = np.array(
-        [r["quantiles"] for r in params.orderBy("feature_idx").select("quantiles").collect()]
-    )
+    if kind != "quantile":
+        three = F.array("center", "scale", F.coalesce("lambda", F.lit(1.0)))
+        params = params.withColumn("quantiles", three)
+    table = hold(params, "feature_idx", "quantiles", limit)
     shared = matrix.sparkSession.sparkContext.broadcast(table)
-    scored = map_features(
-        matrix, lambda block: rank_scores(block, shared.value, normal), "_u", drop=("features",)
-    )
-    return scored.withColumnRenamed("_u", "features").select(*matrix.columns)
+
+    def scale(block: np.ndarray) -> np.ndarray:
+        mine = opened(shared.value)[: block.shape[1]]
+        if kind == "quantile":
+            return rank_scores(block, mine, normal)
+        center, spread, lam = mine.T
+        return ((yeo_johnson_cells(block, lam) if kind == "power" else block) - center) / spread
+
+    return map_cells(matrix, scale, table.shape[0])
 
 
 # --- comparison -----------------------------------------------------------
@@ -293,7 +286,6 @@ def scaled_stats(
     rows: int | None = None,
     group_limit: int = GROUP_LIMIT,
     compress: bool = False,
-    keys: Sequence[str] = ("row_id",),
     inline_limit: int = INLINE_LIMIT,
 ) -> DataFrame:
     """Range, mean and deviation of every feature after each scaling, tidy.
@@ -343,11 +335,10 @@ def scaled_stats(
         )
     if "quantile" in kinds:
         params = materialize(_fit_quantile(cells, rows, group_limit), "quantiles")
-        if params_size(params) > inline_limit:
-            blocks = blocked.quantile_blocks(matrix, params, keys)
-            scored = moments(blocked.long_blocks(blocks))
-        else:
-            scored = moments(to_long(transform(matrix, params, "quantile")))
+        ranks = transform(
+            matrix, params.withColumn("scaler", F.lit("quantile")), "quantile", inline_limit=inline_limit
+        )
+        scored = moments(to_long(ranks))
         parts.append(
             scored.select(
                 F.lit("quantile").alias("scaler"),

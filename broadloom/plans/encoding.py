@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadloom.operators import blocked, compat, layers, network, scalers
+from broadloom.operators import compat, layers, network, scalers
 from broadloom.operators import matrix as m
 from broadloom.sources.sinks import write_encoded
 
@@ -48,27 +48,22 @@ def encode_matrix(
     on_missing: str = "raise",
     fallback: bool = False,
     max_params: int = network.MAX_PARAMS,
-    key: str = "row_id",
 ) -> DataFrame:
     """Append ``encoded`` to the metadata of each row.
 
-    Without a scaler the data is encoded unscaled. A model up to ``max_params``
-    weights runs row-locally; a larger one is multiplied block by block and needs
-    ``key`` to identify a row.
+    Without a scaler the data is encoded unscaled. Row-local for models of any size: the plan
+    has no exchange, rows need no key, and a row that cannot be encoded is flagged alone. Where
+    the middle layer stands in for a bottleneck and is no dense layer, its own output is
+    taken, that is with the normalisation.
     """
     layer, _ = bottleneck_layer(model_layers, model, fallback=fallback)
     prepared = m.as_float64(m.as_float32(m.fill_nulls(matrix, null_policy)))
     if scaler is not None:
-        prepared = scalers.transform(prepared, params, scaler, on_missing=on_missing, keys=(key,))
-    try:
-        stages = network.load_stages(
-            model_layers, weights, model, through=layer, max_params=max_params
-        )
-    except network.ModelTooLarge:
-        return blocked.encode_blocked(
-            prepared, model_layers, weights, model, layer, key=key, block_params=max_params
-        )
-    return network.encode(prepared, stages)
+        prepared = scalers.transform(prepared, params, scaler, on_missing=on_missing)
+    stages = network.load_stages(model_layers, weights, model, through=layer, max_params=max_params)
+    of_layer = (F.col("model") == model) & (F.col("layer_idx") == layer)
+    kind = model_layers.filter(of_layer).select("kind").first()["kind"]
+    return network.encode(prepared, stages, normalised=kind != "dense")
 
 
 def encode_table(
@@ -136,7 +131,7 @@ def encode_all(
             if scaler is not None:
                 data = m.trim(data, compat.expected_features(params, scaler))
             encoded = encode_matrix(
-                data, params, scaler, model_layers, weights, model, fallback=True, key=key, **options
+                data, params, scaler, model_layers, weights, model, fallback=True, **options
             )
             if not include_metadata:
                 encoded = encoded.select(

@@ -97,13 +97,20 @@ def g05(spark, sf_dir):
 
 @query("g05_encode_blocked", _CODED)
 def g05_blocked(spark, sf_dir):
-    """The same with the kernels multiplied block by block, as for very large models."""
+    """The same with mapped kernels, as for very large models; row keys repeat."""
     model_layers, weights = fx.class_model(spark, sf_dir)
+    same_key = fx.matrix(spark, sf_dir).withColumnRenamed("row_id", "id").withColumn("row_id", F.lit(1))
     encoded = encoding.encode_matrix(
-        m.as_float64(fx.matrix(spark, sf_dir)), scalers.empty_params(spark), None,
+        m.as_float64(same_key), scalers.empty_params(spark), None,
         model_layers, weights, fx.CLASS_MODEL, max_params=100,
     )
-    return _units(encoded, "encoded")
+    return _units(encoded.withColumn("row_id", F.col("id")), "encoded")
+
+
+@query("g04_reconstruct_mapped", _CODED)
+def g04_mapped(spark, sf_dir):
+    stages = network.load_stages(*fx.class_model(spark, sf_dir), fx.CLASS_MODEL, max_params=100)
+    return _units(network.reconstruct(fx.matrix(spark, sf_dir), stages), "pred")
 
 
 @query(
@@ -127,18 +134,29 @@ def g05_scaled(spark, sf_dir):
     return _units(scale_and_encode(spark, sf_dir), "encoded")
 
 
-@query(
-    "g06_encode_errors",
-    f"""WITH {fx.CLASS_WEIGHTS}
+_FLAGGED = f"""WITH {fx.CLASS_WEIGHTS}
 SELECT c.row_id, CAST(j AS INTEGER) AS unit, round(e, 6) AS value, NULL::VARCHAR AS encode_error
 FROM coded c JOIN embeddings v ON v.vec_id = c.row_id WHERE label <> 3
-UNION ALL SELECT vec_id, NULL, NULL, 'expected 64 features, found 63' FROM embeddings WHERE label = 3""",
-)
+UNION ALL SELECT vec_id, NULL, NULL, 'expected 64 features, found 63' FROM embeddings WHERE label = 3"""
+
+
+@query("g06_encode_errors", _FLAGGED)
 def g06(spark, sf_dir):
     """Rows of one label lack a feature: they are flagged, the others are encoded."""
+    return _with_short_rows(spark, sf_dir, network.MAX_PARAMS)
+
+
+@query("g06_encode_errors_blocked", _FLAGGED)
+def g06_mapped(spark, sf_dir):
+    """The same with mapped kernels."""
+    return _with_short_rows(spark, sf_dir, 100)
+
+
+def _with_short_rows(spark, sf_dir, max_params):
     short = F.when(F.col("Label") == "3", F.slice("features", 1, 63)).otherwise(F.col("features"))
     ragged = fx.matrix(spark, sf_dir).withColumn("features", short)
-    encoded = network.encode(ragged, _stages(spark, sf_dir))
+    stages = network.load_stages(*fx.class_model(spark, sf_dir), fx.CLASS_MODEL, max_params=max_params)
+    encoded = network.encode(ragged, stages)
     return encoded.select(
         "row_id", "encode_error", F.posexplode_outer("encoded").alias("unit", "value")
     ).withColumn("value", F.round("value", 6))
