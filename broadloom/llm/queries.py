@@ -20,6 +20,17 @@ from broadloom.llm.registry import ORACLES, QUERIES, query, table
 
 __all__ = ["ORACLES", "QUERIES"]
 
+# The words of a text, with A-Z alone in lower case.
+_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+
+
+def words_sql(table: str, key: str, pattern: str) -> str:
+    return (
+        f"SELECT {key}, regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), "
+        f"'{pattern}') AS w FROM {table}"
+    )
+
+
 OP2_SQL = """
 WITH d AS (
   SELECT doc_id, sha256(coalesce(text, '')) AS text_sha256 FROM documents
@@ -49,14 +60,63 @@ def op10_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), token_counts.default_tokenizer())
 
 
-@query("op6_benchmark_decontamination")
+_OP6_WORD = "[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+"
+OP6_SQL = f"""
+WITH docs AS MATERIALIZED ({words_sql("documents", "doc_id", _OP6_WORD)}),
+items AS ({words_sql("benchmark", "item_id", _OP6_WORD)}),
+windows AS MATERIALIZED (
+  SELECT DISTINCT CAST(item_id AS VARCHAR) AS item_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 10 THEN [w]
+    ELSE list_transform(range(1, len(w) - 8), lambda i: w[i:i + 9]) END) AS s FROM items
+), sizes AS (SELECT DISTINCT len(s) AS size FROM windows),
+places AS MATERIALIZED (
+  SELECT doc_id, size, unnest(range(1, len(w) - size + 2)) AS i, w FROM docs JOIN sizes ON len(w) >= size
+), found AS MATERIALIZED (
+  SELECT p.doc_id, p.i, p.size, x.item_id FROM places p JOIN windows x ON p.w[p.i:p.i + p.size - 1] = x.s
+), hits AS (
+  SELECT doc_id, count(DISTINCT place) AS n_hit
+  FROM (SELECT doc_id, unnest(range(i, i + size)) AS place FROM found) GROUP BY doc_id
+), of_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS names
+  FROM (SELECT DISTINCT doc_id, item_id FROM found) GROUP BY doc_id
+)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN hits USING (doc_id) LEFT JOIN of_items USING (doc_id)
+"""
+
+
+@query("op6_benchmark_decontamination", OP6_SQL)
 def op6_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with its words inside benchmark windows."""
     docs, benchmark = (table(spark, sf_dir, name) for name in ("documents", "benchmark"))
     return decontamination.contamination(docs, benchmark).drop("tag")
 
 
-@query("op1_minhash_near_dedup")
+OP1_SQL = f"""
+WITH RECURSIVE tokens AS MATERIALIZED (
+  {words_sql("documents", "doc_id", "[^\\x20\\x09-\\x0D]+")}
+), shingles AS MATERIALIZED (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w]
+    ELSE list_transform(range(1, len(w) - 3), lambda i: w[i:i + 4]) END) AS s FROM tokens
+), sized AS MATERIALIZED (
+  SELECT t.doc_id, count(s) AS n FROM tokens t LEFT JOIN shingles USING (doc_id) GROUP BY t.doc_id
+), shared AS MATERIALIZED (
+  SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS k
+  FROM shingles a JOIN shingles b ON a.s = b.s AND a.doc_id <> b.doc_id GROUP BY ALL
+), links AS MATERIALIZED (
+  SELECT a, b FROM shared JOIN sized x ON x.doc_id = a JOIN sized y ON y.doc_id = b
+  WHERE 100 * k >= 85 * (x.n + y.n - k)
+), reach AS (
+  SELECT doc_id AS a, doc_id AS b FROM sized
+  UNION
+  SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b
+), least AS (SELECT a AS doc_id, min(b) AS component_id FROM reach GROUP BY a)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sized JOIN least USING (doc_id)
+"""
+
+
+@query("op1_minhash_near_dedup", OP1_SQL)
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with the near-duplicate component it belongs to."""
     docs = table(spark, sf_dir, "documents")
