@@ -62,6 +62,21 @@ def gate(
         raise Incompatible(f"{len(text)} non-numeric feature columns, first: {text[:5]}")
 
 
+def gate_names(names: Sequence[str], expected: int | None, bad_cells: DataFrame | None = None) -> None:
+    """The gate of a table that was read as an array: its feature names, and text cells if counted.
+
+    ``bad_cells`` is the result of ``non_numeric_features``; only its first rows are read.
+    """
+    verdict = feature_count_check(len(names), expected)
+    if not verdict["count_matches"]:
+        raise Incompatible(f"expected {expected} features, found {len(names)}")
+    if bad_cells is not None:
+        n = bad_cells.count()
+        first = [names[r["feature_idx"]] for r in bad_cells.orderBy("feature_idx").limit(5).collect()] if n else []
+        if n:
+            raise Incompatible(f"{n} non-numeric feature columns, first: {first}")
+
+
 CHECK_SCHEMA = (
     "total_columns int, n_metadata int, metadata_found string, n_features int, expected int, "
     "missing int, extra int, count_matches boolean, n_non_numeric int, "
@@ -89,6 +104,22 @@ def check_schema(
     return spark.createDataFrame([row], CHECK_SCHEMA)
 
 
+def check_csv(
+    spark: SparkSession, path: str, expected: int | None, metadata: Sequence[str] = METADATA
+) -> DataFrame:
+    """The full check of a very wide CSV, read as one array per row; types come from all rows."""
+    from broadloom.sources import tables
+
+    text, names = tables.read_text_matrix(spark, path, metadata)
+    index = tables.infer_feature_types(text, names)
+    types = {"bigint": T.LongType(), "double": T.DoubleType(), "string": T.StringType()}
+    found = {r["feature_name"]: types[r["dtype"]] for r in index.select("feature_name", "dtype").collect()}
+    header = tables.read_header(spark, path)
+    schema = T.StructType([T.StructField(n, found.get(n, T.StringType())) for n in header])
+    counted = missing_count(tables.parse_cells(text))
+    return with_counts(check_schema(spark, schema, expected, metadata), counted)
+
+
 def check(
     df: DataFrame,
     expected: int | None,
@@ -101,8 +132,11 @@ def check(
     """
     fields = feature_fields(df.schema, metadata, exclude=exclude)
     numeric = [f for f in fields if is_numeric(f.dataType)]
-    narrow = df.select(*[F.col(f"`{f.name}`") for f in numeric])
-    counted = missing_count(to_matrix(narrow, (), null_policy="propagate"))
+    others = [f.name for f in fields if not is_numeric(f.dataType)]
+    only = to_matrix(df, metadata, exclude=[*exclude, *others], null_policy="propagate") if numeric else df.select(
+        F.array().cast("array<double>").alias("features")
+    )
+    counted = missing_count(only)
     return with_counts(check_schema(df.sparkSession, df.schema, expected, metadata, exclude), counted)
 
 

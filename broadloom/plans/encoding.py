@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadloom.operators import compat, layers, network, scalers
 from broadloom.operators import matrix as m
+from broadloom.sources import tables
 from broadloom.sources.sinks import write_encoded
 
 # Fixed value: the scaler of a model that names none.
@@ -91,6 +92,41 @@ def encode_table(
     return encoded
 
 
+def encode_csv(
+    spark: SparkSession,
+    path: str,
+    params: DataFrame,
+    scaler: str,
+    model_layers: DataFrame,
+    weights: DataFrame,
+    model: str,
+    *,
+    metadata: Sequence[str] = m.METADATA,
+    exclude: Sequence[str] = (),
+    keep: Sequence[str] = (),
+    output: str | None = None,
+    named: bool = True,
+) -> DataFrame:
+    """Gate, scale and encode a very wide CSV, whose features are read as one array."""
+    text, names = tables.read_text_matrix(spark, path, metadata, keep)
+    skipped = {i for i, n in enumerate(names) if n in set(exclude)}
+    cells = text.select(F.posexplode("cells").alias("feature_idx", "value"))
+    if skipped:
+        cells = cells.filter(~F.col("feature_idx").isin(skipped))
+    bad = compat.non_numeric_features(cells)
+    kept = [n for i, n in enumerate(names) if i not in skipped]
+    expected = compat.expected_features(params, scaler)
+    compat.gate_names(kept if skipped else names, expected, bad if not skipped else None)
+    if skipped and not bad.isEmpty():
+        raise compat.Incompatible(f"{bad.count()} non-numeric feature columns")
+    matrix, _ = tables.read_feature_csv(spark, path, metadata, exclude=exclude, keep=keep)
+    encoded = encode_matrix(matrix, params, scaler, model_layers, weights, model)
+    _, units = bottleneck_layer(model_layers, model)
+    if output is not None:
+        write_encoded(encoded, output, width=units if named else None)
+    return encoded
+
+
 STATUS_SCHEMA = "model string, scaler string, output string, rows bigint, failed_rows bigint, error string"
 
 
@@ -106,6 +142,7 @@ def encode_all(
     default: str = DEFAULT_SCALER,
     include_metadata: bool = True,
     key: str = "row_id",
+    named: bool = True,
     **options,
 ) -> DataFrame:
     """Encode with every stored model, each with its own scaler.
@@ -137,7 +174,8 @@ def encode_all(
                 encoded = encoded.select(
                     *[c for c in encoded.columns if c in (key, "encoded", "encode_error")]
                 )
-            write_encoded(encoded, path)
+            _, units = bottleneck_layer(model_layers, model, fallback=True)
+            write_encoded(encoded, path, width=units if named else None)
             written = spark.read.parquet(path)
             counts = written.agg(
                 F.count("*").alias("n"), F.count("encode_error").alias("bad")

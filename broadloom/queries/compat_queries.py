@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from broadloom.operators import compat, scalers
 from broadloom.operators import matrix as m
 from broadloom.queries import fixtures as fx
+from broadloom.queries.matrix_queries import WIDE, wide_table
 from broadloom.queries.registry import query
 from broadloom.session import scratch_path
 from broadloom.sources import artifacts, sinks
@@ -121,6 +122,18 @@ def _stored(spark, sf_dir):
     return artifacts.load_params(spark, path)
 
 
+# What the schema of the table says about each variant.
+_DESCRIBED = """columns AS (SELECT column_name, column_type FROM (DESCRIBE lineitem)),
+variants AS (
+  SELECT 'fits' AS variant, ['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax'] AS names
+  UNION ALL SELECT 'missing', ['l_quantity', 'l_tax']
+  UNION ALL SELECT 'extra', ['l_quantity', 'l_extendedprice', 'l_discount', 'l_tax', 'l_linenumber']
+  UNION ALL SELECT 'text', ['l_quantity', 'l_extendedprice', 'l_discount', 'l_returnflag']),
+described AS (
+  SELECT variant, CAST(count(*) AS INTEGER) AS n, list(column_name) FILTER (WHERE column_type = 'VARCHAR') AS texts,
+         (SELECT CAST(count(*) AS INTEGER) FROM columns WHERE column_type = 'DOUBLE') AS expected
+  FROM variants JOIN columns ON list_contains(names, column_name) GROUP BY variant)"""
+
 _VARIANTS = {
     "fits": ("l_quantity", "l_extendedprice", "l_discount", "l_tax"),
     "missing": ("l_quantity", "l_tax"),
@@ -145,10 +158,9 @@ def _checked(spark, sf_dir, known=True):
 
 @query(
     "h01_feature_count_check",
-    """SELECT variant, CAST(n AS INTEGER) AS n_features, 4::INTEGER AS expected,
-       CAST(greatest(4 - n, 0) AS INTEGER) AS missing, CAST(greatest(n - 4, 0) AS INTEGER) AS extra, n = 4 AS count_matches
-FROM (SELECT * FROM (VALUES ('fits', 4), ('missing', 2), ('extra', 5), ('text', 4)) v(variant, n))
-WHERE (SELECT count(*) FROM lineitem) > 0""",
+    f"""WITH {_DESCRIBED}
+SELECT variant, n AS n_features, expected, greatest(expected - n, 0) AS missing,
+       greatest(n - expected, 0) AS extra, n = expected AS count_matches FROM described""",
 )
 def h01(spark, sf_dir):
     return _checked(spark, sf_dir).select(
@@ -158,8 +170,12 @@ def h01(spark, sf_dir):
 
 @query(
     "h02_metadata_presence",
-    """SELECT variant, 1::INTEGER AS n_metadata, 'l_linestatus' AS metadata_found, (SELECT count(*) FROM lineitem) AS rows
-FROM (SELECT unnest(['fits', 'missing', 'extra', 'text']) AS variant)""",
+    f"""WITH {_DESCRIBED}, found AS (
+  SELECT column_name FROM columns WHERE column_name IN ('l_linestatus', 'l_shipmode')
+  AND column_name = 'l_linestatus')
+SELECT variant, (SELECT CAST(count(*) AS INTEGER) FROM found) AS n_metadata,
+       (SELECT string_agg(column_name, ',') FROM found) AS metadata_found, (SELECT count(*) FROM lineitem) AS rows
+FROM described""",
 )
 def h02(spark, sf_dir):
     return _checked(spark, sf_dir).select("variant", "n_metadata", "metadata_found", "rows")
@@ -167,14 +183,28 @@ def h02(spark, sf_dir):
 
 @query(
     "h03_verdict",
-    """SELECT variant, variant = 'fits' AS compatible, (SELECT count(*) FROM lineitem) AS rows,
-       (SELECT CAST(count(*) - count(l_tax) AS BIGINT) FROM lineitem) AS missing_cells
-FROM (SELECT unnest(['fits', 'missing', 'extra', 'text']) AS variant)""",
+    f"""WITH {_DESCRIBED}
+SELECT variant, n = expected AND texts IS NULL AS compatible, (SELECT count(*) FROM lineitem) AS rows,
+       (SELECT CAST(count(*) - count(l_tax) AS BIGINT) FROM lineitem) AS missing_cells FROM described""",
 )
 def h03(spark, sf_dir):
     return _checked(spark, sf_dir).select("variant", "compatible", "rows", "missing_cells")
 
 
+@query(
+    "h03_verdict_wide",
+    f"""SELECT {WIDE + 2}::INTEGER AS total_columns, {WIDE}::INTEGER AS n_features, {WIDE}::INTEGER AS expected,
+       true AS compatible, count(*) AS rows,
+       CAST({WIDE} * count(*) FILTER (WHERE embedding IS NULL) AS BIGINT) AS missing_cells FROM embeddings""",
+)
+def h03_wide(spark, sf_dir):
+    """The full check of a table of 2,500 feature columns, and its gate."""
+    wide = wide_table(spark, sf_dir)
+    compat.gate(wide.schema, WIDE, ["Label", "row_id"])
+    found = compat.check(wide, WIDE, ["Label", "row_id"])
+    return found.select("total_columns", "n_features", "expected", "compatible", "rows", "missing_cells")
+
+
 @query(
     "h03_unknown_expectation",
     """SELECT variant, false AS compatible, NULL::INTEGER AS missing
@@ -187,10 +217,11 @@ def h03_unknown(spark, sf_dir):
 
 @query(
     "h04_gate",
-    """SELECT variant, variant = 'fits' AS passed, CASE variant WHEN 'fits' THEN NULL
-  WHEN 'missing' THEN 'expected 4 features, found 2' WHEN 'extra' THEN 'expected 4 features, found 5'
-  ELSE '1 non-numeric feature columns, first: [''l_returnflag'']' END AS reason
-FROM (SELECT unnest(['fits', 'missing', 'extra', 'text']) AS variant) WHERE (SELECT count(*) FROM lineitem) > 0""",
+    f"""WITH {_DESCRIBED}
+SELECT variant, n = expected AND texts IS NULL AS passed,
+       CASE WHEN n <> expected THEN 'expected ' || expected || ' features, found ' || n
+            WHEN texts IS NOT NULL THEN len(texts) || ' non-numeric feature columns, first: [''' || texts[1] || ''']' END AS reason
+FROM described""",
 )
 def h04(spark, sf_dir):
     """The gate of every variant: passed, or the reason it stopped the run."""

@@ -248,6 +248,51 @@ def b07(spark, sf_dir):
     return _cells(m.to_matrix(supplier, ["s_name"], keep=["s_suppkey"]), "s_suppkey")
 
 
+# Column j of the wide table is feature j % 64 times a power of two.
+WIDE = 2500
+WIDE_SQL = f"""wide AS (
+  SELECT row_id, j AS feature_idx, x * pow(2, (j // 64) % 8) AS x
+  FROM cells JOIN (SELECT unnest(range(0, {WIDE})) AS j) ON feature_idx = j % 64)"""
+
+
+def wide_table(spark, sf_dir):
+    """One column per feature, far more than one generated method can hold."""
+    columns = [f"double(embedding[{j % 64}]) * {2 ** (j // 64 % 8)}.0D as f{j}" for j in range(WIDE)]
+    return fx.table(spark, sf_dir, "embeddings").selectExpr("vec_id as row_id", "string(label) as Label", *columns)
+
+
+@query(
+    "b07_assemble_wide",
+    f"""WITH {fx.CELLS}, {WIDE_SQL}
+SELECT CAST(feature_idx AS INTEGER) AS feature_idx, count(*) AS rows, round(sum(x), 5) + 0.0 AS total
+FROM wide GROUP BY feature_idx""",
+)
+def b07_wide(spark, sf_dir):
+    cells = m.to_long(m.to_matrix(wide_table(spark, sf_dir), keep=["row_id"]))
+    return cells.groupBy("feature_idx").agg(
+        F.count("*").alias("rows"), (F.round(F.sum("value"), 5) + 0.0).alias("total")
+    )
+
+
+@query(
+    "a11_named_outputs_wide",
+    f"""WITH {fx.CELLS}
+SELECT CAST(unit AS INTEGER) AS unit, count(*) AS rows, round(sum(x), 6) + 0.0 AS total
+FROM cells JOIN (SELECT unnest(range(0, 1024)) AS unit) ON feature_idx = unit % 64 GROUP BY unit""",
+)
+def a11_wide(spark, sf_dir):
+    """1,024 named outputs, written and read again."""
+    path = scratch_path(spark, "encoded-wide")
+    matrix = fx.matrix(spark, sf_dir)
+    encoded = matrix.select("row_id", F.flatten(F.array_repeat("features", 16)).alias("encoded"))
+    sinks.write_encoded(encoded, path, width=1024)
+    stored = spark.read.parquet(path)
+    named = stored.selectExpr(f"array({', '.join(f'encoded_{i}' for i in range(1024))}) as features")
+    return m.to_long(named).groupBy(F.col("feature_idx").alias("unit")).agg(
+        F.count("*").alias("rows"), (F.round(F.sum("value"), 6) + 0.0).alias("total")
+    )
+
+
 @query(
     "b08_positional_trim",
     f"WITH {fx.CELLS} SELECT row_id, CAST(feature_idx AS INTEGER) AS feature_idx, x AS value "

@@ -9,6 +9,7 @@ from broadloom.operators import matrix as m
 from broadloom.plans import encoding
 from broadloom.plans.tuning import grid_configs, tune
 from broadloom.queries import fixtures as fx
+from broadloom.queries.matrix_queries import WIDE, WIDE_SQL, wide_table
 from broadloom.queries.registry import query
 from broadloom.session import materialize, scratch_path
 from broadloom.sources import artifacts, tables
@@ -58,14 +59,42 @@ def g01(spark, sf_dir):
     return fitted.history(spark)
 
 
-@query("g02_grid_run")
+@query(
+    "g02_grid_run",
+    """SELECT CAST(t AS INTEGER) AS trial_id, true AS rmse_fits, true AS improvement_fits, true AS took_time,
+       CAST(2 * (64 * a + a) + 0 AS BIGINT) > 0 AS has_params, round(b, 6) + 0.0 AS baseline_mse
+FROM (SELECT unnest(range(1, 5)) AS t, 24 AS a)
+CROSS JOIN (SELECT avg(v) AS b FROM (SELECT var_pop((x - c) / CASE WHEN s < 1e-14 THEN 1.0 ELSE s END) AS v FROM (
+  SELECT feature_idx, x, quantile_cont(x, 0.5) OVER f AS c,
+         quantile_cont(x, 0.75) OVER f - quantile_cont(x, 0.25) OVER f AS s
+  FROM (SELECT vec_id, unnest(embedding)::DOUBLE AS x, generate_subscripts(embedding, 1) - 1 AS feature_idx FROM embeddings)
+  WINDOW f AS (PARTITION BY feature_idx)) GROUP BY feature_idx))""",
+)
 def g02(spark, sf_dir):
-    """Four configurations trained together; one trial row each."""
+    """Four configurations trained together: what must hold of every trial row."""
+    stored = _grid_trials(spark, sf_dir)
+    near = lambda a, b: F.abs(a - b) < 1e-9
+    return stored.select(
+        "trial_id",
+        near(F.col("rmse") * F.col("rmse"), F.col("mse")).alias("rmse_fits"),
+        near(F.col("improvement_ratio"), 1 - F.col("mse") / F.col("baseline_mse")).alias("improvement_fits"),
+        (F.col("total_training_time") > 0).alias("took_time"),
+        (F.col("total_params") > 0).alias("has_params"),
+        (F.round("baseline_mse", 6) + 0.0).alias("baseline_mse"),
+    )
+
+
+@query("g02_grid_trials")
+def g02_trials(spark, sf_dir):
+    """The trial rows themselves."""
+    return _grid_trials(spark, sf_dir).withColumn("layer_config", F.to_json("layer_config"))
+
+
+def _grid_trials(spark, sf_dir):
     path = scratch_path(spark, "trials")
     configs = grid_configs((4, 8), ((24,), (24, 12)), learning_rate=0.005)
     tune(fx.matrix(spark, sf_dir), "robust", configs, path, epochs=2)
-    stored = tables.read_trials(spark, path)
-    return stored.withColumn("layer_config", F.to_json("layer_config"))
+    return tables.read_trials(spark, path)
 
 
 # --- inference ------------------------------------------------------------
@@ -107,6 +136,26 @@ def g05_blocked(spark, sf_dir):
     return _units(encoded.withColumn("row_id", F.col("id")), "encoded")
 
 
+@query(
+    "g05_encode_wide",
+    f"""WITH {fx.CELLS}, {WIDE_SQL}, peaks AS (SELECT feature_idx, max(abs(x)) AS s FROM wide GROUP BY feature_idx),
+units AS (SELECT unnest(range(0, 4)) AS unit)
+SELECT row_id, CAST(unit AS INTEGER) AS unit,
+       round(greatest(sum(x / s * (((feature_idx * 7 + unit * 13) % 11 - 5) / 10.0)) + any_value(unit) / 10.0, 0.0), 6) + 0.0 AS value
+FROM wide JOIN peaks USING (feature_idx) CROSS JOIN units GROUP BY row_id, unit""",
+)
+def g05_wide(spark, sf_dir):
+    """Gate, scale and encode a table of 2,500 feature columns."""
+    wide = wide_table(spark, sf_dir)
+    params = materialize(scalers.fit(m.to_matrix(wide, keep=["row_id"]), "maxabs"), "params")
+    rows = [("wide", 1, "kernel", i, [((i * 7 + j * 13) % 11 - 5) / 10 for j in range(4)]) for i in range(WIDE)]
+    rows.append(("wide", 1, "bias", 0, [j / 10 for j in range(4)]))
+    weights = spark.createDataFrame(rows, network.WEIGHTS_SCHEMA)
+    model_layers = network.layers_table(spark, [("wide", WIDE, (), 4)])
+    encoded = encoding.encode_table(wide, params, "maxabs", model_layers, weights, "wide", keep=["row_id"])
+    return _units(encoded, "encoded").withColumn("value", F.col("value") + 0.0)
+
+
 @query("g04_reconstruct_mapped", _CODED)
 def g04_mapped(spark, sf_dir):
     stages = network.load_stages(*fx.class_model(spark, sf_dir), fx.CLASS_MODEL, max_params=100)

@@ -28,11 +28,11 @@ def write_encoded(
 ) -> None:
     """Overwrite the encoded output: CSV or Parquet by the ending of the path.
 
-    With ``width`` up to 512 the array is spread over ``encoded_0 ...``. A wider CSV
+    With ``width`` the array is spread over ``encoded_0 ...``, however many. Without it a CSV
     gets the array as one text field; Parquet keeps it as an array.
     """
     as_csv = path.rstrip("/").lower().endswith(".csv")
-    if width is not None and width <= 512:
+    if width is not None:
         encoded = name_columns(encoded, column, width)
     elif as_csv:
         encoded = encoded.withColumn(column, F.to_json(column))

@@ -64,11 +64,18 @@ def test_long_and_back(matrix_of):
     assert back.collect() == matrix.orderBy("row_id").collect()
 
 
-def test_named_columns_limit(matrix_of):
-    wide = matrix_of([[1, 2]])
-    assert m.name_columns(wide, "features", 2).columns == ["row_id", "encoded_0", "encoded_1"]
-    with pytest.raises(ValueError):
-        m.name_columns(wide, "features", 513)
+def test_named_columns_of_any_width(matrix_of):
+    wide = matrix_of([list(range(700))])
+    named = m.name_columns(wide, "features", 700)
+    assert named.columns == ["row_id", *[f"encoded_{i}" for i in range(700)]]
+    assert list(named.first())[1:] == [float(i) for i in range(700)]
+
+
+def test_wide_tables_and_odd_names(spark):
+    names = [f"a`b.{i}" for i in range(2100)]
+    df = spark.createDataFrame([(*([1] * 2100), "x")], ", ".join(f"`{n.replace('`', '``')}` int" for n in names) + ", Label string")
+    matrix = m.to_matrix(df)
+    assert matrix.columns == ["Label", "features"] and m.width_of(matrix) == 2100
 
 
 # --- CSV ------------------------------------------------------------------
