@@ -20,6 +20,9 @@ from broadloom.functions.numeric import bin_index, finite_or_null
 from broadloom.session import materialize, small_side
 
 GROUP_LIMIT = 1_000_000
+# Interval bounds that may be broadcast: 64 MB of doubles.
+BROADCAST_BOUNDS = 8_000_000
+INFINITY = float("inf")
 BINS = 1024
 # Up to this many probabilities are bracketed by a sample.
 FEW = 16
@@ -82,7 +85,11 @@ def _of_bounded_groups(
         upper = F.get("_ordered", F.ceil(position).cast("int"))
         return lower + (upper - lower) * (position - F.floor(position))
 
-    found = F.when(F.size("_ordered") > 0, F.transform(levels, between))
+    ends = F.get("_ordered", F.lit(0)), F.get("_ordered", F.size("_ordered") - 1)
+    infinite = F.raise_error(F.lit(f"infinite values in {value}"))
+    found = F.when((ends[0] == -INFINITY) | (ends[1] == INFINITY), infinite).when(
+        F.size("_ordered") > 0, F.transform(levels, between)
+    )
     return ordered.select(*by, found.alias(name))
 
 
@@ -151,16 +158,25 @@ def _order_statistics(
         .select(*keys, "slot", "position", "rank", "below", F.col("n").alias("inside"), "lo", "hi")
     )
     state = materialize(state, "quantile-state")
+    endless = state.filter((F.col("lo") == -INFINITY) | (F.col("hi") == INFINITY)).first()
+    if endless is not None:
+        raise ValueError(f"infinite values in {value}, group {[endless[k] for k in keys]}")
     if len(probabilities) <= FEW and not weighted:
         sampled = _sampled_edges(data, keys, probabilities, max_group, group_limit)
         edges = materialize(sampled, "quantile-edges")
         step = _narrow(data, state, _within_edges(edges, keys, 2 * len(probabilities)), keys)
         state = materialize(step, "quantile-state")
-    round_no = 0
+    round_no, before = 0, []
     while True:
-        left = state.filter("lo < hi").agg(F.count("*").alias("n"), F.max("inside").alias("m")).first()
+        left = state.filter("lo < hi").agg(
+            F.count("*").alias("n"), F.max("inside").alias("m"), F.sum("inside").alias("all")
+        ).first()
         if not left["n"]:
             break
+        # Equal-width bins, then logarithmic ones: one of both must divide an interval.
+        if before[-2:] == [tuple(left)] * 2:
+            raise RuntimeError(f"{left['n']} intervals of {value} cannot be narrowed further")
+        before.append(tuple(left))
         if left["m"] <= group_limit and not weighted:
             step = _finish(data, state, left["n"], keys)
         else:
@@ -221,9 +237,25 @@ def _within_bins(still_open: int, keys: list[str], bins: int, logarithmic: bool)
 
 
 def _inside(data: DataFrame, wanted: DataFrame, still_open: int, keys: list[str]) -> DataFrame:
-    """The cells of the wanted intervals."""
-    joined = data.join(small_side(wanted, still_open), keys)
-    return joined.filter((F.col("v") >= F.col("lo")) & (F.col("v") <= F.col("hi")))
+    """The cells of the wanted intervals, each with its own one.
+
+    Open intervals of a group are disjoint. A group has one row with all its bounds in order, in
+    which a cell finds its interval by binary search: no pairs of cells and intervals.
+    """
+    per_group = wanted.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("lo", "hi"))).alias("_iv"))
+    per_group = per_group.select(*keys, F.col("_iv.lo").alias("_los"), F.col("_iv.hi").alias("_his"))
+    most = max(still_open, 1)
+    steps = F.array(*[F.lit(1 << i) for i in reversed(range(most.bit_length()))])
+
+    def step(at: Column, width: Column) -> Column:
+        return F.when(F.get("_los", at + width) <= F.col("v"), at + width).otherwise(at)
+
+    bounds = small_side(per_group, 2 * still_open, BROADCAST_BOUNDS)
+    placed = data.join(bounds, keys).withColumn("_at", F.aggregate(steps, F.lit(-1), step))
+    hit = placed.filter((F.col("_at") >= 0) & (F.col("v") <= F.get("_his", F.col("_at"))))
+    return hit.select(
+        *data.columns, F.get("_los", F.col("_at")).alias("lo"), F.get("_his", F.col("_at")).alias("hi")
+    )
 
 
 def _scale_key(x, logarithmic: bool):

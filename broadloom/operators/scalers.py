@@ -101,8 +101,11 @@ def _quantiles(
 
 
 def _cells(matrix: DataFrame, compress: bool) -> DataFrame:
-    """The long form, or with ``compress`` its stored value counts."""
+    """The long form, or with ``compress`` its stored value counts; infinite cells fail the fit."""
     long = to_long(matrix)
+    name = F.concat(F.lit("infinite value in feature "), F.col("feature_idx").cast("string"))
+    endless = F.abs("value") == float("inf")
+    long = long.withColumn("value", F.when(endless, F.raise_error(name)).otherwise(F.col("value")))
     return materialize(value_counts(long), "value-counts") if compress else long
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from broadloom.operators import matrix as m
 from broadloom.operators import metrics, scalers, stats
-from broadloom.operators.quantiles import quantiles
+from broadloom.operators.quantiles import quantiles, references
 from broadloom.plans.scaling import analyse_scaling, stat_histograms
 from broadloom.plans.tuning import error_histograms_of
 from broadloom.queries import fixtures as fx
@@ -217,7 +217,7 @@ def d19(spark, sf_dir):
 def d19_narrowed(spark, sf_dir):
     """The way taken by groups too large for one task, forced here."""
     events = fx.table(spark, sf_dir, "events")
-    return _box(stats.box_stats(events, "value", ["event_type"], group_limit=0, bins=64))
+    return _box(stats.box_stats(events, "value", ["event_type"], group_limit=100, bins=64))
 
 
 @query(
@@ -254,12 +254,29 @@ FROM line_cells GROUP BY feature_idx"""
 def exact_quantiles(spark, sf_dir):
     """Exact quantiles of features too long for one task."""
     found = quantiles(
-        m.to_long(fx.line_matrix(spark, sf_dir)), "value", [0.1, 0.5, 0.999], ["feature_idx"], group_limit=0
+        m.to_long(fx.line_matrix(spark, sf_dir)), "value", [0.1, 0.5, 0.999], ["feature_idx"], group_limit=500
     )
     at = lambda i: F.round(F.get("q", F.lit(i)), 6)
     return found.select("feature_idx", at(0).alias("p10"), at(1).alias("p50"), at(2).alias("p999"))
 
 
+@query(
+    "d08_thousand_levels_narrowed",
+    f"""WITH {fx.LINE_CELLS}, sorted AS (
+  SELECT feature_idx, list_sort(list(x)) AS xs, count(*) AS n FROM line_cells GROUP BY feature_idx),
+placed AS (SELECT feature_idx, xs, s, s * (n - 1) / 999.0 AS pos FROM sorted CROSS JOIN (SELECT unnest(range(0, 1000)) AS s))
+SELECT feature_idx::INTEGER AS feature_idx, s::INTEGER AS level,
+       round(xs[floor(pos)::BIGINT + 1] + (xs[ceil(pos)::BIGINT + 1] - xs[floor(pos)::BIGINT + 1]) * (pos - floor(pos)), 5) + 0.0 AS value
+FROM placed""",
+)
+def thousand_levels(spark, sf_dir):
+    """As many levels as the quantile scaler fits, for features too long for one task."""
+    cells = m.to_long(fx.line_matrix(spark, sf_dir))
+    found = quantiles(cells, "value", references(1000), ["feature_idx"], group_limit=500)
+    levels = found.select("feature_idx", F.posexplode("q").alias("level", "value"))
+    return levels.withColumn("value", F.round("value", 5) + 0.0)
+
+
 # --- the flagship ---------------------------------------------------------
 
 # Scaling cell by cell and then measuring; values are rounded before they are binned

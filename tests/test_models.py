@@ -146,6 +146,57 @@ def test_size_guard(scaled):
         training.fit_grid(scaled, [training.Config(1, 64, (4096,))], max_params=1000)
 
 
+@pytest.mark.parametrize("keys", [[2**60 + 3 * i for i in range(10)], [f"k{i:02}" for i in range(10)], [None, *range(9)]])
+def test_split_by_order_in_the_type_of_the_key(spark, keys):
+    kind = "string" if isinstance(keys[-1], str) else "long"
+    rows = [(k, [float(i)]) for i, k in enumerate(keys)]
+    df = spark.createDataFrame(rows[::-1], f"row_id {kind}, features array<double>")
+    later = training.split_by_order(df, "row_id").filter("is_validation").collect()
+    assert sorted(r["row_id"] for r in later) == keys[8:]
+
+
+def test_split_by_order_with_equal_keys(spark):
+    df = spark.createDataFrame([(i // 7, [float(i)]) for i in range(100)], "row_id long, features array<double>")
+    split = training.split_by_order(df, "row_id")
+    later = [r["row_id"] for r in split.filter("is_validation").collect()]
+    assert len(later) == 20 and min(later) == 80 // 7
+
+
+def test_larger_networks_report_more_time(scaled):
+    sizes = [training.Config(1, 2, (4,)), training.Config(2, 64, (512, 256))]
+    run = training.fit_grid(scaled, sizes, epochs=2, workers=2)
+    small, large = (sum(h[3] for h in p.history) for p in run.progress)
+    assert 0 < small < large
+
+
+def test_no_validation_rows(scaled):
+    with pytest.raises(ValueError, match="no validation rows"):
+        training.fit_grid(scaled.limit(3), [training.Config(1, 2, (4,))], epochs=1, workers=1, share=0.00011)
+    run = training.fit_grid(scaled, [training.Config(1, 2, (4,))], epochs=2, workers=2, share=0.0)
+    assert [h[2] for h in run.progress[0].history] == [None, None]
+
+
+def test_a_first_loss_that_is_no_number_is_not_kept(scaled, monkeypatch):
+    losses = iter([{1: (float("nan"), 0.1)}, {1: (0.5, 0.1)}, {1: (0.4, 0.1)}])
+    monkeypatch.setattr(training, "_losses", lambda rows, models: next(losses))
+    run = training.fit_grid(scaled, [training.Config(1, 2, (4,))], epochs=3, workers=2)
+    assert run.progress[0].best[0] == 0.4
+
+
+def test_large_parameters_need_no_key_and_no_exchange(spark, scaled, fitted):
+    model = "trial_1"
+    same_key = scaled.withColumn("row_id", F.lit(1))
+    args = (scalers.empty_params(spark), None, fitted.layers(spark), fitted.weights(spark), model)
+    encoded = encoding.encode_matrix(same_key, *args, max_params=50)
+    assert "Exchange" not in encoded._jdf.queryExecution().executedPlan().toString()
+    params = materialize(scalers.fit(scaled, "quantile"), "params")
+    ranked = scalers.transform(same_key, params, "quantile", inline_limit=0)
+    assert "Exchange" not in ranked._jdf.queryExecution().executedPlan().toString()
+    want = encoding.encode_matrix(scaled, *args).orderBy(F.col("encoded")).collect()
+    got = encoded.orderBy(F.col("encoded")).collect()
+    np.testing.assert_allclose([r["encoded"] for r in got], [r["encoded"] for r in want], rtol=1e-9, atol=1e-12)
+
+
 # --- storage and encoding -------------------------------------------------
 
 

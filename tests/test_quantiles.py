@@ -1,10 +1,13 @@
 """Exact quantiles on both ways against numpy."""
 
+import math
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from broadloom.operators import quantiles as module
+from broadloom.operators import scalers
 from broadloom.operators.quantiles import largest_group, median, quantiles, references
 
 LEVELS = [0.0, 0.1, 0.25, 0.5, 0.75, 0.999, 1.0]
@@ -92,3 +95,26 @@ def test_empty_input(spark):
     empty = spark.createDataFrame([], "g int, v double")
     assert quantiles(empty, "v", [0.5], ["g"]).count() == 0
     assert quantiles(empty, "v", [0.5], ["g"], group_limit=-1).count() == 0
+
+
+@pytest.mark.parametrize("limit", [10**6, 5])
+@pytest.mark.parametrize("end", [math.inf, -math.inf])
+def test_infinite_values_are_an_error(spark, limit, end):
+    df = spark.createDataFrame([(float(x),) for x in range(50)] + [(end,), (math.nan,)], "v double")
+    with pytest.raises(Exception, match="infinite values in v"):
+        quantiles(df, "v", [0.25, 0.5], group_limit=limit).collect()
+
+
+@pytest.mark.parametrize("kind", scalers.KINDS)
+def test_fits_reject_infinite_cells(matrix_of, kind):
+    with pytest.raises(Exception, match="infinite value in feature 1"):
+        scalers.fit(matrix_of([[1.0, 2.0], [3.0, math.inf], [5.0, 6.0]]), kind).collect()
+
+
+def test_many_levels_by_narrowing(spark):
+    rng = np.random.default_rng(8)
+    data = np.concatenate([rng.normal(size=3000), np.zeros(500), rng.pareto(0.5, 500) * 1e6])
+    df = spark.createDataFrame([(float(x),) for x in data], "v double")
+    levels = references(300)
+    got = quantiles(df, "v", levels, group_limit=20).first()["q"]
+    np.testing.assert_allclose(got, np.quantile(data, levels), rtol=1e-12)

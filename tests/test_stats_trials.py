@@ -209,3 +209,14 @@ def test_best_epoch_is_the_first_minimum(spark):
     row = history.convergence(epochs(spark, [3.0, 1, 2, 1])).first()
     assert (row["best_epoch"], row["total_epochs"], row["convergence_speed"]) == (2, 4, 0.5)
     assert (row["total_training_time"], row["avg_epoch_time"]) == (2.0, 0.5)
+
+
+def test_level_without_a_mean_is_never_the_best(spark):
+    rows = [(1, 16, 0.001, 0.1, 4, 1, 0.5, 0.9), (2, 32, 0.001, 0.1, 4, 1, float("nan"), 0.9), (3, 64, 0.001, 0.1, 4, 1, 0.1, 0.9)]
+    frame = spark.createDataFrame(
+        rows,
+        "trial_id int, batch_size int, learning_rate double, dropout_rate double, encoding_dim int, num_layers int, "
+        "mse double, r2_score double",
+    )
+    impact = {r["parameter"]: r for r in trials.level_impact(frame, ["batch_size"]).collect()}
+    assert impact["batch_size"]["best_level"] == 64 and impact["batch_size"]["worst_level"] == 32
