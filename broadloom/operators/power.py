@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from broadloom.functions.numeric import log_jacobian, with_yeo_johnson
-from broadloom.session import materialize, small_side
+from broadloom.session import discard, materialize, small_side
 
 TOLERANCE = 1e-8
 MAX_ROUNDS = 80
@@ -50,7 +50,8 @@ def fit_exponents(cells: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         seen = Observation()
         stepped = _round(cells, state, features).observe(seen, F.count_if(~F.col("done")).alias("open"))
-        state = materialize(stepped, "power-state")
+        before, state = state, materialize(stepped, "power-state")
+        discard(before)
         if not seen.get["open"]:
             break
     else:

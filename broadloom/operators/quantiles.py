@@ -17,7 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from broadloom.functions.numeric import bin_index, finite_or_null
-from broadloom.session import materialize, small_side
+from broadloom.session import discard, materialize, small_side
 
 GROUP_LIMIT = 1_000_000
 # Interval bounds that may be broadcast: 64 MB of doubles.
@@ -165,7 +165,9 @@ def _order_statistics(
         sampled = _sampled_edges(data, keys, probabilities, max_group, group_limit)
         edges = materialize(sampled, "quantile-edges")
         step = _narrow(data, state, _within_edges(edges, keys, 2 * len(probabilities)), keys)
-        state = materialize(step, "quantile-state")
+        last, state = state, materialize(step, "quantile-state")
+        discard(last)
+        discard(edges)
     round_no, before = 0, []
     while True:
         left = state.filter("lo < hi").agg(
@@ -181,7 +183,8 @@ def _order_statistics(
             step = _finish(data, state, left["n"], keys)
         else:
             step = _narrow(data, state, _within_bins(left["n"], keys, bins, round_no % 2 == 1), keys)
-        state = materialize(step, "quantile-state")
+        last, state = state, materialize(step, "quantile-state")
+        discard(last)
         round_no += 1
     back = [F.col(k).alias(b) for b, k in zip(by, keys)]
     return state.select(*back, "slot", "position", "rank", "lo")

@@ -2,15 +2,19 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import math
+from collections.abc import Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from broadloom.functions.numeric import bin_edge, bin_index, bin_range, finite_or_null
 from broadloom.operators.matrix import to_long
 from broadloom.operators.quantiles import quantiles
-from broadloom.session import materialize, small_side
+from broadloom.session import materialize, ship_package, small_side
 
 
 def moments(
@@ -162,18 +166,49 @@ def mean_interval(
 ) -> DataFrame:
     """Group mean with a seeded bootstrap interval.
 
-    Each row takes part in every replicate with a Poisson(1) weight drawn from a
-    hash of its key, so the draw does not depend on the partitioning. The replicate
-    sums are combined on the map side: the shuffle holds groups x replicates rows.
+    Each row takes part in every replicate with a Poisson(1) weight drawn from a hash of its
+    key, so the draw does not depend on the partitioning. Tasks draw the weights of a block of
+    rows as one array and send the replicate sums of their groups only.
     """
-    data = df.select(*by, F.col(key).alias("_key"), finite_or_null(F.col(value)).alias("_v"))
-    data = data.filter("_v is not null")
-    draws = data.withColumn(
-        "_rep", F.explode(F.sequence(F.lit(1), F.lit(replicates)))
-    ).withColumn("_w", _poisson_one(F.xxhash64("_key", "_rep", F.lit(seed))))
+    ship_package(df.sparkSession)
+    data = df.select(
+        *by, F.xxhash64(F.col(key), F.lit(seed)).alias("_h"), finite_or_null(F.col(value)).alias("_v")
+    ).filter("_v is not null")
+    kinds = dict(data.dtypes)
+    names = list(by)
+
+    def resample(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        steps = np.arange(1, replicates + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+        sums: dict[tuple, np.ndarray] = {}
+        for batch in batches:
+            for start in range(0, len(batch), 1024):
+                part = batch.slice(start, 1024)
+                h, v = (part.column(part.schema.get_field_index(c)).to_numpy() for c in ("_h", "_v"))
+                weights = poisson_one(h.view(np.uint64)[:, None] + steps)
+                both = np.stack([weights, weights * v[:, None]], 1)
+                groups: dict[tuple, list[int]] = {}
+                for i, group in enumerate(zip(*(c.to_pylist() for c in part.columns[: len(names)]), strict=True)):
+                    groups.setdefault(group, []).append(i)
+                for group, rows in groups.items():
+                    sums[group] = sums.get(group, 0.0) + both[rows].sum(axis=0)
+                if len(sums) > 1000:
+                    yield sent(sums)
+                    sums = {}
+        if sums:
+            yield sent(sums)
+
+    def sent(sums: dict[tuple, np.ndarray]) -> pa.RecordBatch:
+        columns = [pa.array([g[i] for g in sums for _ in range(replicates)], types[n]) for i, n in enumerate(names)]
+        columns.append(pa.array(np.tile(np.arange(1, replicates + 1, dtype=np.int32), len(sums))))
+        columns += [pa.array(np.concatenate([x[i] for x in sums.values()])) for i in range(2)]
+        return pa.RecordBatch.from_arrays(columns, names=[*names, "_rep", "_sw", "_swv"])
+
+    fields = "".join(f"`{n}` {kinds[n]}, " for n in names)
+    types = {f.name: f.type for f in to_arrow_schema(data.schema)}
     replicate_means = (
-        draws.groupBy(*by, "_rep")
-        .agg(F.sum("_w").alias("_sw"), F.sum(F.col("_w") * F.col("_v")).alias("_swv"))
+        data.mapInArrow(resample, f"{fields}_rep int, _sw double, _swv double")
+        .groupBy(*by, "_rep")
+        .agg(F.sum("_sw").alias("_sw"), F.sum("_swv").alias("_swv"))
         .filter("_sw > 0")
         .withColumn("_m", F.col("_swv") / F.col("_sw"))
     )
@@ -184,13 +219,11 @@ def mean_interval(
     return group_mean(df, value, by).join(spread, list(by), "left")
 
 
-def _poisson_one(hashed):
-    """Poisson(1) by inversion of a uniform drawn from a 64-bit hash."""
-    u = F.pmod(hashed, F.lit(1 << 52)) / F.lit(float(1 << 52))
-    weight = F.lit(0)
-    cumulative, term = 0.0, 0.36787944117144233
-    for k in range(1, 12):
-        cumulative += term
-        weight = F.when(u >= cumulative, F.lit(k)).otherwise(weight)
-        term /= k
-    return weight
+def poisson_one(hashed: np.ndarray) -> np.ndarray:
+    """Poisson(1) by inversion of uniforms made from 64-bit hashes."""
+    x = hashed.copy()
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    u = ((x ^ (x >> np.uint64(31))) >> np.uint64(11)) / float(1 << 53)
+    terms = np.cumprod([math.exp(-1), *(1.0 / k for k in range(1, 12))])
+    return np.searchsorted(np.cumsum(terms), u, "right").astype(float)

@@ -40,6 +40,7 @@ from broadloom.session import materialize, shared_dir, ship_package
 EPOCHS = 50
 PATIENCE = 5
 VALIDATION_SHARE = 0.2
+PARTITION_BYTES = 256 << 20
 NORM_MOMENTUM = 0.99
 ADAM = (0.9, 0.999, 1e-7)
 
@@ -402,7 +403,9 @@ def fit_grid(
         raise ModelTooLarge(f"{total} weights in the grid, at most {max_params} fit one worker")
     spark = matrix.sparkSession
     ship_package(spark)
-    workers = workers or spark.sparkContext.defaultParallelism
+    if workers is None:
+        size = matrix.count() * n_features * 8
+        workers = max(spark.sparkContext.defaultParallelism, math.ceil(size / PARTITION_BYTES))
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
     data = (

@@ -43,6 +43,11 @@ def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
     return _DERIVED[key]
 
 
+def forget_derived() -> None:
+    """Make the next query derive its tables again."""
+    _DERIVED.clear()
+
+
 # --- matrix ---------------------------------------------------------------
 
 CELLS = """cells AS (

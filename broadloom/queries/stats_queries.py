@@ -238,10 +238,21 @@ def d20(spark, sf_dir):
     return _rounded(found, 9, "mean")
 
 
-@query("d20_mean_interval")
+@query(
+    "d20_mean_interval",
+    f"""WITH {fx.REFINED} SELECT learning_rate, batch_size, dropout_rate, count(*) AS n,
+       round(avg(mse), 9) AS mean, true AS holds_mean, min(mse) < max(mse) AS is_open
+FROM combined WHERE source = 'refined' GROUP BY learning_rate, batch_size, dropout_rate""",
+)
 def d20_interval(spark, sf_dir):
+    """The draws are the library's own; what must hold of every interval."""
     by = ["learning_rate", "batch_size", "dropout_rate"]
-    return stats.mean_interval(fx.refined_table(spark, sf_dir), "mse", by, "trial_id")
+    found = stats.mean_interval(fx.refined_table(spark, sf_dir), "mse", by, "trial_id")
+    inside = (F.col("low") <= F.col("mean") + 1e-12) & (F.col("mean") <= F.col("high") + 1e-12)
+    return found.select(
+        *by, "n", F.round("mean", 9).alias("mean"), inside.alias("holds_mean"),
+        (F.col("low") + 1e-15 < F.col("high")).alias("is_open"),
+    )
 
 
 _NARROW = f"""WITH {fx.LINE_CELLS}

@@ -87,6 +87,19 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(df: DataFrame) -> None:
+    """Delete the stored table behind a result of ``materialize``.
+
+    Only for tables that no later job reads, such as the last state of an iteration once the next
+    one is stored: a lost executor may make Spark read any table of an open plan again.
+    """
+    context = df.sparkSession.sparkContext
+    for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
+        if "/broadloom/" in path:
+            target = context._jvm.org.apache.hadoop.fs.Path(path)
+            target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
+
+
 # Rows of parameters or interval bounds (about 100 MB) that may go to every executor.
 BROADCAST_ROWS = 2_000_000
 
