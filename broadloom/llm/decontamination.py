@@ -34,7 +34,7 @@ from broadloom.llm.textarrays import ALNUM, Words, chunks, words
 from broadloom.session import scratch_path, ship_package
 
 WIDTH = 10
-SEGMENT_BYTES = 4 << 20
+SEGMENT_BYTES = 2 << 20
 #: Bytes of test items that are collected and broadcast at a time.
 BLOCK_BYTES = 32 << 20
 
@@ -58,7 +58,8 @@ def build_index(docs: DataFrame, path: str | None = None, segment_bytes: int = S
         text_tag(docs).alias("tag"),
     )
     path = path or scratch_path(spark, "postings")
-    own.mapInArrow(index, _SEGMENT).write.parquet(path)
+    # Segments are large values: small row groups keep the writers' memory small.
+    own.mapInArrow(index, _SEGMENT).write.option("parquet.block.size", str(8 << 20)).parquet(path)
     return spark.read.schema(_SEGMENT).parquet(path)
 
 

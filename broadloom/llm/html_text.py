@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from broadloom.llm.textarrays import strings
 from broadloom.session import ship_package
 
 #: A path is content from this share of the best path's value on.
@@ -213,7 +214,7 @@ def extract(pages: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [main_text(html) for html in batch.column(2).to_pylist()]
+            texts = [main_text(html) for html in strings(batch.column(2))]
             yield pa.RecordBatch.from_arrays(
                 [*batch.columns[:2], pa.array(texts, pa.string()), pa.array(list(map(len, texts)), pa.int64())],
                 names=["page_id", "url", "text", "n_chars"],

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from broadloom.llm.byte_bpe import LETTER, _kinds
 from broadloom.llm.rows import text_tag, without
+from broadloom.llm.textarrays import strings
 from broadloom.session import materialize, ship_package
 
 UNKNOWN = "und"
@@ -36,7 +37,7 @@ ALPHA, BETA, L1, L2 = 0.5, 1.0, 0.05, 0.05
 SCALE = 20.0
 #: Texts with a lower score are rejected by the filter.
 LEAST_SCORE = 0.5
-CHUNK_CHARS = 1 << 20
+CHUNK_CHARS = 1 << 19
 
 _FACTORS = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -69,7 +70,7 @@ def _split(column: pa.Array) -> Iterator[tuple[int, list[str | None]]]:
     """Runs of texts of bounded total length."""
     texts: list[str | None] = []
     first, chars = 0, 0
-    for i, text in enumerate(column.to_pylist()):
+    for i, text in enumerate(strings(column)):
         texts.append(text)
         chars += len(text or "")
         if chars >= CHUNK_CHARS:

@@ -48,7 +48,7 @@ REGION_WIDTHS = (4096, 65536, 1 << 20)
 #: Candidates need this share of equal signature positions: four standard deviations of
 #: the estimate below the threshold.
 SLACK = 4.0
-BLOCK_ROWS = 400_000
+BLOCK_ROWS = 200_000
 REGION_BLOCK_ROWS = 50_000
 
 _SEED = np.random.Generator(np.random.PCG64(20240917))
@@ -314,37 +314,27 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for _, n, data, offsets in chunks(batch.column(0)):
+            for _, _, data, offsets in chunks(batch.column(0)):
                 hashes, sizes = _sets(data, offsets, shingle)
-                ends = np.cumsum(sizes)
-                own = [hashes[e - s : e].tobytes() for e, s in zip(ends, sizes, strict=True)]
+                ends = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                own = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(_names(hashes, sizes)), pa.array(own, pa.binary())], names=["node", "hashes"]
+                    [pa.array(_names(hashes, sizes)), own], names=["node", "hashes"]
                 )
 
-    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            good = []
-            for one, two in zip(batch.column(2), batch.column(3), strict=True):
-                one, two = (np.frombuffer(x.as_buffer(), np.uint64) for x in (one, two))
-                if len(one) > len(two):
-                    one, two = two, one
-                at = np.minimum(np.searchsorted(two, one), len(two) - 1)
-                both = int((two[at] == one).sum())
-                good.append(100 * both >= percent * (len(one) + len(two) - both))
-            yield batch.select(["a", "b"]).filter(pa.array(good, pa.bool_()))
-
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = only(docs, nodes.join(wanted, "node").select("doc_id", "tag"))
     of = materialize(
-        texts.select(texts["text"].cast("string").alias("text")).mapInArrow(sets, "node long, hashes binary")
+        texts.select(texts["text"].cast("string").alias("text"))
+        .mapInArrow(sets, "node long, hashes array<long>")
         .dropDuplicates(["node"]),
         "sets",
-    )
+    )
     one = of.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     two = of.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
-    joined = pairs.join(one, "a").join(two, "b").select("a", "b", "ha", "hb")
-    return joined.mapInArrow(check, "a long, b long")
+    both = F.size(F.array_intersect("ha", "hb"))
+    joined = pairs.join(one, "a").join(two, "b")
+    return joined.filter(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:

@@ -6,13 +6,14 @@ working memory of a task is bounded by a chunk (or by its longest text).
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 2 << 20
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -43,7 +44,11 @@ def range_hashes(symbols: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> n
     """A 64-bit hash of symbols[start:end] for each pair; equal content gives equal hashes."""
     n = len(symbols)
     sums = np.zeros(n + 1, np.uint64)
-    np.cumsum((symbols.astype(np.uint64) + _U(1)) * powers(_BASE, n), out=sums[1:])
+    weighted = symbols.astype(np.uint64)
+    weighted += _U(1)
+    weighted *= powers(_BASE, n)
+    np.cumsum(weighted, out=sums[1:])
+    del weighted
     content = (sums[ends] - sums[starts]) * powers(_INVERSE, n + 1)[starts]
     return mix(content ^ ((ends - starts).astype(np.uint64) * _U(0xD6E8FEB86659FD93)))
 
@@ -65,6 +70,27 @@ def chunks(column: pa.Array, limit: int = CHUNK_BYTES) -> Iterator[tuple[int, in
         at = offsets[first : last + 1]
         yield first, last - first, data[at[0] : at[-1]], at - at[0]
         first = last
+    release()
+
+
+def strings(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
+    """The values of a column, with few of them as Python strings at a time."""
+    for start in range(0, len(column), rows):
+        yield from column.slice(start, rows).to_pylist()
+    release()
+
+
+def release() -> None:
+    """Give memory that is no longer used back: workers live on and share a small executor."""
+    pa.default_memory_pool().release_unused()
+    if _TRIM is not None:
+        _TRIM(0)
+
+
+try:
+    _TRIM = ctypes.CDLL(None).malloc_trim
+except (AttributeError, OSError):  # another C library
+    _TRIM = None
 
 
 def byte_table(*ranges: tuple[int, int]) -> np.ndarray:
