@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadloom.session import materialize
+from broadloom.session import discard, materialize
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -25,7 +25,11 @@ def components(links: DataFrame) -> DataFrame:
         down = materialize(_down(large), "large-star")
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        edges = materialize(_down(small.unionByName(least.select("u", F.col("m").alias("v")))), "small-star")
+        last, edges = edges, materialize(
+            _down(small.unionByName(least.select("u", F.col("m").alias("v")))), "small-star"
+        )
+        discard(last)
+        discard(down)
         now = edges.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         if tuple(now) == print_of:
             break

@@ -29,9 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadloom.llm.byte_bpe import ragged
-from broadloom.llm.rows import text_tag, without
+from broadloom.llm.rows import prepare, text_tag, without
 from broadloom.llm.textarrays import ALNUM, Words, chunks, words
-from broadloom.session import scratch_path, ship_package
+from broadloom.session import scratch_path
 
 WIDTH = 10
 SEGMENT_BYTES = 2 << 20
@@ -44,7 +44,7 @@ _SEGMENT = "docs array<long>, tags array<long>, n_words array<int>, terms binary
 def build_index(docs: DataFrame, path: str | None = None, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
     """Store the postings of all words of all texts and return the stored segments."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -249,7 +249,7 @@ def search_index(
     index: DataFrame, benchmark: DataFrame, width: int = WIDTH, block_bytes: int = BLOCK_BYTES
 ) -> DataFrame:
     spark = index.sparkSession
-    ship_package(spark)
+    prepare(spark)
     found = [windows_of(block, width) for block in _blocks(benchmark, block_bytes)]
     if len(found) == 1:
         hits = _matches(spark, index, found[0], spans=False)
@@ -282,7 +282,7 @@ def proximity(index: DataFrame, benchmark: DataFrame, reach: int) -> DataFrame:
     ``reach`` words before or after it, in any order.
     """
     spark = index.sparkSession
-    ship_package(spark)
+    prepare(spark)
     parts = []
     for block in _blocks(benchmark, BLOCK_BYTES):
         # A window as wide as the longest item is the item itself.

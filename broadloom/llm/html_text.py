@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from broadloom.llm.textarrays import strings
-from broadloom.session import ship_package
+from broadloom.llm.rows import prepare
 
 #: A path is content from this share of the best path's value on.
 LEAST_SHARE = 0.3
@@ -210,7 +210,7 @@ def main_text(html: str | None) -> str:
 
 def extract(pages: DataFrame) -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    ship_package(pages.sparkSession)
+    prepare(pages.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

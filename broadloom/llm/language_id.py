@@ -22,9 +22,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadloom.llm.byte_bpe import LETTER, _kinds
-from broadloom.llm.rows import text_tag, without
+from broadloom.llm.rows import prepare, text_tag, without
 from broadloom.llm.textarrays import strings
-from broadloom.session import materialize, ship_package
+from broadloom.session import materialize
 
 UNKNOWN = "und"
 BITS = 15
@@ -191,7 +191,7 @@ def _temperature(logits: np.ndarray, labels: np.ndarray) -> float:
 
 def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
     """Learn from text and lang of the rows that are not held out; None if there are none."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     learnable = docs.filter(F.col("lang").isNotNull() & ~held_out(docs["doc_id"])).select(
         docs["text"].cast("string").alias("text"),
         docs["lang"].cast("string").alias("lang"),
@@ -245,7 +245,7 @@ def train(docs: DataFrame, per_language: int = PER_LANGUAGE) -> Model | None:
 def predict(docs: DataFrame, model: Model | None) -> DataFrame:
     """doc_id, held_out, lang_pred and score for every document."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     shared = spark.sparkContext.broadcast(model)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from broadloom.llm.textarrays import ALNUM, chunks, words
-from broadloom.session import ship_package
+from broadloom.llm.rows import prepare
 
 COVERAGE = 0.8
 DENSITY = 0.5
@@ -190,7 +190,7 @@ def scan(
     Places are word numbers in the whole text. A template counts for a document only if no better
     match covers the same place, so a notice is not reported as its shorter relatives.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Templates(templates)

@@ -33,9 +33,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadloom.llm.components import components
-from broadloom.llm.rows import join_counted, only, text_tag, without
+from broadloom.llm.rows import join_counted, only, prepare, text_tag, without
 from broadloom.llm.textarrays import SPACED, chunks, mix, shingle_sets, words
-from broadloom.session import materialize, ship_package, small_side
+from broadloom.session import materialize, small_side
 
 SHINGLE = 5
 PERCENT = 85
@@ -97,7 +97,7 @@ def _matrix(column: pa.Array, width: int, kind: str) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, shingle: int = SHINGLE) -> DataFrame:
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -28,7 +28,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadloom.llm.byte_bpe import encoder
-from broadloom.session import materialize, ship_package
+from broadloom.llm.rows import prepare
+from broadloom.session import materialize
 
 SEQUENCE = 2048
 END = 0
@@ -41,7 +42,7 @@ _PLACED = f"{_PIECE}, bin long, offset long, bins long, bound long, free long"
 
 def pieces(docs: DataFrame, tokenizer: str, size: int = SEQUENCE, ids: bool = False) -> DataFrame:
     """The pieces of every document; ``slot`` is a number of their own. With ``ids`` the tokens too."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     names = ["doc_id", "piece", "start", "length", "ids_crc32", "slot"] + ["ids"] * ids
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -2,10 +2,23 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadloom.session import materialize, small_side
+from broadloom.session import materialize, ship_package, small_side
+
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def prepare(spark: SparkSession) -> None:
+    """Ship the package, and replace Spark's default of 10,000 rows per Arrow batch.
+
+    Whole texts are large rows: the default would take tens of megabytes per task on both sides.
+    A setting other than the default is left as it is.
+    """
+    ship_package(spark)
+    if spark.conf.get(_BATCH) == "10000":
+        spark.conf.set(_BATCH, "1000")
 
 
 def text_tag(docs: DataFrame) -> Column:

@@ -35,7 +35,7 @@ def powers(base: int, n: int) -> np.ndarray:
         steps = np.full(max(n, CHUNK_BYTES + 1), base, np.uint64)
         steps[0] = 1
         have = _POWERS[base] = np.cumprod(steps, dtype=np.uint64)
-        if len(have) > 4 * CHUNK_BYTES:  # one huge text must not stay in memory
+        if len(have) > 2 * CHUNK_BYTES + 1:  # a huge text must not stay in memory
             del _POWERS[base]
     return have[:n]
 

@@ -17,7 +17,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from broadloom.llm.byte_bpe import encoder
-from broadloom.session import ship_package
+from broadloom.llm.rows import prepare
 
 LIMIT = 1024
 
@@ -33,7 +33,7 @@ def count_tokens(docs: DataFrame, tokenizer: str, limit: int = LIMIT) -> DataFra
 
     ``tokenizer`` is the path of a byte-level BPE file that every worker can open.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -27,9 +27,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadloom.llm.language_id import held_out
-from broadloom.llm.rows import text_tag, without
+from broadloom.llm.rows import prepare, text_tag, without
 from broadloom.llm.textarrays import byte_table, chunks, range_hashes
-from broadloom.session import materialize, ship_package
+from broadloom.session import materialize
 
 #: Bound of the training sample: labelled texts.
 SAMPLE = 20_000
@@ -222,7 +222,7 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
 
 def features(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
     """``rows`` with their text replaced by the array column ``features``."""
-    ship_package(rows.sparkSession)
+    prepare(rows.sparkSession)
     shared = rows.sparkSession.sparkContext.broadcast(lexicon)
     others = [c for c in rows.columns if c != "text"]
 
@@ -243,7 +243,7 @@ def features(rows: DataFrame, lexicon: Lexicon) -> DataFrame:
 
 def score(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score and predicted for every document."""
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     labelled = materialize(_labelled(docs, labels, sample), "labelled")
     seen = {r["label"]: r["count"] for r in labelled.groupBy("label").count().collect()}
     own = docs.select(
