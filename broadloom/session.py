@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -94,8 +95,10 @@ def discard(df: DataFrame) -> None:
     one is stored: a lost executor may make Spark read any table of an open plan again.
     """
     context = df.sparkSession.sparkContext
+    plain = lambda path: re.sub(r"^\w+:/*", "/", path)
+    own = plain(f"{shared_dir(df.sparkSession)}/broadloom/")
     for path in {name.rsplit("/", 1)[0] for name in df.inputFiles()}:
-        if "/broadloom/" in path:
+        if plain(path).startswith(own):
             target = context._jvm.org.apache.hadoop.fs.Path(path)
             target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 

@@ -71,3 +71,17 @@ def test_projection_reaches_the_scan(spark, sf_dir):
 
 def test_top_per_source_limits_before_the_shuffle(spark, sf_dir):
     assert plan_of(QUERIES["e02_top_per_source"](spark, sf_dir)).count("WindowGroupLimit") >= 1
+
+
+def test_only_stored_tables_are_discarded(spark, tmp_path):
+    import os
+
+    from broadloom.session import discard, materialize
+
+    stored = materialize(spark.range(5).toDF("x"), "short-lived")
+    folder = os.path.dirname(stored.inputFiles()[0].removeprefix("file://"))
+    other = str(tmp_path / "broadloom" / "kept")
+    spark.range(5).write.parquet(other)
+    discard(stored)
+    discard(spark.read.parquet(other))
+    assert not os.path.exists(folder) and os.path.exists(other)
