@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from broadloom.llm.byte_bpe import ragged
 from broadloom.llm.rows import prepare, text_tag, without
-from broadloom.llm.textarrays import ALNUM, Words, chunks, words
+from broadloom.llm.textarrays import ALNUM, Words, chunks, words, words_in_parts
 from broadloom.session import scratch_path
 
 WIDTH = 10
@@ -50,7 +50,7 @@ def build_index(docs: DataFrame, path: str | None = None, segment_bytes: int = S
         for batch in batches:
             for row, n, data, offsets in chunks(batch.column(1), segment_bytes):
                 ids = [batch.column(i).slice(row, n) for i in (0, 2)]
-                yield _segment(*ids, words(data, offsets, ALNUM))
+                yield _segment(*ids, words_in_parts(data, offsets, ALNUM))
 
     own = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),

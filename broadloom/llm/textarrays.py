@@ -13,7 +13,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15  # odd, so it has an inverse modulo 2**64
@@ -133,6 +133,19 @@ def words(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
     return Words(range_hashes(_LOWER[data], starts, ends), np.searchsorted(starts, offsets))
 
 
+def words_in_parts(data: np.ndarray, offsets: np.ndarray, table: np.ndarray) -> Words:
+    """The same as ``words``, with working memory for ``CHUNK_BYTES`` (or the longest text) only."""
+    hashes, first, low = [], [np.zeros(1, np.int64)], 0
+    while low < len(offsets) - 1:
+        high = int(np.searchsorted(offsets, offsets[low] + CHUNK_BYTES, "right")) - 1
+        high = min(max(high, low + 1), len(offsets) - 1)
+        part = words(data[offsets[low] : offsets[high]], offsets[low : high + 1] - offsets[low], table)
+        hashes.append(part.hashes)
+        first.append(part.first[1:] + first[-1][-1])
+        low = high
+    return Words(np.concatenate(hashes or [np.zeros(0, np.uint64)]), np.concatenate(first))
+
+
 def shingle_sets(found: Words, width: int) -> Iterator[np.ndarray]:
     """Sorted distinct hashes of ``width`` consecutive words, per text.
 

@@ -372,3 +372,16 @@ def test_private_data_runs_no_python(documents):
 
 def test_names_that_clash_are_many():
     assert len(CLASHES) > 40 and LOWER[65] == "a"
+
+
+def test_words_in_parts_are_the_same_words(texts, monkeypatch):
+    import pyarrow as pa
+
+    from broadloom.llm import textarrays
+
+    column = pa.array([*list(texts.values())[:60], "", None, "x"])
+    (_, _, data, offsets), = textarrays.chunks(column, 1 << 30)
+    whole = textarrays.words(data, offsets, textarrays.ALNUM)
+    monkeypatch.setattr(textarrays, "CHUNK_BYTES", 3000)
+    parts = textarrays.words_in_parts(data, offsets, textarrays.ALNUM)
+    assert (whole.hashes == parts.hashes).all() and (whole.first == parts.first).all()
