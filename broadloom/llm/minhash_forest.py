@@ -9,10 +9,13 @@
    ``MIN_DEPTH`` on, that at most ``width`` nodes share.
 3. Candidates whose signatures agree well enough are confirmed on their full sets, which are
    made again from the texts of the candidates alone.
-4. Confirmed links give components. Where a prefix of ``MIN_DEPTH`` was deepened and its nodes
-   do not lie in one component yet, all pairs of different components in these regions are compared
-   by signature inside their task. Only those that agree well enough leave it, from one tree
-   each. This is repeated with a wider ``width`` until no region is cut.
+4. Confirmed links give components. Where a prefix of ``MIN_DEPTH`` was deepened, or ran into the
+   edge of a block or partition, and its nodes do not lie in one component yet, the step is repeated
+   with ``REGION_WIDTH`` in place of ``WIDTH``, by signature inside the task.
+5. What is still cut then is numbered by (tree, prefix of ``MIN_DEPTH``) and counted. Large
+   regions are dealt to tiles of about ``REGION_TILE`` nodes, and every pair of tiles that can
+   hold two components is compared in a group of its own, wherever its rows were sorted to. Pairs that
+   agree well enough leave a task once per place; nothing of a region is left out.
 
 Links, components and sketches stay in tables; only counts reach the driver.
 
@@ -44,12 +47,14 @@ TREES = 24
 DEPTH = 16
 MIN_DEPTH = 4
 WIDTH = 8
-REGION_WIDTHS = (4096, 65536, 1 << 20)
+REGION_WIDTH = 4096
 #: Candidates need this share of equal signature positions: four standard deviations of
 #: the estimate below the threshold.
 SLACK = 4.0
 BLOCK_ROWS = 200_000
 REGION_BLOCK_ROWS = 50_000
+#: Nodes of a region that are compared with those of another tile at a time.
+REGION_TILE = 2048
 
 _SEED = np.random.Generator(np.random.PCG64(20240917))
 _FACTORS = _SEED.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -173,7 +178,9 @@ class _Runs:
         run = self.at(MIN_DEPTH)
         first = np.flatnonzero(np.concatenate([[True], self.common < MIN_DEPTH]))
         mixed = np.minimum.reduceat(roots, first) < np.maximum.reduceat(roots, first)
-        return mixed[run] & (self.depth > MIN_DEPTH)
+        # What stands at either end may go on in another block or partition, so it counts as cut.
+        edge = (run == 0) | (run == run[-1])
+        return (mixed[run] & (self.depth > MIN_DEPTH)) | edge
 
 
 def _neighbours(tree: np.ndarray, keys: np.ndarray, nodes: np.ndarray, width: int) -> np.ndarray:
@@ -225,7 +232,8 @@ def _strangers(
             same = signatures[others] == signatures[i]
             near = same.sum(1) >= least
             others, same = others[near], same[near]
-            if depth[i] == MIN_DEPTH:  # not if an earlier tree has them side by side as well
+            # Not if an earlier tree has them side by side as well: it compared them, or they count as cut.
+            if depth[i] == MIN_DEPTH:
                 early = _ORDERS[: tree[i], :MIN_DEPTH]
                 others = others[~same[:, early].all(2).any(1)]
             left.append(np.full(len(others), nodes[i]))
@@ -291,6 +299,105 @@ def _region_candidates(region: DataFrame, rows: int, width: int, percent: int) -
     return _pairs_of(wide, scan, REGION_BLOCK_ROWS, min(width, REGION_BLOCK_ROWS // 2))
 
 
+def _tiles(region: DataFrame) -> DataFrame:
+    """The nodes of regions of several components, once per pair of tiles that they are compared in.
+
+    Within a region the nodes outside its largest component meet each other and the largest one, which
+    need not meet itself. ``one`` and ``two`` number the tiles of a pair, ``tile`` the node's own.
+    """
+    places = _tree_rows(region, "root long").select(
+        "tree", F.substring("key", 1, 2 * MIN_DEPTH).alias("prefix"), "node", "root"
+    )
+    places = materialize(places, "places")
+    by_root = places.groupBy("tree", "prefix", "root").agg(F.count("*").alias("rows"))
+    regions = by_root.groupBy("tree", "prefix").agg(
+        F.sum("rows").alias("rows"), F.max(F.struct("rows", "root")).alias("largest"), F.count("*").alias("roots")
+    )
+    regions = regions.filter("roots > 1").select(
+        F.struct("tree", "prefix").alias("place"),
+        "rows",
+        F.col("largest.root").alias("largest"),
+        F.ceil((F.col("rows") - F.col("largest.rows")) / REGION_TILE).alias("others"),
+        F.ceil(F.col("largest.rows") / REGION_TILE).alias("own"),
+    )
+    regions = materialize(regions, "regions")
+    keyed = places.select(F.struct("tree", "prefix").alias("place"), "node", "root")
+    total = regions.agg(F.coalesce(F.sum("rows"), F.lit(0))).first()[0]
+    dealt = join_counted(keyed, regions, "place", "rows", total)
+    inside = F.col("root") == F.col("largest")
+    dealt = dealt.withColumn(
+        "tile",
+        F.when(inside, F.col("others") + F.pmod(F.xxhash64("node"), "own")).otherwise(
+            F.pmod(F.xxhash64("node"), "others")
+        ),
+    )
+    last = F.when(inside, F.col("others")).otherwise(F.col("others") + F.col("own")) - 1
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
+    return dealt.select(
+        "place.tree", "place.prefix", F.least("tile", "other").alias("one"), F.greatest("tile", "other").alias("two"),
+        "tile", "node",
+    )
+
+
+def _between(
+    tree: int, same_tile: bool, nodes: tuple, roots: tuple, sizes: tuple, signatures: tuple, percent: int
+) -> np.ndarray:
+    """Pairs of different roots between two tiles, or within one, that agree well enough."""
+    least = _least_equal(percent)
+    early = _ORDERS[:tree, :MIN_DEPTH]
+    left, right = [], []
+    for i in range(len(nodes[0])):
+        low = i + 1 if same_tile else 0
+        smaller, larger = np.minimum(sizes[1][low:], sizes[0][i]), np.maximum(sizes[1][low:], sizes[0][i])
+        others = np.flatnonzero((roots[1][low:] != roots[0][i]) & (100 * smaller >= percent * larger)) + low
+        same = signatures[1][others] == signatures[0][i]
+        near = same.sum(1) >= least
+        others, same = others[near], same[near]
+        # An earlier tree that has both under one prefix has them in a pair of tiles as well.
+        others = others[~same[:, early].all(2).any(1)]
+        left.append(np.full(len(others), nodes[0][i]))
+        right.append(nodes[1][others])
+    nothing = np.zeros(0, np.int64)
+    return _ordered(np.concatenate([nothing, *left]), np.concatenate([nothing, *right]))
+
+
+def _region_pairs(region: DataFrame, percent: int) -> DataFrame:
+    """(a, b) of different components under one prefix of any tree, alike by their signatures."""
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[pa.RecordBatch] = []
+        group = None
+        for batch in batches:
+            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
+            first = 0
+            for i, key in enumerate(keys):
+                if key != group:
+                    if i > first:
+                        kept.append(batch.slice(first, i - first))
+                    if kept:
+                        yield found(group, pa.Table.from_batches(kept))
+                    kept, first, group = [], i, key
+            if len(keys) > first:
+                kept.append(batch.slice(first))
+        if kept:
+            yield found(group, pa.Table.from_batches(kept))
+
+    def found(group: tuple, table: pa.Table) -> pa.RecordBatch:
+        tree, _, one, two = group
+        tile, node, root, size = _columns(table, "tile", "node", "root", "n_shingles")
+        signatures = _matrix(table.column("signature"), PERMUTATIONS, np.uint16)
+        sides = [tile == one, tile == two]
+        parts = [tuple(x[side] for side in sides) for x in (node, root, size, signatures)]
+        pairs = _between(tree, one == two, *parts, percent)
+        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+
+    tiles = _tiles(region).join(region.select("node", "root", "n_shingles", "signature"), "node")
+    by_pair = ("tree", "prefix", "one", "two")
+    tiles = tiles.select(*by_pair, "tile", "node", "root", "n_shingles", "signature")
+    dealt = tiles.repartition(*(F.col(c) for c in by_pair)).sortWithinPartitions(*by_pair)
+    return dealt.mapInArrow(compare, "a long, b long").distinct()
+
+
 def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """The pairs whose sizes allow the similarity and whose signatures agree well enough."""
     least = _least_equal(percent)
@@ -356,14 +463,15 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     alike = materialize(_alike(found.filter("a <> b"), nodes, percent), "alike")
     links = materialize(_confirmed(alike, nodes, docs, shingle, percent), "links")
     roots = materialize(components(links), "components")
-    for width in REGION_WIDTHS:
+    for whole in (False, True):
         cut = materialize(found.filter("a = b").select(F.col("a").alias("node")), "cut")
         n = cut.count()
         if not n:
             break
         region = nodes.join(small_side(cut, n), "node", "left_semi").join(roots, "node", "left")
         region = region.withColumn("root", F.coalesce("root", "node"))
-        found = materialize(_region_candidates(region, n, width, percent), "candidates")
+        pairs = _region_pairs(region, percent) if whole else _region_candidates(region, n, REGION_WIDTH, percent)
+        found = materialize(pairs, "candidates")
         new = _confirmed(found.filter("a <> b"), nodes, docs, shingle, percent)
         links = links.unionByName(materialize(new, "links"))
         roots = materialize(components(links), "components")

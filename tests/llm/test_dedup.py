@@ -91,6 +91,31 @@ def test_regions_wider_than_the_window(docs_of, monkeypatch):
     check_near(minhash_forest.near_duplicates(docs).collect(), rows)
 
 
+def test_regions_over_many_blocks_and_partitions(docs_of, monkeypatch):
+    """Look-alikes fill one region of all trees; the few links lie anywhere in it."""
+    monkeypatch.setattr(minhash_forest, "WIDTH", 2)
+    monkeypatch.setattr(minhash_forest, "BLOCK_ROWS", 8)
+    monkeypatch.setattr(minhash_forest, "REGION_BLOCK_ROWS", 4)
+    monkeypatch.setattr(minhash_forest, "REGION_TILE", 5, raising=False)
+    common = [f"b{i}" for i in range(895)]
+    rows = []
+    for k in range(200):  # 87 percent alike two and two, 80 percent otherwise
+        pair, own = [f"p{k // 2}x{i}" for i in range(42)], [f"o{k}x{i}" for i in range(70)]
+        rows.append((k, " ".join([*common, *pair, *own])))
+    docs = docs_of([(i, t, "en", "s", 0) for i, t in rows])
+    check_near(minhash_forest.near_duplicates(docs.repartition(7)).collect(), rows)
+
+
+def test_tiles_hold_every_pair_of_a_region(spark, monkeypatch):
+    """Pairs of equal signatures but different roots all come out, whatever tiles they are dealt to."""
+    monkeypatch.setattr(minhash_forest, "REGION_TILE", 3, raising=False)
+    signature = bytes(range(256)) * 2
+    rows = [(i, i % 5 if i < 20 else 99, 50, bytearray(signature)) for i in range(40)]
+    region = spark.createDataFrame(rows, "node long, root long, n_shingles long, signature binary")
+    got = {(r["a"], r["b"]) for r in minhash_forest._region_pairs(region, 85).collect()}
+    assert got == {(a[0], b[0]) for a in rows for b in rows if a[0] < b[0] and a[1] != b[1]}
+
+
 def test_near_duplicates_of_odd_rows(odd):
     got = minhash_forest.near_duplicates(odd).collect()
     check_near(got, [(r[0], r[1]) for r in ODD])
