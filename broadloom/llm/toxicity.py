@@ -1,7 +1,8 @@
 """Toxicity scores: gradient-boosted trees over dense features with isotonic calibration.
 
 1. A lexicon is learned from a bounded, hash-chosen sample of labelled texts: whole words and
-   word beginnings whose presence speaks for the toxic label.
+   word beginnings whose presence speaks for the toxic label. Equal texts count once per label;
+   all forms with enough evidence are kept, which the bounded sample bounds.
 2. Each text becomes a few dense features: densities and weights of lexicon words, lexicon words
    close to second-person words, the same after undoing letter substitutions, capitals,
    punctuation, digits, repeated letters.
@@ -33,8 +34,8 @@ from broadloom.session import materialize
 
 #: Bound of the training sample: labelled texts.
 SAMPLE = 20_000
-#: Lexicon: most entries, least toxic texts with an entry, least share of toxic texts among its texts.
-LEXICON, LEAST_TEXTS, LEAST_SHARE = 2_000, 5, 0.7
+#: Lexicon: least different toxic texts with an entry, least share of toxic texts among its texts.
+LEAST_TEXTS, LEAST_SHARE = 5, 0.7
 PREFIXES = (4, 5, 6)
 NEAR = 5
 TREES, TREE_DEPTH = 20, 3
@@ -186,7 +187,10 @@ def _labelled(docs: DataFrame, labels: DataFrame, sample: int) -> DataFrame:
 
 
 def learn_lexicon(labelled: DataFrame) -> Lexicon:
-    """Words and beginnings that occur in toxic texts above all, by smoothed log odds."""
+    """Words and beginnings that occur in toxic texts above all, by smoothed log odds.
+
+    Copies of a text are one text of each label that they have.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -210,11 +214,12 @@ def learn_lexicon(labelled: DataFrame) -> Lexicon:
                     names=["term", "toxic", "texts"],
                 )
 
-    terms = labelled.select("text", "label").mapInArrow(count, "term long, toxic long, texts long")
+    different = labelled.groupBy(F.xxhash64("text"), "label").agg(F.first("text").alias("text"))
+    terms = different.select("text", "label").mapInArrow(count, "term long, toxic long, texts long")
     per_term = terms.groupBy("term").agg(F.sum("toxic").alias("toxic"), F.sum("texts").alias("texts"))
     share = F.col("toxic") / F.col("texts")
     chosen = per_term.filter((F.col("toxic") >= LEAST_TEXTS) & (share >= LEAST_SHARE))
-    best = chosen.orderBy(F.desc("toxic"), "term").limit(LEXICON).collect()
+    best = chosen.collect()
     hashes = np.array([r["term"] for r in best], np.int64).view(np.uint64)
     odds = np.array([(r["toxic"] + 0.5) / (r["texts"] - r["toxic"] + 0.5) for r in best], float)
     return Lexicon(hashes, np.log(odds))

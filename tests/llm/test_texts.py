@@ -87,6 +87,16 @@ def test_toxicity_of_odd_rows(spark, odd, empty):
     assert kept.columns == odd.columns and kept.count() == len(ODD)
 
 
+def test_copies_of_one_text_do_not_fill_the_lexicon(spark):
+    """A long toxic text with many copies proves nothing, and pushes no word of the others out."""
+    own = " ".join(f"{chr(97 + i % 26)}{chr(97 + i // 26)}rest" for i in range(600))
+    rows = [(own, 1)] * 30 + [(f"zounds and more {i}", 1) for i in range(6)] + [(f"and more {i}", 0) for i in range(9)]
+    lexicon = toxicity.learn_lexicon(spark.createDataFrame(rows, "text string, label int"))
+    words = toxicity._Words(np.frombuffer(b"zounds aarest", np.uint8), np.array([0, 13]))
+    weights = lexicon.weights(words.hashes())
+    assert weights[0] > 0 and weights[1] == 0
+
+
 def test_features_of_a_plain_text():
     import pyarrow as pa
 
