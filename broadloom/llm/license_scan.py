@@ -149,18 +149,17 @@ class Templates:
             np.add.at(self.needs[k], np.searchsorted(self.vocabulary, np.array(t, np.uint64)), 1)
 
     def scan(self, found, text: int, k: int, at: np.ndarray, terms: np.ndarray, coverage: float, density: float):
-        """Best (coverage, first word, end word) of template ``k`` in one text, and the matches' number."""
+        """(coverage, first word, end word) of all matches of template ``k`` in one text; they may overlap."""
         mine = self.needs[k][terms] > 0
         at, terms = at[mine], terms[mine]
         template = self.words[k]
-        best, count = (0.0, 0, 0), 0
+        matches = []
         for region in np.split(np.arange(len(at)), np.flatnonzero(np.diff(at) > GAP) + 1):
             enough = np.minimum(np.bincount(terms[region], minlength=self.needs.shape[1]), self.needs[k]).sum()
             if enough < coverage * len(template):
                 continue
             # A long region may hold several notices: overlapping windows of twice the template.
             low, high, size = int(at[region[0]]), int(at[region[-1]]) + 1, 2 * len(template)
-            done = low
             for start in range(low, max(low + 1, high - len(template)), len(template)):
                 own = found.hashes[start : min(start + size, high)].tolist()
                 pairs = align(own, template)
@@ -169,11 +168,8 @@ class Templates:
                 span = pairs[-1][0] - pairs[0][0] + 1
                 share = len(pairs) / len(template)
                 if share >= coverage and len(pairs) >= density * span:
-                    if start + pairs[0][0] >= done:
-                        count += 1
-                        done = start + pairs[-1][0] + 1
-                    best = max(best, (share, start + pairs[0][0], start + pairs[-1][0] + 1), key=lambda x: x[0])
-        return best, count
+                    matches.append((share, start + pairs[0][0], start + pairs[-1][0] + 1))
+        return matches
 
 
 _FIELDS = "license string, coverage double, first_word long, end_word long, n_matches long, licenses string"
@@ -187,8 +183,8 @@ def scan(
 ) -> DataFrame:
     """Per document its best license with place and coverage, and all licenses found.
 
-    Places are word numbers in the whole text. A template counts for a document only if no better
-    match covers the same place, so a notice is not reported as its shorter relatives.
+    Places are word numbers in the whole text. A match of a template counts only if no better match
+    covers the same place, so a notice is not reported as its shorter relatives; its other matches stay.
     """
     prepare(docs.sparkSession)
 
@@ -211,12 +207,11 @@ def scan(
                     mine = slice(edges[i], edges[i + 1])
                     hits = []
                     for k in np.flatnonzero(possible[i] >= coverage * sizes).tolist():
-                        (share, first, end), count = known.scan(
+                        start = int(found.first[i])
+                        for share, first, end in known.scan(
                             found, i, k, at[mine], terms[mine], coverage, density
-                        )
-                        if count:
-                            start = int(found.first[i])
-                            hits.append((share, int(sizes[k]), known.names[k], first - start, end - start, count))
+                        ):
+                            hits.append((share, int(sizes[k]), known.names[k], first - start, end - start))
                     out[i] = _best(hits) or out[i]
                 columns = list(zip(*out, strict=True))
                 yield pa.RecordBatch.from_arrays(
@@ -233,11 +228,16 @@ def scan(
 
 def _best(hits: list[tuple]) -> tuple | None:
     kept: list[tuple] = []
-    for hit in sorted(hits, key=lambda h: (-round(h[0] * h[1]), -h[0], h[2])):
-        if not any(hit[3] < other[4] and other[3] < hit[4] for other in kept):
+    # First and end words of the kept matches, which do not overlap, in order of their places.
+    firsts: list[int] = []
+    ends: list[int] = []
+    for hit in sorted(hits, key=lambda h: (-round(h[0] * h[1]), -h[0], h[2], h[3])):
+        i = bisect_left(firsts, hit[4])
+        if not i or ends[i - 1] <= hit[3]:
             kept.append(hit)
+            firsts.insert(i, hit[3])
+            ends.insert(i, hit[4])
     if not kept:
         return None
-    share, _, name, first, end, _ = kept[0]
-    total = sum(hit[5] for hit in kept)
-    return name, share, first, end, total, ",".join(sorted({hit[2] for hit in kept}))
+    share, _, name, first, end = kept[0]
+    return name, share, first, end, len(kept), ",".join(sorted({hit[2] for hit in kept}))

@@ -168,6 +168,23 @@ def test_licenses_of_odd_rows(docs_of, odd, empty):
     assert got[3]["license"] is None
 
 
+def test_notices_beside_their_longer_relatives(docs_of):
+    """A template keeps its other matches if one of them lies in a better one."""
+    by, other, between = "Licensed under CC BY 4.0.", "Licensed under CC BY-SA 4.0.", " and so on" * 9
+    rows = [
+        (1, f"{other}{between} {by}", "en", "s", 0),
+        (2, f"{by}{between} {other}{between} {by}", "en", "s", 0),
+        (3, f"{other} {by}", "en", "s", 0),
+        (4, other, "en", "s", 0),
+    ]
+    got = {r["doc_id"]: (r["license"], r["licenses"], r["n_matches"]) for r in license_scan.scan(docs_of(rows)).collect()}
+    both = "CC-BY-4.0,CC-BY-SA-4.0"
+    assert got == {
+        1: ("CC-BY-SA-4.0", both, 2), 2: ("CC-BY-SA-4.0", both, 3), 3: ("CC-BY-SA-4.0", both, 2),
+        4: ("CC-BY-SA-4.0", "CC-BY-SA-4.0", 1),
+    }
+
+
 # HTML
 
 
