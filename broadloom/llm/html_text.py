@@ -36,16 +36,21 @@ DECLARED = 8.0
 # Elements by their role.
 INLINE = set(
     "a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp "
-    "small span strike strong sub sup time tt u var wbr".split()
+    "small span strike strong sub sup time tt u var wbr "
+    "math semantics annotation annotation-xml mrow mi mn mo ms mtext mspace mfrac msqrt mroot mstyle merror mpadded "
+    "mphantom menclose mfenced msub msup msubsup munder mover munderover mmultiscripts mprescripts mtable mtr "
+    "mlabeledtr mtd maction".split()
 )
 VOID = set("area base br col embed frame hr img input link meta param source track wbr".split())
-RAW = set("script style textarea noscript template iframe noframes noembed xmp svg math".split())
+RAW = set("script style textarea noscript template iframe noframes noembed xmp svg".split())
 FURNITURE = set("head nav footer aside form button select option dialog menu fieldset object canvas audio video".split())
 CLOSED_BY = {
     "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"},
     "th": {"td", "th"}, "option": {"option"}, "body": {"head"},
 }
 MAIN = {"article", "main"}
+#: Besides inline elements, what is never page furniture by its class or id.
+TEXT = set("p h1 h2 h3 h4 h5 h6 hgroup".split())
 
 # Words in class and id that mark page furniture; the first list only as whole words.
 _WHOLE = "ad|ads|adv|nav|menu|side|share|social|tags|meta|promo|popup|modal|login|search|legal|tool|tools|pager|skip|top|bottom"
@@ -55,6 +60,10 @@ _PART = (
     "menu"
 )
 _NOISE = re.compile(rf"(?:^|[\s_-])(?:{_WHOLE})(?:$|[\s_\d-])|{_PART}", re.IGNORECASE)
+# Inside declared main content only these count, and only as whole words.
+_NOISE_IN_MAIN = re.compile(
+    r"(?:^|[\s_-])(?:ads?|adv|adverts?|advertisements?|advertising|comments?|disqus)(?:$|[\s_\d-])", re.IGNORECASE
+)
 _DECLARES = re.compile(r"role\s*=\s*[\"']?main|itemprop\s*=\s*[\"']?articlebody", re.IGNORECASE)
 _NAMES = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _HIDDEN = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden|(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*[\"']?true", re.IGNORECASE)
@@ -160,8 +169,8 @@ def blocks(html: str) -> list[_Block]:
         noisy = name in FURNITURE or (name == "header" and not in_main) or bool(rest and _HIDDEN.search(rest))
         # What is declared to be the content stays whatever it is called, as do whole pages.
         declared = name in MAIN or bool("=" in rest and _DECLARES.search(rest))
-        if label and not noisy and not declared and name not in ("html", "body"):
-            noisy = bool(_NOISE.search(label))
+        if label and not noisy and not declared and name not in ("html", "body") and name not in INLINE | TEXT:
+            noisy = bool((_NOISE_IN_MAIN if in_main else _NOISE).search(label))
         stack.append((name, noisy))
         noise += noisy
         if name not in INLINE:

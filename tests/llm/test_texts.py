@@ -215,6 +215,17 @@ def test_page_without_a_declared_article():
     assert html_text.main_text(declared) == html_text.main_text(PAGE)
 
 
+def test_names_do_not_drop_text_of_the_article():
+    inside = """<h1 class="entry-header">Title</h1><p class="legal">Law, as it is.</p>
+<p>Code <span class="token comment">notes</span> and <math><mi>x</mi><mo>=</mo><mn>1</mn></math>, too.</p>
+{}<div class="comments"><p>Nice.</p></div><div class="ad-box">Buy.</div>"""
+    section = '<section class="related-work"><p>Others, before.</p></section>'
+    want = "Title\nLaw, as it is.\nCode notes and x=1, too."
+    declared = f"<body><article>{inside.format(section)}</article></body>"
+    assert html_text.main_text(declared) == f"{want}\nOthers, before."
+    assert html_text.main_text(f"<body><div>{inside.format('')}</div></body>") == want
+
+
 def test_pages_of_odd_rows(spark):
     rows = [
         (1, "u", None), (2, None, ""), (None, "u", "plain text only"), (3, "u", "<p>a<p>b"), (3, "u", "<p>a<p>b"),
