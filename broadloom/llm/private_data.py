@@ -8,7 +8,8 @@ occurring in a document, as a share of the information of the entity itself,
 
 which is 1 if the term only occurs beside the entity. Terms at or above ``DISCLOSES`` become spans
 of kind ``term`` wherever they stand in a document with that entity; ``sanitise`` removes those at
-or above ``REMOVES`` and generalises the others. An entity or pair counts only with evidence
+or above ``REMOVES`` and generalises the others. Words of fewer than three characters or of
+ASCII digits alone are no terms, however strongly they reveal an entity. An entity or pair counts only with evidence
 from at least ``SUPPORT`` different texts, so copies of one text prove nothing.
 
 Everything is DataFrame code: patterns are guarded by cheap tests, spans are running sums over the
