@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from broadloom.llm import (
     decontamination,
@@ -12,9 +13,11 @@ from broadloom.llm import (
     license_scan,
     minhash_forest,
     packing,
+    periodic_runs,
     private_data,
     token_counts,
     toxicity,
+    whitening,
 )
 from broadloom.llm.registry import ORACLES, QUERIES, query, table
 
@@ -153,3 +156,60 @@ def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The licenses that every document states."""
     return license_scan.scan(table(spark, sf_dir, "documents"))
+
+
+def planted_period(docs: DataFrame) -> DataFrame:
+    """``docs`` with the words of one text in ten repeating from some word on, as op13 defines it."""
+    h = F.crc32(F.col("doc_id").cast("string"))
+    words = F.regexp_extract_all("text", F.lit("[^\\x20\\x09-\\x0D]+"), F.lit(0))
+    changed = docs.withColumn("_h", h).withColumn("_w", F.when(F.col("_h") % 10 == 0, words))
+    changed = changed.withColumn("_n", F.when(F.size("_w") > 0, F.size("_w").cast("long")))
+    g = F.floor(F.col("_h") / 10)
+    changed = changed.withColumn("_a", g % F.col("_n"))
+    changed = changed.withColumn("_p", F.expr("1 + (_n - _a) div (3 + (_h div 10) % 8)"))
+    repeated = F.expr(
+        "array_join(transform(_w, (w, i) -> if(i >= _a, _w[cast(_a + (i - _a) % _p as int)], w)), ' ')"
+    )
+    return changed.withColumn("text", F.coalesce(F.when(F.col("_n").isNotNull(), repeated), "text"))
+
+
+@query("op13_periodic_runs")
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The runs of every document, one text in ten made periodic, and its text without repetition."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = periodic_runs.find_runs(planted_period(docs))
+    longest = F.array_max(
+        F.transform("runs", lambda r: F.struct(r["length"].alias("l"), (-r["start"]).alias("s"), (-r["period"]).alias("q")))
+    )
+    listed = F.concat_ws(
+        "", F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    )
+    return found.withColumn("_best", longest).select(
+        "doc_id",
+        F.size("runs").cast("long").alias("n_runs"),
+        (-F.col("_best.s")).alias("start"),
+        F.col("_best.l").alias("length"),
+        (-F.col("_best.q")).alias("period"),
+        F.expr("1000 * _best.l div (-_best.q)").alias("exponent_milli"),
+        F.sha2(F.encode(listed, "UTF-8"), 256).alias("runs_sha256"),
+        F.sha2(F.encode("collapsed", "UTF-8"), 256).alias("collapsed_sha256"),
+    )
+
+
+@query("op11_embedding_whitening")
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every usable embedding along the components of the covariance of all of them."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", whitening.quantised("embedding").alias("x"))
+    white = whitening.whiten(vectors, "x", "vec_id")
+    each = white.select(
+        "vec_id", "n", "deviation", "explained", "identity_error", F.posexplode("whitened").alias("at", "whitened")
+    )
+    return each.select(
+        "vec_id",
+        (F.col("at") + 1).cast("int").alias("component"),
+        "n",
+        "deviation",
+        "whitened",
+        F.get("explained", F.col("at")).alias("explained"),
+        "identity_error",
+    )
