@@ -10,6 +10,7 @@ from broadloom.llm import (
     exact_dedup,
     html_text,
     language_id,
+    language_model,
     license_scan,
     minhash_forest,
     packing,
@@ -213,3 +214,14 @@ def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.get("explained", F.col("at")).alias("explained"),
         "identity_error",
     )
+
+
+@query("op12_lm_scoring")
+def op12_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The probability of every document under a model of those that are not held out."""
+    docs = table(spark, sf_dir, "documents")
+    remainder = F.crc32(F.col("doc_id").cast("string")) % 7
+    found = language_model.score(docs, remainder != 2)
+    return found.withColumn("held_out", F.coalesce(remainder == 2, F.lit(False))).select(
+        "doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"
+    )
