@@ -42,7 +42,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from broadloom.llm.rows import prepare, text_tag
-from broadloom.llm.textarrays import SPACED, chunks, mix, release, words_in_parts
+from broadloom.llm.textarrays import SPACED, chunks, grouped, mix, release, words_in_parts
 from broadloom.session import materialize, scratch_path
 
 BLOCK_TOKENS = 2_000_000
@@ -258,26 +258,6 @@ def _requests(blocks: DataFrame, parts: int) -> DataFrame:
     return blocks.select(*needed).mapInArrow(ask, _REQUEST)
 
 
-def _grouped(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[pa.RecordBatch]]:
-    """Runs of sorted rows with equal values in these columns, as slices."""
-    kept: list[pa.RecordBatch] = []
-    group = None
-    for batch in batches:
-        keys = list(zip(*(batch.column(name).to_pylist() for name in names), strict=True))
-        first = 0
-        for i, key in enumerate(keys):
-            if key != group:
-                if i > first:
-                    kept.append(batch.slice(first, i - first))
-                if kept:
-                    yield kept
-                kept, first, group = [], i, key
-        if len(keys) > first:
-            kept.append(batch.slice(first))
-    if kept:
-        yield kept
-
-
 def _answers(requests: DataFrame) -> DataFrame:
     """Counts over all blocks, in the order of each request.
 
@@ -286,7 +266,7 @@ def _answers(requests: DataFrame) -> DataFrame:
     """
 
     def total(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches, "level", "part"):
+        for group in grouped(batches, "level", "part"):
             rows = [row for batch in group for row in batch.to_pylist()]
             keys = [np.cumsum(unpacked(row["keys"], "u8"), dtype=np.uint64) for row in rows]
             counts = [unpacked(row["counts"], "i8") for row in rows]
@@ -344,7 +324,7 @@ def _with_answers(blocks: DataFrame, answers: DataFrame, work: _Answered, schema
     dealt = both.repartition("block").sortWithinPartitions("block", "level", "part")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for group in _grouped(batches, "block"):
+        for group in grouped(batches, "block"):
             rows = (row for batch in group for row in batch.to_pylist())
             block = _Block(next(rows)["row"])
             found: dict[tuple[str, int], list[np.ndarray]] = {}

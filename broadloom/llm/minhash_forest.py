@@ -14,8 +14,12 @@
    with ``REGION_WIDTH`` in place of ``WIDTH``, by signature inside the task.
 5. What is still cut then is numbered by (tree, prefix of ``MIN_DEPTH``) and counted. Large
    regions are dealt to tiles of about ``REGION_TILE`` nodes, and every pair of tiles that can
-   hold two components is compared in a group of its own, wherever its rows were sorted to. Pairs that
-   agree well enough leave a task once per place; nothing of a region is left out.
+   hold two components is compared in a group of its own, wherever its rows were sorted to; nothing of a
+   region is left out.
+
+Pairs of steps 4 and 5 may be as many as the strangers of a crowd times the crowd. They leave a task packed by
+pairs of node buckets. The full sets of a bucket pair meet once, are compared there, and only a
+spanning forest of the confirmed links goes on, which gives the same components.
 
 Links, components and sketches stay in tables; only counts reach the driver.
 
@@ -35,9 +39,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from broadloom.llm.byte_bpe import ragged
 from broadloom.llm.components import components
 from broadloom.llm.rows import join_counted, only, prepare, text_tag, without
-from broadloom.llm.textarrays import SPACED, chunks, mix, shingle_sets, words
+from broadloom.llm.textarrays import SPACED, chunks, grouped, mix, shingle_sets, words
 from broadloom.session import materialize, small_side
 
 SHINGLE = 5
@@ -55,6 +60,8 @@ BLOCK_ROWS = 200_000
 REGION_BLOCK_ROWS = 50_000
 #: Nodes of a region that are compared with those of another tile at a time.
 REGION_TILE = 2048
+#: Bytes of full sets in a bucket of nodes; two buckets meet in a task.
+BUCKET_BYTES = 16 << 20
 
 _SEED = np.random.Generator(np.random.PCG64(20240917))
 _FACTORS = _SEED.integers(0, 1 << 63, PERMUTATIONS, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -242,8 +249,8 @@ def _strangers(
     return _ordered(np.concatenate([*left, cut]), np.concatenate([*right, cut]))
 
 
-def _pairs_of(sorted_rows: DataFrame, scan, block_rows: int, overlap: int) -> DataFrame:
-    """Run ``scan`` over blocks of sorted rows that overlap; distinct pairs."""
+def _scanned(sorted_rows: DataFrame, scan, schema: str, block_rows: int, overlap: int) -> DataFrame:
+    """Run ``scan`` over blocks of sorted rows that overlap."""
 
     def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: list[pa.RecordBatch] = []
@@ -254,17 +261,40 @@ def _pairs_of(sorted_rows: DataFrame, scan, block_rows: int, overlap: int) -> Da
                 rows += len(kept[-1])
                 if rows >= block_rows + overlap:
                     table = pa.Table.from_batches(kept)
-                    yield found(table)
+                    yield scan(table)
                     kept = table.slice(rows - overlap).combine_chunks().to_batches()
                     rows = overlap
         if kept:
-            yield found(pa.Table.from_batches(kept))
+            yield scan(pa.Table.from_batches(kept))
+
+    return sorted_rows.mapInArrow(blocks, schema)
+
+
+_PLAIN = "a long, b long"
+
+
+def _plain(pairs: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(pairs[:, k])) for k in (0, 1)], names=["a", "b"])
+
 
-    def found(table: pa.Table) -> pa.RecordBatch:
-        pairs = scan(table)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+_PACKED = "one int, two int, a array<long>, b array<long>"
 
-    return sorted_rows.mapInArrow(blocks, "a long, b long").distinct()
+
+def _packed(pairs: np.ndarray, buckets: int) -> pa.RecordBatch:
+    """Pairs as one row per pair of node buckets; a node paired with itself goes to bucket -1."""
+    bucket = (mix(pairs.view(np.uint64)) % np.uint64(buckets)).astype(np.int32)
+    # Both nodes of a pair change places where that brings the smaller bucket to the front.
+    swap = bucket[:, 0] > bucket[:, 1]
+    pairs, bucket = np.where(swap[:, None], pairs[:, ::-1], pairs), np.sort(bucket, 1)
+    bucket[pairs[:, 0] == pairs[:, 1]] = -1
+    order = np.lexsort((bucket[:, 1], bucket[:, 0]))
+    pairs, bucket = pairs[order], bucket[order]
+    first = np.flatnonzero(np.diff(bucket, axis=0, prepend=-2).any(1))
+    ends = pa.array(np.append(first, len(pairs)).astype(np.int32))
+    sides = [pa.ListArray.from_arrays(ends, pa.array(np.ascontiguousarray(pairs[:, k]))) for k in (0, 1)]
+    return pa.RecordBatch.from_arrays(
+        [pa.array(bucket[first, 0]), pa.array(bucket[first, 1]), *sides], names=["one", "two", "a", "b"]
+    )
 
 
 def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
@@ -274,29 +304,29 @@ def _columns(table: pa.Table, *names: str) -> list[np.ndarray]:
 def _candidates(nodes: DataFrame, width: int) -> DataFrame:
     """(a, b) neighbours in any tree, and (a, a) for nodes of regions that were cut."""
 
-    def scan(table: pa.Table) -> np.ndarray:
+    def scan(table: pa.Table) -> pa.RecordBatch:
         tree, node = _columns(table, "tree", "node")
-        return _neighbours(tree, _matrix(table.column("key"), DEPTH, ">u2"), node, width)
+        return _plain(_neighbours(tree, _matrix(table.column("key"), DEPTH, ">u2"), node, width))
 
     rows = _tree_rows(nodes, "").repartitionByRange("tree", "key").sortWithinPartitions("tree", "key", "node")
-    return _pairs_of(rows, scan, BLOCK_ROWS, width)
+    return _scanned(rows, scan, _PLAIN, BLOCK_ROWS, width).distinct()
 
 
-def _region_candidates(region: DataFrame, rows: int, width: int, percent: int) -> DataFrame:
-    """(a, b) of different components in regions that were cut, alike by their signatures."""
+def _region_candidates(region: DataFrame, rows: int, width: int, percent: int, buckets: int) -> DataFrame:
+    """Packed pairs of different components in regions that were cut, alike by their signatures."""
 
-    def scan(table: pa.Table) -> np.ndarray:
+    def scan(table: pa.Table) -> pa.RecordBatch:
         tree, node, root, size = _columns(table, "tree", "node", "root", "n_shingles")
         keys, signatures = _matrix(table.column("key"), DEPTH, ">u2"), _matrix(
             table.column("signature"), PERMUTATIONS, np.uint16
         )
-        return _strangers(tree, keys, node, root, size, signatures, width, percent)
+        return _packed(_strangers(tree, keys, node, root, size, signatures, width, percent), buckets)
 
     wide = _tree_rows(region, "root long, n_shingles long, signature binary")
     # Few large ranges, so that few regions are divided between tasks.
     ranges = 1 + rows * TREES // REGION_BLOCK_ROWS
     wide = wide.repartitionByRange(ranges, "tree", "key").sortWithinPartitions("tree", "key", "node")
-    return _pairs_of(wide, scan, REGION_BLOCK_ROWS, min(width, REGION_BLOCK_ROWS // 2))
+    return _scanned(wide, scan, _PACKED, REGION_BLOCK_ROWS, min(width, REGION_BLOCK_ROWS // 2))
 
 
 def _tiles(region: DataFrame) -> DataFrame:
@@ -361,26 +391,15 @@ def _between(
     return _ordered(np.concatenate([nothing, *left]), np.concatenate([nothing, *right]))
 
 
-def _region_pairs(region: DataFrame, percent: int) -> DataFrame:
-    """(a, b) of different components under one prefix of any tree, alike by their signatures."""
+def _region_pairs(region: DataFrame, percent: int, buckets: int = 0) -> DataFrame:
+    """Pairs of different components under one prefix of any tree, alike by their signatures.
+
+    Packed by ``buckets`` of nodes, or distinct rows (a, b) if there are none.
+    """
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[pa.RecordBatch] = []
-        group = None
-        for batch in batches:
-            keys = list(zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True))
-            first = 0
-            for i, key in enumerate(keys):
-                if key != group:
-                    if i > first:
-                        kept.append(batch.slice(first, i - first))
-                    if kept:
-                        yield found(group, pa.Table.from_batches(kept))
-                    kept, first, group = [], i, key
-            if len(keys) > first:
-                kept.append(batch.slice(first))
-        if kept:
-            yield found(group, pa.Table.from_batches(kept))
+        for group in grouped(batches, *by_pair):
+            yield found(tuple(group[0].column(name)[0].as_py() for name in by_pair), pa.Table.from_batches(group))
 
     def found(group: tuple, table: pa.Table) -> pa.RecordBatch:
         tree, _, one, two = group
@@ -389,13 +408,13 @@ def _region_pairs(region: DataFrame, percent: int) -> DataFrame:
         sides = [tile == one, tile == two]
         parts = [tuple(x[side] for side in sides) for x in (node, root, size, signatures)]
         pairs = _between(tree, one == two, *parts, percent)
-        return pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
+        return _packed(pairs, buckets) if buckets else _plain(pairs)
 
-    tiles = _tiles(region).join(region.select("node", "root", "n_shingles", "signature"), "node")
     by_pair = ("tree", "prefix", "one", "two")
+    tiles = _tiles(region).join(region.select("node", "root", "n_shingles", "signature"), "node")
     tiles = tiles.select(*by_pair, "tile", "node", "root", "n_shingles", "signature")
     dealt = tiles.repartition(*(F.col(c) for c in by_pair)).sortWithinPartitions(*by_pair)
-    return dealt.mapInArrow(compare, "a long, b long").distinct()
+    return dealt.mapInArrow(compare, _PACKED) if buckets else dealt.mapInArrow(compare, _PLAIN).distinct()
 
 
 def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -416,8 +435,8 @@ def _alike(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     return joined.filter(fits).select("a", "b", "sa", "sb").mapInArrow(agree, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The pairs whose full sets have 100 * intersection >= percent * union."""
+def _full_sets(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int) -> DataFrame:
+    """node and hashes of the listed nodes, made again from one text of each."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -429,14 +448,19 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int
                     [pa.array(_names(hashes, sizes)), own], names=["node", "hashes"]
                 )
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
     texts = only(docs, nodes.join(wanted, "node").select("doc_id", "tag"))
-    of = materialize(
+    return materialize(
         texts.select(texts["text"].cast("string").alias("text"))
         .mapInArrow(sets, "node long, hashes array<long>")
         .dropDuplicates(["node"]),
         "sets",
     )
+
+
+def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """The pairs whose full sets have 100 * intersection >= percent * union."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    of = _full_sets(wanted, nodes, docs, shingle)
     one = of.select(F.col("node").alias("a"), F.col("hashes").alias("ha"))
     two = of.select(F.col("node").alias("b"), F.col("hashes").alias("hb"))
     both = F.size(F.array_intersect("ha", "hb"))
@@ -444,6 +468,69 @@ def _confirmed(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int
     return joined.filter(100 * both >= percent * (F.size("ha") + F.size("hb") - both)).select("a", "b")
 
 
+def _linked(a: np.ndarray, b: np.ndarray, node: np.ndarray, hashes: list[np.ndarray], percent: int) -> np.ndarray:
+    """A spanning forest of the pairs whose full sets have 100 * intersection >= percent * union."""
+    order = np.argsort(node)
+    a, b = (order[np.searchsorted(node, x, sorter=order)] for x in (a, b))
+    sizes = np.array([len(h) for h in hashes])
+    first = np.append(0, np.cumsum(sizes))
+    _, symbols = np.unique(np.concatenate(hashes), return_inverse=True)
+    symbols = symbols.reshape(-1)
+    inside = np.zeros(int(symbols.max()) + 1, bool)
+    root = list(range(len(node)))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = i = root[root[i]]
+        return i
+
+    kept = []
+    bounds = np.flatnonzero(np.diff(a, prepend=-1))
+    for low, others in zip(bounds.tolist(), np.split(b, bounds)[1:], strict=True):
+        i = int(a[low])
+        inside[symbols[first[i] : first[i + 1]]] = True
+        for start in range(0, len(others), 1024):
+            part = others[start : start + 1024]
+            at = ragged(first[part], sizes[part])
+            both = np.add.reduceat(inside[symbols[at]].astype(np.int64), np.cumsum(sizes[part]) - sizes[part])
+            alike = 100 * both >= percent * (sizes[i] + sizes[part] - both)
+            for j in part[alike].tolist():
+                one, two = find(i), find(j)
+                if one != two:
+                    root[one] = two
+                    kept.append((node[i], node[j]))
+        inside[symbols[first[i] : first[i + 1]]] = False
+    return np.array(kept, np.int64).reshape(-1, 2)
+
+
+def _confirmed_together(packed: DataFrame, nodes: DataFrame, docs: DataFrame, shingle: int, percent: int) -> DataFrame:
+    """Links among packed pairs: a spanning forest for each pair of buckets, whose sets meet once."""
+
+    def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for group in grouped(batches, "one", "two"):
+            node, hashes, pairs = [], [], []
+            for batch in group:
+                for row, own in enumerate(batch.column(2).is_valid().to_pylist()):
+                    if own:
+                        node.append(batch.column(2)[row].as_py())
+                        hashes.append(batch.column(3)[row].values.to_numpy())
+                    else:
+                        pairs.append(np.stack([batch.column(k)[row].values.to_numpy() for k in (4, 5)], 1))
+            distinct = np.unique(np.concatenate(pairs), axis=0)
+            yield _plain(_linked(distinct[:, 0], distinct[:, 1], np.array(node), hashes, percent))
+
+    both = F.explode(F.array_distinct(F.concat("a", "b"))).alias("node")
+    members = materialize(packed.select("one", "two", both).distinct(), "members")
+    of = _full_sets(members.select("node").distinct(), nodes, docs, shingle)
+    nothing = [F.lit(None).cast("array<bigint>").alias(x) for x in ("a", "b")]
+    sides = members.join(of, "node").select("one", "two", "node", "hashes", *nothing)
+    asked = packed.select(
+        "one", "two", F.lit(None).cast("long").alias("node"), F.lit(None).cast("array<bigint>").alias("hashes"), "a", "b"
+    )
+    dealt = sides.unionByName(asked).repartition("one", "two").sortWithinPartitions("one", "two")
+    return dealt.mapInArrow(confirm, _PLAIN).distinct()
+
+
 def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """doc_id, n_shingles, component_id, kept and the row's tag for every document."""
     sketched = materialize(sketches(docs, shingle), "sketches")
@@ -463,16 +550,22 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
     alike = materialize(_alike(found.filter("a <> b"), nodes, percent), "alike")
     links = materialize(_confirmed(alike, nodes, docs, shingle, percent), "links")
     roots = materialize(components(links), "components")
+    cut = found.filter("a = b").select(F.col("a").alias("node"))
     for whole in (False, True):
-        cut = materialize(found.filter("a = b").select(F.col("a").alias("node")), "cut")
+        cut = materialize(cut, "cut")
         n = cut.count()
         if not n:
             break
         region = nodes.join(small_side(cut, n), "node", "left_semi").join(roots, "node", "left")
         region = region.withColumn("root", F.coalesce("root", "node"))
-        pairs = _region_pairs(region, percent) if whole else _region_candidates(region, n, REGION_WIDTH, percent)
+        buckets = 1 + (region.agg(F.sum("n_shingles")).first()[0] or 0) * 8 // BUCKET_BYTES
+        if whole:
+            pairs = _region_pairs(region, percent, buckets)
+        else:
+            pairs = _region_candidates(region, n, REGION_WIDTH, percent, buckets)
         found = materialize(pairs, "candidates")
-        new = _confirmed(found.filter("a <> b"), nodes, docs, shingle, percent)
+        cut = found.filter("one < 0").select(F.explode("a").alias("node")).distinct()
+        new = _confirmed_together(found.filter("one >= 0"), nodes, docs, shingle, percent)
         links = links.unionByName(materialize(new, "links"))
         roots = materialize(components(links), "components")
     members = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

@@ -80,6 +80,26 @@ def strings(column: pa.Array, rows: int = 256) -> Iterator[str | None]:
     release()
 
 
+def grouped(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of sorted rows with equal values in these columns, as slices."""
+    kept: list[pa.RecordBatch] = []
+    group = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(name).to_pylist() for name in names), strict=True))
+        first = 0
+        for i, key in enumerate(keys):
+            if key != group:
+                if i > first:
+                    kept.append(batch.slice(first, i - first))
+                if kept:
+                    yield kept
+                kept, first, group = [], i, key
+        if len(keys) > first:
+            kept.append(batch.slice(first))
+    if kept:
+        yield kept
+
+
 def release() -> None:
     """Give memory that is no longer used back: workers live on and share a small executor."""
     pa.default_memory_pool().release_unused()

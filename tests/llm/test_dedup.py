@@ -190,3 +190,44 @@ def test_empty_tables(empty):
     assert exact_dedup.drop_copies(empty).count() == 0
     assert minhash_forest.near_duplicates(empty).count() == 0
     assert minhash_forest.drop_near_duplicates(empty).columns == empty.columns
+
+
+def test_linked_is_a_spanning_forest_of_the_exact_links():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    base = np.arange(100, dtype=np.int64)
+    hashes = [np.sort(np.where(rng.random(100) < share, base + 1000 * (i + 1), base)) for i, share in enumerate([0.05] * 12 + [0.3] * 6)]
+    node = rng.permutation(len(hashes)) * 7 - 40
+    pairs = np.array([(node[i], node[j]) for i in range(len(hashes)) for j in range(i)])
+    found = minhash_forest._linked(pairs[:, 0], pairs[:, 1], node, hashes, 85)
+    rows = {n: set(h.tolist()) for n, h in zip(node.tolist(), hashes)}
+    alike = {(a, b) for a, b in pairs.tolist() if 100 * len(rows[a] & rows[b]) >= 85 * len(rows[a] | rows[b])}
+    assert {tuple(p) for p in found.tolist()} <= alike
+
+    def groups(links):
+        own = {n: {n} for n in rows}
+        for a, b in links:
+            if own[a] is not own[b]:
+                own[a] |= own[b]
+                for x in own[b]:
+                    own[x] = own[a]
+        return {frozenset(x) for x in own.values()}
+
+    assert groups(found.tolist()) == groups(alike)
+    assert len(found) == len(rows) - len(groups(alike))
+
+
+def test_packed_pairs_come_back_whole():
+    import numpy as np
+
+    rng = np.random.default_rng(9)
+    pairs = rng.integers(-(1 << 62), 1 << 62, (500, 2))
+    pairs[::50, 1] = pairs[::50, 0]
+    for buckets in (1, 7):
+        rows = minhash_forest._packed(pairs, buckets).to_pylist()
+        assert len({(r["one"], r["two"]) for r in rows}) == len(rows)
+        back = [tuple(sorted(p)) for r in rows for p in zip(r["a"], r["b"])]
+        assert sorted(back) == sorted(tuple(sorted(p)) for p in pairs.tolist())
+        assert sum(len(r["a"]) for r in rows if r["one"] == -1) == 10
+    assert minhash_forest._packed(pairs[:0], 3).num_rows == 0
