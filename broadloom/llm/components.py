@@ -5,7 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from broadloom.session import discard, materialize
+from broadloom.session import discard, materialize, small_side
+
+
+#: A counted table of at most this many links (1 MB) is worked on as one partition, without shuffles.
+FEW_LINKS = 50_000
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -17,16 +21,19 @@ def components(links: DataFrame) -> DataFrame:
     is a stored table per turn.
     """
     edges = materialize(_down(links.select(F.col("a").alias("u"), F.col("b").alias("v"))), "edges")
+    few = edges.count() <= FEW_LINKS
+    together = (lambda df: df.coalesce(1)) if few else (lambda df: df)
     print_of = None
     while True:
-        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        edges = together(edges)
+        both = together(edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v"))))
         least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(least, "u").filter("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        down = materialize(_down(large), "large-star")
+        down = together(materialize(_down(large), "large-star"))
         least = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v"))
         last, edges = edges, materialize(
-            _down(small.unionByName(least.select("u", F.col("m").alias("v")))), "small-star"
+            _down(together(small.unionByName(least.select("u", F.col("m").alias("v"))))), "small-star"
         )
         discard(last)
         discard(down)
@@ -38,6 +45,23 @@ def components(links: DataFrame) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(roots)
 
 
+def merge(roots: DataFrame, links: DataFrame) -> DataFrame:
+    """The components ``roots`` (node, root) with more ``links`` (a, b) between nodes, stored.
+
+    Only the links between roots are worked on. Nodes that ``roots`` does not list stand alone.
+    """
+    for side in ("a", "b"):
+        own = roots.select(F.col("node").alias(side), F.col("root").alias("to"))
+        links = links.join(own, side, "left").withColumn(side, F.coalesce("to", side)).drop("to")
+    between = materialize(links.filter("a <> b").distinct(), "between")
+    if between.isEmpty():
+        return roots
+    new = materialize(components(between), "merged")
+    side = small_side(new.select(F.col("node").alias("root"), F.col("root").alias("to")), new.count())
+    known = roots.join(side, "root", "left").select("node", F.coalesce("to", "root").alias("root"))
+    return materialize(known.unionByName(new.join(roots.select("node"), "node", "left_anti")), "components")
+
+
 def _down(edges: DataFrame) -> DataFrame:
     """Distinct edges from the larger to the smaller node."""
     return edges.filter("u <> v").select(

@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadloom.llm.byte_bpe import ragged
-from broadloom.llm.components import components
+from broadloom.llm.components import components, merge
 from broadloom.llm.rows import join_counted, only, prepare, text_tag, without
 from broadloom.llm.textarrays import SPACED, chunks, grouped, mix, shingle_sets, words
 from broadloom.session import materialize, small_side
@@ -566,8 +566,7 @@ def near_duplicates(docs: DataFrame, shingle: int = SHINGLE, percent: int = PERC
         found = materialize(pairs, "candidates")
         cut = found.filter("one < 0").select(F.explode("a").alias("node")).distinct()
         new = _confirmed_together(found.filter("one >= 0"), nodes, docs, shingle, percent)
-        links = links.unionByName(materialize(new, "links"))
-        roots = materialize(components(links), "components")
+        roots = merge(roots, materialize(new, "links"))
     members = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     smallest = members.groupBy("root").agg(
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "tag")).alias("first")

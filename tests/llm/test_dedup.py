@@ -231,3 +231,14 @@ def test_packed_pairs_come_back_whole():
         assert sorted(back) == sorted(tuple(sorted(p)) for p in pairs.tolist())
         assert sum(len(r["a"]) for r in rows if r["one"] == -1) == 10
     assert minhash_forest._packed(pairs[:0], 3).num_rows == 0
+
+
+def test_merge_joins_components(spark):
+    roots = spark.createDataFrame([(1, 1), (2, 1), (5, 5), (6, 5), (8, 8), (9, 8)], "node long, root long")
+    links = spark.createDataFrame([(6, 2), (9, 20), (30, 31), (1, 2)], "a long, b long")
+    from broadloom.llm.components import merge
+
+    found = {r["node"]: r["root"] for r in merge(roots, links).collect()}
+    assert found == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8, 20: 8, 30: 30, 31: 30}
+    nothing = spark.createDataFrame([], "a long, b long")
+    assert {r["node"]: r["root"] for r in merge(roots, nothing).collect()} == {1: 1, 2: 1, 5: 5, 6: 5, 8: 8, 9: 8}
