@@ -45,9 +45,11 @@ from broadloom.llm.rows import prepare, text_tag
 from broadloom.llm.textarrays import SPACED, chunks, grouped, mix, release, words_in_parts
 from broadloom.session import materialize, scratch_path
 
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_000_000
 #: Tokens of the corpus per part of the key space; bounds what a counting task holds.
 PART_TOKENS = 2_000_000
+#: Parts, or blocks, that a task takes one after the other.
+PER_TASK = 4
 HELD_OUT = 10
 #: Context frequencies 0, 1, 2-3, 4-7, ...
 BUCKETS = 65
@@ -258,7 +260,7 @@ def _requests(blocks: DataFrame, parts: int) -> DataFrame:
     return blocks.select(*needed).mapInArrow(ask, _REQUEST)
 
 
-def _answers(requests: DataFrame) -> DataFrame:
+def _answers(requests: DataFrame, parts: int) -> DataFrame:
     """Counts over all blocks, in the order of each request.
 
     ``trained`` counts all training texts and ``kept`` those that are not deleted; only deleted blocks get the
@@ -301,15 +303,15 @@ def _answers(requests: DataFrame) -> DataFrame:
             names=["level", "part", "block", "deleted", "kept", "trained", "n_known"],
         )
 
-    dealt = requests.repartition("level", "part").sortWithinPartitions("level", "part", "block")
+    dealt = requests.repartition(1 + 2 * parts // PER_TASK, "level", "part").sortWithinPartitions("level", "part", "block")
     return dealt.mapInArrow(total, _ANSWER)
 
 
 _Answered = Callable[["_Block", dict[str, dict[int, np.ndarray]]], pa.RecordBatch]
 
 
-def _with_answers(blocks: DataFrame, answers: DataFrame, work: _Answered, schema: str) -> DataFrame:
-    """``work`` on every block and its counts of words (1) and pairs (2) in the block's own numbers."""
+def _with_answers(blocks: DataFrame, answers: DataFrame, n: int, work: _Answered, schema: str) -> DataFrame:
+    """``work`` on each of ``n`` blocks and its counts of words (1) and pairs (2) in the block's own numbers."""
     parts = answers.filter("block >= 0").select("block", "level", "part", "kept", "trained")
     whole = blocks.select(
         "block",
@@ -321,7 +323,7 @@ def _with_answers(blocks: DataFrame, answers: DataFrame, work: _Answered, schema
     )
     both = whole.unionByName(parts, allowMissingColumns=True)
     # The block itself is level 0 and comes first.
-    dealt = both.repartition("block").sortWithinPartitions("block", "level", "part")
+    dealt = both.repartition(1 + n // PER_TASK, "block").sortWithinPartitions("block", "level", "part")
 
     def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for group in grouped(batches, "block"):
@@ -382,7 +384,7 @@ def _context_counts(block: _Block, words: np.ndarray, totals: Totals) -> np.ndar
     return np.append(words, totals.docs)[block.contexts]
 
 
-def _events(blocks: DataFrame, answers: DataFrame, kept: Totals) -> DataFrame:
+def _events(blocks: DataFrame, answers: DataFrame, n: int, kept: Totals) -> DataFrame:
     """How often the deleted texts have bigrams with the same kept counts of pair, context and word."""
 
     def count(block: _Block, counts: dict) -> pa.RecordBatch:
@@ -398,7 +400,7 @@ def _events(blocks: DataFrame, answers: DataFrame, kept: Totals) -> DataFrame:
         )
 
     found = _with_answers(
-        blocks.filter("deleted"), answers.filter("deleted"), count, "pair long, context long, word long, times long"
+        blocks.filter("deleted"), answers.filter("deleted"), n, count, "pair long, context long, word long, times long"
     )
     return found.groupBy("pair", "context", "word").agg(F.sum("times").alias("times"))
 
@@ -467,11 +469,12 @@ def score(
     prepare(docs.sparkSession)
     blocks = _blocks(docs, trained, block_tokens)
     sizes = blocks.groupBy("deleted").agg(
-        *[F.sum(c).alias(c) for c in ("n_tokens", "train_docs", "train_tokens")]
+        F.count("*").alias("n"), *[F.sum(c).alias(c) for c in ("n_tokens", "train_docs", "train_tokens")]
     )
     size = {r["deleted"]: r for r in sizes.collect()}
     n_tokens = sum(r["n_tokens"] for r in size.values())
-    answers = materialize(_answers(_requests(blocks, 1 + n_tokens // part_tokens)), "answers")
+    parts = 1 + n_tokens // part_tokens
+    answers = materialize(_answers(_requests(blocks, parts), parts), "answers")
     known = answers.filter("block < 0").groupBy("deleted").agg(F.sum("n_known").alias("n"))
     words = {r["deleted"]: r["n"] for r in known.collect()}
     everything = Totals(
@@ -482,7 +485,7 @@ def score(
         kept = Totals(size[False]["train_docs"], size[False]["train_tokens"], words[True])
     mixture = Mixture.start()
     if True in size:
-        mixture = fit_mixture(_events(blocks, answers, kept), kept)
+        mixture = fit_mixture(_events(blocks, answers, size[True]["n"], kept), kept)
 
     def judge(block: _Block, counts: dict) -> pa.RecordBatch:
         seen, pairs = counts["trained"][1], counts["trained"][2]
@@ -504,4 +507,4 @@ def score(
             names=["doc_id", "tag", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
         )
 
-    return _with_answers(blocks, answers, judge, _SCORED)
+    return _with_answers(blocks, answers, sum(r["n"] for r in size.values()), judge, _SCORED)
