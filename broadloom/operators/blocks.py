@@ -33,6 +33,25 @@ def list_of(block: np.ndarray) -> pa.Array:
     return pa.ListArray.from_arrays(offsets, pa.array(block.reshape(-1).astype(np.float64)))
 
 
+def grouped(batches: Iterator[pa.RecordBatch], *names: str) -> Iterator[list[pa.RecordBatch]]:
+    """Runs of sorted rows with equal values in these columns, as slices; one run is held at a time."""
+    run: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        keys = list(zip(*(batch.column(batch.schema.get_field_index(n)).to_pylist() for n in names), strict=True))
+        changes = [i for i, key in enumerate(keys) if key != (keys[i - 1] if i else last)]
+        for low, high in zip([0, *changes], [*changes, len(keys)], strict=True):
+            if low in changes and run:
+                yield run
+                run = []
+            if high > low:
+                run.append(batch.slice(low, high - low))
+        if keys:
+            last = keys[-1]
+    if run:
+        yield run
+
+
 def _message(found: int, width: int) -> str | None:
     if found == width:
         return None

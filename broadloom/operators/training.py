@@ -175,11 +175,12 @@ def train_batch(stages: list[dict], x: np.ndarray, config: Config, step: int, rn
             grad = inv * (g - g.mean(axis=0) - unit * (g * unit).mean(axis=0)) * (z > 0)
         grads["kernel"], grads["bias"] = saved[0].T @ grad, grad.sum(axis=0)
         grad = grad @ stage["kernel"].T
-        _adam(stage, grads, config.learning_rate, step)
+        adam(stage, grads, config.learning_rate, step)
     return float(np.mean(gap * gap))
 
 
-def _adam(stage: dict, grads: dict, rate: float, step: int) -> None:
+def adam(stage: dict, grads: dict, rate: float, step: int) -> None:
+    """One step of the optimiser in place; moments stand beside their arrays as ``m_`` and ``v_``."""
     b1, b2, eps = ADAM
     rate = rate * np.sqrt(1 - b2**step) / (1 - b1**step)
     for part, g in grads.items():

@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 from broadloom.operators import matrix as m
 from broadloom.operators import metrics, scalers, trials
 from broadloom.operators.stats import histogram
+from broadloom.operators.matrix import width_of
+from broadloom.operators.network import MAX_PARAMS
 from broadloom.operators.training import Config, Fitted, evaluate, fit_grid, predictions
+from broadloom.operators.wide_training import WideFitted, fit_wide
 from broadloom.session import materialize
 from broadloom.sources.sinks import append_trials
 
@@ -37,6 +40,16 @@ def scale_for_training(
     return scalers.transform(prepared, params, kind), params
 
 
+def fit(
+    scaled: DataFrame, configs: Sequence[Config], *, max_params: int = MAX_PARAMS, **training
+) -> Fitted | WideFitted:
+    """Train the grid: together in every worker up to ``max_params`` weights, else in feature blocks."""
+    n_features = width_of(scaled)
+    if sum(c.params(n_features) for c in configs) <= max_params:
+        return fit_grid(scaled, configs, max_params=max_params, **training)
+    return fit_wide(scaled, configs, **training)
+
+
 def tune(
     matrix: DataFrame,
     kind: str,
@@ -45,12 +58,12 @@ def tune(
     *,
     metrics_on: str = "all",
     **training,
-) -> tuple[Fitted, DataFrame]:
+) -> tuple[Fitted | WideFitted, DataFrame]:
     """Train the grid and append its trial rows; returns the models and the scaler."""
     scaled, params = scale_for_training(matrix, kind)
     # Scaled rows are read by every epoch's evaluation: written once.
     scaled = materialize(scaled, "scaled")
-    fitted = fit_grid(scaled, configs, **training)
+    fitted = fit(scaled, configs, **training)
     append_trials(evaluate(scaled, fitted, metrics_on=metrics_on), trials_path)
     return fitted, params
 

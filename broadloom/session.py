@@ -103,6 +103,22 @@ def discard(df: DataFrame) -> None:
             target.getFileSystem(context._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def _file(spark: SparkSession, path: str):
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return target, target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
+def path_exists(spark: SparkSession, path: str) -> bool:
+    target, system = _file(spark, path)
+    return system.exists(target)
+
+
+def remove_path(spark: SparkSession, path: str) -> None:
+    """Delete a table by its path, if it is there."""
+    target, system = _file(spark, path)
+    system.delete(target, True)
+
+
 # Rows of parameters or interval bounds (about 100 MB) that may go to every executor.
 BROADCAST_ROWS = 2_000_000
 
