@@ -34,7 +34,7 @@ from broadloom.operators.network import (
     weight_rows,
     WEIGHTS_SCHEMA,
 )
-from broadloom.session import materialize, shared_dir, ship_package
+from broadloom.session import materialize, path_exists, remove_path, shared_dir, ship_package
 
 # Training settings.
 EPOCHS = 50
@@ -236,9 +236,9 @@ def _emit(
 
 
 def _epoch(
-    train: DataFrame, active: list[Progress], epoch: int, seed: int
+    train: DataFrame, active: list[Progress], epoch: int, seed: int, store: str | None = None
 ) -> dict[int, tuple[float, float]]:
-    """Train all active trials for one pass and average.
+    """Train all active trials for one pass and average, by way of the table ``store`` if one is given.
 
     Returns the train loss of each trial and its own seconds, summed over tasks.
     """
@@ -280,7 +280,16 @@ def _epoch(
             "trial_id", "stage", "part", "row_idx", vector_to_array("w").alias("w"), "steps", "loss", "seconds"
         )
     )
-    by_trial = {p.config.trial_id: p for p in active}
+    if store is not None:
+        averaged.write.mode("overwrite").parquet(store)
+        averaged = train.sparkSession.read.parquet(store)
+    losses = _take(averaged, {p.config.trial_id: p for p in active})
+    shared.unpersist()
+    return losses
+
+
+def _take(averaged: DataFrame, by_trial: dict[int, Progress]) -> dict[int, tuple[float, float]]:
+    """Fill the arrays of the trials from averaged rows; their losses and seconds."""
     losses = {}
     for r in averaged.toLocalIterator():
         p = by_trial[r["trial_id"]]
@@ -292,10 +301,49 @@ def _epoch(
             value[r["row_idx"]] = r["w"]
         else:
             value[:] = r["w"]
-    shared.unpersist()
     return losses
 
 
+_COMMIT = "trial_id int, epoch int, loss double, val_loss double, epoch_seconds double, best_epoch int, waited int, stopped boolean"
+
+
+def _restore(spark, run: str, progress: list[Progress]) -> int:
+    """Take over the committed epochs of a run; how many there are.
+
+    The tables of an epoch hold weights and moments, so every trial continues from its last one
+    and gets its best weights from the epoch the commit points to.
+    """
+    by_trial = {p.config.trial_id: p for p in progress}
+    epoch, last, best = 0, {}, {}
+    while path_exists(spark, f"{run}/commits/{epoch + 1}/_SUCCESS"):
+        epoch += 1
+        for r in spark.read.schema(_COMMIT).parquet(f"{run}/commits/{epoch}").collect():
+            p = by_trial[r["trial_id"]]
+            p.history.append((r["epoch"], r["loss"], r["val_loss"], r["epoch_seconds"]))
+            p.waited, p.stopped = r["waited"], r["stopped"]
+            last[r["trial_id"]], best[r["trial_id"]] = epoch, r["best_epoch"]
+    # The best weights first, then the last ones over them.
+    for wanted, keep in ((best, True), (last, False)):
+        for e in sorted({x for x in wanted.values() if x is not None}):
+            own = {t: by_trial[t] for t, x in wanted.items() if x == e}
+            _take(spark.read.parquet(f"{run}/epoch-{e}").filter(F.col("trial_id").isin(list(own))), own)
+        if keep:
+            for t, e in best.items():
+                if e is not None:
+                    by_trial[t].best = (by_trial[t].history[e - 1][2], _copy(by_trial[t].stages))
+    return epoch
+
+
+def _commit(spark, run: str, epoch: int, active: list[Progress], progress: list[Progress]) -> None:
+    """Record an epoch; its table of weights and those of best epochs stay, the others go."""
+    best = {p.config.trial_id: p.best and next(h[0] for h in p.history if h[2] == p.best[0]) for p in progress}
+    rows = [(p.config.trial_id, *p.history[-1], best[p.config.trial_id], p.waited, p.stopped) for p in active]
+    spark.createDataFrame(rows, _COMMIT).coalesce(1).write.mode("overwrite").parquet(f"{run}/commits/{epoch}")
+    needed = {p.history[-1][0] for p in progress} | {e for e in best.values() if e is not None}
+    for old in set(range(1, epoch)) - needed:
+        remove_path(spark, f"{run}/epoch-{old}")
+
+
 def predictions(matrix: DataFrame, models: Sequence[tuple[int, list[dict]]], keys: Sequence[str] = ()) -> DataFrame:
     """``trial_id, keys..., features, pred``: every row through every model."""
     ship_package(matrix.sparkSession)
@@ -389,6 +437,7 @@ def fit_grid(
     workers: int | None = None,
     max_params: int = MAX_PARAMS,
     key: str = "row_id",
+    run_dir: str | None = None,
 ) -> Fitted:
     """Train every configuration on the scaled matrix.
 
@@ -397,6 +446,9 @@ def fit_grid(
     for ``patience`` epochs drops out with its best weights; a loss that is not a number never
     improves. With ``share`` 0 there is no validation loss and no early stop. The seconds of an
     epoch are those a trial computed itself, summed over tasks.
+
+    With ``run_dir`` each epoch leaves its weights and a commit there, and a call with the same
+    folder goes on after the last commit, with the history of an uninterrupted run.
     """
     n_features = width_of(matrix)
     total = sum(c.params(n_features) for c in configs)
@@ -409,23 +461,24 @@ def fit_grid(
         workers = max(spark.sparkContext.defaultParallelism, math.ceil(size / PARTITION_BYTES))
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(shared_dir(spark))
-    data = (
+    spread = (
         split(matrix, share, key)
         .select(key, "features", "is_validation")
         .repartition(workers, F.xxhash64(key))
-        .sortWithinPartitions(F.xxhash64(key))
-        .checkpoint()
+        .sortWithinPartitions(F.xxhash64(key), F.xxhash64("features"))
     )
+    data = spread.checkpoint()
     train, held_out = data.filter(~F.col("is_validation")), data.filter("is_validation")
     for part, wanted in (("training", True), ("validation", share > 0)):
         if wanted and (train if part == "training" else held_out).isEmpty():
             raise ValueError(f"no {part} rows; set share to fit the table")
     progress = [Progress(c, initial_stages(c, n_features, seed)) for c in configs]
-    for epoch in range(1, epochs + 1):
+    run = run_dir.rstrip("/") if run_dir else None
+    for epoch in range(1 + (_restore(spark, run, progress) if run else 0), epochs + 1):
         active = [p for p in progress if not p.stopped]
         if not active:
             break
-        trained = _epoch(train, active, epoch, seed)
+        trained = _epoch(train, active, epoch, seed, f"{run}/epoch-{epoch}" if run else None)
         validation = _losses(held_out, [(p.config.trial_id, p.stages) for p in active])
         for p in active:
             trial = p.config.trial_id
@@ -439,6 +492,8 @@ def fit_grid(
             else:
                 p.waited += 1
                 p.stopped = p.waited >= patience
+        if run:
+            _commit(spark, run, epoch, active, progress)
     for p in progress:
         if p.stopped and p.best is not None:
             p.stages = p.best[1]

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from broadloom.operators import layers, network, scalers, training
+from broadloom.operators import layers, network, scalers, training, wide_training
 from broadloom.operators import matrix as m
 from broadloom.plans import encoding
 from broadloom.plans.tuning import grid_configs, tune
@@ -59,6 +59,36 @@ def g01(spark, sf_dir):
     return fitted.history(spark)
 
 
+@query(
+    "g01_wide_fit",
+    """SELECT CAST(t AS INTEGER) AS trial_id, CAST(e AS INTEGER) AS epoch, true AS same_loss, true AS same_val_loss,
+       true AS below_start, round(s, 6) AS mean_square
+FROM (SELECT unnest(range(1, 3)) AS t) CROSS JOIN (SELECT unnest(range(1, 3)) AS e)
+CROSS JOIN (SELECT avg(x * x) AS s FROM (SELECT unnest(embedding)::DOUBLE AS x FROM embeddings))""",
+)
+def g01_wide(spark, sf_dir):
+    """Training in feature blocks, as for grids above the limit of a worker, takes the steps of training in memory."""
+    matrix = materialize(fx.matrix(spark, sf_dir), "matrix")
+    rows = matrix.count()
+    shared = {"learning_rate": 0.01, "batch_size": rows, "dropout_rate": 0.0}
+    configs = [training.Config(1, 8, (32,), **shared), training.Config(2, 4, (24, 12), **shared)]
+    wide = wide_training.fit_wide(matrix, configs, epochs=2, block_features=20).history(spark)
+    held = training.fit_grid(matrix, configs, epochs=2, workers=1).history(spark)
+    held = held.select("trial_id", "epoch", F.col("loss").alias("l"), F.col("val_loss").alias("v"))
+    start = wide.filter("epoch = 1").select("trial_id", F.col("loss").alias("start"))
+    square = matrix.select(F.explode("features").alias("x")).agg(F.round(F.avg(F.col("x") * F.col("x")), 6))
+    near = lambda a, b: F.abs(F.col(a) - F.col(b)) <= 1e-9 * F.col(b)
+    joined = wide.join(held, ["trial_id", "epoch"]).join(start, "trial_id")
+    return joined.select(
+        "trial_id",
+        "epoch",
+        near("loss", "l").alias("same_loss"),
+        near("val_loss", "v").alias("same_val_loss"),
+        (F.col("loss") <= F.col("start")).alias("below_start"),
+        F.lit(square.first()[0]).alias("mean_square"),
+    )
+
+
 @query(
     "g02_grid_run",
     """SELECT CAST(t AS INTEGER) AS trial_id, true AS rmse_fits, true AS improvement_fits, true AS took_time,

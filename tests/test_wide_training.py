@@ -95,3 +95,16 @@ def test_grouped_over_batch_borders():
         batches = [pa.RecordBatch.from_pydict({"k": pa.array(keys[a:b], pa.int64())}) for a, b in zip(edges, edges[1:])]
         got = [[k for part in run for k in part.column(0).to_pylist()] for run in blocks.grouped(iter(batches), "k")]
         assert got == [[1] * 3, [2], [3] * 2, [5] * 4]
+
+
+def test_interrupted_grid_in_memory_goes_on(rows, tmp_path):
+    configs = [training.Config(i, 3, (8,), learning_rate=rate, batch_size=16) for i, rate in ((1, 0.01), (2, 3.0))]
+    options = dict(patience=1, workers=2)
+    whole = training.fit_grid(rows, configs, epochs=5, **options)
+    run = str(tmp_path / "grid")
+    training.fit_grid(rows, configs, epochs=2, run_dir=run, **options)
+    resumed = training.fit_grid(rows, configs, epochs=5, run_dir=run, **options)
+    same(losses(whole), losses(resumed))
+    for one, two in zip(whole.progress, resumed.progress):
+        assert (one.stopped, one.waited, one.best[0]) == (two.stopped, two.waited, pytest.approx(two.best[0]))
+        np.testing.assert_allclose(one.stages[0]["kernel"], two.stages[0]["kernel"], rtol=1e-9)
