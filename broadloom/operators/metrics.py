@@ -38,10 +38,15 @@ def per_feature(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         (F.max("x") - F.min("x")).alias("range"),
         F.var_pop("x").alias("baseline"),
     )
+    return with_scores(grouped)
+
+
+def with_scores(sums: DataFrame) -> DataFrame:
+    """Add ``mse, range_mse, r2`` to rows of ``n, sse, sae, range, baseline``."""
     total = F.col("baseline") * F.col("n")
     perfect = F.when(F.col("sse") == 0, 1.0).otherwise(0.0)
     return (
-        grouped.withColumn("mse", F.try_divide("sse", "n"))
+        sums.withColumn("mse", F.try_divide("sse", "n"))
         .withColumn(
             "range_mse", F.col("mse") / (F.col("range") * F.col("range") + RANGE_EPSILON)
         )

@@ -364,6 +364,43 @@ def predictions(matrix: DataFrame, models: Sequence[tuple[int, list[dict]]], key
     return carried.mapInArrow(run, f"trial_id int, {fields}, pred array<double>")
 
 
+def trial_errors(matrix: DataFrame, models: Sequence[tuple[int, list[dict]]]) -> DataFrame:
+    """``metrics.per_feature`` of every model, without a row per cell and model.
+
+    A task adds the errors of its rows up and sends one pair of vectors per model; counts, ranges and
+    variances of the features are the same for all models and are taken once.
+    """
+    ship_package(matrix.sparkSession)
+    shared = matrix.sparkSession.sparkContext.broadcast(list(models))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict[int, np.ndarray] = {}
+        for batch in batches:
+            block = cells_of(batch.column(0))
+            for trial, stages in shared.value:
+                gap = run_stages(block, stages, encode=False) - block
+                own = np.stack([(gap * gap).sum(axis=0), np.abs(gap).sum(axis=0)])
+                sums[trial] = sums[trial] + own if trial in sums else own
+        for trial, own in sums.items():
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([trial], pa.int32()), list_of(own[:1]), list_of(own[1:])], names=["trial_id", "sse", "sae"]
+            )
+
+    parts = matrix.select("features").mapInArrow(run, "trial_id int, sse array<double>, sae array<double>")
+    pairs = parts.select("trial_id", F.posexplode(F.arrays_zip("sse", "sae")).alias("feature_idx", "e"))
+    sums = pairs.groupBy("trial_id", "feature_idx").agg(
+        F.sum("e.sse").alias("sse"), F.sum("e.sae").alias("sae")
+    )
+    cells = matrix.select(F.posexplode("features").alias("feature_idx", "x"))
+    spread = cells.groupBy("feature_idx").agg(
+        F.count("x").alias("n"), (F.max("x") - F.min("x")).alias("range"), F.var_pop("x").alias("baseline")
+    )
+    joined = sums.join(spread, "feature_idx").select(
+        "trial_id", "feature_idx", "n", "sse", "sae", "range", "baseline"
+    )
+    return metrics.with_scores(joined)
+
+
 def _losses(
     rows: DataFrame, models: Sequence[tuple[int, list[dict]]]
 ) -> dict[int, tuple[float, float]]:
@@ -506,7 +543,7 @@ def evaluate(matrix: DataFrame, fitted: Fitted, *, metrics_on: str = "all", key:
         raise ValueError(f"unknown metrics_on {metrics_on!r}")
     spark = matrix.sparkSession
     rows = matrix if metrics_on == "all" else split(matrix, key=key).filter("is_validation")
-    per_feature = metrics.per_feature(predictions(rows, fitted.models()), ["trial_id"])
+    per_feature = trial_errors(rows, fitted.models())
     scores = metrics.summary(per_feature, ["trial_id"], max_features=fitted.n_features)
     settings = spark.createDataFrame(
         [

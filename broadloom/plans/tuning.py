@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from broadloom.operators import matrix as m
-from broadloom.operators import metrics, scalers, trials
+from broadloom.operators import scalers, trials
 from broadloom.operators.stats import histogram
 from broadloom.operators.matrix import width_of
 from broadloom.operators.network import MAX_PARAMS
-from broadloom.operators.training import Config, Fitted, evaluate, fit_grid, predictions
+from broadloom.operators.training import Config, Fitted, evaluate, fit_grid, trial_errors
 from broadloom.operators.wide_training import WideFitted, fit_wide
 from broadloom.session import materialize
 from broadloom.sources.sinks import append_trials
@@ -57,21 +57,24 @@ def tune(
     trials_path: str,
     *,
     metrics_on: str = "all",
+    job: str | None = None,
     **training,
 ) -> tuple[Fitted | WideFitted, DataFrame]:
-    """Train the grid and append its trial rows; returns the models and the scaler."""
+    """Train the grid and append its trial rows; returns the models and the scaler.
+
+    With a name for the ``job`` its rows are appended once, however often it is repeated.
+    """
     scaled, params = scale_for_training(matrix, kind)
     # Scaled rows are read by every epoch's evaluation: written once.
     scaled = materialize(scaled, "scaled")
     fitted = fit(scaled, configs, **training)
-    append_trials(evaluate(scaled, fitted, metrics_on=metrics_on), trials_path)
+    append_trials(evaluate(scaled, fitted, metrics_on=metrics_on), trials_path, job)
     return fitted, params
 
 
 def error_histograms(scaled: DataFrame, fitted: Fitted, bins: int = ERROR_BINS) -> DataFrame:
     """Histograms of the per-feature errors of every trial."""
-    errors = metrics.per_feature(predictions(scaled, fitted.models()), ["trial_id"])
-    return error_histograms_of(errors, bins)
+    return error_histograms_of(trial_errors(scaled, fitted.models()), bins)
 
 
 def error_histograms_of(per_feature: DataFrame, bins: int = ERROR_BINS) -> DataFrame:

@@ -149,6 +149,23 @@ def a09(spark, sf_dir):
     )
 
 
+@query(
+    "a09_trial_append_once",
+    f"WITH {fx.REFINED} SELECT source, count(*) AS trials, round(sum(mse), 8) AS total_mse "
+    "FROM combined GROUP BY source",
+)
+def a09_once(spark, sf_dir):
+    """Jobs that are repeated, as after a lost task of a grid, add their rows once."""
+    path = scratch_path(spark, "trials")
+    combined = fx.combined_table(spark, sf_dir)
+    for source in ("original", "refined", "original", "refined"):
+        sinks.append_trials(combined.filter(F.col("source") == source), path, job=source)
+    stored = tables.read_trials(spark, path)
+    return stored.groupBy("source").agg(
+        F.count("*").alias("trials"), F.round(F.sum("mse"), 8).alias("total_mse")
+    )
+
+
 @query(
     "a11_encoded_sink",
     f"""WITH {fx.CLASS_WEIGHTS}

@@ -119,6 +119,20 @@ def remove_path(spark: SparkSession, path: str) -> None:
     system.delete(target, True)
 
 
+def rename_path(spark: SparkSession, old: str, new: str) -> bool:
+    """Give a file another name in one step; false if another one has it already."""
+    target, system = _file(spark, new)
+    return not system.exists(target) and system.rename(_file(spark, old)[0], target)
+
+
+def list_files(spark: SparkSession, path: str, ending: str) -> list[str]:
+    """The files of a folder whose names end so, in order."""
+    target, system = _file(spark, path)
+    return sorted(
+        name for s in system.listStatus(target) if (name := s.getPath().toString()).endswith(ending)
+    )
+
+
 # Rows of parameters or interval bounds (about 100 MB) that may go to every executor.
 BROADCAST_ROWS = 2_000_000
 

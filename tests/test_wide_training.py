@@ -108,3 +108,50 @@ def test_interrupted_grid_in_memory_goes_on(rows, tmp_path):
     for one, two in zip(whole.progress, resumed.progress):
         assert (one.stopped, one.waited, one.best[0]) == (two.stopped, two.waited, pytest.approx(two.best[0]))
         np.testing.assert_allclose(one.stages[0]["kernel"], two.stages[0]["kernel"], rtol=1e-9)
+
+
+def test_error_sums_equal_the_exploded_errors(rows):
+    from broadloom.operators import metrics
+
+    fitted = training.fit_grid(rows, CONFIGS, epochs=1, workers=1)
+    key = lambda r: (r["trial_id"], r["feature_idx"])
+    want = metrics.per_feature(training.predictions(rows, fitted.models()), ["trial_id"])
+    got = training.trial_errors(rows.repartition(5), fitted.models())
+    assert got.columns == want.columns
+    found = {key(r): r for r in got.collect()}
+    for r in want.collect():
+        assert tuple(found[key(r)]) == pytest.approx(tuple(r), rel=1e-9)
+
+
+def test_jobs_append_once(spark, tmp_path):
+    from concurrent.futures import ThreadPoolExecutor
+
+    from broadloom.sources import sinks
+
+    path = str(tmp_path / "trials")
+    given = lambda k: spark.createDataFrame([(k, 0.5), (k, 0.25)], "trial_id int, mse double")
+    with ThreadPoolExecutor(4) as pool:
+        added = list(pool.map(lambda k: sinks.append_trials(given(k), path, job=f"job {k}"), [1, 2, 3, 4]))
+    assert added == [True] * 4
+    assert sinks.append_trials(given(2), path, job="job 2") is False
+    sinks.append_trials(given(9), path)
+    assert sorted(r["trial_id"] for r in spark.read.parquet(path).collect()) == [1, 1, 2, 2, 3, 3, 4, 4, 9, 9]
+    assert not [p for p in (tmp_path / "trials").iterdir() if p.name.startswith("_staged")]
+
+
+def test_large_arrays_do_not_pass_the_driver(spark, monkeypatch):
+    from pyspark.sql import functions as F
+
+    from broadloom.operators import held
+
+    rows = spark.range(1000).select("id", F.transform(F.sequence(F.lit(0), F.lit(6)), lambda k: F.col("id") * 7.0 + k).alias("w"))
+    monkeypatch.setattr("pyspark.sql.classic.dataframe.DataFrame.toLocalIterator", None)
+    mapped = held.hold(rows.repartition(5), "id", "w", limit=10)
+    assert isinstance(mapped, held.MappedArray) and len(mapped.files) == 5
+    want = np.arange(7000.0).reshape(1000, 7)
+    np.testing.assert_array_equal(mapped.open(), want)
+    np.testing.assert_array_equal(np.ones((2, 1000)) @ mapped, np.ones((2, 1000)) @ want)
+    again = spark.range(4).repartition(4).mapInPandas(
+        lambda parts: (p.assign(id=int(mapped.open()[999, 6])) for p in parts), "id long"
+    )
+    assert {r["id"] for r in again.collect()} == {6999}
