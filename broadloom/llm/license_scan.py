@@ -9,7 +9,9 @@ the template that stand close together form regions; each region is aligned with
 * a gap without a unique common word keeps its common beginning and end.
 
 Coverage is the share of template words that are aligned. A region is a match from ``COVERAGE`` on
-if also at least ``DENSITY`` of its words between the first and the last aligned one are aligned.
+if also at least ``DENSITY`` of its words between the first and the last aligned one are aligned. Whatever the
+coverage, the words that name the license and its version must be aligned, and no word that makes it
+another license (``QUALIFIERS``) may stand between the aligned ones.
 
 Row-local: one Arrow pass over whole texts, with the templates sent along (a fixed, small list).
 
@@ -36,54 +38,135 @@ DENSITY = 0.5
 #: Words between two template words of one region.
 GAP = 8
 
-# Texts of common license notices, by SPDX name.
-TEMPLATES: tuple[tuple[str, str], ...] = (
-    ("Apache-2.0", "Licensed under the Apache License, Version 2.0."),
+# Texts of common license notices, by SPDX name, with the words that tell a license and its
+# version from its relatives.
+TEMPLATES: tuple[tuple[str, str, str], ...] = (
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0.", "apache 2 0"),
     (
         "Apache-2.0",
-        "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in "
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in "
         "compliance with the License. You may obtain a copy of the License at "
         "http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, "
-        "software distributed under the License is distributed on an AS IS BASIS, WITHOUT WARRANTIES OR "
-        "CONDITIONS OF ANY KIND, either express or implied.",
+        "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR "
+        "CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing "
+        "permissions and limitations under the License.",
+        "apache 2 0",
     ),
-    ("MIT", "Released under the MIT License."),
-    ("MIT", "Licensed under the MIT License."),
+    ("MIT", "Released under the MIT License.", "mit"),
+    ("MIT", "Licensed under the MIT License.", "mit"),
     (
         "MIT",
         "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and "
-        "associated documentation files, to deal in the Software without restriction, including without "
-        "limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies "
-        "of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
+        "associated documentation files (the \"Software\"), to deal in the Software without restriction, including "
+        "without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell "
+        "copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the "
         "following conditions: The above copyright notice and this permission notice shall be included in all "
         "copies or substantial portions of the Software.",
+        "",
     ),
-    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3."),
+    ("GPL-3.0", "This work is licensed under the GNU General Public License, version 3.", "gnu general public 3"),
+    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2.", "gnu general public 2"),
     (
         "GPL-3.0",
         "This program is free software: you can redistribute it and/or modify it under the terms of the GNU "
         "General Public License as published by the Free Software Foundation, either version 3 of the License, "
         "or (at your option) any later version.",
+        "gnu general public 3",
     ),
-    ("GPL-2.0", "This work is licensed under the GNU General Public License, version 2."),
-    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3."),
-    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0."),
-    ("CC-BY-4.0", "Licensed under CC BY 4.0."),
-    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0."),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU "
+        "General Public License as published by the Free Software Foundation; either version 2 of the License, "
+        "or (at your option) any later version.",
+        "gnu general public 2",
+    ),
+    ("LGPL-3.0", "Licensed under the GNU Lesser General Public License, version 3.", "gnu lesser 3"),
+    ("LGPL-2.1", "Licensed under the GNU Lesser General Public License, version 2.1.", "gnu lesser 2 1"),
+    (
+        "LGPL-3.0",
+        "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, "
+        "or (at your option) any later version.",
+        "gnu lesser 3",
+    ),
+    (
+        "LGPL-2.1",
+        "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser "
+        "General Public License as published by the Free Software Foundation; either version 2.1 of the License, "
+        "or (at your option) any later version.",
+        "gnu lesser 2 1",
+    ),
+    ("AGPL-3.0", "Licensed under the GNU Affero General Public License, version 3.", "gnu affero 3"),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero "
+        "General Public License as published by the Free Software Foundation, either version 3 of the License, "
+        "or (at your option) any later version.",
+        "gnu affero 3",
+    ),
+    ("CC-BY-4.0", "Licensed under CC BY 4.0.", "cc by 4 0"),
+    ("CC-BY-NC-4.0", "Licensed under CC BY-NC 4.0.", "cc by nc 4 0"),
+    ("CC-BY-ND-4.0", "Licensed under CC BY-ND 4.0.", "cc by nd 4 0"),
+    ("CC-BY-SA-4.0", "Licensed under CC BY-SA 4.0.", "cc by sa 4 0"),
+    ("CC-BY-NC-ND-4.0", "Licensed under CC BY-NC-ND 4.0.", "cc by nc nd 4 0"),
+    ("CC-BY-NC-SA-4.0", "Licensed under CC BY-NC-SA 4.0.", "cc by nc sa 4 0"),
     (
         "CC-BY-4.0",
         "This work is licensed under a Creative Commons Attribution 4.0 International License.",
+        "creative commons attribution 4 0",
     ),
     (
-        "BSD-3-Clause",
+        "CC-BY-SA-4.0",
+        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+        "creative commons attribution sharealike 4 0",
+    ),
+    (
+        "CC0-1.0",
+        "To the extent possible under law, the author has waived all copyright and related or neighboring rights to "
+        "this work.",
+        "waived",
+    ),
+    (
+        "BSD-2-Clause",
         "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
         "that the following conditions are met: Redistributions of source code must retain the above copyright "
         "notice, this list of conditions and the following disclaimer. Redistributions in binary form must "
         "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
         "documentation and/or other materials provided with the distribution.",
+        "",
+    ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided "
+        "that the following conditions are met: Redistributions of source code must retain the above copyright "
+        "notice, this list of conditions and the following disclaimer. Redistributions in binary form must "
+        "reproduce the above copyright notice, this list of conditions and the following disclaimer in the "
+        "documentation and/or other materials provided with the distribution. Neither the name of the copyright "
+        "holder nor the names of its contributors may be used to endorse or promote products derived from this "
+        "software without specific prior written permission.",
+        "endorse promote",
+    ),
+    (
+        "ISC",
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is "
+        "hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+        "fee",
+    ),
+    (
+        "Unlicense",
+        "This is free and unencumbered software released into the public domain.",
+        "unencumbered public domain",
+    ),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.", "mozilla 2 0"),
+    (
+        "EPL-2.0",
+        "This program and the accompanying materials are made available under the terms of the Eclipse Public "
+        "License 2.0.",
+        "eclipse 2 0",
     ),
-    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
 )
+# Words that make a notice one of another license wherever they stand in it.
+QUALIFIERS = "affero lesser library nc nd sa sharealike noncommercial noderivatives noderivs"
 
 
 def _rising(values: list[int]) -> list[int]:
@@ -134,15 +217,25 @@ def align(left: list[int], right: list[int]) -> list[tuple[int, int]]:
     return sorted(out)
 
 
+def _hashed(texts: list[str]) -> list[list[int]]:
+    out: list[list[int]] = []
+    for _, _, data, offsets in chunks(pa.array(texts, pa.string())):
+        found = words(data, offsets, ALNUM)
+        out += [found.hashes[a:b].tolist() for a, b in zip(found.first[:-1], found.first[1:])]
+    return out
+
+
 class Templates:
     """Templates as word hashes, and how often each needs each word of the common vocabulary."""
 
-    def __init__(self, templates: tuple[tuple[str, str], ...]):
-        self.names = [name for name, _ in templates]
-        self.words: list[list[int]] = []
-        for _, _, data, offsets in chunks(pa.array([text for _, text in templates], pa.string())):
-            found = words(data, offsets, ALNUM)
-            self.words += [found.hashes[a:b].tolist() for a, b in zip(found.first[:-1], found.first[1:])]
+    def __init__(self, templates: tuple[tuple[str, ...], ...]):
+        self.names = [template[0] for template in templates]
+        self.words = _hashed([template[1] for template in templates])
+        telling = _hashed([template[2] if len(template) > 2 else "" for template in templates])
+        #: Places that must be aligned: where each telling word stands first.
+        self.wanted = [{own.index(w) for w in tell} for own, tell in zip(self.words, telling, strict=True)]
+        qualifiers = set(_hashed([QUALIFIERS])[0])
+        self.foreign = [qualifiers - set(own) for own in self.words]
         self.vocabulary = np.unique(np.array([w for t in self.words for w in t], np.uint64))
         self.needs = np.zeros((len(self.words), len(self.vocabulary)), np.int64)
         for k, t in enumerate(self.words):
@@ -167,6 +260,10 @@ class Templates:
                     continue
                 span = pairs[-1][0] - pairs[0][0] + 1
                 share = len(pairs) / len(template)
+                if not self.wanted[k] <= {j for _, j in pairs}:
+                    continue
+                if not self.foreign[k].isdisjoint(own[pairs[0][0] : pairs[-1][0] + 1]):
+                    continue
                 if share >= coverage and len(pairs) >= density * span:
                     matches.append((share, start + pairs[0][0], start + pairs[-1][0] + 1))
         return matches
@@ -177,7 +274,7 @@ _FIELDS = "license string, coverage double, first_word long, end_word long, n_ma
 
 def scan(
     docs: DataFrame,
-    templates: tuple[tuple[str, str], ...] = TEMPLATES,
+    templates: tuple[tuple[str, ...], ...] = TEMPLATES,
     coverage: float = COVERAGE,
     density: float = DENSITY,
 ) -> DataFrame:
