@@ -19,26 +19,28 @@ empty result, or no hits. Other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
-import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadloom.llm.byte_bpe import ragged
 from broadloom.llm.rows import prepare, text_tag, without
 from broadloom.llm.textarrays import ALNUM, Words, chunks, words, words_in_parts
-from broadloom.session import scratch_path
+from broadloom.session import materialize, scratch_path
 
 WIDTH = 10
 SEGMENT_BYTES = 2 << 20
 #: Bytes of test items that are collected and broadcast at a time.
 BLOCK_BYTES = 32 << 20
 
-_SEGMENT = "docs array<long>, tags array<long>, n_words array<int>, terms binary, counts binary, positions binary"
+_SEGMENT = (
+    "docs array<long>, tags array<long>, n_words array<int>, terms binary, counts binary, positions binary, segment long"
+)
 
 
 def build_index(docs: DataFrame, path: str | None = None, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
@@ -47,10 +49,12 @@ def build_index(docs: DataFrame, path: str | None = None, segment_bytes: int = S
     prepare(spark)
 
     def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number = TaskContext.get().partitionId() << 32
         for batch in batches:
             for row, n, data, offsets in chunks(batch.column(1), segment_bytes):
                 ids = [batch.column(i).slice(row, n) for i in (0, 2)]
-                yield _segment(*ids, words_in_parts(data, offsets, ALNUM))
+                yield _segment(*ids, words_in_parts(data, offsets, ALNUM), number)
+                number += 1
 
     own = docs.select(
         docs["doc_id"].cast("long").alias("doc_id"),
@@ -63,7 +67,7 @@ def build_index(docs: DataFrame, path: str | None = None, segment_bytes: int = S
     return spark.read.schema(_SEGMENT).parquet(path)
 
 
-def _segment(doc_ids: pa.Array, tags: pa.Array, found: Words) -> pa.RecordBatch:
+def _segment(doc_ids: pa.Array, tags: pa.Array, found: Words, number: int) -> pa.RecordBatch:
     n_words = np.diff(found.first)
     # One free position after each document.
     position = np.arange(len(found.hashes)) + np.repeat(np.arange(len(n_words)), n_words)
@@ -77,8 +81,10 @@ def _segment(doc_ids: pa.Array, tags: pa.Array, found: Words) -> pa.RecordBatch:
             pa.array([x.tobytes()], pa.binary())
             for x in (terms, counts.astype(np.uint32), position[order].astype(np.uint32))
         ),
+        pa.array([number]),
     ]
-    return pa.RecordBatch.from_arrays(columns, names=["docs", "tags", "n_words", "terms", "counts", "positions"])
+    names = ["docs", "tags", "n_words", "terms", "counts", "positions", "segment"]
+    return pa.RecordBatch.from_arrays(columns, names=names)
 
 
 @dataclass
@@ -176,17 +182,19 @@ class _Postings:
         return at
 
 
-def _blocks(items: DataFrame, block_bytes: int) -> Iterator[list[tuple[str, str | None]]]:
-    """The test items in blocks of about ``block_bytes``; one block at a time is in the driver."""
+def _items(items: DataFrame, block_bytes: int) -> tuple[DataFrame, int]:
+    """The test items by id and text, and the number of blocks of about ``block_bytes`` they make."""
     own = items.select(
         F.coalesce(items["item_id"].cast("string"), F.lit("null")).alias("item_id"),
         items["text"].cast("string").alias("text"),
     )
-    total = own.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    n = total // block_bytes + 1
-    for block in range(n):
-        part = own.filter(F.pmod(F.xxhash64("item_id"), F.lit(n)) == block) if n > 1 else own
-        yield [(r["item_id"], r["text"]) for r in part.collect()]
+    return own, (own.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes + 1
+
+
+def _block(own: DataFrame, block: int, n: int) -> list[tuple[str, str | None]]:
+    """One of ``n`` blocks. The texts of an id are dealt to all of them, however many they are."""
+    part = own.filter(F.pmod(F.xxhash64("item_id", "text"), F.lit(n)) == block) if n > 1 else own
+    return [(r["item_id"], r["text"]) for r in part.collect()]
 
 
 def _matches(spark: SparkSession, index: DataFrame, found: Windows, spans: bool) -> DataFrame:
@@ -197,7 +205,7 @@ def _matches(spark: SparkSession, index: DataFrame, found: Windows, spans: bool)
         windows = shared.value
         for batch in batches:
             for row in range(len(batch)):
-                docs, tags, n_words, terms, counts, positions = (c[row] for c in batch.columns)
+                docs, tags, n_words, terms, counts, positions, segment = (c[row] for c in batch.columns)
                 doc_ids, n_words = docs.values, n_words.values.to_numpy().astype(np.int64)
                 first = np.cumsum(n_words + 1) - n_words - 1
                 own = _Postings(windows.vocabulary, terms.as_py(), counts.as_py(), positions.as_py())
@@ -225,14 +233,17 @@ def _matches(spark: SparkSession, index: DataFrame, found: Windows, spans: bool)
                 }
                 if spans:
                     at = [np.flatnonzero(hit[f : f + n]) if h else [] for f, n, h in zip(first, n_words, n_hit)]
-                    key = [f"{hashlib.md5(positions.as_py()).hexdigest()}-{docs}-{d}" for d in range(len(first))]
-                    out |= {"key": pa.array(key), "at": pa.array(at, pa.list_(pa.int64()))}
+                    out |= {
+                        "segment": pa.array([segment.as_py()] * len(first)),
+                        "place": pa.array(range(len(first)), pa.int32()),
+                        "at": pa.array(at, pa.list_(pa.int64())),
+                    }
                 else:
                     out["n_hit"] = pa.array(n_hit)
                 yield pa.RecordBatch.from_pydict(out)
 
     schema = "doc_id long, tag long, n_words long, items array<string>"
-    return index.mapInArrow(search, schema + (", key string, at array<long>" if spans else ", n_hit long"))
+    return index.mapInArrow(search, schema + (", segment long, place int, at array<long>" if spans else ", n_hit long"))
 
 
 _STRINGS = pa.list_(pa.string())
@@ -250,14 +261,16 @@ def search_index(
 ) -> DataFrame:
     spark = index.sparkSession
     prepare(spark)
-    found = [windows_of(block, width) for block in _blocks(benchmark, block_bytes)]
-    if len(found) == 1:
-        hits = _matches(spark, index, found[0], spans=False)
+    own, n = _items(benchmark, block_bytes)
+    if n == 1:
+        hits = _matches(spark, index, windows_of(_block(own, 0, n), width), spans=False)
     else:
-        hits = _matches(spark, index, found[0], spans=True)
-        for more in found[1:]:
-            hits = hits.unionByName(_matches(spark, index, more, spans=True))
-        hits = hits.groupBy("key").agg(
+        hits = None
+        for block in range(n):
+            # Stored before the next block is collected, so that one block is in memory.
+            found = materialize(_matches(spark, index, windows_of(_block(own, block, n), width), spans=True), "hits")
+            hits = found if hits is None else hits.unionByName(found)
+        hits = hits.groupBy("segment", "place").agg(
             F.first("doc_id").alias("doc_id"),
             F.first("tag").alias("tag"),
             F.first("n_words").alias("n_words"),
@@ -284,7 +297,8 @@ def proximity(index: DataFrame, benchmark: DataFrame, reach: int) -> DataFrame:
     spark = index.sparkSession
     prepare(spark)
     parts = []
-    for block in _blocks(benchmark, BLOCK_BYTES):
+    own, n = _items(benchmark, BLOCK_BYTES)
+    for block in (_block(own, k, n) for k in range(n)):
         # A window as wide as the longest item is the item itself.
         found = windows_of(block, max([1, *(len(t or "") for _, t in block)]))
         parts.append(_near(spark, index, found, reach))
@@ -301,7 +315,7 @@ def _near(spark: SparkSession, index: DataFrame, found: Windows, reach: int) ->
         items = shared.value
         for batch in batches:
             for row in range(len(batch)):
-                docs, tags, n_words, terms, counts, positions = (c[row] for c in batch.columns)
+                docs, tags, n_words, terms, counts, positions, segment = (c[row] for c in batch.columns)
                 n_words = n_words.values.to_numpy().astype(np.int64)
                 first = np.cumsum(n_words + 1) - n_words - 1
                 own = _Postings(items.vocabulary, terms.as_py(), counts.as_py(), positions.as_py())

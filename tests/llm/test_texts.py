@@ -423,3 +423,44 @@ def test_words_in_parts_are_the_same_words(texts, monkeypatch):
     monkeypatch.setattr(textarrays, "CHUNK_BYTES", 3000)
     parts = textarrays.words_in_parts(data, offsets, textarrays.ALNUM)
     assert (whole.hashes == parts.hashes).all() and (whole.first == parts.first).all()
+
+
+def test_near_misses_of_notices(docs_of):
+    """Coverage alone does not make a license: its name and version must stand there."""
+    gpl = "This program is free software{} you can redistribute it and/or modify it under the terms of the GNU {}General " \
+          "Public License as published by the Free Software Foundation{} either version {} of the License, or (at your " \
+          "option) any later version."
+    cases = [
+        ("Released under the BSD License.", ""),
+        ("Licensed under the Apache License.", ""),
+        ("Released under the parking license.", ""),
+        ("Licensed under CC BY 3.0.", ""),
+        ("Licensed under the GNU Lesser General Public License, version 2.1.", "LGPL-2.1"),
+        (gpl.format(";", "", ";", "2"), "GPL-2.0"),
+        (gpl.format(":", "Affero ", ",", "3"), "AGPL-3.0"),
+        (gpl.format(":", "", ",", "3"), "GPL-3.0"),
+        (gpl.format(":", "", ",", "4"), ""),
+        ("Licensed under CC BY-NC-SA 4.0.", "CC-BY-NC-SA-4.0"),
+        ("Licensed under the MIT License.", "MIT"),
+    ]
+    got = license_scan.scan(docs_of([(i, text, "en", "s", 0) for i, (text, _) in enumerate(cases)])).collect()
+    assert {r["doc_id"]: r["licenses"] for r in got} == {i: want for i, (_, want) in enumerate(cases)}
+
+
+def test_every_template_finds_itself(docs_of):
+    rows = [(i, t[1], "en", "s", 0) for i, t in enumerate(license_scan.TEMPLATES)]
+    for r in license_scan.scan(docs_of(rows)).collect():
+        assert r["licenses"] == license_scan.TEMPLATES[r["doc_id"]][0] and r["coverage"] == 1.0
+
+
+def test_repeated_rows_and_null_ids_over_several_blocks(spark, docs_of):
+    texts = ["one two three four five six seven eight nine ten eleven", "nothing of it", None]
+    rows = [(k, t, "en", "s", 0) for t in texts for k in (1, 1, None, None, 2)]
+    items = [(None, "two three four five six seven eight nine ten eleven"), (None, "nothing of"), ("b", "of it"), ("b", "one two")]
+    benchmark = spark.createDataFrame(items, "item_id string, text string")
+    one = decontamination.contamination(docs_of(rows), benchmark)
+    index = decontamination.build_index(docs_of(rows).repartition(4), segment_bytes=1)
+    several = decontamination.search_index(index, benchmark, block_bytes=8)
+    order = lambda df: sorted(map(str, df.drop("tag").collect()))
+    assert order(one) == order(several) and len(order(one)) == len(rows)
+    assert sum(r["contaminated"] for r in several.collect()) == 10
