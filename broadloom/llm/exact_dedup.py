@@ -130,4 +130,7 @@ def drop_copies(docs: DataFrame, index: DigestIndex | None = None) -> DataFrame:
     if repeated.isEmpty():
         return without(docs, dropped)
     once = without(docs, dropped.unionByName(repeated))
-    return once.unionByName(only(docs, repeated).dropDuplicates(["doc_id", "text"]))
+    # Null counts as empty here as well; the name is longer than any other one.
+    whole = "_" * (1 + max(map(len, docs.columns)))
+    rows = only(docs, repeated).withColumn(whole, F.coalesce(F.col("text").cast("string"), F.lit("")))
+    return once.unionByName(rows.dropDuplicates(["doc_id", whole]).drop(whole))

@@ -242,3 +242,9 @@ def test_merge_joins_components(spark):
     assert found == {1: 1, 2: 1, 5: 1, 6: 1, 8: 8, 9: 8, 20: 8, 30: 30, 31: 30}
     nothing = spark.createDataFrame([], "a long, b long")
     assert {r["node"]: r["root"] for r in merge(roots, nothing).collect()} == {1: 1, 2: 1, 5: 5, 6: 5, 8: 8, 9: 8}
+
+
+def test_null_and_empty_text_with_one_id_are_one_row(docs_of):
+    rows = [(1, None, "en", "a", 0), (1, "", "en", "a", 0), (1, "", "en", "b", 0), (2, "x", "en", "a", 1)]
+    kept = exact_dedup.drop_copies(docs_of(rows)).collect()
+    assert sorted((r["doc_id"], r["text"] or "") for r in kept) == [(1, ""), (2, "x")]
