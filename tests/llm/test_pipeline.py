@@ -47,7 +47,7 @@ def test_stages_on_odd_and_empty_tables(spark, sf_dir, odd, empty, name, stage):
 
 def test_every_operator_is_registered():
     names = [n for n in entry.queries() if n.startswith("op")]
-    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 11))
+    assert sorted(int(n[2:].split("_")[0]) for n in names) == list(range(1, 14))
     assert "pipeline" in entry.queries() and "op2_exact_dedup" in entry.oracle_sql()
 
 
@@ -62,4 +62,4 @@ def test_entry_without_the_optional_part(tmp_path):
     )
     assert said.returncode == 0, said.stderr
     n, pipeline = said.stdout.split()
-    assert int(n) == len(entry.queries()) - 11 and pipeline == "False"
+    assert int(n) == len(entry.queries()) - 14 and pipeline == "False"
