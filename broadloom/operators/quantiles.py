@@ -1,11 +1,12 @@
 """Exact linear-interpolated quantiles per group, without an unbounded group in a task.
 
 Groups known to be small are sorted as a list. When a group may exceed ``group_limit``
-rows, the wanted order statistics are found by narrowing. A sample of the values gives
-a narrow bracket around each wanted rank; one scan counts what lies between the
-brackets, so it is known, not assumed, which of them hold their rank. Brackets that are
-still too large are cut into bins and counted again. What is left of a bracket is then
-sorted as a list. The state is one row per group and rank; all else that moves is counts.
+rows, two scans find the wanted order statistics. The first counts and sketches the values of
+each group; the sketch gives a narrow bracket around each wanted rank. The second counts what lies
+between the brackets, so it is known, not assumed, which of them hold their rank, and stores
+the values inside brackets with their counts. What follows reads these few values alone: brackets
+that are still too large are cut into bins and counted again, the rest is sorted. Only if a
+bracket missed its rank is the input read once more. The state is one row per group and rank.
 """
 
 from __future__ import annotations
@@ -13,7 +14,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from broadloom.functions.numeric import bin_index, finite_or_null
@@ -24,11 +25,12 @@ GROUP_LIMIT = 1_000_000
 BROADCAST_BOUNDS = 8_000_000
 INFINITY = float("inf")
 BINS = 1024
-# Up to this many probabilities are bracketed by a sample.
+# Up to this many probabilities a cell is compared with all edges, above it they are searched.
 FEW = 16
-# Fewest sampled values of the largest group, and half a bracket in standard errors.
-SAMPLE = 20_000
-SPREAD = 5.0
+# Least and greatest size of a sketch, and half a bracket in errors of its ranks.
+SAMPLE = 200
+LARGEST_SAMPLE = 4096
+SPREAD = 1.5
 
 
 def largest_group(df: DataFrame, value: str, by: Sequence[str] = ()) -> int:
@@ -55,14 +57,23 @@ def quantiles(
     one; otherwise it is counted. Nulls and NaN are skipped. ``weight`` names a column
     of counts: how often each row's value occurs.
     """
-    if max_group is None:
-        max_group = largest_group(df, value, by)
     cleaned = df.withColumn(value, finite_or_null(F.col(value)))
+    counts = F.lit(1).cast("bigint") if weight is None else F.col(weight)
+    data = _cells_by_key(cleaned.withColumn("_w", counts), value, by)
+    size, groups = LARGEST_SAMPLE, None
+    if max_group is not None:
+        size = _sketch_size(max_group, group_limit)
+    elif weight is not None:
+        max_group = largest_group(df, value, by)
+    else:
+        groups = _Groups(data, size)
+        max_group = groups.largest
     if max_group <= group_limit:
+        if groups is not None:
+            discard(groups.table)
         return _of_bounded_groups(cleaned, value, probabilities, by, name, weight)
-    return _by_narrowing(
-        cleaned, value, probabilities, by, bins, name, weight, max_group, group_limit
-    )
+    groups = groups or _Groups(data, None if weight is not None else size)
+    return _by_narrowing(data, value, groups, probabilities, by, bins, name, max_group, group_limit)
 
 
 def _of_bounded_groups(
@@ -93,21 +104,51 @@ def _of_bounded_groups(
     return ordered.select(*by, found.alias(name))
 
 
+def _keys(by: Sequence[str]) -> list[str]:
+    """Names of the grouping columns; a constant one lets the global case share the plans."""
+    return [f"_k{i}" for i in range(len(by))] or ["_k0"]
+
+
+def _cells_by_key(df: DataFrame, value: str, by: Sequence[str]) -> DataFrame:
+    """``_k0..., v, w`` without missing values."""
+    renamed = [F.col(b).alias(k) for b, k in zip(by, _keys(by))] or [F.lit(0).alias("_k0")]
+    v = F.col(value)
+    return df.filter(v.isNotNull()).select(*renamed, v.alias("v"), F.col("_w").alias("w"))
+
+
+class _Groups:
+    """The first scan: count, ends and, for a given ``size``, a sketch of the values of each group."""
+
+    def __init__(self, data: DataFrame, size: int | None):
+        self.size = size
+        self.keys = [c for c in data.columns if c not in ("v", "w")]
+        found = [F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi")]
+        if size is not None:
+            found.append(F.kll_sketch_agg_double(F.col("v").cast("double"), size).alias("sketch"))
+        seen = Observation()
+        infinite = (F.col("lo") == -INFINITY) | (F.col("hi") == INFINITY)
+        observed = data.groupBy(*self.keys).agg(*found).observe(
+            seen, F.count("*").alias("count"), F.max("n").alias("largest"), F.count_if(infinite).alias("endless")
+        )
+        self.table = materialize(observed, "quantile-groups")
+        self.count, self.largest = seen.get["count"], seen.get["largest"] or 0
+        self.endless = None
+        if seen.get["endless"]:
+            self.endless = list(self.table.filter(infinite).select(*self.keys).first())
+
+
 def _by_narrowing(
-    df: DataFrame,
+    data: DataFrame,
     value: str,
+    groups: _Groups,
     probabilities: Sequence[float],
     by: Sequence[str],
     bins: int,
     name: str,
-    weight: str | None,
     max_group: int,
     group_limit: int,
 ) -> DataFrame:
-    counts = F.lit(1).cast("bigint") if weight is None else F.col(weight)
-    found = _order_statistics(
-        df.withColumn("_w", counts), value, probabilities, by, bins, weight is not None, max_group, group_limit
-    )
+    found = _order_statistics(data, value, groups, probabilities, by, bins, max_group, group_limit)
     # Position p * (n - 1) lies between two neighbouring order statistics.
     lower, upper = F.col("at_lower"), F.col("at_upper")
     weight = F.col("position") - F.floor("position")
@@ -126,105 +167,163 @@ def _by_narrowing(
 
 
 def _order_statistics(
-    df: DataFrame,
+    data: DataFrame,
     value: str,
+    groups: _Groups,
     probabilities: Sequence[float],
     by: Sequence[str],
     bins: int,
-    weighted: bool,
     max_group: int,
     group_limit: int,
 ) -> DataFrame:
     """Rows ``by..., slot, position, rank, lo`` with ``lo`` the value at 0-based ``rank``.
 
-    Column ``_w`` of the input says how often each value occurs.
+    Column ``w`` of the input says how often each value occurs.
     """
-    v = F.col(value)
+    if groups.endless is not None:
+        raise ValueError(f"infinite values in {value}, group {groups.endless}")
     probs = F.lit(np.array(probabilities, dtype=float))
     position = F.col("p") * (F.col("n") - 1)
-    # A constant key lets the grouped and the global case share one plan.
-    keys = [f"_k{i}" for i in range(len(by))] or ["_k0"]
-    renamed = [F.col(b).alias(k) for b, k in zip(by, keys)] or [F.lit(0).alias("_k0")]
-    data = df.filter(v.isNotNull()).select(*renamed, v.alias("v"), F.col("_w").alias("w"))
+    keys = groups.keys
+    first, last = F.col("rank") == 0, F.col("rank") == F.col("n") - 1
     state = (
-        data.groupBy(*keys)
-        .agg(F.sum("w").alias("n"), F.min("v").alias("lo"), F.max("v").alias("hi"))
-        .select(*keys, "n", "lo", "hi", F.posexplode(probs).alias("slot", "p"))
+        groups.table.select(*keys, "n", "lo", "hi", F.posexplode(probs).alias("slot", "p"))
         .withColumn("position", position)
         .withColumn(
             "rank", F.explode(F.array_distinct(F.array(F.floor("position"), F.ceil("position"))))
         )
-        .withColumn("below", F.lit(0).cast("long"))
-        .select(*keys, "slot", "position", "rank", "below", F.col("n").alias("inside"), "lo", "hi")
+        .select(
+            *keys, "slot", "position", "rank", F.lit(0).cast("long").alias("below"), F.col("n").alias("inside"),
+            F.when(last, F.col("hi")).otherwise(F.col("lo")).alias("lo"),
+            F.when(first, F.col("lo")).otherwise(F.col("hi")).alias("hi"),
+        )
     )
-    state = materialize(state, "quantile-state")
-    endless = state.filter((F.col("lo") == -INFINITY) | (F.col("hi") == INFINITY)).first()
-    if endless is not None:
-        raise ValueError(f"infinite values in {value}, group {[endless[k] for k in keys]}")
-    if len(probabilities) <= FEW and not weighted:
-        sampled = _sampled_edges(data, keys, probabilities, max_group, group_limit)
-        edges = materialize(sampled, "quantile-edges")
-        step = _narrow(data, state, _within_edges(edges, keys, 2 * len(probabilities)), keys)
-        last, state = state, materialize(step, "quantile-state")
-        discard(last)
-        discard(edges)
+    stored, kept = [groups.table], F.lit(False)
+    if groups.size is not None:
+        ranks, wanted = _edge_ranks(probabilities, groups.size, 0.25 * group_limit / max(max_group, 1), bins)
+        edged = groups.table.select(*keys, "n", "lo", "hi", _edges(ranks).alias("edges"))
+        cells = _bracketed(data, edged, keys, wanted, groups.count, 4 / _half(groups.size))
+        cells = materialize(cells, "quantile-cells")
+        counted = cells.groupBy(*keys, "lo", "hi", "bin").agg(
+            F.sum("w").alias("c"), F.min("least").alias("new_lo"), F.max("most").alias("new_hi"),
+            F.bool_and(F.col("v").isNotNull()).alias("kept"),
+        )
+        state = _part_of_rank(state, counted, [*keys, "lo", "hi"], "kept")
+        stored.append(cells)
+        kept = F.col("kept")
+    state, left = _stored_state(state, kept)
+    rest = None
     round_no, before = 0, []
-    while True:
-        left = state.filter("lo < hi").agg(
-            F.count("*").alias("n"), F.max("inside").alias("m"), F.sum("inside").alias("all")
-        ).first()
-        if not left["n"]:
-            break
+    while left["n"]:
+        if rest is None:
+            # All that is open lies inside the brackets, or one of them missed its rank.
+            rest = cells.filter("v IS NOT NULL").select(*keys, "v", "w") if left["kept"] else data
         # Equal-width bins, then logarithmic ones: one of both must divide an interval.
-        if before[-2:] == [tuple(left)] * 2:
+        if before[-2:] == [left] * 2:
             raise RuntimeError(f"{left['n']} intervals of {value} cannot be narrowed further")
-        before.append(tuple(left))
-        if left["m"] <= group_limit and not weighted:
-            step = _finish(data, state, left["n"], keys)
+        before.append(left)
+        if left["m"] <= group_limit:
+            step = _finish(rest, state, left["n"], keys)
         else:
-            step = _narrow(data, state, _within_bins(left["n"], keys, bins, round_no % 2 == 1), keys)
-        last, state = state, materialize(step, "quantile-state")
-        discard(last)
+            step = _narrow(rest, state, _within_bins(left["n"], keys, bins, round_no % 2 == 1), keys)
+        last_state = state
+        state, left = _stored_state(step, F.lit(left["kept"]))
+        discard(last_state)
         round_no += 1
+    for table in stored:
+        discard(table)
     back = [F.col(k).alias(b) for b, k in zip(by, keys)]
     return state.select(*back, "slot", "position", "rank", "lo")
 
 
-def _sampled_edges(
-    data: DataFrame, keys: list[str], probabilities: Sequence[float], max_group: int, group_limit: int
-) -> DataFrame:
-    """``keys..., edges``: sorted values that bracket each probability in a sample.
+def _stored_state(state: DataFrame, kept: Column) -> tuple[DataFrame, dict]:
+    """The state in a table, and what is open in it: intervals, the largest, their sum, whether all are kept."""
+    seen, opened = Observation(), F.col("lo") < F.col("hi")
+    observed = state.observe(
+        seen,
+        F.count_if(opened).alias("n"),
+        F.max(F.when(opened, F.col("inside"))).alias("m"),
+        F.sum(F.when(opened, F.col("inside"))).alias("all"),
+        F.coalesce(F.bool_and(kept | ~opened), F.lit(False)).alias("kept"),
+    )
+    table = materialize(observed, "quantile-state")
+    return table.drop("kept"), seen.get
 
-    They only steer the next scan; a bracket that misses its rank costs a round. The
-    sample is large enough for a bracket to end up below the limit, if it can be.
+
+def _sketch_size(max_group: int, group_limit: int) -> int:
+    """The size whose brackets hold about half the limit in the largest group, if it can be had."""
+    error = max(group_limit, 1) / (4 * SPREAD * max(max_group, 1))
+    return int(min(LARGEST_SAMPLE, max(SAMPLE, (2.296 / error) ** (1 / 0.9021))))
+
+
+def _half(size: int) -> float:
+    """Half a bracket as a share of ranks; 2.296 / size ** 0.9021 is the published error of the sketch."""
+    return min(1.0, SPREAD * 2.296 / size**0.9021)
+
+
+def _edge_ranks(
+    probabilities: Sequence[float], size: int, longest: float, most: int
+) -> tuple[list[float], list[bool]]:
+    """Ranks of the edges, and whether what follows an edge is inside a bracket.
+
+    Overlapping brackets are one. Brackets are cut into parts of at most ``longest``, or into about
+    ``most`` parts in all. The ends of a group are known and need no bracket.
     """
-    needed = (SPREAD * max_group / max(group_limit, 1)) ** 2
-    share = min(1.0, max(SAMPLE, min(needed, group_limit)) / max(max_group, 1))
-    values = data.sample(share, 0).groupBy(*keys).agg(F.sort_array(F.collect_list("v")).alias("s"))
-    size = F.size("s")
-    found = []
-    for p in probabilities:
-        error = F.lit(SPREAD) * F.sqrt(F.lit(p * (1 - p)) / size) + F.lit(1.0) / size
-        for at in (F.lit(p) - error, F.lit(p) + error):
-            # Outside the sample there is no edge: the bracket stays open on that side.
-            found.append(F.when((at >= 0) & (at <= 1), F.get("s", F.round(at * (size - 1)).cast("int"))))
-    return values.select(*keys, F.array_sort(F.array_distinct(F.array_compact(F.array(*found)))).alias("edges"))
-
-
-def _within_edges(edges: DataFrame, keys: list[str], most: int):
-    """Number the cells by how many edges of their group they reach."""
-    columns = [F.get("edges", F.lit(i)).alias(f"e{i}") for i in range(most)]
-    groups = edges.count()
+    merged: list[list[float]] = []
+    for p in sorted(p for p in probabilities if 0 < p < 1):
+        low, high = max(0.0, p - _half(size)), min(1.0, p + _half(size))
+        if merged and low <= merged[-1][1]:
+            merged[-1][1] = high
+        else:
+            merged.append([low, high])
+    longest = max(longest, sum(high - low for low, high in merged) / most)
+    ranks, wanted = [], []
+    for low, high in merged:
+        parts = max(1, int(np.ceil((high - low) / longest)))
+        ranks += np.linspace(low, high, parts + 1).tolist()
+        wanted += [True] * parts + [False]
+    return ranks, wanted
 
-    def place(data: DataFrame, wanted: DataFrame) -> DataFrame:
-        spread = small_side(edges.select(*keys, *columns), groups)
-        bounds = small_side(wanted, groups)
-        number = F.lit(0)
-        for i in range(most):
-            number = number + F.when(F.col("v") >= F.col(f"e{i}"), 1).otherwise(0)
-        return data.join(bounds, keys).join(spread, keys, "left").withColumn("bin", number)
 
-    return place
+def _edges(ranks: list[float]) -> Column:
+    if not ranks:
+        return F.array().cast("array<double>")
+    return F.kll_sketch_get_quantile_double(F.col("sketch"), F.lit(np.array(ranks)))
+
+
+def _bracketed(
+    data: DataFrame, edged: DataFrame, keys: list[str], wanted: list[bool], groups: int, small: float
+) -> DataFrame:
+    """``keys..., lo, hi, bin, v, w, least, most``: weights of the values inside brackets, and of all between.
+
+    Bins are numbered in value order: odd ones hold the cells that equal an edge, even ones those
+    between two. Between brackets, and on edges, ``v`` is null and a bin is one row. Of groups
+    below ``small`` rows, whose brackets may be shorter than a rank, all values are kept.
+    """
+    v, at = F.col("v"), F.col("_at")
+    bounds = small_side(edged, groups * (len(wanted) + 4), BROADCAST_BOUNDS)
+    placed = data.join(bounds, keys)
+    if len(wanted) <= 2 * FEW:
+        reached = F.lit(0)
+        for i in range(len(wanted)):
+            reached = reached + F.when(v >= F.get("edges", F.lit(i)), 1).otherwise(0)
+        placed = placed.withColumn("_at", reached)
+    else:
+        placed = placed.withColumn("_at", F.lit(0))
+        for width in (1 << i for i in reversed(range(len(wanted).bit_length()))):
+            beyond = F.get("edges", at + F.lit(width - 1)) <= v
+            placed = placed.withColumn("_at", F.when(beyond, at + F.lit(width)).otherwise(at))
+    on_edge = F.coalesce(F.get("edges", at - 1) == v, F.lit(False))
+    flags = F.lit(np.array(wanted or [False]))
+    inside = F.coalesce(F.get(flags, at - 1), F.lit(False)) | (F.col("n") < small)
+    placed = placed.select(
+        *keys, "lo", "hi", "w", "v", (2 * at - on_edge.cast("int")).alias("bin"),
+        F.when(inside & ~on_edge, v).alias("_own"),
+    )
+    counted = placed.groupBy(*keys, "lo", "hi", "bin", "_own").agg(
+        F.sum("w").alias("w"), F.min("v").alias("least"), F.max("v").alias("most")
+    )
+    return counted.withColumnRenamed("_own", "v")
 
 
 def _within_bins(still_open: int, keys: list[str], bins: int, logarithmic: bool):
@@ -267,7 +366,7 @@ def _scale_key(x, logarithmic: bool):
 
 
 def _narrow(data: DataFrame, state: DataFrame, place, keys: list[str]) -> DataFrame:
-    """Replace each open interval by the part of it that holds its rank.
+    """Narrow each open interval to the part that holds its rank.
 
     ``place`` numbers the cells of the intervals in value order. A part is shrunk to
     the values it really contains.
@@ -279,6 +378,13 @@ def _narrow(data: DataFrame, state: DataFrame, place, keys: list[str]) -> DataFr
         .groupBy(*interval, "bin")
         .agg(F.sum("w").alias("c"), F.min("v").alias("new_lo"), F.max("v").alias("new_hi"))
     )
+    return _part_of_rank(state, counted, interval)
+
+
+def _part_of_rank(state: DataFrame, counted: DataFrame, interval: list[str], *extra: str) -> DataFrame:
+    """Replace each open interval by the counted part that holds its rank."""
+    keys = interval[:-2]
+    opened = state.filter("lo < hi")
     # One row per part of an interval.
     running = Window.partitionBy(*interval).orderBy("bin")
     placed = counted.withColumn("through", F.sum("c").over(running)).withColumn(
@@ -297,19 +403,29 @@ def _narrow(data: DataFrame, state: DataFrame, place, keys: list[str]) -> DataFr
             F.col("c").alias("inside"),
             F.col("new_lo").alias("lo"),
             F.col("new_hi").alias("hi"),
+            *extra,
         )
     )
-    return narrowed.unionByName(state.filter("lo >= hi"))
+    settled = state.filter("lo >= hi").select("*", *[F.lit(True).alias(name) for name in extra])
+    return narrowed.unionByName(settled)
 
 
 def _finish(data: DataFrame, state: DataFrame, still_open: int, keys: list[str]) -> DataFrame:
-    """Sort what is left of each open interval, which has been counted to fit a task."""
+    """Sort what is left of each open interval, which has been counted to fit a task.
+
+    Ranks are sorted in among the values: each takes the last one that starts at or before it.
+    """
     interval = [*keys, "lo", "hi"]
     opened = state.filter("lo < hi")
     cells = _inside(data, opened.select(*interval).distinct(), still_open, keys)
-    values = cells.groupBy(*interval).agg(F.sort_array(F.collect_list("v")).alias("s"))
-    at = F.get("s", (F.col("rank") - F.col("below")).cast("int"))
-    found = opened.join(values, interval).withColumn("lo", at).withColumn("hi", F.col("lo"))
+    values = cells.groupBy(*interval, "v").agg(F.sum("w").alias("w"))
+    through = F.sum("w").over(Window.partitionBy(*interval).orderBy("v"))
+    starts = values.select(*interval, "v", (through - F.col("w")).alias("_start"))
+    asked = opened.select(*interval, "slot", "position", "rank", "below", "inside", (F.col("rank") - F.col("below")).alias("_start"))
+    mixed = starts.unionByName(asked, allowMissingColumns=True)
+    upto = Window.partitionBy(*interval).orderBy("_start", F.col("rank").isNotNull())
+    found = mixed.withColumn("_found", F.last("v", True).over(upto)).filter("rank IS NOT NULL")
+    found = found.withColumn("lo", F.col("_found")).withColumn("hi", F.col("_found"))
     return found.select(*state.columns).unionByName(state.filter("lo >= hi"))
 
 

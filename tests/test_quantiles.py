@@ -118,3 +118,31 @@ def test_many_levels_by_narrowing(spark):
     levels = references(300)
     got = quantiles(df, "v", levels, group_limit=20).first()["q"]
     np.testing.assert_allclose(got, np.quantile(data, levels), rtol=1e-12)
+
+
+@pytest.mark.parametrize("levels", [[0.1, 0.5, 0.999], references(100)])
+def test_two_scans_of_the_input(spark, levels):
+    """Long groups are read twice, whatever else happens reads the stored part inside the brackets."""
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        reads.add(1)
+        yield from batches
+
+    table = spark.range(0, 60_000, 1, 3).selectExpr("CAST(id % 4 AS INT) AS g", "CAST((id * 7919) % 60013 AS DOUBLE) AS v")
+    df = table.mapInArrow(counted, table.schema)
+    found = {r["g"]: r["q"] for r in quantiles(df, "v", levels, ["g"], group_limit=300).collect()}
+    assert reads.value == 2 * 3
+    for g in range(4):
+        values = [float((i * 7919) % 60013) for i in range(g, 60_000, 4)]
+        np.testing.assert_allclose(found[g], np.quantile(values, levels), rtol=1e-12)
+
+
+def test_small_groups_beside_a_long_one(spark):
+    """A bracket may be shorter than a rank of a small group, and values may repeat at its edges."""
+    rows = [(0, float(i % 977)) for i in range(20_000)] + [(g, float(i * g)) for g in range(1, 30) for i in range(g)]
+    df = spark.createDataFrame(rows, "g int, v double")
+    want = {g: [v for k, v in rows if k == g] for g in range(30)}
+    got = {r["g"]: r["q"] for r in quantiles(df, "v", LEVELS, ["g"], group_limit=50).collect()}
+    for g, values in want.items():
+        np.testing.assert_allclose(got[g], np.quantile(values, LEVELS), rtol=1e-12)
