@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -73,6 +73,16 @@ def _apply_to_fitting(
     return result, messages
 
 
+def _flagged(cells: pa.Array, kernel: Callable[[np.ndarray], np.ndarray], width: int) -> list[pa.Array]:
+    """Results and messages; where the kernel fails, all rows of the block say so."""
+    try:
+        result, messages = _apply_to_fitting(cells, kernel, width)
+    except Exception as failure:  # noqa: BLE001 - reported with the rows
+        result = pa.nulls(len(cells), pa.list_(pa.float64()))
+        messages = [f"{type(failure).__name__}: {failure}"] * len(cells)
+    return [result, pa.array(messages, pa.string())]
+
+
 def map_features(
     df: DataFrame,
     kernel: Callable[[np.ndarray], np.ndarray],
@@ -107,17 +117,49 @@ def map_features(
                     columns.append(list_of(kernel(cells_of(cells))))
                     yield pa.RecordBatch.from_arrays(columns, names=[*names, output])
                     continue
-                try:
-                    result, messages = _apply_to_fitting(cells, kernel, width)
-                except Exception as failure:  # noqa: BLE001 - reported with the rows
-                    result = pa.nulls(batch.num_rows, pa.list_(pa.float64()))
-                    messages = [f"{type(failure).__name__}: {failure}"] * batch.num_rows
-                columns += [result, pa.array(messages, pa.string())]
+                columns += _flagged(cells, kernel, width)
                 yield pa.RecordBatch.from_arrays(columns, names=[*names, output, error])
 
     return df.mapInArrow(run, T.StructType(fields))
 
 
+def map_features_each(
+    df: DataFrame,
+    kernels: Callable[[], Sequence[tuple[Callable[[np.ndarray], np.ndarray], int]]],
+    output: str,
+    error: str,
+    number: str,
+) -> DataFrame:
+    """Every row once for each kernel, told apart by ``number``; ``features`` are dropped.
+
+    ``kernels`` gives the workers pairs of a kernel and its width. Rows are flagged as by
+    ``map_features``, for each kernel on its own: the table is read once however many there are.
+    """
+    ship_package(df.sparkSession)
+    kept = [f for f in df.schema.fields if f.name not in (output, error, "features")]
+    names = [f.name for f in kept]
+    added = [
+        T.StructField(number, T.IntegerType()),
+        T.StructField(output, T.ArrayType(T.DoubleType())),
+        T.StructField(error, T.StringType()),
+    ]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        each = list(kernels())
+        for whole in batches:
+            for start in range(0, whole.num_rows, BATCH_ROWS):
+                batch = whole.slice(start, BATCH_ROWS)
+                columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
+                cells = batch.column(batch.schema.get_field_index("features"))
+                for i, (kernel, width) in enumerate(each):
+                    mine = pa.array(np.full(batch.num_rows, i, np.int32))
+                    yield pa.RecordBatch.from_arrays(
+                        [*columns, mine, *_flagged(cells, kernel, width)], names=[*names, number, output, error]
+                    )
+
+    return df.mapInArrow(run, T.StructType([*kept, *added]))
+
+
 def map_cells(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], width: int) -> DataFrame:
     """Replace ``features`` cell by cell: ``kernel`` gets the first cells of equally long rows.
 

@@ -14,7 +14,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from broadloom.operators.blocks import map_features
+from broadloom.operators.blocks import map_features, map_features_each
 from broadloom.operators.held import MAX_HELD, hold
 
 LAYERS_SCHEMA = (
@@ -167,3 +167,26 @@ def encode(
         error=error,
         drop=dropped,
     )
+
+
+def encode_each(
+    matrix: DataFrame,
+    models: Sequence[tuple[Sequence[dict], bool]],
+    number: str,
+    *,
+    output: str = "encoded",
+    error: str = "encode_error",
+) -> DataFrame:
+    """The rows once for each model, given by its stages and whether its output is normalised.
+
+    One pass over the table feeds all of them; ``number`` tells the place of the model in the list.
+    """
+    shared = matrix.sparkSession.sparkContext.broadcast([(list(stages), normalised) for stages, normalised in models])
+
+    def kernel(stages: list[dict], normalised: bool):
+        return lambda x: run_stages(x, stages, encode=True, normalised=normalised)
+
+    def kernels():
+        return [(kernel(*model), model[0][0]["kernel"].shape[0]) for model in shared.value]
+
+    return map_features_each(matrix, kernels, output, error, number)

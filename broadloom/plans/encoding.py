@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from broadloom.operators import compat, layers, network, scalers
 from broadloom.operators import matrix as m
+from broadloom.session import remove_path, scratch_path
 from broadloom.sources import tables
 from broadloom.sources.sinks import write_encoded
 
@@ -57,14 +58,29 @@ def encode_matrix(
     the middle layer stands in for a bottleneck and is no dense layer, its own output is
     taken, that is with the normalisation.
     """
-    layer, _ = bottleneck_layer(model_layers, model, fallback=fallback)
+    stages, normalised, _ = _load(model_layers, weights, model, fallback, max_params)
+    prepared = _prepare(matrix, params, scaler, null_policy, on_missing)
+    return network.encode(prepared, stages, normalised=normalised)
+
+
+def _prepare(
+    matrix: DataFrame, params: DataFrame, scaler: str | None, null_policy: str, on_missing: str
+) -> DataFrame:
     prepared = m.as_float64(m.as_float32(m.fill_nulls(matrix, null_policy)))
-    if scaler is not None:
-        prepared = scalers.transform(prepared, params, scaler, on_missing=on_missing)
+    if scaler is None:
+        return prepared
+    return scalers.transform(prepared, params, scaler, on_missing=on_missing)
+
+
+def _load(
+    model_layers: DataFrame, weights: DataFrame, model: str, fallback: bool, max_params: int
+) -> tuple[list[dict], bool, int]:
+    """Stages up to the bottleneck, whether its normalised output is meant, and its units."""
+    layer, units = bottleneck_layer(model_layers, model, fallback=fallback)
     stages = network.load_stages(model_layers, weights, model, through=layer, max_params=max_params)
     of_layer = (F.col("model") == model) & (F.col("layer_idx") == layer)
     kind = model_layers.filter(of_layer).select("kind").first()["kind"]
-    return network.encode(prepared, stages, normalised=kind != "dense")
+    return stages, kind != "dense", units
 
 
 def encode_table(
@@ -143,13 +159,16 @@ def encode_all(
     include_metadata: bool = True,
     key: str = "row_id",
     named: bool = True,
-    **options,
+    null_policy: str = "zero",
+    on_missing: str = "raise",
+    max_params: int = network.MAX_PARAMS,
 ) -> DataFrame:
     """Encode with every stored model, each with its own scaler.
 
-    The table is first trimmed to the width of the scaler. A model that fails is
-    reported in the status table and does not stop the others. The driver loops over
-    models, never over rows.
+    The table is first trimmed to the width of the scaler. It is read and scaled once for all models
+    of a scaler; their encodings are stored by model and written from there. A model that
+    fails is reported in the status table and does not stop the others. The driver loops over
+    scalers and models, never over rows.
     """
     spark = matrix.sparkSession
     skip = spark.createDataFrame([(e,) for e in excluded], "model string")
@@ -159,28 +178,59 @@ def encode_all(
         spark.createDataFrame(list((explicit or {}).items()), "model string, scaler string"),
         default,
     )
-    status = []
+    of_scaler: dict[str | None, list[str]] = {}
     for row in chosen.orderBy("model").collect():
-        model, scaler = row["model"], row["scaler"]
-        path = f"{output_dir.rstrip('/')}/{model}"
+        of_scaler.setdefault(row["scaler"], []).append(row["model"])
+
+    # A name that no column of the table bears.
+    number = "_" * (1 + max(map(len, [*matrix.columns, "encode_error"])))
+
+    def encoded_together(scaler: str | None, models: list[str], status: list[tuple]) -> None:
+        loaded = {}
+        for model in models:
+            try:
+                # The workers hold the models of a scaler together.
+                loaded[model] = _load(model_layers, weights, model, True, max_params // len(models))
+            except Exception as failure:  # noqa: BLE001 - reported as a row
+                status.append(_failed(model, scaler, failure))
+        if not loaded:
+            return
         try:
             data = matrix
             if scaler is not None:
                 data = m.trim(data, compat.expected_features(params, scaler))
-            encoded = encode_matrix(
-                data, params, scaler, model_layers, weights, model, fallback=True, **options
-            )
+            data = _prepare(data, params, scaler, null_policy, on_missing)
+            each = network.encode_each(data, [(stages, norm) for stages, norm, _ in loaded.values()], number)
             if not include_metadata:
-                encoded = encoded.select(
-                    *[c for c in encoded.columns if c in (key, "encoded", "encode_error")]
+                each = each.select(*[c for c in each.columns if c in (key, "encoded", "encode_error", number)])
+            staged = scratch_path(spark, "encoded-models")
+            each.write.partitionBy(number).parquet(staged)
+        except Exception as failure:  # noqa: BLE001 - retried below, one model at a time
+            if len(loaded) == 1:
+                status.append(_failed(next(iter(loaded)), scaler, failure))
+            else:
+                for model in loaded:
+                    encoded_together(scaler, [model], status)
+            return
+        stored = spark.read.schema(each.schema).parquet(staged)
+        for i, (model, (_, _, units)) in enumerate(loaded.items()):
+            path = f"{output_dir.rstrip('/')}/{model}"
+            try:
+                seen = Observation()
+                mine = stored.filter(F.col(number) == i).drop(number).observe(
+                    seen, F.count(F.lit(1)).alias("n"), F.count("encode_error").alias("bad")
                 )
-            _, units = bottleneck_layer(model_layers, model, fallback=True)
-            write_encoded(encoded, path, width=units if named else None)
-            written = spark.read.parquet(path)
-            counts = written.agg(
-                F.count("*").alias("n"), F.count("encode_error").alias("bad")
-            ).first()
-            status.append((model, scaler, path, counts["n"], counts["bad"], None))
-        except Exception as failure:  # noqa: BLE001 - reported as a row
-            status.append((model, scaler, None, None, None, str(failure).splitlines()[0]))
-    return spark.createDataFrame(status, STATUS_SCHEMA)
+                write_encoded(mine, path, width=units if named else None)
+                status.append((model, scaler, path, seen.get["n"], seen.get["bad"], None))
+            except Exception as failure:  # noqa: BLE001 - reported as a row
+                status.append(_failed(model, scaler, failure))
+        remove_path(spark, staged)
+
+    status: list[tuple] = []
+    for scaler, models in of_scaler.items():
+        encoded_together(scaler, models, status)
+    return spark.createDataFrame(sorted(status, key=lambda row: row[0]), STATUS_SCHEMA)
+
+
+def _failed(model: str, scaler: str | None, failure: Exception) -> tuple:
+    return model, scaler, None, None, None, str(failure).splitlines()[0]

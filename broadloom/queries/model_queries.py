@@ -264,6 +264,45 @@ def g07(spark, sf_dir):
     )
 
 
+_SCALED = """peaks AS (SELECT feature_idx, max(abs(x)) AS s FROM cells GROUP BY feature_idx),
+scaled AS (
+  SELECT row_id, j, greatest(sum(x / s * w) + any_value(b), 0.0) AS a
+  FROM cells JOIN peaks USING (feature_idx) JOIN w1 ON w1.i = feature_idx JOIN b1 USING (j) GROUP BY row_id, j),
+levelled AS (SELECT row_id, j, (a - 0.05) / sqrt(0.5 + 0.001) * (1 + j / 10.0) + 0.01 AS h FROM scaled),
+outputs AS (
+  SELECT row_id, w2.j, greatest(sum(h * w) + any_value((w2.j % 3) / 10.0), 0.0) AS e
+  FROM levelled JOIN w2 ON w2.i = levelled.j GROUP BY row_id, w2.j)"""
+
+
+@query(
+    "g07_encode_all_values",
+    f"""WITH {fx.CLASS_WEIGHTS}, {_SCALED}, factors AS (
+  SELECT * FROM (VALUES ('class_means', 1.0), ('doubled', 2.0), ('halved', 0.5)) v(model, f))
+SELECT model, row_id, CAST(j AS INTEGER) AS unit, round(e * f, 5) + 0.0 AS value FROM outputs CROSS JOIN factors""",
+)
+def g07_values(spark, sf_dir):
+    """Three models of one scaler, fed by one pass; their encodings as they were written."""
+    model_layers, weights = fx.class_model(spark, sf_dir)
+    last = F.col("layer_idx") == 4
+    for name, factor in (("doubled", 2.0), ("halved", 0.5)):
+        of_class = F.col("model") == fx.CLASS_MODEL
+        changed = F.when(last, F.transform("w", lambda x: x * factor)).otherwise(F.col("w"))  # noqa: B023
+        copied = weights.filter(of_class).withColumn("w", changed).withColumn("model", F.lit(name))
+        weights = weights.unionByName(copied)
+        model_layers = model_layers.unionByName(model_layers.filter(of_class).withColumn("model", F.lit(name)))
+    matrix = fx.matrix(spark, sf_dir)
+    params = materialize(scalers.named(scalers.fit(matrix, "maxabs"), "shared"), "params")
+    status = encoding.encode_all(
+        matrix, params, model_layers, weights, scratch_path(spark, "encoded-all"), default="shared", named=False
+    )
+    parts = [
+        spark.read.parquet(r["output"]).select(F.lit(r["model"]).alias("model"), "row_id", F.posexplode("encoded").alias("unit", "value"))
+        for r in status.collect()
+    ]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    return found.withColumn("value", F.round("value", 5) + 0.0)
+
+
 # --- layer tables ---------------------------------------------------------
 
 _BOTTLENECK = """dense AS (SELECT * FROM layers WHERE lower(name) LIKE '%dense%'),

@@ -2,11 +2,13 @@
 
 import re
 
+import numpy as np
 import pytest
 
 import __spark_entry__ as entry
 from broadloom.operators import matrix as m
-from broadloom.operators import scalers, stats
+from broadloom.operators import network, scalers, stats
+from broadloom.plans import encoding
 from broadloom.queries import fixtures as fx
 from broadloom.session import small_side
 
@@ -85,3 +87,36 @@ def test_only_stored_tables_are_discarded(spark, tmp_path):
     discard(stored)
     discard(spark.read.parquet(other))
     assert not os.path.exists(folder) and os.path.exists(other)
+
+
+def test_models_of_a_scaler_share_one_scan(spark, tmp_path):
+    reads = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        reads.add(1)
+        yield from batches
+
+    rows = [(i, [float(i), float(-i), 1.0]) for i in range(12)] + [(12, [1.0, 2.0])]
+    table = spark.createDataFrame(rows, "row_id long, features array<double>").repartition(2)
+    matrix = table.mapInArrow(counted, table.schema)
+    params = scalers.named(scalers.fit(table.filter("row_id < 12"), "maxabs"), "own")
+    model_layers = network.layers_table(spark, [(name, 3, (), 2) for name in ("a", "b", "c", "lost")])
+    kernel = np.array([[1.0, 0.0], [0.0, 1.0], [2.0, 3.0]])
+    weights = spark.createDataFrame(
+        [row for k, name in enumerate("abc") for row in network.weight_rows(name, [{"kernel": kernel * (k + 1), "bias": np.zeros(2)}])],
+        network.WEIGHTS_SCHEMA,
+    )
+    status = encoding.encode_all(
+        matrix, params, model_layers, weights, str(tmp_path / "out"), explicit={n: "own" for n in ("a", "b", "c", "lost")}
+    )
+    found = {r["model"]: r for r in status.collect()}
+    assert reads.value == 2
+    assert found["lost"]["error"] and found["lost"]["rows"] is None
+    for k, name in enumerate("abc"):
+        assert (found[name]["rows"], found[name]["failed_rows"], found[name]["error"]) == (13, 1, None)
+        for r in spark.read.parquet(found[name]["output"]).collect():
+            if r["row_id"] == 12:
+                assert r["encode_error"] == "expected 3 features, found 2" and r["encoded_0"] is None
+            else:
+                want = np.maximum(np.array([r["row_id"] / 11, -r["row_id"] / 11, 1.0]) @ kernel * (k + 1), 0)
+                np.testing.assert_allclose([r["encoded_0"], r["encoded_1"]], want, rtol=1e-6)
