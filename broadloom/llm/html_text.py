@@ -76,24 +76,33 @@ _TOKEN = re.compile(
 _PUNCTUATION = re.compile(r"[.,;:!?…。、，！？؟،]")
 
 
+# What can stand in a page without a closing bracket after it.
+_ENDLESS = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)", re.DOTALL)
+
+
 class _Block:
     __slots__ = ("path", "parts", "text", "main")
 
-    def __init__(self, path: tuple[str, ...], main: int):
+    def __init__(self, path: int, main: int):
         self.path, self.parts, self.main, self.text = path, [], main, ""
 
 
-def blocks(html: str) -> list[_Block]:
-    """Blocks with text outside page furniture, in page order.
+def blocks(html: str) -> tuple[list[_Block], list[int]]:
+    """Blocks with text outside page furniture, in page order, and the parent of each path.
 
-    ``main`` is the length of the path of the innermost declared main element, 0 outside.
+    Paths are numbers: 0 is the root, every other path is a tag below its parent. ``main`` is the
+    path of the innermost declared main element, 0 outside.
     """
     out: list[_Block] = []
-    # Open elements: name, what its path and main were outside it, and whether it is furniture.
+    # Open elements by name, whether each is furniture, and where those of a name stand.
     stack: list[tuple[str, bool]] = []
-    path: list[str] = []
-    mains: list[int] = []
+    opened: dict[str, list[int]] = {}
+    path: list[int] = [0]
+    parents: list[int] = [0]
+    numbers: dict[tuple[int, str], int] = {}
+    mains: list[tuple[int, int]] = []
     noise = 0
+    closing = html.rfind(">")
     current: _Block | None = None
     at = 0
 
@@ -104,7 +113,7 @@ def blocks(html: str) -> list[_Block]:
         if current is None:
             if raw.isspace():
                 return
-            current = _Block(tuple(path), mains[-1] if mains else 0)
+            current = _Block(path[-1], mains[-1][1] if mains else 0)
             out.append(current)
         current.parts.append(unescape(raw))
 
@@ -112,26 +121,32 @@ def blocks(html: str) -> list[_Block]:
         nonlocal noise, current
         while len(stack) > upto:
             name, noisy = stack.pop()
+            opened[name].pop()
             noise -= noisy
             if name not in INLINE:
                 current = None
                 path.pop()
-                if mains and mains[-1] > len(path):
+                if mains and mains[-1][0] > len(path):
                     mains.pop()
 
     def find(names: set[str], stop: set[str]) -> int:
-        for i in range(len(stack) - 1, -1, -1):
-            if stack[i][0] in names:
-                return i
-            if stack[i][0] in stop:
-                break
-        return -1
+        """The innermost open element of these names, unless one that stops the search is inside it."""
+        last = max((opened[n][-1] for n in names if opened.get(n)), default=-1)
+        return last if all(opened[n][-1] <= last for n in stop if opened.get(n)) else -1
+
+    def token(pos: int) -> re.Match[str] | None:
+        """The next one; behind the last closing bracket no tag is looked for, as none can end."""
+        found = _TOKEN.search(html, pos, closing + 1) if pos <= closing else None
+        if found is None:
+            return _ENDLESS.search(html, pos)
+        cut = found["name"] is None and found.end() == closing + 1
+        return (cut and _ENDLESS.match(html, found.start())) or found
 
     pos = 0
-    while found := _TOKEN.search(html, pos):
+    while found := token(pos):
         text(html[at : found.start()])
         at = pos = found.end()
-        name = found["name"]
+        name = found["name"] if found.re is _TOKEN else None
         if name is None:
             if found.group().startswith("<![CDATA["):
                 text(found.group()[9:].removesuffix("]]>"))
@@ -171,17 +186,21 @@ def blocks(html: str) -> list[_Block]:
         declared = name in MAIN or bool("=" in rest and _DECLARES.search(rest))
         if label and not noisy and not declared and name not in ("html", "body") and name not in INLINE | TEXT:
             noisy = bool((_NOISE_IN_MAIN if in_main else _NOISE).search(label))
+        opened.setdefault(name, []).append(len(stack))
         stack.append((name, noisy))
         noise += noisy
         if name not in INLINE:
             current = None
-            path.append(name)
+            step = numbers.setdefault((path[-1], name), len(parents))
+            if step == len(parents):
+                parents.append(path[-1])
+            path.append(step)
             if declared and not noise:
-                mains.append(len(path))
+                mains.append((len(path), step))
     text(html[at:])
     for block in out:
         block.text = " ".join("".join(block.parts).split())
-    return [block for block in out if block.text]
+    return [block for block in out if block.text], parents
 
 
 def _smooth(values: np.ndarray) -> np.ndarray:
@@ -192,7 +211,7 @@ def _smooth(values: np.ndarray) -> np.ndarray:
 
 
 def main_text(html: str | None) -> str:
-    found = blocks(html or "")
+    found, parents = blocks(html or "")
     if not found:
         return ""
     number = {path: i for i, path in enumerate(dict.fromkeys(b.path for b in found))}
@@ -208,10 +227,14 @@ def main_text(html: str | None) -> str:
     value = np.bincount(own, fused * weight) / per_path
     best = found[int(np.flatnonzero(own == value.argmax())[0])]
     content = value >= LEAST_SHARE * value.max()
-    container = best.path[: best.main] if best.main else best.path[:-1] or best.path
+    container = best.main or parents[best.path] or best.path
+    # Parents have smaller numbers than their children.
+    within = [False] * len(parents)
+    for step, parent in enumerate(parents):
+        within[step] = step == container or within[parent]
     # Inside a declared main element nothing but its blocks is content.
     taken = [
-        b.path[: len(container)] == container or (content[i] and not best.main)
+        within[b.path] or (content[i] and not best.main)
         for b, i in zip(found, own.tolist(), strict=True)
     ]
     return "\n".join(b.text for b, keep in zip(found, taken, strict=True) if keep)

@@ -92,21 +92,34 @@ def _pieces(text: Column, pattern: str) -> Column:
 def _spans_of(text: Column, kind: str) -> Column:
     nothing = F.array().cast(_SPANS)
 
-    def step(state: Column, piece: Column) -> Column:
-        start = state["at"] + F.length(piece["gap"])
-        end = start + F.coalesce(F.length(piece["hit"]), F.lit(0))
-        span = F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), start.alias("start"), end.alias("end"), piece["hit"].alias("value")
-        )
-        good = piece["hit"].isNotNull() & _VALID[kind](piece["hit"])
-        spans = F.when(good, F.concat(state["spans"], F.array(span))).otherwise(state["spans"])
-        return F.struct(end.alias("at"), spans.alias("spans"))
-
-    begin = F.struct(F.lit(0).alias("at"), nothing.alias("spans"))
-    found = F.aggregate(_pieces(text, _PATTERNS[kind]), begin, step, lambda state: state["spans"])
+    def good(piece: Column) -> Column:
+        return F.when(piece["p"]["hit"].isNotNull(), _VALID[kind](piece["p"]["hit"])).otherwise(False)
+
+    def span(piece: Column) -> Column:
+        start = (piece["end"] - F.length(piece["p"]["hit"])).alias("start")
+        return F.struct(F.lit(KINDS.index(kind)).alias("kind"), start, piece["end"].alias("end"), piece["p"]["hit"].alias("value"))
+
+    def of_pieces(pieces: Column) -> Column:
+        lengths = F.transform(pieces, lambda p: F.length(p["gap"]) + F.coalesce(F.length(p["hit"]), F.lit(0)))
+        ended = F.arrays_zip(pieces.alias("p"), _running(lengths).alias("end"))
+        return F.transform(F.filter(ended, good), span)
+
+    # The pieces are bound to a name, as the array of one array, to be found only once.
+    found = F.flatten(F.transform(F.array(_pieces(text, _PATTERNS[kind])), of_pieces))
     return F.when(text.rlike(_GUARDS[kind]), found).otherwise(nothing)
 
 
+def _running(numbers: Column) -> Column:
+    """Running sums of an array: each round adds what stands twice as far back as the last one."""
+    rounds = F.ceil(F.log2(F.size(numbers))).cast("int")
+
+    def add(sums: Column, k: Column) -> Column:
+        back = F.pow(F.lit(2.0), k).cast("int")
+        return F.transform(sums, lambda x, i: x + F.when(i >= back, F.get(sums, i - back)).otherwise(0))
+
+    return F.aggregate(F.slice(F.sequence(F.lit(0), F.lit(31)), F.lit(1), rounds), numbers, add)
+
+
 def base_spans(docs: DataFrame) -> DataFrame:
     """doc_id, tag and the valid pattern matches of every text, by kind and start."""
     own = docs.select(
@@ -196,19 +209,28 @@ def private_spans(docs: DataFrame) -> DataFrame:
         return base.withColumn("terms", nothing)
     strong, words = found
     hits = words.join(small_side(strong, strong.count()), ["entity", "term"])
-    hits = hits.groupBy("tag", "start", "end", "term").agg(F.max("strength").alias("strength"))
+    hits = _apart(hits.groupBy("tag", "start", "end", "term").agg(F.max("strength").alias("strength")), base)
     per_text = hits.groupBy("tag").agg(
         F.array_sort(F.collect_list(F.struct("start", "end", "term", "strength"))).alias("terms")
     )
     per_text = materialize(per_text, "term-spans")
     joined = base.join(small_side(per_text, per_text.count(), 100_000), "tag", "left")
-
-    def apart(term: Column) -> Column:
-        return ~F.exists("spans", lambda s: (s["start"] < term["end"]) & (term["start"] < s["end"]))
-
-    return joined.select(
-        "doc_id", "tag", "spans", F.coalesce(F.filter("terms", apart), nothing).alias("terms")
+    return joined.select("doc_id", "tag", "spans", F.coalesce("terms", nothing).alias("terms"))
+
+
+def _apart(hits: DataFrame, base: DataFrame) -> DataFrame:
+    """The places of terms that overlap no base span, told in one pass over the places of each text."""
+    texts = base.filter(F.size("spans") > 0).select("tag", "spans").dropDuplicates(["tag"])
+    spans = texts.join(hits.select("tag").distinct(), "tag", "left_semi").select("tag", F.explode("spans").alias("s"))
+    places = hits.unionByName(spans.select("tag", "s.start", "s.end"), allowMissingColumns=True)
+    is_span, own = F.col("term").isNull(), Window.partitionBy("tag")
+    upto = own.orderBy("start").rangeBetween(Window.unboundedPreceding, 0)
+    after = own.orderBy(F.col("start").desc()).rangeBetween(Window.unboundedPreceding, -1)
+    marked = places.withColumn("_reach", F.max(F.when(is_span, F.col("end"))).over(upto)).withColumn(
+        "_next", F.min(F.when(is_span, F.col("start"))).over(after)
     )
+    free = (F.coalesce("_reach", F.lit(0)) <= F.col("start")) & (F.coalesce("_next", F.col("end")) >= F.col("end"))
+    return marked.filter(~is_span & free).select(*hits.columns)
 
 
 def _written(spans: Column, name: Callable[[Column], Column]) -> Column:

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import time
 from collections import Counter, defaultdict
 from html import unescape
 from math import log2
@@ -464,3 +465,43 @@ def test_repeated_rows_and_null_ids_over_several_blocks(spark, docs_of):
     order = lambda df: sorted(map(str, df.drop("tag").collect()))
     assert order(one) == order(several) and len(order(one)) == len(rows)
     assert sum(r["contaminated"] for r in several.collect()) == 10
+
+
+# Long inputs take time in proportion
+
+
+@pytest.mark.parametrize(
+    "page, n_chars",
+    [("<a" * 200_000, 400_000), ("x > " + "<a" * 200_000, 400_004), ("<div>x" * 40_000, 79_999),
+     ("<b>" * 40_000 + "</i>" * 40_000 + "x", 1), ("<b><table>" + "<i>" * 40_000 + "</b>" * 40_000 + "x", 1)],
+)
+def test_long_pages_of_unclosed_tags(page, n_chars):
+    began = time.monotonic()
+    assert len(html_text.main_text(page)) == n_chars
+    assert time.monotonic() - began < 20
+
+
+def test_what_stands_at_the_last_closing_bracket():
+    assert html_text.main_text("<p>one<!-- a > b") == "one"
+    assert html_text.main_text("<p>one<!-- a --> two") == "one two"
+    assert html_text.main_text("<p>one <![CDATA[a > b") == "one a > b"
+    assert html_text.main_text("<p>one<!-- a > b --") == "one"
+    assert html_text.main_text("<p>one</p>two <!-- three") == "one\ntwo"
+
+
+def test_very_many_matches_in_one_text(docs_of):
+    text = " ".join(f"a{i}@b.c" for i in range(60_000))
+    got = {r["doc_id"]: r for r in private_data.report(docs_of([(i, t, "en", "s", 0) for i, t in ((1, text), (2, "a@b.c"), (3, ""))])).collect()}
+    spans = [f"email:{m.start()}:{m.end()}" for m in re.finditer(r"\S+", text)]
+    assert got[1]["n_email"] == 60_000 and got[1]["spans"] == ",".join(spans)
+    assert (got[2]["spans"], got[3]["spans"]) == ("email:0:5", "")
+
+
+def test_terms_beside_and_inside_base_spans(docs_of):
+    """A term counts where it stands alone, not where it is part of an address."""
+    rows = [(i, f"plain words of text {i}") for i in range(60)]
+    rows += [(100 + i, f"Quent quent@corp.org Quent,quent@corp.org;Quent {i} end") for i in range(5)]
+    got = reported(docs_of([(i, t, "en", "s", 0) for i, t in rows]))
+    assert got == brute_terms(rows)
+    last = next(r for r in got if r[0] == 104)
+    assert last[-1].count("term:") > last[-1].count("email:") >= 2
