@@ -164,7 +164,7 @@ def map_cells(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], width:
     """Replace ``features`` cell by cell: ``kernel`` gets the first cells of equally long rows.
 
     Works like a projection of the array: null rows and null cells stay null, shorter rows stay
-    short, and cells beyond ``width`` become null.
+    short, and cells beyond ``width`` or masked by the kernel become null.
     """
     ship_package(df.sparkSession)
     names = df.columns
@@ -174,10 +174,12 @@ def map_cells(df: DataFrame, kernel: Callable[[np.ndarray], np.ndarray], width:
         block = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False).reshape(len(column), n)
         result = np.full(block.shape, np.nan)
         known = min(n, width)
-        if known:
-            result[:, :known] = kernel(block[:, :known])
         hidden = flat.is_null().to_numpy(zero_copy_only=False).reshape(block.shape)
         hidden = hidden | (np.arange(n) >= width)
+        if known:
+            done = kernel(block[:, :known])
+            result[:, :known] = np.ma.getdata(done)
+            hidden[:, :known] |= np.ma.getmaskarray(done)
         offsets = np.arange(len(column) + 1, dtype=np.int32) * n
         return pa.ListArray.from_arrays(offsets, pa.array(result.reshape(-1), mask=hidden.reshape(-1)))
 

@@ -39,7 +39,7 @@ PARAMS_SCHEMA = (
 
 # Fixed value: most quantiles kept per feature.
 MAX_QUANTILES = 1000
-# Parameters above this many doubles are not copied into every row of a projection.
+# Parameters up to this many doubles (32 MB) are held by every worker, larger ones mapped from a file.
 INLINE_LIMIT = 4_000_000
 
 
@@ -202,12 +202,6 @@ def kind_of(params: DataFrame, scaler: str) -> str | None:
     return None if found is None else found["kind"]
 
 
-def params_size(params: DataFrame) -> int:
-    """Doubles held by the parameters of a scaler."""
-    per_feature = F.lit(3) + F.coalesce(F.size("quantiles"), F.lit(0))
-    return int(params.agg(F.coalesce(F.sum(per_feature), F.lit(0))).first()[0])
-
-
 def transform(
     matrix: DataFrame,
     params: DataFrame,
@@ -219,11 +213,11 @@ def transform(
 ) -> DataFrame:
     """Apply a stored scaler to the feature array, row by row.
 
-    ``params`` should be a stored table (it is read once for its size). Up to ``inline_limit``
-    doubles the parameters of linear and power scalers travel as one row of arrays and the
-    transform is a projection; above it, and for quantile scalers, blocks of rows meet them
-    as arrays that workers hold or map from a file. The result is the same. A scaler that is
-    not stored raises, or leaves the data unscaled with ``on_missing="identity"``.
+    ``params`` should be a stored table (it is read once for its size). Blocks of rows meet the
+    parameters as arrays that workers hold, or above ``inline_limit`` doubles map from a file: no
+    row carries them, and the transform runs once however its result is used. Cells of a feature
+    whose fit found no value become null. A scaler that is not stored raises, or leaves the data
+    unscaled with ``on_missing="identity"``.
     """
     if on_missing not in ("raise", "identity"):
         raise ValueError(f"unknown on_missing {on_missing!r}")
@@ -232,22 +226,7 @@ def transform(
         if on_missing == "identity":
             return matrix
         raise LookupError(f"no stored scaler named {scaler!r}")
-    mine = params.filter(F.col("scaler") == scaler)
-    if kind == "quantile" or params_size(mine) > inline_limit:
-        return _transform_blocks(matrix, mine, kind, normal, inline_limit)
-    per_feature = F.array_sort(
-        F.collect_list(F.struct("feature_idx", "center", "scale", "lambda"))
-    )
-    arrays = mine.agg(per_feature.alias("p")).select(
-        F.struct(*[F.col(f"p.{c}").alias(c) for c in ("center", "scale", "lambda")]).alias("p")
-    )
-    held = matrix.withColumn("_p", arrays.scalar())
-    at = lambda name, i: F.get(F.col(f"_p.{name}"), i)
-    scaled = F.transform(
-        "features",
-        lambda x, i: apply_value(kind, x, at("center", i), at("scale", i), at("lambda", i)),
-    )
-    return held.withColumn("features", scaled).drop("_p")
+    return _transform_blocks(matrix, params.filter(F.col("scaler") == scaler), kind, normal, inline_limit)
 
 
 def transform_long(long: DataFrame, params: DataFrame, kind: str) -> DataFrame:
@@ -258,21 +237,38 @@ def transform_long(long: DataFrame, params: DataFrame, kind: str) -> DataFrame:
     return joined.withColumn("value", scaled).drop("center", "scale", "lambda")
 
 
+def _every_feature(params: DataFrame) -> DataFrame:
+    """One array for each feature up to the last one fitted; without a fit it holds nulls."""
+    found = params.agg(F.max("feature_idx").alias("last"), F.max(F.size("quantiles")).alias("size")).first()
+    if found["last"] is None:
+        return params
+    nothing = F.array_repeat(F.lit(None).cast("double"), max(found["size"] or 0, 1))
+    features = params.sparkSession.range(found["last"] + 1).select(F.col("id").cast("int").alias("feature_idx"))
+    return features.join(params.select("feature_idx", "quantiles"), "feature_idx", "left").withColumn(
+        "quantiles", F.coalesce("quantiles", nothing)
+    )
+
+
 def _transform_blocks(
     matrix: DataFrame, params: DataFrame, kind: str, normal: bool, limit: int
 ) -> DataFrame:
     if kind != "quantile":
         three = F.array("center", "scale", F.coalesce("lambda", F.lit(1.0)))
         params = params.withColumn("quantiles", three)
-    table = hold(params, "feature_idx", "quantiles", limit)
+    table = hold(_every_feature(params), "feature_idx", "quantiles", limit)
     shared = matrix.sparkSession.sparkContext.broadcast(table)
 
     def scale(block: np.ndarray) -> np.ndarray:
         mine = opened(shared.value)[: block.shape[1]]
+        unfitted = np.isnan(mine[:, :2]).any(axis=1)
+        if unfitted.any():
+            mine = np.where(unfitted[:, None], 0.5, mine)
         if kind == "quantile":
-            return rank_scores(block, mine, normal)
-        center, spread, lam = mine.T
-        return ((yeo_johnson_cells(block, lam) if kind == "power" else block) - center) / spread
+            scaled = rank_scores(block, mine, normal)
+        else:
+            center, spread, lam = mine.T
+            scaled = ((yeo_johnson_cells(block, lam) if kind == "power" else block) - center) / spread
+        return np.ma.array(scaled, mask=np.broadcast_to(unfitted, scaled.shape)) if unfitted.any() else scaled
 
     return map_cells(matrix, scale, table.shape[0])
 

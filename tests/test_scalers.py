@@ -215,6 +215,30 @@ def assert_close(a, b):
             assert (x is None and y is None) or x == pytest.approx(y, rel=1e-9, abs=1e-12)
 
 
+@pytest.mark.parametrize("limit", [10**6, 0])
+def test_features_without_values_shift_no_others(matrix_of, limit):
+    fitted = matrix_of([[i, None, i * i, None] for i in range(9)])
+    whole = matrix_of([[i, 0, i * i, 0] for i in range(9)])
+    new = matrix_of([[3, 5, 7, 1], [None, 1]])
+    for kind in ("standard", "power", "quantile"):
+        params = [materialize(scalers.fit(m, kind), "params") for m in (fitted, whole)]
+        got, want = (
+            [r["features"] for r in scalers.transform(new, p, kind, inline_limit=limit).orderBy("row_id").collect()]
+            for p in params
+        )
+        assert got[0][1] is None and got[0][3] is None and got[1] == [None, None]
+        assert_close([[got[0][0], got[0][2]]], [[want[0][0], want[0][2]]])
+
+
+def test_rows_carry_no_parameters(matrix_of):
+    matrix = matrix_of([[1, 2], [3, 5]])
+    for kind in ("robust", "power"):
+        params = materialize(scalers.fit(matrix, kind), "params")
+        cells = m.to_long(scalers.transform(matrix, params, kind)).filter("value > 0")
+        plan = cells._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("MapInArrow") == 1 and "Subquery" not in plan and "Exchange" not in plan
+
+
 def test_unknown_scaler(spark, matrix_of):
     matrix = matrix_of([[1.0]])
     with pytest.raises(ValueError):
