@@ -39,7 +39,9 @@ PARAMS_SCHEMA = (
 
 # Fixed value: most quantiles kept per feature.
 MAX_QUANTILES = 1000
-# Parameters up to this many doubles (32 MB) are held by every worker, larger ones mapped from a file.
+# Parameters up to this many doubles are constants of the plan (about half a megabyte of text).
+CONSTANT_LIMIT = 30_000
+# Larger ones are held by every worker up to this many doubles (32 MB), and mapped from a file above.
 INLINE_LIMIT = 4_000_000
 
 
@@ -213,11 +215,12 @@ def transform(
 ) -> DataFrame:
     """Apply a stored scaler to the feature array, row by row.
 
-    ``params`` should be a stored table (it is read once for its size). Blocks of rows meet the
-    parameters as arrays that workers hold, or above ``inline_limit`` doubles map from a file: no
-    row carries them, and the transform runs once however its result is used. Cells of a feature
-    whose fit found no value become null. A scaler that is not stored raises, or leaves the data
-    unscaled with ``on_missing="identity"``.
+    ``params`` should be a stored table (it is read once for its size). Up to ``CONSTANT_LIMIT``
+    doubles the parameters of linear and power scalers are constants of a projection; above it, and
+    for quantile scalers, blocks of rows meet them as arrays that workers hold, or above
+    ``inline_limit`` doubles map from a file. The result is the same, and no row carries them. Cells
+    of a feature whose fit found no value become null. A scaler that is not stored raises, or
+    leaves the data unscaled with ``on_missing="identity"``.
     """
     if on_missing not in ("raise", "identity"):
         raise ValueError(f"unknown on_missing {on_missing!r}")
@@ -226,7 +229,22 @@ def transform(
         if on_missing == "identity":
             return matrix
         raise LookupError(f"no stored scaler named {scaler!r}")
-    return _transform_blocks(matrix, params.filter(F.col("scaler") == scaler), kind, normal, inline_limit)
+    mine = params.filter(F.col("scaler") == scaler)
+    if kind == "quantile" or 3 * mine.count() > min(CONSTANT_LIMIT, inline_limit):
+        return _transform_blocks(matrix, mine, kind, normal, inline_limit)
+    rows = {r["feature_idx"]: r for r in mine.select("feature_idx", "center", "scale", "lambda").collect()}
+
+    def constant(name: str) -> Column:
+        values = [rows[i][name] if i in rows else None for i in range(max(rows, default=-1) + 1)]
+        written = ",".join("" if v is None else repr(v) for v in values)
+        return F.split(F.lit(written), ",").try_cast("array<double>")
+
+    center, scale, lam = (constant(name) for name in ("center", "scale", "lambda"))
+    scaled = F.transform(
+        "features",
+        lambda x, i: apply_value(kind, x, F.get(center, i), F.get(scale, i), F.get(lam, i)),
+    )
+    return matrix.withColumn("features", scaled)
 
 
 def transform_long(long: DataFrame, params: DataFrame, kind: str) -> DataFrame:
