@@ -1,9 +1,10 @@
 """Exact deduplication against a persistent digest index.
 
 The index is a table of the SHA-256 of every text seen so far, bucketed and sorted by that
-digest. A new batch is grouped by digest with map-side partial aggregation, reduced to its
-unknown digests by a sort-merge anti-join and appended, so later batches never
-shuffle the index. All of it is DataFrame code.
+digest, in a folder that any later application can open. A new batch is grouped by digest with
+map-side partial aggregation, reduced to its unknown digests by a sort-merge anti-join with the index
+(an empty one at first) and appended; then the decisions of the whole batch are read from the
+stored index. No join shuffles the index. All of it is DataFrame code.
 
 Rows whose digest makes up more than ``1 / HOT_SHARE`` of a batch cannot number more than
 ``HOT_SHARE``; their decisions are broadcast, all others are joined by digest. A text that
@@ -23,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from broadloom.llm.rows import only, text_tag, without
-from broadloom.session import materialize, scratch_path
+from broadloom.session import materialize, path_exists, scratch_path
 
 HOT_SHARE = 1024
 BUCKET_ROWS = 2_000_000
@@ -40,35 +41,52 @@ def digests(docs: DataFrame) -> DataFrame:
 
 
 class DigestIndex:
-    """A digest table with columns digest, keep_id, group_size."""
+    """A digest table with columns digest, keep_id, group_size, batch.
 
-    def __init__(self, spark: SparkSession, name: str | None = None, buckets: int | None = None):
+    ``path`` is the folder of the index, a new one in the shared folder by default; an index that is
+    there already is opened. ``name`` opens one that this session has registered.
+    """
+
+    def __init__(
+        self, spark: SparkSession, name: str | None = None, buckets: int | None = None, path: str | None = None
+    ):
         self.spark = spark
         self.name = name or f"digest_index_{uuid.uuid4().hex}"
         self.buckets = buckets
+        self.path = path.rstrip("/") if path else scratch_path(spark, "digests")
+        if self.exists():
+            described = spark.sql(f"DESCRIBE EXTENDED {self.name}").filter("col_name IN ('Location', 'Num Buckets')")
+            of = {r["col_name"]: r["data_type"] for r in described.collect()}
+            self.buckets, self.path = int(of["Num Buckets"]), of["Location"].rsplit("/", 1)[0]
+        elif path_exists(spark, f"{self.path}/info"):
+            self.buckets = spark.read.schema("buckets int").json(f"{self.path}/info").first()["buckets"]
+            self._register()
 
     def exists(self) -> bool:
         return self.spark.catalog.tableExists(self.name)
 
     def table(self) -> DataFrame:
+        self.spark.catalog.refreshTable(self.name)
         return self.spark.table(self.name)
 
-    def _append(self, groups: DataFrame, rows: int) -> None:
-        if self.buckets is None and self.exists():
-            described = self.spark.sql(f"DESCRIBE EXTENDED {self.name}")
-            self.buckets = int(described.filter("col_name = 'Num Buckets'").first()["data_type"])
+    def _register(self) -> None:
+        self.spark.sql(
+            f"CREATE TABLE {self.name} (digest BINARY, keep_id BIGINT, group_size BIGINT, batch STRING) USING parquet "
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{self.path}/digests'"
+        )
+
+    def _create(self, rows: int) -> None:
         if self.buckets is None:
             least = int(self.spark.conf.get("spark.sql.shuffle.partitions"))
             self.buckets = max(1, min(least, 1 + rows // 20_000), rows // BUCKET_ROWS)
-        writer = (
-            groups.repartition(self.buckets, "digest")
-            .write.mode("append")
-            .bucketBy(self.buckets, "digest")
-            .sortBy("digest")
-        )
-        if not self.exists():
-            writer = writer.option("path", scratch_path(self.spark, "digests"))
-        writer.saveAsTable(self.name)
+        self._register()
+        info = self.spark.range(1).select(F.lit(self.buckets).cast("int").alias("buckets"))
+        info.write.json(f"{self.path}/info")
+
+    def unknown(self, groups: DataFrame) -> DataFrame:
+        """The groups whose digest the index does not hold; of both sides only the groups move."""
+        dealt = groups.repartition(self.buckets, "digest")
+        return dealt.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
 
     def ingest(self, docs: DataFrame) -> DataFrame:
         """Add a batch; one row per document of the batch with its decision.
@@ -76,22 +94,19 @@ class DigestIndex:
         A text that an earlier batch holds is dropped with ``keep_id`` of that batch;
         ``group_size`` counts the rows of the batch that brought the text first.
         """
-        batch = materialize(digests(docs), "digests")
+        batch, number = materialize(digests(docs), "digests"), uuid.uuid4().hex
         rows = batch.count()
-        groups = batch.groupBy("digest").agg(
-            F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size")
-        )
-        known = None
-        if self.exists():
-            known = self.table().join(groups.select("digest").hint("merge"), "digest", "left_semi")
-            known = materialize(known.withColumn("new", F.lit(False)), "known-digests")
-            groups = groups.join(self.table().select("digest").hint("merge"), "digest", "left_anti")
-        groups = materialize(groups, "new-digests")
-        self._append(groups, rows)
-        decided = groups.withColumn("new", F.lit(True))
-        if known is not None:
-            decided = decided.unionByName(known)
-        return _decide(batch, decided, rows)
+        if not self.exists():
+            self._create(rows)
+        groups = batch.groupBy("digest").agg(F.max("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+        groups = materialize(groups, "groups")
+        new = materialize(self.unknown(groups), "new-digests").withColumn("batch", F.lit(number))
+        writer = new.repartition(self.buckets, "digest").write.mode("append")
+        writer.bucketBy(self.buckets, "digest").sortBy("digest").format("parquet").saveAsTable(self.name)
+        wanted = groups.select("digest").repartition(self.buckets, "digest")
+        stored = self.table().join(wanted.hint("merge"), "digest", "left_semi")
+        decided = stored.select("digest", "keep_id", "group_size", (F.col("batch") == number).alias("new"))
+        return _decide(batch, materialize(decided, "decided"), rows)
 
 
 def _decide(batch: DataFrame, decided: DataFrame, rows: int) -> DataFrame:

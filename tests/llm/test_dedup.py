@@ -185,6 +185,28 @@ def test_index_remembers_earlier_batches(spark, docs_of):
     assert exact_dedup.DigestIndex(spark, index.name).ingest(docs_of([])).count() == 0
 
 
+def test_index_opens_by_its_path(spark, docs_of, tmp_path):
+    path = str(tmp_path / "index")
+    index = exact_dedup.DigestIndex(spark, path=path, buckets=3)
+    index.ingest(docs_of([(1, "a", "en", "s", 1), (2, "b", "en", "s", 1)])).count()
+    spark.sql(f"DROP TABLE {index.name}")  # as a new session knows nothing of it; the files stay
+    again = exact_dedup.DigestIndex(spark, path=path)
+    assert again.buckets == 3 and again.table().count() == 2
+    kept = {r["doc_id"]: (r["keep_id"], r["kept"]) for r in again.ingest(docs_of([(5, "b", "", "", 0), (6, "c", "", "", 0)])).collect()}
+    assert kept == {5: (2, False), 6: (6, True)} and exact_dedup.DigestIndex(spark, path=path).table().count() == 3
+
+
+def test_anti_join_leaves_the_index_in_its_buckets(spark, docs_of):
+    index = exact_dedup.DigestIndex(spark, buckets=4)
+    index.ingest(docs_of([(i, f"text {i}", "en", "s", 1) for i in range(50)])).count()
+    groups = exact_dedup.digests(docs_of([(i, f"text {i}", "en", "s", 1) for i in range(40, 60)])).select("digest")
+    new = index.unknown(groups)
+    assert new.count() == 10
+    plan = new._jdf.queryExecution().executedPlan().toString()
+    assert "SortMergeJoin" in plan and "LeftAnti" in plan and "SelectedBucketsCount: 4 out of 4" in plan
+    assert plan.count("Exchange hashpartitioning") == 1
+
+
 def test_empty_tables(empty):
     assert exact_dedup.mark_copies(empty).count() == 0
     assert exact_dedup.drop_copies(empty).count() == 0
